@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framequarry.session import ensure_checkpoint_dir
+
 BUCKET = "__bucket"
 
 
@@ -21,15 +23,16 @@ def id_bucket(column: str, width: int = 1 << 16) -> Column:
 
 
 def time_bucket(column: str, seconds: int = 86_400) -> Column:
-    return F.floor(F.unix_micros(F.col(column)) / F.lit(seconds * 1_000_000)).cast("bigint")
+    return F.floor(F.unix_micros(F.col(column).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
 def _inner(by, order):
     return Window.partitionBy(*by, BUCKET).orderBy(*order)
 
 
-def _outer(by):
-    return Window.partitionBy(*by).orderBy(BUCKET) if by else Window.orderBy(BUCKET)
+def _outer(by, desc: bool = False):
+    order = F.col(BUCKET).desc() if desc else F.col(BUCKET)
+    return Window.partitionBy(*by).orderBy(order) if by else Window.orderBy(order)
 
 
 def _attach(df: DataFrame, borders: DataFrame, by: list[str]) -> DataFrame:
@@ -40,28 +43,46 @@ def _attach(df: DataFrame, borders: DataFrame, by: list[str]) -> DataFrame:
     return df.join(right, cond, "left").drop(*[f"__r_{k}" for k in keys])
 
 
-def row_number(df: DataFrame, by: list[str], order: list, bucket: Column, name: str = "rn") -> DataFrame:
-    """Rank from 1 inside each key."""
+def row_number(
+    df: DataFrame, by: list[str], order: list, bucket: Column, name: str = "rn", desc: bool = False
+) -> DataFrame:
+    """Rank from 1 inside each key. ``desc`` says that ``order`` runs from high buckets to low ones."""
     df = df.withColumn(BUCKET, bucket)
     counts = df.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(_outer(by).rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("__n").over(_outer(by, desc).rowsBetween(Window.unboundedPreceding, -1))
     borders = counts.select(*by, BUCKET, F.coalesce(before, F.lit(0)).alias("__before"))
     out = _attach(df, borders, by)
     rank = F.row_number().over(_inner(by, order)).cast("bigint") + F.col("__before")
     return out.withColumn(name, rank).drop("__before", BUCKET)
 
 
-def running_sum(df: DataFrame, by: list[str], order: list, bucket: Column, value: str, name: str) -> DataFrame:
+def running_sum(
+    df: DataFrame, by: list[str], order: list, bucket: Column, value: str, name: str, desc: bool = False
+) -> DataFrame:
     """Sum from the first row of the key to this one."""
     df = df.withColumn(BUCKET, bucket)
     sums = df.groupBy(*by, BUCKET).agg(F.sum(value).alias("__s"))
-    before = F.sum("__s").over(_outer(by).rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("__s").over(_outer(by, desc).rowsBetween(Window.unboundedPreceding, -1))
     borders = sums.select(*by, BUCKET, F.coalesce(before, F.lit(0)).alias("__before"))
     out = _attach(df, borders, by)
     local = F.sum(value).over(_inner(by, order).rowsBetween(Window.unboundedPreceding, 0))
     return out.withColumn(name, local + F.col("__before")).drop("__before", BUCKET)
 
 
+def global_running_sum(df: DataFrame, order: list, value: str, name: str, partitions: int | None = None) -> DataFrame:
+    """Running sum without a key over a unique ``order``.
+
+    The order cuts the rows into ranges of like size. The cut is sampled, so it is written to the
+    checkpoint folder once; both the sums per range and the rows then read the same cut, also
+    after an executor is lost.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()).checkpoint()
+    return running_sum(cut, [], order, F.col("__range"), value, name).drop("__range")
+
+
 def neighbour(
     df: DataFrame, by: list[str], order: list[str], bucket: Column, values: list[str], name: str, step: int = -1
 ) -> DataFrame:
