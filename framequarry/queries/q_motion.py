@@ -191,12 +191,12 @@ def _(spark, d):
     return G.rig_issues(table(spark, d, "part").select(F.floor(k / 25).alias("rig"), k.alias("bone"), parent.alias("parent")))
 
 
-SEG = """vx AS (SELECT o_custkey % 20 AS rig, o_orderkey AS vid, o_totalprice / 50000 AS x, (o_orderkey % 17)::DOUBLE AS y, (o_custkey % 13)::DOUBLE AS z FROM orders),
+SEG = """vx AS (SELECT o_custkey % 20 AS rig, o_orderkey AS vid, o_totalprice / 50000 AS x, (o_orderkey % 17) + 0.3717::DOUBLE AS y, (o_custkey % 13) + 0.1931::DOUBLE AS z FROM orders),
   sg AS (SELECT s_suppkey % 20 AS rig, s_suppkey AS joint, s_nationkey / 3.0::DOUBLE AS ax, (s_suppkey % 11)::DOUBLE AS ay, 1.0::DOUBLE AS az, s_nationkey / 3.0::DOUBLE + s_suppkey % 3 AS bx, (s_suppkey % 11)::DOUBLE AS b_y, 1.0::DOUBLE + s_suppkey % 4 AS bz FROM supplier),
   ms AS (SELECT v.*, s.*, s.rig AS r2, sqrt(pow(bx - ax, 2) + pow(b_y - ay, 2) + pow(bz - az, 2)) AS len FROM vx v JOIN sg s ON s.rig = v.rig),
   mu AS (SELECT *, CASE WHEN len = 0 THEN 0 ELSE least(1, greatest(0, ((x - ax) * (bx - ax) + (y - ay) * (b_y - ay) + (z - az) * (bz - az)) / (len * len))) END AS u FROM ms),
   md AS (SELECT r2 AS rig, vid, joint, len, sqrt(pow(x - ax - (bx - ax) * u, 2) + pow(y - ay - (b_y - ay) * u, 2) + pow(z - az - (bz - az) * u, 2)) AS d FROM mu),
-  mk AS (SELECT *, row_number() OVER (PARTITION BY rig, vid ORDER BY round(d, 9), joint) AS k FROM md),
+  mk AS (SELECT *, row_number() OVER (PARTITION BY rig, vid ORDER BY d, joint) AS k FROM md),
   pr AS (SELECT a.rig, a.vid, a.joint AS j1, b.joint AS j2, a.d AS d1, b.d AS d2, coalesce(0.15 * least(nullif(a.len, 0), nullif(b.len, 0)), 0) AS zone FROM mk a LEFT JOIN mk b ON b.rig = a.rig AND b.vid = a.vid AND b.k = 2 WHERE a.k = 1),
   px2 AS (SELECT *, CASE WHEN zone > 0 THEN least(1, (d2 - d1) / zone) ELSE 1 END AS q FROM pr),
   wt AS (SELECT rig, vid, j1, j2, CASE WHEN j2 IS NULL OR d1 < 1e-9 OR 0.5 * (1 - q * q * (3 - 2 * q)) <= 0 THEN 0 ELSE 0.5 * (1 - q * q * (3 - 2 * q)) END AS w2 FROM px2),
@@ -205,7 +205,7 @@ SEG = """vx AS (SELECT o_custkey % 20 AS rig, o_orderkey AS vid, o_totalprice /
 
 def vertices(spark, d):
     return table(spark, d, "orders").select(
-        (F.col("o_custkey") % 20).alias("rig"), F.col("o_orderkey").alias("vid"), (F.col("o_totalprice") / 50000).alias("x"), (F.col("o_orderkey") % 17).cast("double").alias("y"), (F.col("o_custkey") % 13).cast("double").alias("z"))
+        (F.col("o_custkey") % 20).alias("rig"), F.col("o_orderkey").alias("vid"), (F.col("o_totalprice") / 50000).alias("x"), (F.col("o_orderkey") % 17 + 0.3717).alias("y"), (F.col("o_custkey") % 13 + 0.1931).alias("z"))
 
 
 def segments(spark, d):
@@ -220,7 +220,7 @@ def _(spark, d):
     return w.select("rig", "vid", "joint", F.round("weight", 6).alias("weight")).filter("weight > 0")
 
 
-@query("skin_vertices", "J-23", f"""WITH {SEG} SELECT w.rig, CAST(p AS BIGINT) AS pose, w.vid, round(sum(weight * (v.x + joint % 5 + p)), 5) AS x, round(sum(weight * v.y), 5) AS y, round(sum(weight * (v.z - joint % 3)), 5) AS z
+@query("skin_vertices", "J-23", f"""WITH {SEG} SELECT w.rig, CAST(p AS BIGINT) AS pose, w.vid, round(sum(weight * (v.x + joint % 5 + p)), 6) AS x, round(sum(weight * v.y), 6) AS y, round(sum(weight * (v.z - joint % 3)), 6) AS z
   FROM wr w JOIN vx v ON v.rig = w.rig AND v.vid = w.vid, range(0, 2) r(p) GROUP BY 1, 2, 3""")
 def _(spark, d):
     v, s = vertices(spark, d), segments(spark, d)
@@ -228,7 +228,7 @@ def _(spark, d):
     m = motion.affine([(j % 5 + F.col("pose")).cast("double"), F.lit(0.0), -(j % 3).cast("double")], [F.lit(0.0)] * 3)
     joints = s.select("rig", "joint", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("pose")).withColumn("m", m)
     out = G.skin_vertices(v, G.skin_weights(v, s), joints)
-    return out.select("rig", "pose", "vid", *[F.round(c, 5).alias(c) for c in "xyz"])
+    return out.select("rig", "pose", "vid", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
 # ---- cameras ---------------------------------------------------------------------------------------------------
