@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framequarry.operators import metrics as M
+from framequarry.session import staged
 
 MIN_COVERAGE = 0.005
 SEVERITY = {"pass": 0, "warn": 1, "fail": 2}
@@ -34,7 +35,7 @@ def sprite_flags(metrics: DataFrame, want: Acceptance) -> DataFrame:
 
     ``metrics`` needs clip, dir, idx besides the columns of ``frame_metrics(isolated=True)``.
     """
-    df = M.jitter(metrics, 2.0 if want.max_jitter is None else want.max_jitter, want.motion)
+    df = M.jitter(staged(metrics), 2.0 if want.max_jitter is None else want.max_jitter, want.motion)
     if want.max_drift is not None:
         df = M.bounds_drift(df, want.max_drift)
     flags: list[tuple[str, str, Column]] = [
@@ -71,6 +72,7 @@ def sprite_flags(metrics: DataFrame, want: Acceptance) -> DataFrame:
 
 def summarise(flags: DataFrame, asset: str = "clip", key: str = "frame") -> DataFrame:
     """One row per asset and check with its status, number of failing frames and the first fifty of them."""
+    flags = staged(flags)
     totals = flags.groupBy(F.col(asset).alias("asset"), "check_id", "severity").agg(
         F.count_if("failing").alias("failing")
     )

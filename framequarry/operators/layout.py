@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framequarry.functions import ordered
+from framequarry.session import staged
 
 SEQ = ["asset", "clip", "direction"]
 
@@ -24,11 +25,15 @@ class SheetSettings:
     max_size: int = 4096
 
 
-def sequences_of(cells: DataFrame, bucket_width: int = 1 << 16) -> DataFrame:
-    """``(asset, clip, direction, pos, frames)`` from ``cells(asset, clip, direction, idx, seq_pos)``, in first-seen order."""
-    seqs = cells.groupBy(*SEQ).agg(F.min("seq_pos").alias("first"), F.count(F.lit(1)).alias("frames"))
-    out = ordered.row_number(seqs, ["asset"], ["first"], ordered.id_bucket("first", bucket_width), "pos")
-    return out.withColumn("pos", F.col("pos") - 1).drop("first")
+def sequences_of(cells: DataFrame) -> DataFrame:
+    """``(asset, clip, direction, pos, frames)`` from ``cells(asset, clip, direction, idx, seq_pos)``, in first-seen order.
+
+    Cells are reduced to one row per sequence before the asset's window, and an asset has as many
+    sequences as its definition has clips and directions.
+    """
+    seqs = cells.groupBy(*SEQ).agg(F.min("seq_pos").alias("__first"), F.count(F.lit(1)).alias("frames"))
+    w = Window.partitionBy("asset").orderBy("__first", "clip", "direction")
+    return seqs.withColumn("pos", (F.row_number().over(w) - 1).cast("bigint")).drop("__first")
 
 
 def next_power_of_two(n: Column) -> Column:
@@ -39,42 +44,51 @@ def order_sequences(seqs: DataFrame, order: str) -> DataFrame:
     """Add ``rank`` from 0: plan order, or direction first by the order directions are first seen."""
     if order == "clip-direction":
         return seqs.withColumn("rank", F.col("pos"))
-    first = seqs.groupBy("asset", "direction").agg(F.min("pos").alias("__d"))
-    df = seqs.join(first, ["asset", "direction"])
-    bucket = F.struct(F.col("__d"), ordered.id_bucket("pos"))
-    out = ordered.row_number(df, ["asset"], ["__d", "pos"], bucket, "rank")
-    return out.withColumn("rank", F.col("rank") - 1).drop("__d")
+    df = seqs.withColumn("__d", F.min("pos").over(Window.partitionBy("asset", "direction")))
+    w = Window.partitionBy("asset").orderBy("__d", "pos")
+    return df.withColumn("rank", (F.row_number().over(w) - 1).cast("bigint")).drop("__d")
 
 
 def layout_grid(seqs: DataFrame, width: int, height: int, s: SheetSettings) -> DataFrame:
     """Place each sequence on a page: ``page`` number, its name suffix, row ``slot`` and the page's size.
 
-    ``seqs(asset, clip, direction, pos, frames)``. Sequences never split; a page takes as many as
-    fit ``max_size`` and ``error`` marks one that is too long. Ranks and page offsets are carried over
-    buckets, so one asset with very many sequences stays spread out.
+    ``seqs(asset, clip, direction, pos, frames)``, one row per sequence. Sequences never split; a page
+    takes as many as fit ``max_size`` and ``error`` marks one that is too long. Every window starts
+    with the asset, so one exchange by asset serves them all.
     """
+    seqs = seqs.repartition("asset")
     df = order_sequences(seqs, s.order)
-    group = {
+    suffix = {
         "strips": F.concat_ws("-", "clip", "direction"),
         "clip": F.col("clip").cast("string"),
         "direction": F.col("direction").cast("string"),
         "none": F.lit(""),
     }["strips" if s.layout == "strips" else s.split]
-    df = df.withColumn("suffix", group)
     e, p = s.extrude, s.padding
     cw, ch = width + 2 * e, height + 2 * e
     along, across = (cw, ch) if s.flow == "rows" else (ch, cw)
     per_page = max(1, (s.max_size + p) // (across + p))
-    df = ordered.row_number(df, ["asset", "suffix"], ["rank"], ordered.id_bucket("rank"), "__row")
-    df = df.withColumns({"__row": F.col("__row") - 1})
-    df = df.withColumns({"chunk": F.floor(F.col("__row") / per_page).cast("bigint"), "slot": F.col("__row") % per_page})
-    groups = df.groupBy("asset", "suffix").agg(
-        F.min("rank").alias("__first"), F.max("frames").alias("longest"), F.count(F.lit(1)).alias("__n")
+    df = df.withColumn("suffix", suffix)
+    group = Window.partitionBy("asset", "suffix")
+    df = df.withColumns(
+        {
+            "__row": F.row_number().over(group.orderBy("rank")) - 1,
+            "__n": F.count(F.lit(1)).over(group),
+            "longest": F.max("frames").over(group),
+            "__first": F.min("rank").over(group),
+        }
+    )
+    pages = F.ceil(F.col("__n") / per_page).cast("bigint")
+    df = df.withColumns(
+        {
+            "__pages": pages,
+            "chunk": F.floor(F.col("__row") / per_page).cast("bigint"),
+            "slot": (F.col("__row") % per_page).cast("bigint"),
+        }
     )
-    groups = groups.withColumn("__pages", F.ceil(F.col("__n") / per_page).cast("bigint"))
-    groups = ordered.running_sum(groups, ["asset"], ["__first"], ordered.id_bucket("__first"), "__pages", "__upto")
-    groups = groups.withColumn("__offset", F.col("__upto") - F.col("__pages"))
-    df = df.join(groups, ["asset", "suffix"])
+    earlier = Window.partitionBy("asset").orderBy("__first").rangeBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum(F.when(F.col("__row") == 0, F.col("__pages"))).over(earlier), F.lit(0))
+    df = df.withColumn("page", offset + F.col("chunk"))
     rows = F.least(F.lit(per_page), F.col("__n") - F.col("chunk") * per_page)
     length = F.col("longest") * along + (F.col("longest") - 1) * p
     depth = rows * across + (rows - 1) * p
@@ -84,7 +98,7 @@ def layout_grid(seqs: DataFrame, width: int, height: int, s: SheetSettings) -> D
     name = F.concat_ws("-", F.when(F.col("suffix") != "", F.col("suffix")), F.when(F.col("__pages") > 1, F.col("chunk").cast("string")))
     error = F.when(F.col("__length") > s.max_size, F.lit("too_long"))
     return df.select(
-        *SEQ, "pos", "rank", "frames", (F.col("__offset") + F.col("chunk")).alias("page"), name.alias("page_name"), "slot",
+        *SEQ, "pos", "rank", "frames", "page", name.alias("page_name"), "slot",
         size(F.col(w)).alias("page_w"), size(F.col(h)).alias("page_h"), error.alias("error"),
     )
 
@@ -128,7 +142,9 @@ def layout_packed(boxes: DataFrame, s: SheetSettings) -> DataFrame:
 
     seqs = seqs.withColumn("s", F.aggregate("b", start, put)).drop("b")
     seqs = seqs.withColumn("tall", F.col("s.y") + F.col("s.shelf"))
-    seqs = ordered.running_sum(seqs, ["asset"], ["pos"], ordered.id_bucket("pos"), "tall", "__upto")
+    # One row per sequence is left, and an asset's sequences are bounded by its definition.
+    upto = F.sum("tall").over(Window.partitionBy("asset").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    seqs = seqs.withColumn("__upto", upto)
     room = size + p
     before = F.col("__upto") - F.col("tall")
     at = before - F.floor(before / room) * room
@@ -218,6 +234,7 @@ def frame_tags(cells: DataFrame, by: list[str], position: str, names: list[str],
     for n in names:
         same = same & F.col(f"__p.{n}").eqNullSafe(F.col(n))
     df = df.withColumn("__new", F.when(F.col("__p").isNotNull() & same, 0).otherwise(1).cast("bigint")).drop("__p")
+    df = staged(df.select(*by, position, *names, "__new"))
     df = ordered.running_sum(df, by, [position], bucket, "__new", "__island")
     return df.groupBy(*by, *names, "__island").agg(F.min(position).alias("from"), F.max(position).alias("to")).drop("__island")
 

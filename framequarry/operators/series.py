@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framequarry.functions import motion, ordered
+from framequarry.session import staged
 
 EPSILON = 1e-9
 
@@ -24,7 +25,7 @@ def _around(key_times: DataFrame, samples: DataFrame, by: list[str], payload: li
     both = keys.unionByName(rows, allowMissingColumns=True)
     bucket = F.floor(F.col("__t") / width).cast("bigint")
     order = ["__t", "__kind"]
-    both = ordered.fill(both, by, order, bucket, "__key", "prev", forward=True)
+    both = staged(ordered.fill(both, by, order, bucket, "__key", "prev", forward=True))
     both = ordered.fill(both, by, order, bucket, "__key", "next", forward=False)
     return both.filter(F.col("__kind") == 1).select("__row.*", "prev", "next")
 
@@ -67,6 +68,7 @@ def sample_keys(
     at a key that does not list it. ``rotation`` names a quaternion array column, which slerps.
     The key a sample lies between is found once per sample, then poses join on (clip, time, bone).
     """
+    keys = staged(keys)
     times = keys.groupBy("clip", "t").agg(F.first("easing", True).alias("easing"))
     at = locate_keys(times, samples, clips, width)
     bones = keys.select("clip", "bone").distinct()
@@ -223,7 +225,7 @@ def frame_clock(ticks: DataFrame, fps: float, by: list[str], order: list[str], b
     dt = F.col("ms") - F.col("__p.ms")
     stall = F.coalesce(dt > gap_ms, F.lit(True))
     df = df.withColumns({"__stall": stall.cast("bigint"), "__first": F.col("__p").isNull(), "__dt": F.when(stall, 0.0).otherwise(F.greatest(F.lit(0.0), dt))})
-    df = ordered.running_sum(df, by, order, bucket, "__stall", "__island")
+    df = staged(ordered.running_sum(staged(df), by, order, bucket, "__stall", "__island"))
     df = ordered.running_sum(df, [*by, "__island"], order, bucket, "__dt", "__total")
     total = lambda v: F.floor(v / period + EPSILON)
     n = total(F.col("__total")) - total(F.col("__total") - F.col("__dt"))

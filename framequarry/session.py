@@ -43,3 +43,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write a dataset that several branches of a plan read to the checkpoint folder once.
+
+    Without it each branch would recompute what is below it, and nested branches multiply.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

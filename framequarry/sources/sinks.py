@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framequarry import __version__
-from framequarry.functions import ordered
+from framequarry.session import staged
 
 CHUNK = 1000
 APP = "framequarry"
@@ -86,11 +86,27 @@ def _frame_body(width: int, height: int, extra: list[Column]) -> Column:
     )
 
 
+def sequences(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per sequence of a key: its frames, first ``start`` in sheet order and place ``n`` among the sequences."""
+    seqs = cells.groupBy(*keys, "clip", "direction", "rank").agg(F.count(F.lit(1)).alias("frames"))
+    w = Window.partitionBy(*keys).orderBy("rank")
+    upto = F.sum("frames").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return seqs.withColumns({"start": upto - F.col("frames"), "n": (F.row_number().over(w) - 1).cast("bigint")})
+
+
+def numbered(seqs: DataFrame, keys: list[str]) -> DataFrame:
+    """Number sequence rows from 0 by rank; a key's sequences are bounded by its definition."""
+    return seqs.withColumn("n", (F.row_number().over(Window.partitionBy(*keys).orderBy("rank")) - 1).cast("bigint"))
+
+
 def place(cells: DataFrame, keys: list[str], name: str = "spot") -> DataFrame:
-    """Number cells from 0 in sheet order (sequence rank, then frame) inside each key."""
-    order = F.struct("rank", ordered.id_bucket("idx"))
-    out = ordered.row_number(cells, keys, ["rank", "idx"], order, name)
-    return out.withColumn(name, F.col(name) - 1)
+    """Number cells from 0 in sheet order (sequence, then frame) inside each key.
+
+    A sequence's frames count from 0, so the place is where its sequence starts plus the frame.
+    Only sequences are ranked, never cells.
+    """
+    starts = sequences(cells, keys).select(*keys, "clip", "direction", "start")
+    return cells.join(starts, [*keys, "clip", "direction"]).withColumn(name, F.col("start") + F.col("idx")).drop("start")
 
 
 def _meta(image: Column, w: Column, h: Column, scale: str, more: Column) -> Column:
@@ -109,17 +125,17 @@ PAGE = ["asset", "page"]
 
 def export_aseprite(cells: DataFrame, clips: DataFrame, width: int, height: int, pivot: tuple, variant: str = "hash", names: str = "index") -> DataFrame:
     """Aseprite JSON of each page: frames with durations, a tag per run of a sequence and a pivot slice."""
-    from framequarry.operators.layout import frame_tags
-
+    cells = staged(cells)
     df = place(cells.join(clips, ["asset", "clip"], "left"), PAGE)
     duration = F.floor(1000 / F.coalesce("fps", F.lit(10)) + 0.5).cast("bigint")
     label = F.col("spot").cast("string") if names == "index" else F.format_string("%s (%s_%s) %d.png", F.col("asset").cast("string"), "clip", "direction", "idx")
     body = _frame_body(width, height, [F.lit(',"duration":'), duration.cast("string")])
     entry = F.concat(q(label), F.lit(":{"), body, F.lit("}")) if variant == "hash" else F.concat(F.lit('{"filename":'), q(label), F.lit(","), body, F.lit("}"))
     frames = chunked(df.withColumn("t", entry), PAGE, 1, "spot", "t")
-    tags = frame_tags(df, PAGE, "spot", ["clip", "direction"], ordered.id_bucket("spot"))
-    tag = F.concat(F.lit('{"name":'), q(sequence_name()), F.format_string(',"from":%d,"to":%d,"direction":"forward","color":"#000000ff"}', "from", "to"))
-    tags = ordered.row_number(tags, PAGE, ["from"], ordered.id_bucket("from"), "n").withColumns({"n": F.col("n") - 1, "t": tag})
+    # A sequence is one run of cells on its page, so its tag is its first and last place.
+    last = F.col("start") + F.col("frames") - 1
+    tag = F.concat(F.lit('{"name":'), q(sequence_name()), F.format_string(',"from":%d,"to":%d,"direction":"forward","color":"#000000ff"}', "start", last))
+    tags = sequences(cells, PAGE).withColumn("t", tag)
     tag_rows = chunked(tags, PAGE, 3, "n", "t")
     pages = cells.groupBy(*PAGE).agg(F.first("page_name").alias("_name"), F.first("page_w").alias("page_w"), F.first("page_h").alias("page_h"))
     image = F.concat_ws("", F.col("asset").cast("string"), F.when(F.col("_name") != "", F.concat(F.lit("-"), "_name")), F.lit(".png"))
@@ -137,15 +153,14 @@ def export_aseprite(cells: DataFrame, clips: DataFrame, width: int, height: int,
 
 def export_pixi(cells: DataFrame, width: int, height: int, anchor: tuple) -> DataFrame:
     """PixiJS JSON of each page: frames, an animation per sequence and the other pages as related packs."""
+    cells = staged(cells)
     df = place(cells, PAGE)
     body = _frame_body(width, height, [F.lit(f',"anchor":{{"x":{anchor[0]},"y":{anchor[1]}}}')])
     frames = chunked(df.withColumn("t", F.concat(q(frame_key()), F.lit(":{"), body, F.lit("}"))), PAGE, 1, "spot", "t")
     # A sequence lies on one page and is bounded by it.
     keys = F.transform(F.array_sort(F.collect_list(F.struct("idx", q(frame_key()).alias("k")))), lambda s: s["k"])
     anims = df.groupBy(*PAGE, "clip", "direction", "rank").agg(F.array_join(keys, ",").alias("k"))
-    anims = ordered.row_number(anims, PAGE, ["rank"], ordered.id_bucket("rank"), "n").withColumns(
-        {"n": F.col("n") - 1, "t": F.concat(q(sequence_name()), F.lit(":["), "k", F.lit("]"))}
-    )
+    anims = numbered(anims, PAGE).withColumn("t", F.concat(q(sequence_name()), F.lit(":["), "k", F.lit("]")))
     pages = cells.groupBy(*PAGE).agg(F.first("page_name").alias("page_name"), F.first("page_w").alias("page_w"), F.first("page_h").alias("page_h"))
     pages = pages.withColumn("image", _image()).withColumn("_pack", q(_image(".pixi.json")))
     packs = pages.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("page", "_pack"))).alias("_packs"))
@@ -163,6 +178,7 @@ def export_phaser(cells: DataFrame, clips: DataFrame, width: int, height: int, a
 
     ``page`` orders the textures; each texture's head, frames and tail are fragments of their own.
     """
+    cells = staged(cells)
     df = place(cells, PAGE)
     body = _frame_body(width, height, [F.lit(f',"anchor":{{"x":{anchor[0]},"y":{anchor[1]}}}')])
     frames = chunked(df.withColumn("t", F.concat(F.lit('{"filename":'), q(frame_key()), F.lit(","), body, F.lit("}"))), PAGE, 1, "spot", "t")
@@ -174,9 +190,9 @@ def export_phaser(cells: DataFrame, clips: DataFrame, width: int, height: int, a
     textures = union(parts).select("asset", F.struct(F.lit(0).alias("block"), F.col("page"), F.col("part.section"), F.col("part.chunk")).alias("part"), "text")
     keys = F.transform(F.array_sort(F.collect_list(F.struct("idx", q(frame_key()).alias("k")))), lambda s: s["k"])
     anims = cells.groupBy("asset", "clip", "direction", "rank").agg(F.array_join(keys, ",").alias("k")).join(clips, ["asset", "clip"], "left")
-    anims = ordered.row_number(anims, ["asset"], ["rank"], ordered.id_bucket("rank"), "n")
+    anims = numbered(anims, ["asset"])
     t = F.concat(F.lit('{"key":'), q(sequence_name()), F.format_string(',"frameRate":%d,"repeat":%d,"frames":[', "fps", F.when(F.col("loop"), -1).otherwise(0)), "k", F.lit("]}"))
-    rows = chunked(anims.withColumns({"n": F.col("n") - 1, "t": t}), ["asset"], 1, "n", "t")
+    rows = chunked(anims.withColumn("t", t), ["asset"], 1, "n", "t")
     assets = cells.select("asset").distinct()
     ends = union([fixed(assets, 0, F.lit('],"animations":[')), rows, fixed(assets, 2, F.lit(f'],"meta":{{"app":"{APP}","version":"{__version__}"}}}}'))])
     last = ends.select("asset", F.struct(F.lit(1).alias("block"), F.lit(0).cast("bigint").alias("page"), F.col("part.section"), F.col("part.chunk")).alias("part"), "text")
@@ -189,6 +205,7 @@ def _identifier(c) -> Column:
 
 def export_spriteframes_text(cells: DataFrame, clips: DataFrame, width: int, height: int, directory: str) -> DataFrame:
     """Godot SpriteFrames text per asset as fragments: textures, atlas regions with trim margins, animations."""
+    cells = staged(cells)
     pages = cells.groupBy(*PAGE).agg(F.first("page_name").alias("page_name"))
     pages = pages.withColumn("image", _image())
     ident = lambda image: F.concat((F.col("page") + 1).cast("string"), F.lit("_"), _identifier(F.regexp_replace(image, r"\.png$", "")))
@@ -205,12 +222,12 @@ def export_spriteframes_text(cells: DataFrame, clips: DataFrame, width: int, hei
     one = F.concat(F.lit('{\n"duration": 1.0,\n"texture": SubResource("'), sub, F.lit('")\n}'))
     keys = F.transform(F.array_sort(F.collect_list(F.struct("idx", one.alias("k")))), lambda s: s["k"])
     anims = cells.groupBy("asset", "clip", "direction", "rank").agg(F.array_join(keys, ", ").alias("k")).join(clips, ["asset", "clip"], "left")
-    anims = ordered.row_number(anims, ["asset"], ["rank"], ordered.id_bucket("rank"), "n")
+    anims = numbered(anims, ["asset"])
     t = F.concat(
         F.lit('{\n"frames": ['), "k", F.lit('],\n"loop": '), F.col("loop").cast("string"), F.lit(',\n"name": &"'), sequence_name(),
         F.lit('",\n"speed": '), F.col("fps").cast("double").cast("string"), F.lit("\n}"),
     )
-    rows = chunked(anims.withColumns({"n": F.col("n") - 1, "t": t}), ["asset"], 5, "n", "t", ", ")
+    rows = chunked(anims.withColumn("t", t), ["asset"], 5, "n", "t", ", ")
     assets = cells.select("asset").distinct()
     return union(
         [
@@ -222,6 +239,7 @@ def export_spriteframes_text(cells: DataFrame, clips: DataFrame, width: int, hei
 
 def export_manifest(cells: DataFrame, clips: DataFrame, checks: DataFrame, width: int, height: int, ground: int) -> DataFrame:
     """The tool's own manifest per asset as fragments: frame, pivot, clips, sheets, cells and validation counts."""
+    cells = staged(cells)
     assets = cells.select("asset").distinct()
     norm = round((height - ground) / height, 6)
     head = F.concat(
@@ -229,10 +247,10 @@ def export_manifest(cells: DataFrame, clips: DataFrame, checks: DataFrame, width
         F.lit(f',"frame":{{"width":{width},"height":{height}}},"pivot":{{"x":{width / 2:g},"y":{height - ground},"normalized":{{"x":0.5,"y":{norm:g}}}}},"clips":['),
     )
     used = cells.groupBy("asset", "clip").agg(F.max("idx").alias("last"), F.min("rank").alias("rank")).join(clips, ["asset", "clip"], "left")
-    used = ordered.row_number(used, ["asset"], ["rank"], ordered.id_bucket("rank"), "n")
+    used = numbered(used, ["asset"])
     frames = F.col("last") + 1
     clip = F.concat(F.lit('{"name":'), q("clip"), F.format_string(',"fps":%d,"frames":%d,"loop":%s,"durationMs":%d}', "fps", frames, F.col("loop").cast("string"), F.floor(frames * 1000 / F.col("fps") + 0.5).cast("bigint")))
-    clip_rows = chunked(used.withColumns({"n": F.col("n") - 1, "t": clip}), ["asset"], 1, "n", "t")
+    clip_rows = chunked(used.withColumn("t", clip), ["asset"], 1, "n", "t")
     pages = cells.groupBy(*PAGE).agg(F.first("page_name").alias("page_name"), F.first("page_w").alias("pw"), F.first("page_h").alias("ph"))
     sheet = F.concat(F.lit('{"name":'), q(_image("")), F.lit(',"image":'), q(_image()), F.format_string(',"width":%d,"height":%d}', "pw", "ph"))
     sheet_rows = chunked(pages.withColumn("t", sheet), ["asset"], 3, "page", "t")
