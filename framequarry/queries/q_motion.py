@@ -158,13 +158,13 @@ def _(spark, d):
     return SR.clip_summary(k, clips).select("clip", "source", F.array_join("bones", ",").alias("bones"), "baked_times", "keys")
 
 
-@query("frame_clock", "ST-6", """WITH e AS (SELECT user_id, event_id, epoch_ms(ts)::DOUBLE AS ms FROM events), d AS (SELECT *, ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS dt FROM e),
+@query("frame_clock", "ST-6", """WITH e AS (SELECT user_id, event_id, epoch_us(ts) / 1000.0::DOUBLE AS ms FROM events), d AS (SELECT *, ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS dt FROM e),
   i AS (SELECT *, sum(CASE WHEN dt IS NULL OR dt > 3600000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS isl,
     CASE WHEN dt IS NULL OR dt > 3600000 THEN 0 ELSE dt END AS step FROM d),
   t AS (SELECT *, sum(step) OVER (PARTITION BY user_id, isl ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS tot FROM i)
   SELECT user_id, event_id, CAST(CASE WHEN dt IS NULL THEN 0 WHEN dt > 3600000 THEN 1 ELSE floor(tot / 60000 + 1e-9) - floor((tot - step) / 60000 + 1e-9) END AS BIGINT) AS frames FROM t""")
 def _(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).cast("double").alias("ms"))
+    e = table(spark, d, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("ms"))
     return SR.frame_clock(e, 1 / 60, ["user_id"], ["ms", "event_id"], F.floor(F.col("ms") / 86_400_000).cast("bigint"), 3_600_000.0).select("user_id", "event_id", "frames")
 
 
