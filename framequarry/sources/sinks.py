@@ -55,12 +55,13 @@ def documents(fragments: DataFrame, keys: list[str]) -> DataFrame:
 def write_fragments(fragments: DataFrame, keys: list[str], path: str) -> None:
     """Text files per key under ``path``; names sort in fragment order.
 
-    Rows are ranged by (key, part), so a long document spans several files of its folder.
+    Rows are ranged by (key, part), so a long document spans several files of its folder. A line
+    break follows every fragment; fragments end between entries, where the formats allow one.
     """
     from pyspark.sql.functions import col
 
     ranged = fragments.repartitionByRange(*[col(k) for k in keys], col("part")).sortWithinPartitions(*keys, "part")
-    ranged.select(*keys, F.col("text").alias("value")).write.mode("overwrite").partitionBy(*keys).option("lineSep", "").text(path)
+    ranged.select(*keys, F.regexp_replace("text", "\n$", "").alias("value")).write.mode("overwrite").partitionBy(*keys).text(path)
 
 
 def sequence_name() -> Column:
