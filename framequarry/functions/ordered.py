@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from framequarry.session import ensure_checkpoint_dir
 
-BUCKET = "__bucket"
+KEY = "__key"
 
 
 def id_bucket(column: str, width: int = 1 << 16) -> Column:
@@ -26,47 +26,45 @@ def time_bucket(column: str, seconds: int = 86_400) -> Column:
     return F.floor(F.unix_micros(F.col(column).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
-def _inner(by, order):
-    return Window.partitionBy(*by, BUCKET).orderBy(*order)
+def _keyed(df: DataFrame, by: list[str], bucket: Column) -> DataFrame:
+    """Add the key and bucket as one struct: never null itself, so null keys join and one exchange serves join and window."""
+    return df.withColumn(KEY, F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)], bucket.alias("b")))
 
 
-def _outer(by, desc: bool = False):
-    order = F.col(BUCKET).desc() if desc else F.col(BUCKET)
-    return Window.partitionBy(*by).orderBy(order) if by else Window.orderBy(order)
+def _inner(order):
+    return Window.partitionBy(KEY).orderBy(*order)
 
 
-def _attach(df: DataFrame, borders: DataFrame, by: list[str]) -> DataFrame:
-    """Join the border row of each (key, bucket); null keys match too."""
-    keys = [*by, BUCKET]
-    right = borders.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in borders.columns if c not in keys])
-    cond = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
-    return df.join(right, cond, "left").drop(*[f"__r_{k}" for k in keys])
+def _outer(by, desc: bool = False):
+    order = F.col(f"{KEY}.b").desc() if desc else F.col(f"{KEY}.b")
+    keys = [F.col(f"{KEY}.k{i}") for i in range(len(by))]
+    return Window.partitionBy(*keys).orderBy(order) if by else Window.orderBy(order)
 
 
 def row_number(
     df: DataFrame, by: list[str], order: list, bucket: Column, name: str = "rn", desc: bool = False
 ) -> DataFrame:
     """Rank from 1 inside each key. ``desc`` says that ``order`` runs from high buckets to low ones."""
-    df = df.withColumn(BUCKET, bucket)
-    counts = df.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("__n"))
+    df = _keyed(df, by, bucket)
+    counts = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(_outer(by, desc).rowsBetween(Window.unboundedPreceding, -1))
-    borders = counts.select(*by, BUCKET, F.coalesce(before, F.lit(0)).alias("__before"))
-    out = _attach(df, borders, by)
-    rank = F.row_number().over(_inner(by, order)).cast("bigint") + F.col("__before")
-    return out.withColumn(name, rank).drop("__before", BUCKET)
+    borders = counts.select(KEY, F.coalesce(before, F.lit(0)).alias("__before"))
+    out = df.join(borders, KEY, "left")
+    rank = F.row_number().over(_inner(order)).cast("bigint") + F.col("__before")
+    return out.withColumn(name, rank).drop("__before", KEY)
 
 
 def running_sum(
     df: DataFrame, by: list[str], order: list, bucket: Column, value: str, name: str, desc: bool = False
 ) -> DataFrame:
     """Sum from the first row of the key to this one."""
-    df = df.withColumn(BUCKET, bucket)
-    sums = df.groupBy(*by, BUCKET).agg(F.sum(value).alias("__s"))
+    df = _keyed(df, by, bucket)
+    sums = df.groupBy(KEY).agg(F.sum(value).alias("__s"))
     before = F.sum("__s").over(_outer(by, desc).rowsBetween(Window.unboundedPreceding, -1))
-    borders = sums.select(*by, BUCKET, F.coalesce(before, F.lit(0)).alias("__before"))
-    out = _attach(df, borders, by)
-    local = F.sum(value).over(_inner(by, order).rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn(name, local + F.col("__before")).drop("__before", BUCKET)
+    borders = sums.select(KEY, F.coalesce(before, F.lit(0)).alias("__before"))
+    out = df.join(borders, KEY, "left")
+    local = F.sum(value).over(_inner(order).rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumn(name, local + F.col("__before")).drop("__before", KEY)
 
 
 def global_running_sum(df: DataFrame, order: list, value: str, name: str, partitions: int | None = None) -> DataFrame:
@@ -87,31 +85,31 @@ def neighbour(
     df: DataFrame, by: list[str], order: list[str], bucket: Column, values: list[str], name: str, step: int = -1
 ) -> DataFrame:
     """Struct of ``values`` from the previous (step -1) or next (step 1) row of the key, null at its end."""
-    df = df.withColumn(BUCKET, bucket)
+    df = _keyed(df, by, bucket)
     payload = F.struct(*values)
     pick = F.max_by if step < 0 else F.min_by
-    edge = df.groupBy(*by, BUCKET).agg(pick(payload, F.struct(*order)).alias("__edge"))
+    edge = df.groupBy(KEY).agg(pick(payload, F.struct(*order)).alias("__edge"))
     shift = F.lag if step < 0 else F.lead
-    borders = edge.select(*by, BUCKET, shift("__edge").over(_outer(by)).alias("__across"))
-    out = _attach(df, borders, by)
-    local = shift(payload).over(_inner(by, order))
-    return out.withColumn(name, F.coalesce(local, F.col("__across"))).drop("__across", BUCKET)
+    borders = edge.select(KEY, shift("__edge").over(_outer(by)).alias("__across"))
+    out = df.join(borders, KEY, "left")
+    local = shift(payload).over(_inner(order))
+    return out.withColumn(name, F.coalesce(local, F.col("__across"))).drop("__across", KEY)
 
 
 def fill(
     df: DataFrame, by: list[str], order: list[str], bucket: Column, value: str, name: str, forward: bool = True
 ) -> DataFrame:
     """Nearest non-null ``value`` at or before (``forward``) or at or after each row of the key."""
-    df = df.withColumn(BUCKET, bucket)
+    df = _keyed(df, by, bucket)
     pick = F.max_by if forward else F.min_by
     present = F.when(F.col(value).isNotNull(), F.struct(*order))
-    edge = df.groupBy(*by, BUCKET).agg(pick(F.col(value), present).alias("__edge"))
+    edge = df.groupBy(KEY).agg(pick(F.col(value), present).alias("__edge"))
     if forward:
         across = F.last("__edge", True).over(_outer(by).rowsBetween(Window.unboundedPreceding, -1))
-        local = F.last(value, True).over(_inner(by, order).rowsBetween(Window.unboundedPreceding, 0))
+        local = F.last(value, True).over(_inner(order).rowsBetween(Window.unboundedPreceding, 0))
     else:
         across = F.first("__edge", True).over(_outer(by).rowsBetween(1, Window.unboundedFollowing))
-        local = F.first(value, True).over(_inner(by, order).rowsBetween(0, Window.unboundedFollowing))
-    borders = edge.select(*by, BUCKET, across.alias("__across"))
-    out = _attach(df, borders, by)
-    return out.withColumn(name, F.coalesce(local, F.col("__across"))).drop("__across", BUCKET)
+        local = F.first(value, True).over(_inner(order).rowsBetween(0, Window.unboundedFollowing))
+    borders = edge.select(KEY, across.alias("__across"))
+    out = df.join(borders, KEY, "left")
+    return out.withColumn(name, F.coalesce(local, F.col("__across"))).drop("__across", KEY)

@@ -122,7 +122,7 @@ def clip_times(clips: DataFrame) -> DataFrame:
 def bake_times(clips: DataFrame) -> DataFrame:
     """Sample times and the clip's end, rounded to 1e-9, distinct and in order: one array per clip."""
     times = F.transform(F.array_append("times", F.col("duration")), lambda t: F.floor(t * 1e9 + 0.5) / 1e9)
-    return clips.withColumn("bake", F.array_sort(F.array_distinct(times)))
+    return clips.withColumn("bake", F.sort_array(F.array_distinct(times)))
 
 
 def frame_at(tick: Column, n: Column, mode: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framequarry.functions import color, motion
-from framequarry.session import ensure_checkpoint_dir
+from framequarry.session import ensure_checkpoint_dir, spread
 
 TRIANGLE_WARNING, TRIANGLE_LIMIT = 20_000, 50_000
 BLEND_ZONE = 0.15
@@ -53,25 +53,27 @@ def skin_weights(vertices: DataFrame, segments: DataFrame, mode: str = "two-bone
     ``segments(rig, joint, ax, ay, az, bx, by, bz)`` are one array per rig (bounded by the rig), so a
     vertex meets them inside an expression and no pairs become rows.
     """
-    length = F.sqrt(sum((F.pow(F.col(f"b{c}") - F.col(f"a{c}"), F.lit(2.0)) for c in "xyz"), F.lit(0.0)))
-    ends = F.struct("joint", *[f"{e}{c}" for e in "ab" for c in "xyz"], length.alias("len"))
+    along = {f"v{c}": F.col(f"b{c}") - F.col(f"a{c}") for c in "xyz"}
+    square = sum((v * v for v in along.values()), F.lit(0.0))
+    ends = F.struct("joint", *[f"a{c}" for c in "xyz"], *[v.alias(n) for n, v in along.items()], square.alias("n"), F.sqrt(square).alias("len"))
     rigs = segments.groupBy("rig").agg(F.collect_list(ends).alias("__s"))
-    df = vertices.join(rigs, "rig")
-
-    def measure(s):
-        ab = [s[f"b{c}"] - s[f"a{c}"] for c in "xyz"]
-        ap = [F.col(c) - s[f"a{c}"] for c in "xyz"]
-        n = sum((v * v for v in ab), F.lit(0.0))
-        u = F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), sum((p * v for p, v in zip(ap, ab)), F.lit(0.0)) / n)))
-        d2 = sum(((p - v * u) * (p - v * u) for p, v in zip(ap, ab)), F.lit(0.0))
-        return F.struct(F.sqrt(d2).alias("d"), s["joint"].alias("joint"), s["len"].alias("len"))
-
-    df = df.withColumn("__d", F.array_sort(F.transform("__s", measure)))
-    first = F.col("__d")[0]
+    df = spread(vertices, "rig", "vid").join(rigs, "rig")
+
+    def foot(s):
+        """Where along the segment the vertex is nearest, as a share of its length."""
+        dot = sum(((F.col(c) - s[f"a{c}"]) * s[f"v{c}"] for c in "xyz"), F.lit(0.0))
+        u = F.when(s["n"] == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot / s["n"])))
+        return F.struct(u.alias("u"), s.alias("s"))
+
+    def measure(f):
+        gap = [F.col(c) - f["s"][f"a{c}"] - f["s"][f"v{c}"] * f["u"] for c in "xyz"]
+        d = F.sqrt(sum((g * g for g in gap), F.lit(0.0)))
+        return F.struct(d.alias("d"), f["s"]["joint"].alias("joint"), f["s"]["len"].alias("len"))
+
+    df = df.withColumn("__d", F.transform(F.transform("__s", foot), measure)).withColumn("__1", F.array_min("__d"))
     # The second bone is the nearest segment of another joint; a bone's length is its longest segment.
-    others = F.filter("__d", lambda e: e["joint"] != F.col("__d")[0]["joint"])
+    df = df.withColumn("__2", F.array_min(F.filter("__d", lambda e: e["joint"] != F.col("__1.joint"))))
     reach = lambda joint: F.array_max(F.transform(F.filter("__d", lambda e: e["joint"] == joint), lambda e: e["len"]))
-    df = df.withColumns({"__1": first, "__2": F.get(others, F.lit(0))})
     df = df.withColumns({"__l1": reach(F.col("__1.joint")), "__l2": reach(F.col("__2.joint"))})
     positive = lambda c: F.when(F.col(c) > 0, F.col(c))
     zone = F.coalesce(BLEND_ZONE * F.least(positive("__l1"), positive("__l2")), F.lit(0.0))
@@ -217,7 +219,7 @@ def pose_hash(vertices: DataFrame, by: list[str], chunk: int = 4096) -> DataFram
     """Hash of a pose's vertices rounded to 1e-5 in order: chunks of ids first, then the chunk hashes."""
     text = F.concat_ws(",", *[color.half_up(F.col(c) * 1e5).cast("string") for c in "xyz"])
     part = F.floor(F.col("vid") / chunk).alias("__part")
-    joined = lambda col, t: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(col)), lambda s: s[t]), ";"), 256)
+    joined = lambda col, t: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(col)), lambda s: s[t]), ";"), 256)
     chunks = vertices.groupBy(*by, part).agg(joined(F.struct("vid", text.alias("t")), "t").alias("h"))
     return chunks.groupBy(*by).agg(joined(F.struct("__part", "h"), "h").alias("pose_hash"))
 

@@ -125,7 +125,7 @@ def layout_packed(boxes: DataFrame, s: SheetSettings) -> DataFrame:
     """
     e, p, size = s.extrude, s.padding, s.max_size
     box = F.struct("idx", (F.col("w") + 2 * e + p).cast("bigint").alias("bw"), (F.col("h") + 2 * e + p).cast("bigint").alias("bh"))
-    seqs = boxes.groupBy(*SEQ, "pos").agg(F.array_sort(F.collect_list(box)).alias("b"))
+    seqs = boxes.groupBy(*SEQ, "pos").agg(F.sort_array(F.collect_list(box)).alias("b"))
     start = F.expr(
         "named_struct('x', 0L, 'y', 0L, 'shelf', 0L, 'wide', 0L, 'out', CAST(array() AS ARRAY<STRUCT<idx: BIGINT, x: BIGINT, y: BIGINT>>))"
     )

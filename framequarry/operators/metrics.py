@@ -140,9 +140,9 @@ def components(pixels: DataFrame) -> DataFrame:
     of a batch that share a size at once.
     """
     rows = pixels.groupBy("frame", "y").agg(
-        F.array_sort(F.collect_list(F.struct("x", (F.col("a") != 0).alias("on")))).alias("row")
+        F.sort_array(F.collect_list(F.struct("x", (F.col("a") != 0).alias("on")))).alias("row")
     )
-    packed = rows.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("y", F.col("row.on").alias("on")))).alias("m"))
+    packed = rows.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("y", F.col("row.on").alias("on")))).alias("m"))
     packed = packed.select("frame", F.flatten(F.col("m.on")).alias("mask"), F.size("m").alias("height"))
     kind = dict(pixels.dtypes)["frame"]
 

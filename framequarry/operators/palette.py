@@ -43,7 +43,7 @@ def palette_arrays(palettes: DataFrame, key: str) -> DataFrame:
     """``palettes(key, idx, rgb)`` to one array per key (at most 256 entries by contract)."""
     lab = palettes.withColumn("lab", color.packed_to_oklab("rgb"))
     entry = F.struct("idx", "rgb", F.col("lab.L").alias("L"), F.col("lab.A").alias("A"), F.col("lab.B").alias("B"))
-    out = lab.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("__pal"))
+    out = lab.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("__pal"))
     size = F.size("__pal")
     return out.withColumn(
         "__pal",

@@ -60,7 +60,7 @@ def pixels_to_image(pixels: DataFrame) -> DataFrame:
     """Pixel rows to one packed row per frame: strips of one row first, so a group stays an image row."""
     keys = frame_keys(pixels)
     text = F.concat(*[F.lpad(F.hex(F.col(n)), 2, "0") for n in ("r", "g", "b", "a")])
-    ordered = lambda col: F.array_join(F.transform(F.array_sort(F.collect_list(col)), lambda s: s["t"]), "")
+    ordered = lambda col: F.array_join(F.transform(F.sort_array(F.collect_list(col)), lambda s: s["t"]), "")
     strips = pixels.groupBy(*keys, "y").agg(
         ordered(F.struct("x", text.alias("t"))).alias("t"), F.count(F.lit(1)).alias("w")
     )

@@ -199,7 +199,7 @@ def clip_summary(keys: DataFrame, clips: DataFrame) -> DataFrame:
     Channels are reduced to their first position before they are listed.
     """
     channels = keys.groupBy("clip", "bone").agg(F.min("pos").alias("__first"))
-    listed = channels.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("__first", "bone"))).alias("__c"))
+    listed = channels.groupBy("clip").agg(F.sort_array(F.collect_list(F.struct("__first", "bone"))).alias("__c"))
     counts = keys.groupBy("clip").agg(F.count_distinct("t").alias("keys"))
     out = clips.join(listed, "clip", "left").join(counts, "clip", "left").fillna(0, ["keys"])
     return out.select(

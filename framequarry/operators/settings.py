@@ -103,7 +103,7 @@ def assemble(leaves: DataFrame, by: list[str], depth: int = 12) -> DataFrame:
         parent = F.when(here, F.slice("p", 1, level - 1)).otherwise(F.col("p"))
         tagged = df.select(*by, parent.alias("p"), F.when(here, member).alias("m"), F.when(~here, F.col("value")).alias("value"))
         body = F.transform(
-            F.array_sort(F.collect_list("m")), lambda s: F.concat(F.to_json(F.array(s["k"])).substr(F.lit(2), F.length(F.to_json(F.array(s["k"]))) - 2), F.lit(":"), s["v"])
+            F.sort_array(F.collect_list("m")), lambda s: F.concat(F.to_json(F.array(s["k"])).substr(F.lit(2), F.length(F.to_json(F.array(s["k"]))) - 2), F.lit(":"), s["v"])
         )
         text_of = F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}"))
         df = tagged.groupBy(*by, "p").agg(F.when(F.count("m") > 0, text_of).otherwise(F.max("value")).alias("value"))
@@ -371,7 +371,7 @@ def merge_rig(bones: DataFrame, scales: DataFrame) -> DataFrame:
         F.max_by(F.struct("layer"), F.when(F.col("sets_parent") | (F.col("step") == 0), at)).alias("__any"),
         F.min(at).alias("__first"),
     )
-    steps = scales.groupBy("rig").agg(F.array_sort(F.collect_list(F.struct("layer", "scale"))).alias("__s"))
+    steps = scales.groupBy("rig").agg(F.sort_array(F.collect_list(F.struct("layer", "scale"))).alias("__s"))
     df = merged.join(steps, "rig", "left")
     p = F.coalesce("__p", F.struct(*[F.lit(0.0).alias(n) for n in ("px", "py", "pz")], F.col("__first.layer").alias("layer"), F.col("__first.step").alias("step")))
     df = df.withColumn("__p", p)

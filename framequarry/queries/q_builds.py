@@ -356,7 +356,7 @@ INFO = """info AS (SELECT d.doc_id AS id, source AS type, list_sort(list_distinc
 
 def info(spark, d):
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
-    tags = F.array_sort(F.array("lang", F.concat(F.lit("q"), F.coalesce("quality", F.lit(9)))))
+    tags = F.sort_array(F.array("lang", F.concat(F.lit("q"), F.coalesce("quality", F.lit(9)))))
     status = F.when(F.col("toxic") == 1, "fail").when(F.col("quality") == 0, "warn").otherwise("pass")
     return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"), F.col("source").alias("type"), tags.alias("tags"), F.array(F.left("text", F.lit(40))).alias("clips"),

@@ -25,6 +25,8 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "framequa
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
+        # Rows here cost more CPU than bytes, so small partitions stay apart on a small machine.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for key, value in TUNING.items():
         builder = builder.config(key, value)
@@ -52,3 +54,13 @@ def staged(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give an input too small to fill the cores one exchange; a large input is left as it is.
+
+    For operators that spend much CPU per row right after a scan. The size is the optimizer's estimate.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *keys) if size < cores * (64 << 20) else df

@@ -32,7 +32,7 @@ def chunked(rows: DataFrame, keys: list[str], section: int, position: str, text:
     part = F.floor(F.col(position) / CHUNK).cast("bigint")
     entry = F.when(F.col(position) > 0, F.concat(F.lit(separator), F.col(text))).otherwise(F.col(text))
     rows = rows.select(*keys, part.alias("__c"), F.struct(F.col(position).alias("p"), entry.alias("t")).alias("s"))
-    out = rows.groupBy(*keys, "__c").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), "").alias("text"))
+    out = rows.groupBy(*keys, "__c").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["t"]), "").alias("text"))
     return out.select(*keys, F.struct(F.lit(section).alias("section"), F.col("__c").alias("chunk")).alias("part"), "text")
 
 
@@ -48,7 +48,7 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 def documents(fragments: DataFrame, keys: list[str]) -> DataFrame:
     """One row per document, for keys bounded by a page."""
-    body = F.array_sort(F.collect_list(F.struct("part", "text")))
+    body = F.sort_array(F.collect_list(F.struct("part", "text")))
     return fragments.groupBy(*keys).agg(F.array_join(F.transform(body, lambda s: s["text"]), "").alias("document"))
 
 
@@ -159,12 +159,12 @@ def export_pixi(cells: DataFrame, width: int, height: int, anchor: tuple) -> Dat
     body = _frame_body(width, height, [F.lit(f',"anchor":{{"x":{anchor[0]},"y":{anchor[1]}}}')])
     frames = chunked(df.withColumn("t", F.concat(q(frame_key()), F.lit(":{"), body, F.lit("}"))), PAGE, 1, "spot", "t")
     # A sequence lies on one page and is bounded by it.
-    keys = F.transform(F.array_sort(F.collect_list(F.struct("idx", q(frame_key()).alias("k")))), lambda s: s["k"])
+    keys = F.transform(F.sort_array(F.collect_list(F.struct("idx", q(frame_key()).alias("k")))), lambda s: s["k"])
     anims = df.groupBy(*PAGE, "clip", "direction", "rank").agg(F.array_join(keys, ",").alias("k"))
     anims = numbered(anims, PAGE).withColumn("t", F.concat(q(sequence_name()), F.lit(":["), "k", F.lit("]")))
     pages = cells.groupBy(*PAGE).agg(F.first("page_name").alias("page_name"), F.first("page_w").alias("page_w"), F.first("page_h").alias("page_h"))
     pages = pages.withColumn("image", _image()).withColumn("_pack", q(_image(".pixi.json")))
-    packs = pages.groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("page", "_pack"))).alias("_packs"))
+    packs = pages.groupBy("asset").agg(F.sort_array(F.collect_list(F.struct("page", "_pack"))).alias("_packs"))
     pages = pages.join(packs, "asset").drop("page_name")
     others = F.transform(F.filter("_packs", lambda s: s["page"] != F.col("page")), lambda s: s["_pack"])
     more = F.when(F.size("_packs") > 1, F.concat(F.lit(',"related_multi_packs":['), F.array_join(others, ","), F.lit("]"))).otherwise("")
@@ -189,7 +189,7 @@ def export_phaser(cells: DataFrame, clips: DataFrame, width: int, height: int, a
     head = fixed(pages, 0, F.concat(opening, F.lit('{"image":'), q("image"), F.lit(',"format":"RGBA8888","size":'), F.format_string('{"w":%d,"h":%d}', "page_w", "page_h"), F.lit(',"scale":1,"frames":[')))
     parts = [head, frames, fixed(pages, 2, F.lit("]}"))]
     textures = union(parts).select("asset", F.struct(F.lit(0).alias("block"), F.col("page"), F.col("part.section"), F.col("part.chunk")).alias("part"), "text")
-    keys = F.transform(F.array_sort(F.collect_list(F.struct("idx", q(frame_key()).alias("k")))), lambda s: s["k"])
+    keys = F.transform(F.sort_array(F.collect_list(F.struct("idx", q(frame_key()).alias("k")))), lambda s: s["k"])
     anims = cells.groupBy("asset", "clip", "direction", "rank").agg(F.array_join(keys, ",").alias("k")).join(clips, ["asset", "clip"], "left")
     anims = numbered(anims, ["asset"])
     t = F.concat(F.lit('{"key":'), q(sequence_name()), F.format_string(',"frameRate":%d,"repeat":%d,"frames":[', "fps", F.when(F.col("loop"), -1).otherwise(0)), "k", F.lit("]}"))
@@ -221,7 +221,7 @@ def export_spriteframes_text(cells: DataFrame, clips: DataFrame, width: int, hei
     )
     subs = chunked(df.withColumn("t", text), ["asset"], 3, "spot", "t", "")
     one = F.concat(F.lit('{\n"duration": 1.0,\n"texture": SubResource("'), sub, F.lit('")\n}'))
-    keys = F.transform(F.array_sort(F.collect_list(F.struct("idx", one.alias("k")))), lambda s: s["k"])
+    keys = F.transform(F.sort_array(F.collect_list(F.struct("idx", one.alias("k")))), lambda s: s["k"])
     anims = cells.groupBy("asset", "clip", "direction", "rank").agg(F.array_join(keys, ", ").alias("k")).join(clips, ["asset", "clip"], "left")
     anims = numbered(anims, ["asset"])
     t = F.concat(

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,11 +122,19 @@ def history_stream(runs: DataFrame, key_type: str = "bigint") -> DataFrame:
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(batches)).sort_values(["created", "id"])
-        short = pdf["hash"].str.slice(0, 12)
-        before = short.shift(fill_value=last if last is not None else "")
-        state.update((short.iloc[-1],))
-        yield pdf.loc[short != before, ["asset", "id", "created", "hash"]]
+        parts = list(batches)
+        pdf = parts[0] if len(parts) == 1 else pd.concat(parts)
+        order = np.lexsort((pdf["id"].to_numpy(), pdf["created"].to_numpy()))
+        hashes = pdf["hash"].to_numpy()
+        kept = []
+        for i in order:
+            short = hashes[i][:12]
+            if short != last:
+                kept.append(i)
+                last = short
+        state.update((last,))
+        if kept:
+            yield pdf[["asset", "id", "created", "hash"]].iloc[kept]
 
     schema = f"asset {key_type}, id {key_type}, created timestamp, hash string"
     return runs.groupBy("asset").applyInPandasWithState(step, schema, "hash string", "append", GroupStateTimeout.NoTimeout)
