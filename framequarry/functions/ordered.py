@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from framequarry.session import ensure_checkpoint_dir
 
-KEY = "__key"
+KEY = "__okey"
 
 
 def id_bucket(column: str, width: int = 1 << 16) -> Column:

@@ -8,6 +8,7 @@ from framequarry.functions import motion
 from framequarry.functions import ordered
 from framequarry.operators import geometry as G
 from framequarry.operators import series as SR
+from framequarry.plans.registry import SERIES
 from framequarry.queries import query
 from framequarry.session import table
 
@@ -102,9 +103,9 @@ def times(spark, d):
     return table(spark, d, "events").select("event_id", "user_id", "value", ((F.col("event_id") % 25) / 8).alias("t"), F.lit(4.0).alias("duration"))
 
 
-@query("bob_series", "W-12 P-15", f"WITH {TIMES} SELECT event_id, {_r6('value * (1 - cos(2 * pi() * p)) / 2')} AS ty FROM tm")
+@query("bob_series", "W-12 P-15 E-3", f"WITH {TIMES} SELECT event_id, {_r6('value * (1 - cos(2 * pi() * p)) / 2')} AS ty FROM tm")
 def _(spark, d):
-    return SR.bob_series(times(spark, d).withColumn("height", F.col("value"))).select("event_id", "ty")
+    return SERIES["bob"].fn(times(spark, d).withColumn("height", F.col("value"))).select("event_id", "ty")
 
 
 @query("spin_series", "W-12", f"WITH {TIMES} SELECT event_id, round(360 * (1 + user_id % 5) * p - 360 * trunc((1 + user_id % 5) * p), 5) AS angle FROM tm")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from framequarry.operators.filters import attribute_stream
 from framequarry.queries import query
+from framequarry.queries.q_settings import CHANGES, changes
 from framequarry.queries.views import SEQS
-from framequarry.session import table
+from framequarry.session import ensure_checkpoint_dir, table
 from framequarry.streaming import feeds as ST
 
 
@@ -58,3 +60,16 @@ def _(spark, d):
 def _(spark, d):
     ticks = stream(spark, d, "events").select(F.col("user_id").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("ms"))
     return ST.run_available(ST.frame_clock_stream(ticks, 1 / 60, 3_600_000.0))
+
+
+@query("change_stream", "S-9 ST-2", f"""WITH {CHANGES}, hit AS (SELECT c.page_id, arg_max(k.asset, length(k.asset)) AS asset FROM ch c JOIN kn k ON starts_with(c.path || '/', k.asset || '/') GROUP BY 1)
+  SELECT c.path, coalesce(h.asset, CASE c.page_id % 4 WHEN 0 THEN home WHEN 1 THEN home WHEN 2 THEN '*' ELSE home || '/deep' END) AS asset FROM ch c LEFT JOIN hit h ON h.page_id = c.page_id""")
+def _(spark, d):
+    """Changed paths written as NDJSON in the shared folder, then read and attributed as a stream."""
+    import uuid
+
+    rows, known = changes(spark, d)
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/changes-{uuid.uuid4().hex}"
+    rows.select(F.timestamp_seconds("page_id").alias("ts"), F.lit("p").alias("project"), "path").write.json(folder)
+    return ST.run_available(attribute_stream(ST.read_changes(spark, folder), known)).select("path", "asset")

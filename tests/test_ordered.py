@@ -74,4 +74,4 @@ def test_hot_key_is_spread(df):
     """No window or exchange of the plan works on the key alone."""
     plan = O.running_sum(df, ["k"], ["t"], bucket(), "id", "s")._jdf.queryExecution().executedPlan().toString()
     lines = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
-    assert any("__key" in line for line in lines) and not any("hashpartitioning(k#" in line for line in lines)
+    assert any("__okey" in line for line in lines) and not any("hashpartitioning(k#" in line for line in lines)
