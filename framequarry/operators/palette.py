@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from framequarry.functions import color
 from framequarry.operators import pixels as P
+from framequarry.session import staged
+
+
+# At most 256 colours of five numbers each: about 50 MB of palettes.
+MAX_BROADCAST = 4096
 
 
 def distinct_in_order(colours: list[int]) -> list[int]:
@@ -56,8 +61,15 @@ def palette_arrays(palettes: DataFrame, key: str) -> DataFrame:
 def map_to_palettes(
     pixels: DataFrame, palettes: DataFrame, key: str = "clip", dither: str = "none", strength: float = 1.0
 ) -> DataFrame:
-    """Snap to the palette of the row's key. Spark sizes the palette side and splits a hot key if it must shuffle."""
-    df = P.dithered(pixels, dither, strength).join(palette_arrays(palettes, key), key, "left")
+    """Snap to the palette of the row's key.
+
+    Up to MAX_BROADCAST palettes are counted and then broadcast, so pixels of a hot key do not move.
+    More of them are an ordinary join, which Spark splits where a key is hot.
+    """
+    arrays = staged(palette_arrays(palettes, key))
+    if arrays.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        arrays = F.broadcast(arrays)
+    df = P.dithered(pixels, dither, strength).join(arrays, key, "left")
     df = df.withColumn("__lab", color.rgb_to_oklab("__r", "__g", "__b"))
     df = df.withColumn("__c", color.nearest_in(F.col("__lab"), F.col("__pal"))["rgb"])
     changed = (F.col("a") != 0) & F.col("__c").isNotNull()
@@ -184,7 +196,6 @@ def auto_palette(pixels: DataFrame, count: int, scope: str = "clip") -> DataFram
     """
     opaque = pixels.filter(F.col("a") != 0)
     colours = opaque.groupBy(scope, P.rgb().alias("rgb")).agg(F.lit(1).alias("one"))
-    # At most count + 1 colours per scope are needed to tell the two cases apart.
     sizes = colours.groupBy(scope).agg(F.count(F.lit(1)).alias("n"))
     small = sizes.filter(F.col("n") <= count).select(scope)
     large = sizes.filter(F.col("n") > count).select(scope)

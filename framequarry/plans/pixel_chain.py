@@ -51,6 +51,7 @@ class Sprites:
     settings: PixelSettings
     palettes: DataFrame | None = None
     changed: DataFrame | None = None
+    colours: list[int] | None = None
     scope: str = field(default="__all")
 
 
@@ -102,25 +103,30 @@ def _(s: Sprites) -> Sprites:
         return _with(s, PAL.map_to_palette(s.pixels, t.palette, t.dither, t.dither_strength))
     # An automatic palette reads every frame before the first is mapped, so the frames are staged.
     pixels = staged(s.pixels)
-    scope = "clip" if t.palette_scope == "clip" else "__all"
-    if scope == "__all":
-        pixels = pixels.withColumn("__all", F.lit(0))
-    palettes = PAL.auto_palette(pixels, t.palette, scope)
-    mapped = PAL.map_to_palettes(pixels, palettes, scope, t.dither, t.dither_strength)
-    return replace(s, pixels=mapped.drop("__all").repartition("frame"), palettes=palettes, scope=scope)
+    if t.palette_scope == "clip":
+        palettes = staged(PAL.auto_palette(pixels, t.palette, "clip"))
+        mapped = PAL.map_to_palettes(pixels, palettes, "clip", t.dither, t.dither_strength)
+        return replace(s, pixels=mapped.repartition("frame"), palettes=palettes, scope="clip")
+    palettes = staged(PAL.auto_palette(pixels.withColumn("__all", F.lit(0)), t.palette, "__all"))
+    # One palette of at most 256 colours: as constants it needs no join.
+    colours = [r.rgb for r in palettes.orderBy("idx").take(color.MAX_PALETTE)]
+    mapped = PAL.map_to_palette(pixels, colours, t.dither, t.dither_strength)
+    return replace(s, pixels=mapped.repartition("frame"), palettes=palettes, colours=colours)
 
 
 @register_pass("outline", 1, "Draw a ring outside the silhouette, or recolour its edge.", lambda s: s.outline is not None)
 def _(s: Sprites) -> Sprites:
     o, t = s.settings.outline, s.settings
     pixels, colour = s.pixels, o.colour
-    if o.snap and isinstance(t.palette, list):
-        colour = PAL.snap_colour(o.colour, t.palette).cast("bigint")
+    fixed = t.palette if isinstance(t.palette, list) else s.colours
+    if o.snap and fixed:
+        colour = PAL.snap_colour(o.colour, fixed).cast("bigint")
     elif o.snap and s.palettes is not None:
         arrays = PAL.palette_arrays(s.palettes, s.scope)
-        snapped = arrays.select(s.scope, color.nearest_in(color.constant_oklab(o.colour), F.col("__pal"))["rgb"].alias("__ink"))
-        keyed = pixels.withColumn("__all", F.lit(0)) if s.scope == "__all" else pixels
-        pixels = keyed.join(snapped, s.scope, "left").drop("__all").repartition("frame")
+        ink = arrays.select(s.scope, color.nearest_in(color.constant_oklab(o.colour), F.col("__pal"))["rgb"].alias("__ink"))
+        if ink.limit(PAL.MAX_BROADCAST + 1).count() <= PAL.MAX_BROADCAST:
+            ink = F.broadcast(ink)
+        pixels = pixels.join(ink, s.scope, "left").repartition("frame")
         colour = F.col("__ink")
     return _with(s, P.outline(pixels, o.side, o.width, o.connectivity, colour).drop("__ink"))
 
