@@ -2,8 +2,8 @@
 
 Every measure is a whole number and every rule compares ``numerator * 1000`` with
 ``per_mille * denominator``, so no division or rounding decides. Equal three-word windows are found by
-sorting the windows' 64-bit hashes inside the row; a text has at most millions of windows, so two
-different ones practically never share a hash.
+sorting 64-bit hashes of the windows' word hashes inside the row; a text has at most millions of
+windows, so two different ones practically never share a hash.
 
 Defined cases: a null or empty text has no words and fails the base rule; repeated rows get the same
 result each; an empty table gives an empty result; extra columns are ignored.
@@ -41,6 +41,7 @@ RULES = (
 #: Frequent function words of the four languages of the corpus.
 STOP_WORDS = ("the", "of", "and", "to", "in", "a", "is", "that", "der", "die", "das", "und", "den", "zu", "le", "la", "les", "de", "et", "un", "el", "los", "que", "y", "en", "del")
 SYMBOLS = "#*$%&|<>"
+WHITE = " \t\n\x0b\x0c\r"
 
 
 def _fails(rule: Rule) -> Column:
@@ -48,19 +49,32 @@ def _fails(rule: Rule) -> Column:
     return left > right if rule.most else left < right
 
 
+def _without(text: Column, characters: str) -> Column:
+    """The text without these characters; a plain search for each is cheaper than one look-up per character."""
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
 def _characters(text: str, which: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, which, ""))).cast("bigint")
+    return (F.length(text) - F.length(_without(F.col(text), which))).cast("bigint")
+
+
+def _words(text: str) -> Column:
+    spaced = F.col(text)
+    for c in WHITE[1:]:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def quality_rules(docs: DataFrame, id_column: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """One row per document: its measures, ``base_failed``, the names of the rules it fails, and ``kept``."""
     t = docs.select(F.col(id_column).alias("id"), whole_text(text).alias("t"))
-    t = t.select("id", "t", F.regexp_extract_all("t", F.lit(WORD), 0).alias("w"), F.filter(F.split("t", "\n", -1), lambda x: x.rlike(WORD)).alias("l"))
-    n = F.size("w")
-    window = lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
-    t = t.select(
-        "id", "t", "w", "l",
-        F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), window)).otherwise(F.array().cast("array<bigint>")).alias("h"))
+    t = t.select("id", "t", _words("t").alias("w"), F.filter(F.split("t", "\n", -1), lambda x: _without(x, WHITE) != "").alias("l"))
+    t = t.select("*", F.transform("w", lambda x: F.xxhash64(x)).alias("wh"))
+    window = lambda x, i: F.xxhash64(x, F.get("wh", i + 1), F.get("wh", i + 2))
+    starts = F.slice("wh", 1, F.greatest(F.size("wh") - 2, F.lit(0)))
+    t = t.select("id", "t", "w", "l", F.transform(starts, window).alias("h"))
     t = t.select("*", (F.size(F.array_distinct("h")) == F.size("h")).alias("plain"))
     # Only a text with a repeated window sorts its windows: start positions whose hash equals a neighbour's in sorted order.
     pairs = F.when(~F.col("plain"), F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i")))))
@@ -73,17 +87,18 @@ def quality_rules(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
         "r", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
         lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
     # A window that starts d words after the last one adds d words, at most three.
-    measures = t.select(
-        "id",
+    measures = [
         F.size("w").cast("bigint").alias("n_words"),
-        F.length(F.regexp_replace("t", r"[\x20\x09-\x0D]+", "")).cast("bigint").alias("word_chars"),
+        F.length(_without(F.col("t"), WHITE)).cast("bigint").alias("word_chars"),
         _characters("t", SYMBOLS).alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("bigint").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"),
         _characters("t", "!").alias("n_marks"),
         F.size("l").cast("bigint").alias("n_lines"),
         F.size(F.filter("w", lambda x: x.isin(*STOP_WORDS))).cast("bigint").alias("n_stop_words"),
-    )
+    ]
+    # A generated row: later filters stop here, else they would be copied down into the lambdas above.
+    measures = t.select("id", F.inline(F.array(F.struct(*measures))))
     base = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     failed = F.array_compact(F.array(*[F.when(_fails(r), F.lit(r.name)) for r in rules]))
     out = measures.withColumn("base_failed", base).withColumn("failed", failed)
