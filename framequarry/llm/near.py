@@ -4,11 +4,12 @@ A document is the set of its distinct word shingles. Documents with equal sets a
 node has a signature of ``TREES`` times ``DEPTH`` minimum hashes; each tree sorts the nodes by its
 own ``DEPTH`` of them. Documents that are alike share long prefixes in some of the orders, so the
 neighbours in each order with the longest common prefix are candidates: the node before, and the
-first node of the region. A region is a prefix of ``LEAST`` values; one with many nodes goes deeper
-until it has at most ``REGION`` or the prefix ends, and its nodes also meet the first node of each
+hub of the region. The hub is the node whose prefixes most other nodes have in all trees, as the
+original of many altered copies does. A region is a prefix of ``LEAST`` values; one with many nodes
+goes deeper until it has at most ``REGION`` or the prefix ends, and its nodes also meet the hub of each
 deeper region. The orders are cut by range, so a hot region spreads over tasks.
 
-Round one: each node takes the candidate that most trees give it and the smallest one, those are
+Round one: each node takes the candidate that most trees give it and the largest hub, those are
 confirmed on the full sets, and confirmed links are joined into components. Round two covers the rest: in every region
 that still holds more than one component, all nodes of different components are compared by signature, and
 all that may be alike are confirmed on the full sets. What the first round leaves out by keeping
@@ -115,65 +116,84 @@ def document_sets(docs: DataFrame, n: int, id_column: str, text: str) -> DataFra
 # ---- candidates of the sorted orders -------------------------------------------------------------
 
 
-def _deeper(keys: list[bytes], nodes: list[int], first: int, last: int, depth: int, out: list[tuple[int, int]]) -> None:
-    """Candidates of the region ``first..last`` of equal prefixes: each node with the first one, and deeper if there are many."""
-    for i in range(first + 1, last):
-        out.append((nodes[first], nodes[i]))
+def forest(nodes: DataFrame, *keep: str) -> DataFrame:
+    """``tree, key, node`` of each node in each tree."""
+    trees = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("signature", 4 * DEPTH * t + 1, 4 * DEPTH).alias("key")) for t in range(TREES)])
+    return nodes.select("node", *keep, F.explode(trees).alias("o")).select("o.tree", "o.key", "node", *keep)
+
+
+def in_order(orders: DataFrame) -> DataFrame:
+    """The sorted orders, cut by range over the tasks."""
+    n = int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return orders.repartitionByRange(n, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
+
+
+def _regions(batches: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Iterator[tuple[list, bool]]:
+    """Rows ``(tree, key, node, ...)`` of one region after the other, and whether it may go on in another task.
+
+    A very large region comes in parts; the second round joins what they leave apart.
+    """
+    held: list = []
+    edge = True
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if held and (row[0] != held[0][0] or row[1][: 4 * LEAST] != held[0][1][: 4 * LEAST] or len(held) >= most):
+                full = len(held) >= most
+                yield held, edge or full
+                held, edge = [], full
+            held.append(row)
+    if held:
+        yield held, True
+
+
+def crowding(orders: DataFrame) -> DataFrame:
+    """``node, weight``: nodes that share a region with others, and how many share their whole keys over all trees."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for region, edge in _regions(batches):
+            if len(region) > 1 or edge:
+                sizes: dict = {}
+                for _, key, _ in region:
+                    sizes[key] = sizes.get(key, 0) + 1
+                yield pa.record_batch([pa.array([r[2] for r in region], pa.int64()), pa.array([sizes[r[1]] for r in region], pa.int64())], ["node", "weight"])
+
+    return in_order(orders).mapInArrow(run, "node bigint, weight bigint").groupBy("node").agg(F.sum("weight").alias("weight"))
+
+
+def _deeper(keys: list[bytes], rank: list[tuple], first: int, last: int, depth: int, out: list[tuple[int, int]]) -> None:
+    """Candidates of the region ``first..last`` of equal prefixes: each node with the hub, and deeper if there are many."""
+    hub = max(range(first, last), key=rank.__getitem__)
+    out += [(i, hub) for i in range(first, last) if i != hub]
     if last - first > REGION and depth < DEPTH:
         start = first
         for i in range(first + 1, last + 1):
             if i == last or keys[i][: 4 * (depth + 1)] != keys[start][: 4 * (depth + 1)]:
-                if start > first and i - start > 1:
-                    _deeper(keys, nodes, start, i, depth + 1, out)
-                elif start == first and i - start > REGION:
-                    _deeper(keys, nodes, start, i, depth + 1, out)
+                if i - start > 1:
+                    _deeper(keys, rank, start, i, depth + 1, out)
                 start = i
 
 
-def neighbours(orders: DataFrame) -> DataFrame:
-    """Candidate pairs ``a < b`` of ``orders(tree, key, node)``, one row for each time the forest gives it.
-
-    The nodes of a task's first and last region also come as pairs with themselves: the region may go on in another task.
-    """
+def candidates(orders: DataFrame) -> DataFrame:
+    """``b`` and its candidate ``a`` of larger weight, one row for each time the forest of ``orders(tree, key, node, weight)`` gives it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, keys, nodes, edge = None, [], [], True
-
-        def close() -> pa.RecordBatch:
-            out = list(zip(nodes, nodes[1:]))
-            _deeper(keys, nodes, 0, len(nodes), LEAST, out)
-            if edge:
-                out += [(x, x) for x in nodes]
-            pairs = np.array(out, np.int64)
-            pairs.sort(axis=1)
-            return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-        for batch in batches:
-            for t, k, node in zip(*[c.to_pylist() for c in batch.columns]):
-                if t != tree or not keys or k[: 4 * LEAST] != keys[0][: 4 * LEAST]:
-                    if len(nodes) > 1 or edge and nodes:
-                        yield close()
-                    edge = edge and not nodes
-                    tree, keys, nodes = t, [], []
-                keys.append(k)
-                nodes.append(node)
-                if len(nodes) >= 1 << 16:  # a very large region is taken in parts; the second round joins them
-                    yield close()
-                    keys, nodes = keys[:1], nodes[:1]
-        if nodes:
-            edge = True
-            yield close()
+        for region, _ in _regions(batches):
+            if len(region) > 1:
+                keys, rank = [r[1] for r in region], [(r[3], -r[2]) for r in region]
+                out = [(i, i + 1) if rank[i] < rank[i + 1] else (i + 1, i) for i in range(len(region) - 1)]
+                _deeper(keys, rank, 0, len(region), LEAST, out)
+                b, a = zip(*out)
+                yield pa.record_batch([pa.array([region[i][2] for i in a], pa.int64()), pa.array([region[i][2] for i in b], pa.int64()), pa.array([region[i][3] for i in a], pa.int64())], ["a", "b", "weight"])
 
-    n = int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return orders.repartitionByRange(n, "tree", "key", "node").sortWithinPartitions("tree", "key", "node").mapInArrow(run, "a bigint, b bigint")
+    return in_order(orders).mapInArrow(run, "a bigint, b bigint, weight bigint").filter("a != b")
 
 
 def best_two(pairs: DataFrame) -> DataFrame:
-    """For each node the two smaller ones that most trees give it, the smaller of equals first."""
-    votes = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    mine = votes.select("b", F.struct((-F.col("n")).alias("n"), "a").alias("p"))
-    first = mine.groupBy("b").agg(F.min("p").alias("p"), F.min("p.a").alias("least"))
-    return first.select(F.explode(F.array_distinct(F.array("p.a", "least"))).alias("a"), "b")
+    """For each node the candidate that most trees give it, and the one of the largest weight."""
+    votes = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight"))
+    n, weight = (-F.col("n")).alias("n"), (-F.col("weight")).alias("weight")
+    mine = votes.groupBy("b").agg(F.min(F.struct(n, weight, "a")).alias("p"), F.min(F.struct(weight, n, "a")).alias("q"))
+    return mine.select(F.explode(F.array_distinct(F.array("p.a", "q.a"))).alias("a"), "b")
 
 
 # ---- confirmation on full sets -------------------------------------------------------------------
@@ -210,7 +230,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
     ordered = rows.repartition("a", "salt").sortWithinPartitions(F.col("a"), F.col("salt"), F.col("b").asc_nulls_first())
-    return ordered.mapInArrow(run, "a bigint, b bigint")
+    found = ordered.mapInArrow(run, "a bigint, b bigint")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -238,12 +259,6 @@ def components(links: DataFrame) -> DataFrame:
 # ---- the rest ------------------------------------------------------------------------------------
 
 
-def forest(nodes: DataFrame, *keep: str) -> DataFrame:
-    """``tree, key, node`` of each node in each tree."""
-    trees = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("signature", 4 * DEPTH * t + 1, 4 * DEPTH).alias("key")) for t in range(TREES)])
-    return nodes.select("node", *keep, F.explode(trees).alias("o")).select("o.tree", "o.key", "node", *keep)
-
-
 def remaining_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a region and may be alike by their signatures.
 
@@ -308,13 +323,13 @@ def near_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_column: str
     """One row per input row: id, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``."""
     sets = written(document_sets(docs, n, id_column, text))
     reps = written(sets.filter("id is not null and key is not null").groupBy("key").agg(F.min("id").alias("node"), F.first("signature").alias("signature")))
-    near = written(neighbours(forest(reps)))
-    chosen = written(best_two(near.filter("a < b")))
+    crowd = written(crowding(forest(reps)))
+    active = written(reps.join(crowd, "node").select("node", "signature", "weight"))
+    chosen = written(best_two(candidates(forest(active, "weight"))))
     texts = docs.select(F.col(id_column).cast("bigint").alias("node"), whole_text(text).alias("t"))
     links = written(confirmed(chosen, texts, n, percent))
     labels = components(links)
-    active = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    nodes = written(reps.join(active, "node", "left_semi").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "signature"))
+    nodes = written(active.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "signature"))
     rest = written(remaining_pairs(nodes, percent))
     if not rest.isEmpty():
         more = written(confirmed(rest, texts, n, percent))
