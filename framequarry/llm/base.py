@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -54,3 +55,12 @@ def buffers(column) -> tuple[bytes, list[int]]:
 
     at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
     return data.to_pybytes()[at[0] : at[-1]], (at - at[0]).tolist()
+
+
+def blocks(offsets: list[int], size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``size`` bytes."""
+    first = 0
+    for i in range(1, len(offsets)):
+        if offsets[i] - offsets[first] >= size or i == len(offsets) - 1:
+            yield first, i
+            first = i

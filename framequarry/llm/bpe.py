@@ -29,12 +29,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framequarry.llm.base import buffers, whole_text
+from framequarry.llm.base import blocks, buffers, whole_text
 
 WINDOW = 16
+BLOCK = 2 << 20  # bytes worked on at once; one longer text is taken whole
+ROWS = 500  # texts joined from their ids at once
 CHUNK_BITS = 9  # a chunk has 2 ** CHUNK_BITS bytes on average
-PIECES = 800_000  # most pieces and
-CHUNKS = 60_000  # chunks a worker keeps; beyond it the later half goes, as common ones come early
+PIECES = 500_000  # most pieces and
+CHUNKS = 30_000  # chunks a worker keeps; beyond it the later half goes, as common ones come early
 SPACES = b" \t\n\r\x0b\x0c"
 
 
@@ -170,7 +172,10 @@ def encode(docs: DataFrame, config: str, id_column: str = "doc_id", text: str =
         work = encoder(shared.value)
         for batch in batches:
             data, offsets = buffers(batch.column(batch.num_columns - 1))
-            ids = work.encode(data, offsets)
+            ids = []
+            for first, last in blocks(offsets, BLOCK):
+                at = offsets[first]
+                ids += work.encode(data[at : offsets[last]], [o - at for o in offsets[first : last + 1]])
             ends = np.cumsum([0, *map(len, ids)]) // 4
             values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
             column = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
@@ -209,7 +214,7 @@ def decode(encoded: DataFrame, config: str, ids: str = "ids", into: str = "decod
         words = spaced_words(tokens)
         for batch in batches:
             if plain:
-                yield joined(batch, words).cast(pa.string())
+                yield pa.concat_arrays([joined(batch.slice(at, ROWS), words).cast(pa.string()) for at in range(0, len(batch), ROWS)])
             else:
                 yield pa.array(tokenizer.decode_batch([row or [] for row in batch.to_pylist()], skip_special_tokens=False), pa.string())
 
@@ -223,6 +228,7 @@ def id_digest(ids: str, vocabulary: int) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = spaced_words([str(i) for i in range(vocabulary)])
         for batch in batches:
-            yield pa.array([hashlib.sha256(t.encode()).hexdigest() for t in joined(batch, words).to_pylist()], pa.string())
+            parts = (joined(batch.slice(at, ROWS), words) for at in range(0, len(batch), ROWS))
+            yield pa.array([hashlib.sha256(t.encode()).hexdigest() for part in parts for t in part.to_pylist()], pa.string())
 
     return run(F.col(ids))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framequarry.llm.base import buffers, whole_text, written
+from framequarry.llm.base import blocks, buffers, whole_text, written
 
 LENGTH = 400
 EDGE = 72  # a string's trigger stands so far from its ends at least
@@ -117,15 +117,6 @@ def document_anchors(data: np.ndarray, start: int, end: int, found: np.ndarray,
     return at, low, high
 
 
-def blocks(offsets: list[int]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``BLOCK`` bytes."""
-    first = 0
-    for i in range(1, len(offsets)):
-        if offsets[i] - offsets[first] >= BLOCK or i == len(offsets) - 1:
-            yield first, i
-            first = i
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -137,7 +128,7 @@ def dictionary_rows(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             ids, hs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             data, offsets = buffers(batch.column(2))
-            for first, last in blocks(offsets):
+            for first, last in blocks(offsets, BLOCK):
                 base = offsets[first]
                 x = np.frombuffer(data, np.uint8, offsets[last] - base, base)
                 found = triggers(x)
