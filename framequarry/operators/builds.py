@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from datetime import datetime
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framequarry.functions import ordered
@@ -106,14 +107,14 @@ def find_history(history: DataFrame, refs: DataFrame) -> DataFrame:
 def record_history(runs: DataFrame, bucket: Column, order: list[str], history: DataFrame | None = None) -> DataFrame:
     """Runs to append: those whose hash differs from the entry before them.
 
-    An entry keeps the first twelve digits of its hash. A run is recorded exactly when it differs
-    from the run before it, so the change test needs one look back and no state. ``history``
+    A run is recorded exactly when its whole hash differs from that of the run before it, so the change
+    test needs one look back and no state. ``history``
     (same columns) goes before the runs.
     """
     df = runs.withColumn("__new", F.lit(True))
     if history is not None:
         df = df.unionByName(history.withColumn("__new", F.lit(False)))
-    df = df.withColumn("__h", F.left("hash", F.lit(12)))
+    df = df.withColumn("__h", F.col("hash"))
     df = ordered.neighbour(df, ["asset"], order, bucket, ["__h"], "__p")
     changed = ~F.col("__p.__h").eqNullSafe(F.col("__h"))
     return df.filter(F.col("__new") & changed).drop("__new", "__h", "__p")
@@ -251,7 +252,10 @@ def publish_plan(new: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def publish(new: DataFrame, previous: DataFrame | None, root: str) -> DataFrame:
-    """Rewrite only the stages whose outputs changed, as dynamic partitions of ``root``; returns the plan."""
+    """Rewrite only the stages whose outputs changed, as dynamic partitions of ``root``; returns the plan.
+
+    The partition of a stage that is gone from ``new`` is deleted.
+    """
     plan = new.select("stage", "path", F.lit("write").alias("action")) if previous is None else publish_plan(new, previous)
     stale = plan.filter(F.col("action") != "keep").select("stage").distinct()
     (
@@ -261,4 +265,17 @@ def publish(new: DataFrame, previous: DataFrame | None, root: str) -> DataFrame:
         .partitionBy("stage")
         .parquet(root)
     )
+    if previous is not None:
+        gone = {r.stage for r in previous.select("stage").distinct().join(new, "stage", "left_anti").collect()}
+        _delete_partitions(new.sparkSession, root, "stage", gone)
     return plan
+
+
+def _delete_partitions(spark: SparkSession, root: str, column: str, values: set[str]) -> None:
+    """Delete the folders of partition values; a dynamic overwrite leaves those without new rows alone."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith(f"{column}=") and unquote(name.partition("=")[2]) in values:
+            files.delete(status.getPath(), True)

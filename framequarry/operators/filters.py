@@ -192,9 +192,14 @@ def attribute_paths(changes: DataFrame, known: DataFrame, path: str = "path") ->
     return out.withColumn("asset", F.coalesce("__hit", asset_of_path(F.col(path)))).drop("__hit", "__path")
 
 
-def attribute_stream(changes: DataFrame, known: DataFrame, path: str = "path", depth: int = 8) -> DataFrame:
-    """The same for a stream: one stream-static left join per depth, nearest folder first, and no aggregation."""
+def attribute_stream(changes: DataFrame, known: DataFrame, path: str = "path", depth: int | None = None) -> DataFrame:
+    """The same for a stream: one stream-static left join per depth, nearest folder first, and no aggregation.
+
+    The depth is that of the deepest known folder.
+    """
     parts = _segments(path)
+    if depth is None:
+        depth = known.agg(F.max(F.size(_segments("asset")))).first()[0] or 0
     df = changes
     hits = []
     for level in range(depth, 0, -1):

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framequarry.functions import color, motion
-from framequarry.session import ensure_checkpoint_dir, spread
+from framequarry.session import ensure_checkpoint_dir
 
+# Budgets and shares that results must agree with.
 TRIANGLE_WARNING, TRIANGLE_LIMIT = 20_000, 50_000
 BLEND_ZONE = 0.15
 
@@ -15,17 +16,19 @@ BLEND_ZONE = 0.15
 # ---- hierarchies ------------------------------------------------------------------------------------
 
 
-def world_transforms(bones: DataFrame, max_depth: int = 128) -> DataFrame:
+def world_transforms(bones: DataFrame) -> DataFrame:
     """World transform of ``bones(rig, bone, parent, local)``; rows left with ``cyclic`` form a parent cycle.
 
     Every bone points at an ancestor and holds the product up to it; each round replaces the pointer
     by the ancestor's own, so depth d takes log2(d) joins. A round is written to the checkpoint folder,
-    so the plan stays small and a lost executor re-reads it.
+    so the plan stays small and a lost executor re-reads it. A pointer still open after as many steps
+    as its rig has bones can only run in a cycle.
     """
+    longest = bones.groupBy("rig").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     ensure_checkpoint_dir(bones.sparkSession)
     state = bones.select("rig", "bone", F.col("parent").alias("anc"), F.col("local").alias("world")).checkpoint()
     reach = 1
-    while reach <= max_depth and not state.filter(F.col("anc").isNotNull()).isEmpty():
+    while reach <= 2 * longest and not state.filter(F.col("anc").isNotNull()).isEmpty():
         up = state.select("rig", F.col("bone").alias("anc"), F.col("anc").alias("__next"), F.col("world").alias("__up"), F.lit(True).alias("__found"))
         done = state.filter(F.col("anc").isNull())
         open_ = state.filter(F.col("anc").isNotNull()).join(up, ["rig", "anc"])
@@ -57,7 +60,7 @@ def skin_weights(vertices: DataFrame, segments: DataFrame, mode: str = "two-bone
     square = sum((v * v for v in along.values()), F.lit(0.0))
     ends = F.struct("joint", *[f"a{c}" for c in "xyz"], *[v.alias(n) for n, v in along.items()], square.alias("n"), F.sqrt(square).alias("len"))
     rigs = segments.groupBy("rig").agg(F.collect_list(ends).alias("__s"))
-    df = spread(vertices, "rig", "vid").join(rigs, "rig")
+    df = vertices.join(rigs, "rig")
 
     def foot(s):
         """Where along the segment the vertex is nearest, as a share of its length."""

@@ -96,9 +96,9 @@ def frame_warnings(metrics: DataFrame) -> DataFrame:
     return df.withColumn("code", code).filter(F.col("code").isNotNull()).select("frame", "code", "edges")
 
 
-def inspect_frames(metrics: DataFrame) -> DataFrame:
-    """Rounded report row of each frame with its first 64 colours."""
-    first = F.transform(F.slice("colours", 1, 64), color.rgb_to_hex)
+def inspect_frames(metrics: DataFrame, most: int | None = None) -> DataFrame:
+    """Rounded report row of each frame with its colours, the first ``most`` of them if that is given."""
+    first = F.transform(F.slice("colours", 1, most) if most else F.col("colours"), color.rgb_to_hex)
     return metrics.select(
         "frame",
         "width",

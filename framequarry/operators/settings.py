@@ -91,12 +91,18 @@ def expand_presets(settings: DataFrame, presets: DataFrame, by: list[str]) -> Da
     return settings.filter(~is_ref).select(*by, order(1).alias("layer"), "path", "value").unionByName(inner)
 
 
-def assemble(leaves: DataFrame, by: list[str], depth: int = 12) -> DataFrame:
+def assemble(leaves: DataFrame, by: list[str], depth: int | None = None) -> DataFrame:
     """Leaf rows ``(by..., path STRING, value)`` back to one JSON document per key, deepest objects first.
 
-    A document's leaves are bounded by its schema.
+    A document's leaves are bounded by its schema. ``depth`` saves the pass that finds the longest
+    path; a path longer than a given one is an error.
     """
     df = leaves.select(*by, F.split("path", r"\.").alias("p"), "value")
+    if depth is None:
+        depth = df.agg(F.max(F.size("p"))).first()[0] or 1
+    else:
+        deep = F.raise_error(F.lit(f"a path has more than {depth} levels")).cast("string")
+        df = df.withColumn("value", F.when(F.size("p") > depth, deep).otherwise(F.col("value")))
     for level in range(depth, 0, -1):
         here = F.size("p") == level
         member = F.struct(F.element_at("p", -1).alias("k"), F.col("value").alias("v"))

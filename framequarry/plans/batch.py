@@ -9,7 +9,7 @@ from framequarry.operators import reports as R
 from framequarry.operators import settings as S
 
 
-def resolve_assets(settings: DataFrame, presets: DataFrame | None, issues: list[DataFrame], by: str = "asset", depth: int = 6) -> DataFrame:
+def resolve_assets(settings: DataFrame, presets: DataFrame | None, issues: list[DataFrame], by: str = "asset", depth: int | None = None) -> DataFrame:
     """One row per asset: its merged settings as a document, and every issue of the reference checks.
 
     ``issues`` are tables with the asset and a ``code``; all are reported, not only the first.

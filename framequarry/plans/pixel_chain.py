@@ -42,6 +42,11 @@ class PixelSettings:
     bleed: bool = False
     order: tuple[str, ...] = DEFAULT_ORDER
 
+    def __post_init__(self):
+        size = len(self.palette) if isinstance(self.palette, list) else self.palette
+        if size is not None and not 1 <= size <= color.MAX_PALETTE:
+            raise ValueError(f"a palette holds 1 to {color.MAX_PALETTE} colours, got {size}")
+
 
 @dataclass
 class Sprites:
@@ -80,23 +85,23 @@ def _with(sprites: Sprites, pixels: DataFrame) -> Sprites:
     return replace(sprites, pixels=pixels)
 
 
-@register_pass("downscale", 2, "Reduce each supersampled block to one pixel.")
+@register_pass("downscale", 2, "One pixel from every block of the supersampled frame.")
 def _(s: Sprites) -> Sprites:
     shrink = P.mode_downscale if s.settings.downscale == "mode" else P.box_downscale
     return _with(s, shrink(s.pixels, s.settings.supersample))
 
 
-@register_pass("alphaThreshold", 1, "Make alpha binary.")
+@register_pass("alphaThreshold", 1, "Alpha becomes either clear or opaque.")
 def _(s: Sprites) -> Sprites:
     return _with(s, P.threshold_alpha(s.pixels, s.settings.alpha_threshold))
 
 
-@register_pass("posterize", 1, "Quantise channels to evenly spaced levels.", lambda s: s.posterize is not None)
+@register_pass("posterize", 1, "Fewer levels for each channel.", lambda s: s.posterize is not None)
 def _(s: Sprites) -> Sprites:
     return _with(s, P.posterize(s.pixels, s.settings.posterize))
 
 
-@register_pass("palette", 1, "Snap colours to a fixed or automatic palette.", lambda s: s.palette is not None)
+@register_pass("palette", 1, "Every colour becomes its nearest in a given or computed palette.", lambda s: s.palette is not None)
 def _(s: Sprites) -> Sprites:
     t = s.settings
     if isinstance(t.palette, list):
@@ -109,12 +114,12 @@ def _(s: Sprites) -> Sprites:
         return replace(s, pixels=mapped.repartition("frame"), palettes=palettes, scope="clip")
     palettes = staged(PAL.auto_palette(pixels.withColumn("__all", F.lit(0)), t.palette, "__all"))
     # One palette of at most 256 colours: as constants it needs no join.
-    colours = [r.rgb for r in palettes.orderBy("idx").take(color.MAX_PALETTE)]
+    colours = [r.rgb for r in palettes.orderBy("idx").take(t.palette)]
     mapped = PAL.map_to_palette(pixels, colours, t.dither, t.dither_strength)
     return replace(s, pixels=mapped.repartition("frame"), palettes=palettes, colours=colours)
 
 
-@register_pass("outline", 1, "Draw a ring outside the silhouette, or recolour its edge.", lambda s: s.outline is not None)
+@register_pass("outline", 1, "A contour around the shape or on its rim.", lambda s: s.outline is not None)
 def _(s: Sprites) -> Sprites:
     o, t = s.settings.outline, s.settings
     pixels, colour = s.pixels, o.colour
@@ -131,13 +136,13 @@ def _(s: Sprites) -> Sprites:
     return _with(s, P.outline(pixels, o.side, o.width, o.connectivity, colour).drop("__ink"))
 
 
-@register_pass("cleanup", 1, "Remove or recolour stray pixels.", lambda s: s.orphans != "off")
+@register_pass("cleanup", 1, "Lone pixels go or take a neighbouring colour.", lambda s: s.orphans != "off")
 def _(s: Sprites) -> Sprites:
     out = P.cleanup_orphans(s.pixels, s.settings.orphans, s.settings.min_neighbours, counts=True)
     return replace(s, pixels=out.drop("removed", "recoloured"), changed=out)
 
 
-@register_pass("bleed", 1, "Give clear pixels the nearest opaque colour.", lambda s: s.bleed)
+@register_pass("bleed", 1, "Colour under transparency, taken from the closest visible pixel.", lambda s: s.bleed)
 def _(s: Sprites) -> Sprites:
     return _with(s, P.bleed_edges(s.pixels))
 

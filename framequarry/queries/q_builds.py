@@ -350,7 +350,7 @@ def _(spark, d):
 
 # ---- libraries of assets: documents with labels ------------------------------------------------------------
 
-INFO = """info AS (SELECT d.doc_id AS id, source AS type, list_sort(list_distinct([lang, 'q' || coalesce(l.quality, 9)])) AS tags, [left(text, 40)] AS clips,
+INFO = """info AS (SELECT d.doc_id AS id, source AS type, list_sort(list_distinct([lang, 'q' || coalesce(l.quality, 9)])) AS tags, [text] AS clips,
   CASE WHEN l.toxic = 1 THEN 'fail' WHEN l.quality = 0 THEN 'warn' ELSE 'pass' END AS validation, n_chars AS generated_at FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
 
@@ -359,7 +359,7 @@ def info(spark, d):
     tags = F.sort_array(F.array("lang", F.concat(F.lit("q"), F.coalesce("quality", F.lit(9)))))
     status = F.when(F.col("toxic") == 1, "fail").when(F.col("quality") == 0, "warn").otherwise("pass")
     return docs.join(labels, "doc_id", "left").select(
-        F.col("doc_id").alias("id"), F.col("source").alias("type"), tags.alias("tags"), F.array(F.left("text", F.lit(40))).alias("clips"),
+        F.col("doc_id").alias("id"), F.col("source").alias("type"), tags.alias("tags"), F.array("text").alias("clips"),
         status.alias("validation"), F.col("n_chars").alias("generated_at"))
 
 

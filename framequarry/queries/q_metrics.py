@@ -250,11 +250,11 @@ def _(spark, d):
     return PAL.merge_swatches(PAL.count_colours(left, PALETTE), PAL.count_colours(right, PALETTE))
 
 
-@query("sort_by_lightness", "K-3 U-6", f"""WITH {PX}, c AS (SELECT DISTINCT clip, r, g, b FROM px WHERE a <> 0 AND g < 100),
+@query("sort_by_lightness", "K-3 U-6", f"""WITH {PX}, c AS (SELECT DISTINCT clip, r, g, b FROM px WHERE a <> 0),
   l AS (SELECT clip, r * 65536 + g * 256 + b AS rgb, {lab_sql('r', 'g', 'b')[0]} AS l FROM c)
   SELECT clip, rgb, row_number() OVER (PARTITION BY clip ORDER BY l, rgb) - 1 AS idx FROM l""")
 def _(spark, d):
-    c = px(spark, d, False).filter((F.col("a") != 0) & (F.col("g") < 100)).select("clip", P.rgb().alias("rgb")).distinct()
+    c = px(spark, d, False).filter(F.col("a") != 0).select("clip", P.rgb().alias("rgb")).distinct()
     return PAL.sort_by_lightness(c, ["clip"]).select("clip", "rgb", "idx")
 
 

@@ -36,11 +36,19 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "framequa
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; only a session without one (tests) gets its own."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """Use the shared folder that ``spark.checkpoint.dir`` names; only a local session without one gets its own.
+
+    On a cluster a folder of one machine would lose data with it, so a missing setting is an error.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+    if context.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+    context.setCheckpointDir(folder)
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -55,12 +63,3 @@ def staged(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give an input too small to fill the cores one exchange; a large input is left as it is.
-
-    For operators that spend much CPU per row right after a scan. The size is the optimizer's estimate.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, *keys) if size < cores * (64 << 20) else df

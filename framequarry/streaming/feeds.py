@@ -78,31 +78,35 @@ def progress_state(events: DataFrame) -> DataFrame:
 def timeouts(events: DataFrame, limit_ms: int, final: str) -> DataFrame:
     """Assets of a stream ``events(t, asset, stage)`` that did not reach the final stage within the limit.
 
-    The deadline is an event-time timer per asset, so ``events`` needs a watermark on ``t``.
+    An asset is reported once, when its final stage comes too late or its deadline passes without one.
+    The deadline is an event-time timer, so ``events`` needs a watermark on ``t``. The state of a decided
+    asset stays, so its later events change nothing: one row an asset.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        started, decided = state.get if state.exists else (None, False)
+        late = False
         if state.hasTimedOut:
-            (started,) = state.get
-            state.remove()
+            late = True
+        elif not decided:
+            final_ms = None
+            for pdf in batches:
+                ms = pdf["t"].map(lambda t: int(t.timestamp() * 1000))
+                started = int(ms.min()) if started is None else min(started, int(ms.min()))
+                ends = ms[pdf["stage"] == final]
+                if len(ends):
+                    final_ms = int(ends.min()) if final_ms is None else min(final_ms, int(ends.min()))
+            decided = final_ms is not None
+            late = decided and final_ms - started > limit_ms
+        state.update((started, decided or late))
+        if late:
             yield pd.DataFrame({"asset": [key[0]], "started_ms": [started]})
-            return
-        first, finished = None, False
-        for pdf in batches:
-            start = int(pdf["t"].min().timestamp() * 1000)
-            first = start if first is None else min(first, start)
-            finished = finished or bool((pdf["stage"] == final).any())
-        if finished:
-            if state.exists:
-                state.remove()
-            return
-        started = min(first, state.get[0]) if state.exists else first
-        state.update((started,))
-        # A deadline the watermark has passed already is due at its next step.
-        state.setTimeoutTimestamp(max(started + limit_ms, state.getCurrentWatermarkMs() + 1))
+        elif not decided:
+            # A deadline the watermark has passed already is due at its next step.
+            state.setTimeoutTimestamp(max(started + limit_ms, state.getCurrentWatermarkMs() + 1))
 
     return events.groupBy("asset").applyInPandasWithState(
-        step, "asset string, started_ms long", "started long", "append", GroupStateTimeout.EventTimeTimeout
+        step, "asset string, started_ms long", "started long, decided boolean", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -128,10 +132,9 @@ def history_stream(runs: DataFrame, key_type: str = "bigint") -> DataFrame:
         hashes = pdf["hash"].to_numpy()
         kept = []
         for i in order:
-            short = hashes[i][:12]
-            if short != last:
+            if hashes[i] != last:
                 kept.append(i)
-                last = short
+                last = hashes[i]
         state.update((last,))
         if kept:
             yield pdf[["asset", "id", "created", "hash"]].iloc[kept]
