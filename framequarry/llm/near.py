@@ -11,10 +11,11 @@ deeper region. The orders are cut by range, so a hot region spreads over tasks.
 
 Round one: each node takes the candidate that most trees give it and the largest hub, those are
 confirmed on the full sets, and confirmed links are joined into components. Round two covers the rest: in every region
-that still holds more than one component, all nodes of different components are compared by signature, and
-all that may be alike are confirmed on the full sets. What the first round leaves out by keeping
-two, the second takes up, so no candidate that shares a region is given up. Nodes of the
-largest component of a region stay in their blocks and only the others travel to all of them.
+that still holds more than one component, all nodes of different components are compared by signature in
+cells of two blocks; those that may be alike send their full sets to the cell once, and the pairs
+are confirmed there. What the first round leaves out by keeping two, the second takes up, so no
+candidate that shares a region is given up. Nodes of the largest component of a region stay in
+their blocks and only the others travel to all of them.
 
 A pair at the threshold of 0.8 shares a region in at least one of 24 trees with a chance of 1 - 4e-8.
 
@@ -39,6 +40,7 @@ from framequarry.llm.base import buffers, whole_text, written
 TREES, DEPTH, LEAST = 24, 5, 3
 REGION = 64
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
 SLACK = 0.18  # of the estimated similarity below the threshold, about five standard errors of 120 hashes
 CACHE = 500_000
 SALTS = 1024
@@ -258,62 +260,157 @@ def components(links: DataFrame) -> DataFrame:
 
 # ---- the rest ------------------------------------------------------------------------------------
 
+CELL = ["tree", "region", "kind", "i", "j"]
 
-def remaining_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a region and may be alike by their signatures.
 
-    ``nodes(node, label, signature)`` are those that share a region with any other.
+def mixed_cells(nodes: DataFrame) -> DataFrame:
+    """``tree, region, kind, i, j, side`` and the columns of ``nodes``: where nodes of different components meet.
+
+    ``nodes(node, label, signature, n_shingles)`` are those that share a region with any other. Blocks are
+    bounded by rows and by shingles, so the sets of a cell fit into one task.
     """
-    rows = written(forest(nodes, "label").select("tree", F.substring("key", 1, 4 * LEAST).alias("region"), "node", "label"))
-    # The lowest byte of each hash is enough to compare by; chance equals add 1/256.
-    hexes = F.hex("signature")
-    low = F.unhex(F.concat_ws("", *[F.substring(hexes, 8 * k + 7, 2) for k in range(TREES * DEPTH)]))
-    signature = nodes.select("node", low.alias("bytes"))
+    rows = written(forest(nodes, "label", "n_shingles").select("tree", F.substring("key", 1, 4 * LEAST).alias("region"), "node", "label", "n_shingles"))
     # A region with one component has nothing left to compare.
-    held = rows.groupBy("tree", "region", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = held.groupBy("tree", "region").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    mixed = written(mixed.select("tree", "region", F.col("most.label").alias("main"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("int").alias("others")))
-    some = rows.join(mixed, ["tree", "region"])
+    held = rows.groupBy("tree", "region", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
+    mixed = held.groupBy("tree", "region").agg(
+        F.max(F.struct("n", "label", "size")).alias("most"), F.sum("n").alias("all"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_SHINGLES)).cast("int")
+    mixed = written(mixed.select(
+        "tree", "region", F.col("most.label").alias("main"), blocks(F.col("most.n"), F.col("most.size")).alias("mains"),
+        blocks(F.col("all") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("others")))
+    some = rows.drop("n_shingles").join(mixed, ["tree", "region"])
     is_main = F.col("label") == F.col("main")
-    block = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int")
-    some = some.withColumn("block", block)
-    # Cells (kind 0): one block of the main component and all others. Cells (kind 1): two blocks of the others.
-    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    some = some.withColumn("block", F.pmod(F.xxhash64("node"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    # Cells of kind 0: one block of the main component (side 0) and one of the others. Kind 1: two blocks of the others.
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
-    with_main = F.flatten(F.transform(upto(F.col("mains")), lambda i: F.array(cell(0, i, F.col("block")))))
-    with_others = F.transform(upto(F.col("others")), lambda j: cell(1, F.least(j, F.col("block")), F.greatest(j, F.col("block"))))
-    of_main = F.transform(upto(F.col("others")), lambda j: cell(0, F.col("block"), j))
+    with_main = F.transform(upto(F.col("mains")), lambda i: cell(0, i, F.col("block"), F.lit(1)))
+    with_others = F.transform(upto(F.col("others")), lambda j: cell(1, F.least(j, F.col("block")), F.greatest(j, F.col("block")), F.col("block") > j))
+    of_main = F.transform(upto(F.col("others")), lambda j: cell(0, F.col("block"), j, F.lit(0)))
     cells = F.when(is_main, of_main).otherwise(F.concat(with_main, with_others))
-    some = some.join(signature, "node").select("tree", "region", F.explode(cells).alias("cell"), "node", "label", "bytes")
+    return some.select("tree", "region", F.explode(cells).alias("c"), "node").select("tree", "region", "c.*", "node")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = TREES * DEPTH * (percent / 100 - SLACK)
-        key, held = None, []
 
-        def close() -> pa.RecordBatch | None:
-            node, label = np.array([h[0] for h in held]), np.array([h[1] for h in held])
-            sig = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(len(held), -1)
-            found = []
-            for i in range(len(held) - 1):
-                j = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-                if len(j):
-                    j = j[(sig[j] == sig[i]).sum(axis=1) >= least]
-                    found += [(min(node[i], node[k]), max(node[i], node[k])) for k in j]
-            return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"]) if found else None
+def marks(nodes: DataFrame) -> DataFrame:
+    """``node, label, n_shingles, bytes, regions``: what two nodes are compared by before their sets are.
+
+    ``bytes`` has the lowest byte of each hash; chance equals add 1/256. ``regions`` has a code of the region of each tree.
+    """
+    hexes = F.hex("signature")
+    low = F.unhex(F.concat_ws("", *[F.substring(hexes, 8 * k + 7, 2) for k in range(TREES * DEPTH)]))
+    codes = F.array(*[F.hash(F.substring("signature", 4 * DEPTH * t + 1, 4 * LEAST)) for t in range(TREES)])
+    return nodes.select("node", "label", "n_shingles", low.alias("bytes"), codes.alias("regions"))
+
+
+class Cell:
+    """The rows ``node, side, label, n_shingles, bytes, regions, ...`` of one cell."""
+
+    def __init__(self, key: tuple, rows: list[tuple], percent: int):
+        self.tree, self.across = key[0], key[2] == 0 or key[3] != key[4]
+        self.rows, self.percent = rows, percent
+        self.side, self.label, self.size = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
+        self.bytes = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+        self.regions = np.array([r[5] for r in rows], np.int32)
+        self.least = TREES * DEPTH * (percent / 100 - SLACK)
+
+    def alike(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each row and those of other components that may be alike and meet in no earlier tree."""
+        sides = [np.flatnonzero(self.side == k) for k in (0, 1)]
+        for i in sides[0] if self.across else range(len(self.rows) - 1):
+            j = sides[1] if self.across else np.arange(i + 1, len(self.rows))
+            j = j[self.label[j] != self.label[i]]
+            j = j[100 * np.minimum(self.size[j], self.size[i]) >= self.percent * np.maximum(self.size[j], self.size[i])]
+            j = j[(self.regions[j, : self.tree] != self.regions[i, : self.tree]).all(axis=1)]
+            j = j[(self.bytes[j] == self.bytes[i]).sum(axis=1) >= self.least]
+            if len(j):
+                yield i, j
+
+    def meeting(self) -> np.ndarray:
+        """The rows that are in any such pair."""
+        out = np.zeros(len(self.rows), bool)
+        for i, j in self.alike():
+            out[i] = True
+            out[j] = True
+        return np.flatnonzero(out)
+
+    def links(self) -> list[tuple[int, int]]:
+        """Labels whose components a pair of full sets joins; the set is the last column."""
+        sets = [np.frombuffer(r[6], np.uint64) for r in self.rows]
+        ends = np.cumsum([0] + [len(s) for s in sets])
+        _, places = np.unique(np.concatenate(sets), return_inverse=True)
+        mine = np.zeros(len(places), bool)
+        first, found = self.label.copy(), []
+        for i, j in self.alike():
+            j = j[self.label[j] != self.label[i]]
+            if not len(j):
+                continue
+            own = places[ends[i] : ends[i + 1]]
+            mine[own] = True
+            both = np.array([np.count_nonzero(mine[places[ends[k] : ends[k + 1]]]) for k in j])
+            mine[own] = False
+            for k in j[100 * both >= self.percent * (self.size[i] + self.size[j] - both)]:
+                if self.label[k] != self.label[i]:
+                    found.append((int(first[i]), int(first[k])))
+                    self.label[self.label == self.label[k]] = self.label[i]
+        return found
+
+
+def _cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[tuple, Cell]]:
+    """One cell after the other from rows sorted by cell: its five columns, then those of ``Cell``."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if row[:5] != key:
+                if len(held) > 1:
+                    yield key, Cell(key, held, percent)
+                key, held = row[:5], []
+            held.append(row[5:])
+    if len(held) > 1:
+        yield key, Cell(key, held, percent)
 
+
+def remaining_links(nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """``a, b``: labels of different components that share a region and are linked by a pair of full sets.
+
+    The signatures of a cell say which of its nodes are in a pair that may be alike and meets in no
+    earlier tree. Only those send their sets to the cell, once each, where all its pairs are confirmed:
+    what is shipped grows with nodes and blocks, and no pair is ever a row.
+    """
+    marked = written(marks(nodes))
+    columns = [*CELL, "node", "side", "label", "n_shingles", "bytes", "regions"]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, cell in _cells(batches, percent):
+            rows = cell.meeting()
+            if len(rows):
+                node, side = [cell.rows[i][0] for i in rows], [cell.rows[i][1] for i in rows]
+                k = [pa.array([x] * len(rows), t) for x, t in zip(key, (pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32()))]
+                yield pa.record_batch([*k, pa.array(node, pa.int64()), pa.array(side, pa.int32())], [*CELL, "node", "side"])
+
+    by_cell = lambda df: df.repartition(*CELL).sortWithinPartitions(*CELL)
+    met = by_cell(mixed_cells(nodes).join(marked, "node").select(*columns))
+    met = written(met.mapInArrow(meet, "tree int, region binary, kind int, i int, j int, node bigint, side int"))
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict = {}
         for batch in batches:
-            for tree, region, cell, node, label, data in zip(*[c.to_pylist() for c in batch.columns]):
-                now = (tree, region, cell["kind"], cell["i"], cell["j"])
-                if now != key:
-                    if len(held) > 1 and (out := close()):
-                        yield out
-                    key, held = now, []
-                held.append((node, label, data))
-        if len(held) > 1 and (out := close()):
-            yield out
+            data, offsets = buffers(batch.column(1))
+            data = data.lower()
+            for at in range(0, len(batch), 500):
+                sets = [shingle_set(data[a:b].split(), n, cache).tobytes() for a, b in zip(offsets[at : at + 500], offsets[at + 1 : at + 501])]
+                yield pa.record_batch([batch.column(0).slice(at, 500), pa.array([len(s) // 8 for s in sets], pa.int64()), pa.array(sets, pa.binary())], ["node", "n", "shingles"])
+
+    wanted = texts.join(met.select("node").distinct(), "node").select("node", "t").mapInArrow(full, "node bigint, n bigint, shingles binary")
+    # Rows that share an id may have other texts; the size of each set is its own.
+    sent = met.join(marked.drop("n_shingles"), "node").join(wanted, "node").withColumnRenamed("n", "n_shingles")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, cell in _cells(batches, percent):
+            found = cell.links()
+            if found:
+                yield pa.record_batch([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
 
-    by = ["tree", "region", "cell"]
-    return some.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a bigint, b bigint").distinct()
+    return by_cell(sent.select(*columns, "shingles")).mapInArrow(confirm, "a bigint, b bigint").distinct()
 
 
 # ---- the operator --------------------------------------------------------------------------------
@@ -322,19 +419,18 @@ def remaining_pairs(nodes: DataFrame, percent: int) -> DataFrame:
 def near_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``."""
     sets = written(document_sets(docs, n, id_column, text))
-    reps = written(sets.filter("id is not null and key is not null").groupBy("key").agg(F.min("id").alias("node"), F.first("signature").alias("signature")))
+    reps = written(sets.filter("id is not null and key is not null").groupBy("key").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
     crowd = written(crowding(forest(reps)))
-    active = written(reps.join(crowd, "node").select("node", "signature", "weight"))
+    active = written(reps.join(crowd, "node").select("node", "n_shingles", "signature", "weight"))
     chosen = written(best_two(candidates(forest(active, "weight"))))
     texts = docs.select(F.col(id_column).cast("bigint").alias("node"), whole_text(text).alias("t"))
     links = written(confirmed(chosen, texts, n, percent))
     labels = components(links)
-    nodes = written(active.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "signature"))
-    rest = written(remaining_pairs(nodes, percent))
-    if not rest.isEmpty():
-        more = written(confirmed(rest, texts, n, percent))
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+    nodes = written(active.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "n_shingles", "signature"))
+    more = written(remaining_links(nodes, texts, n, percent))
+    if not more.isEmpty():
+        joined = components(more).select(F.col("node").alias("label"), F.col("label").alias("root"))
+        labels = nodes.join(joined, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
     keyed = written(reps.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component_id")))
     named = sets.filter("id is not null and key is not null").join(keyed, "key").select("id", "n_shingles", "component_id")
     alone = sets.filter("id is null or key is null").select("id", "n_shingles", F.col("id").alias("component_id"))
