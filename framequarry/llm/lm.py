@@ -2,19 +2,24 @@
 
 The model predicts the next word from the two before: each context position has word vectors of its
 own, their sum meets the output vectors in a dot product, plus a bias for each output
-(Mnih and Hinton 2007; Mnih and Teh 2012). Outputs are the ``words`` most frequent words, ``CLASSES``
-classes of all other words (by the last two bytes), and the end of a text. A word of a class gets the
-class's probability times its own smoothed share of the class, so every text has a normalised
-probability over all words, seen or not.
+(Mnih and Hinton 2007; Mnih and Teh 2012). Outputs are all words seen at least ``least`` times,
+however many they are, ``CLASSES`` classes of the rarer words (by the last two bytes), and the end of
+a text. A word of a class gets the class's probability times its own smoothed share of the class, so
+every text has a normalised probability over all words, seen or not.
+
+Outputs lie in blocks by frequency, each of a size near one over the square root of its outputs' share,
+and each block has an output vector and bias too. The probability of an output is that of its block
+times its own within the block (Goodman 2001), so a normaliser costs less than two square roots of the
+vocabulary; it is taken for each token, in matrix products over the tokens of one block.
 
 Counts cover all training documents. Training passes over all training documents once: every
-task refines the model on its own rows and sends the sum of its parameters, which are averaged.
+task refines the model on its own rows and sends the change of the rows of parameters that it touched,
+which are averaged by how often each task touched them, so a word of few tasks keeps what they learned.
 A start is fitted on a bounded sample of ``warm_rows`` documents first, so that the averaged vectors agree.
-Matrix products over the bounded outputs give the score of every word pair and the normaliser of
-every context, which scoring only looks up.
 
-Words beyond the ``head`` most frequent ones do not travel to the tasks: their counts meet the
-documents in a join, and no such word is frequent.
+Words below ``least`` and beyond the ``head`` most frequent ones do not travel to the tasks: their
+counts meet the documents in a join, and no such word is frequent. The model itself does travel:
+3 * ``size`` + 1 floats for each word seen ``least`` times, which grows with the corpus.
 
 Defined cases: a null or empty text is the end token alone; without training documents all
 counts are 0 and the outputs are even; repeated rows count and score each; a null id is fold 0; an
@@ -30,6 +35,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,15 +46,32 @@ CLASSES = 64
 NOISE = 64
 BATCH = 2048
 FLUSH = 400_000
+CHUNK = 1 << 17  # tokens scored at a time
+ROWS = 8192  # rows of parameters that are averaged together
 
 
 class Model(NamedTuple):
     first: np.ndarray  # vectors of the word just before
     second: np.ndarray  # vectors of the word before that
-    out: np.ndarray
+    out: np.ndarray  # of the outputs, then of their blocks
     bias: np.ndarray
 
 
+class Blocks(NamedTuple):
+    """Runs of outputs. The mean number of scores of a normaliser, all blocks and the outputs of one, is least with these sizes."""
+
+    starts: np.ndarray  # first output of each block, and the end
+    of: np.ndarray  # block of each output
+    shares: np.ndarray
+
+
+def blocks_of(noise: np.ndarray) -> Blocks:
+    run = np.floor(np.cumsum(np.sqrt(noise)))
+    first = np.r_[True, run[1:] != run[:-1]]
+    starts = np.flatnonzero(first)
+    return Blocks(np.r_[starts, len(noise)], np.cumsum(first) - 1, np.add.reduceat(noise, starts))
+
+
 def word_class(word: bytes) -> int:
     return crc32(word[-2:]) % CLASSES
 
@@ -84,49 +107,61 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def new_model(noise: np.ndarray, size: int, seed: int = 0) -> Model:
     rng = np.random.default_rng(seed)
-    n = len(noise)
-    small = lambda: rng.normal(0, 0.05, (n, size)).astype(np.float32)
-    return Model(small(), small(), small(), np.log(noise).astype(np.float32))
+    n, shares = len(noise), np.concatenate([noise, blocks_of(noise).shares])
+    small = lambda n: rng.normal(0, 0.05, (n, size)).astype(np.float32)
+    return Model(small(n), small(n), small(len(shares)), np.log(shares).astype(np.float32))
 
 
 class Trainer:
-    """AdaGrad on the noise-contrastive objective; one set of noise words serves a whole batch."""
+    """AdaGrad by rows on the noise-contrastive objective, of the outputs and of their blocks; one set of noise serves a whole batch.
 
-    def __init__(self, model: Model, noise: np.ndarray, seed: int, rate: float = 0.15):
-        self.p = Model(*[x.copy() for x in model])
-        self.seen = Model(*[np.full_like(x, 1e-2) for x in model])
-        self.noise, self.rng, self.rate = noise, np.random.default_rng(seed), rate
-        self.cumulated = np.cumsum(noise)
-        self.log_noise = np.log(noise * NOISE).astype(np.float32)
+    It changes the model it is given, and counts in ``hits`` how often each row was touched.
+    """
 
-    def _step(self, which: int, rows: np.ndarray, grad: np.ndarray) -> None:
+    def __init__(self, model: Model, noise: np.ndarray, seed: int, rate: float = 0.15):
+        self.p = model
+        self.seen = Model(*[np.full(len(x), 1e-2, np.float32) for x in model])
+        self.hits = [np.zeros(len(x), np.int64) for x in model[:3]]
+        self.n, self.blocks, self.rng, self.rate = len(noise), blocks_of(noise), np.random.default_rng(seed), rate
+        self.levels = [(0, np.cumsum(noise)), (self.n, np.cumsum(self.blocks.shares))]
+        self.log_noise = np.log(np.concatenate([noise, self.blocks.shares]) * NOISE).astype(np.float32)
+
+    def _step(self, which: int, rows: np.ndarray, *grads: np.ndarray) -> None:
         """Add the gradient of repeated rows up, then scale by what each has seen."""
         order = np.argsort(rows, kind="stable")
         sorted_rows = rows[order]
         starts = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-        at, g = sorted_rows[starts], np.add.reduceat(grad[order], starts, axis=0)
-        self.seen[which][at] += g * g
-        self.p[which][at] += self.rate * g / np.sqrt(self.seen[which][at])
+        at = sorted_rows[starts]
+        self.hits[which][at] += np.diff(np.r_[starts, len(rows)])
+        for k, grad in enumerate(grads, which):
+            g = np.add.reduceat(grad[order], starts, axis=0)
+            seen = self.seen[k][at] + (np.einsum("ij,ij->i", g, g) / g.shape[1] if g.ndim > 1 else g * g)
+            self.seen[k][at] = seen
+            scale = (self.rate / np.sqrt(seen)).astype(np.float32)
+            self.p[k][at] += g * (scale[:, None] if g.ndim > 1 else scale)
 
     def batch(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray) -> None:
         p = self.p
         q = p.first[c1] + p.second[c2]
-        noise = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE)), len(self.noise) - 1)
-        s = np.einsum("ij,ij->i", q, p.out[w]) + p.bias[w] - self.log_noise[w]
-        t = q @ p.out[noise].T + p.bias[noise] - self.log_noise[noise]
-        up = (1 / (1 + np.exp(np.clip(s, -30, 30)))).astype(np.float32)  # chance that the word is taken for noise
-        down = (1 / (1 + np.exp(-np.clip(t, -30, 30)))).astype(np.float32)  # chance that noise is taken for the word
-        grad_q = up[:, None] * p.out[w] - down @ p.out[noise]
-        grad_out = np.concatenate([up[:, None] * q, -down.T @ q])
-        rows = np.concatenate([w, noise])
+        grad_q, rows, grad_out, grad_bias = np.zeros_like(q), [], [], []
+        for (first, cumulated), ids in zip(self.levels, (w, self.n + self.blocks.of[w])):
+            noise = first + np.minimum(np.searchsorted(cumulated, self.rng.random(NOISE)), len(cumulated) - 1)
+            own, others = p.out[ids], p.out[noise]
+            s = np.einsum("ij,ij->i", q, own) + p.bias[ids] - self.log_noise[ids]
+            t = q @ others.T + p.bias[noise] - self.log_noise[noise]
+            up = (1 / (1 + np.exp(np.clip(s, -30, 30)))).astype(np.float32)  # chance that the output is taken for noise
+            down = (1 / (1 + np.exp(-np.clip(t, -30, 30)))).astype(np.float32)  # chance that noise is taken for the output
+            grad_q += up[:, None] * own - down @ others
+            rows += [ids, noise]
+            grad_out += [up[:, None] * q, -down.T @ q]
+            grad_bias += [up, -down.sum(axis=0)]
         self._step(0, c1, grad_q)
         self._step(1, c2, grad_q)
-        self._step(2, rows, grad_out)
-        self._step(3, rows, np.concatenate([up, -down.sum(axis=0)]))
+        self._step(2, np.concatenate(rows), np.concatenate(grad_out), np.concatenate(grad_bias))
 
     def train(self, tokens: np.ndarray, lengths: np.ndarray) -> None:
         """One pass over texts laid end to end, in random order. Before a text stand end tokens."""
-        end = len(self.noise) - 1
+        end = self.n - 1
         c1, c2 = contexts(tokens, lengths, end)
         order = self.rng.permutation(len(tokens))
         for at in range(0, len(order), BATCH):
@@ -147,7 +182,7 @@ def contexts(tokens: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndar
 
 
 class Tables(NamedTuple):
-    """Log10 scores of word pairs, and the log10 normaliser of each context, from batched matrix products."""
+    """Log10 scores of word pairs, and the log10 normaliser of each context, of a small model without blocks: what ``log_probabilities`` gives with one block."""
 
     first: np.ndarray
     second: np.ndarray
@@ -167,6 +202,41 @@ def tables(model: Model) -> Tables:
     return Tables((a / ten).astype(np.float32), (b / ten).astype(np.float32), normal / ten)
 
 
+def log_probabilities(model: Model, blocks: Blocks, c1: np.ndarray, c2: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Log10 probability of each output ``w`` after its context: that of its block, then its own within the block."""
+    n = len(model.first)
+    found = np.empty(len(w))
+
+    def chosen(q: np.ndarray, a: int, b: int, at) -> np.ndarray:
+        """Log of the share of output ``at`` among the outputs a to b."""
+        s = q @ model.out[a:b].T
+        s += model.bias[a:b]
+        own = s[np.arange(len(s)), at]
+        top = s.max(axis=1)
+        s -= top[:, None]
+        np.exp(s, out=s)
+        return own - top - np.log(s @ np.ones(b - a, np.float32))
+
+    for at in range(0, len(w), CHUNK):
+        k = slice(at, at + CHUNK)
+        out = w[k]
+        order = np.argsort(out, kind="stable")  # tokens of a block stand together
+        out = out[order]
+        q = model.first[c1[k][order]] + model.second[c2[k][order]]
+        block = blocks.of[out]
+        logp = np.empty(len(out))
+        for i in range(0, len(out), 2048):
+            logp[i : i + 2048] = chosen(q[i : i + 2048], n, len(model.out), block[i : i + 2048])
+        cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            first, end = blocks.starts[block[a] : block[a] + 2].tolist()
+            for i in range(a, b, 2048):
+                j = min(b, i + 2048)
+                logp[i:j] += chosen(q[i:j], first, end, out[i:j] - first)
+        found[at + order] = logp
+    return found / np.log(10)
+
+
 # ---- words and outputs ---------------------------------------------------------------------------
 
 
@@ -179,106 +249,123 @@ class Vocabulary(NamedTuple):
     distinct: int  # V
     noise: np.ndarray  # smoothed share of each output
     class_totals: np.ndarray  # of the words outside the model's own, plus one each and one for unseen
+    words: int  # the model's own words, which are the most frequent ones
 
 
-def vocabulary(counts: DataFrame, words: int, head: int) -> Vocabulary:
-    """What all counts come to, and the ``head`` most frequent words: a bounded list."""
+def vocabulary(counts: DataFrame, least: int, head: int) -> Vocabulary:
+    """What all counts come to, all words seen ``least`` times or more, and rarer ones up to the ``head`` most frequent."""
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.filter(F.length("word") > 0).orderBy(F.desc("c"), "word").limit(head).toArrow()
+    frequent = (F.length("word") > 0) & (F.col("c") >= least)
+    top = counts.filter(frequent).select("word", "c").toArrow()
+    own = top.num_rows
+    top = top.take(pc.sort_indices(top, [("c", "descending"), ("word", "ascending")]))
+    if own < head:
+        rest = counts.filter((F.length("word") > 0) & ~frequent).orderBy(F.desc("c"), "word").limit(head - own)
+        top = pa.concat_tables([top, rest.select("word", "c").toArrow().cast(top.schema)])
     names, c = top.column("word").to_pylist(), top.column("c").to_numpy()
     ends = counts.filter(F.length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     group = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(CLASSES)).alias("g")
     per_class = {r.g: (r.n, r.v) for r in counts.filter(F.length("word") > 0).groupBy(group).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    own = min(words, len(names))
     totals = np.array([sum(per_class.get(g, (0, 0))) + 1 for g in range(CLASSES)], np.int64)
     outputs = np.empty(len(names), np.int32)
     for i, w in enumerate(names):
-        outputs[i] = i if i < own else words + word_class(w)
+        outputs[i] = i if i < own else own + word_class(w)
         if i < own:
             totals[word_class(w)] -= c[i] + 1
-    share = np.ones(words + CLASSES + 1)
+    share = np.ones(own + CLASSES + 1)
     share[:own] += c[:own]
-    share[words : words + CLASSES] += totals
+    share[own : own + CLASSES] += totals
     share[-1] += ends
-    return Vocabulary({w: i for i, w in enumerate(names)}, outputs, np.asarray(c, np.int64), int(ends), int(sums.n), int(sums.v), share / share.sum(), totals)
+    return Vocabulary({w: i for i, w in enumerate(names)}, outputs, np.asarray(c, np.int64), int(ends), int(sums.n), int(sums.v), share / share.sum(), totals, own)
 
 
-def output_ids(row: list[bytes], voc: Vocabulary, words: int) -> np.ndarray:
+def output_ids(row: list[bytes], voc: Vocabulary) -> np.ndarray:
     places = np.array([voc.head.get(w, -1) for w in row[:-1]] + [-1], np.int64)
     out = voc.outputs[places] if len(voc.outputs) else np.zeros(len(row), np.int32)
     for i in np.flatnonzero(places < 0)[:-1].tolist():
-        out[i] = words + word_class(row[i])
-    out[-1] = words + CLASSES
+        out[i] = voc.words + word_class(row[i])
+    out[-1] = voc.words + CLASSES
     return out
 
 
-def train(docs: DataFrame, voc: Vocabulary, text: str = "text", id_column: str = "doc_id", words: int = 1024, size: int = 24, warm_rows: int = 1000, parts: int = 16) -> Model:
-    """Fit on all rows of ``docs``: a start on ``warm_rows`` of them here, then one pass in the tasks, averaged."""
+def train(docs: DataFrame, voc: Vocabulary, shared, text: str = "text", id_column: str = "doc_id", size: int = 24, warm_rows: int = 1000, parts: int = 16) -> Model:
+    """Fit on all rows of ``docs``: a start on ``warm_rows`` of them here, then one pass in the tasks, averaged.
+
+    ``shared`` is the broadcast of ``voc``.
+    """
     warm = docs.select(F.xxhash64(id_column).alias("h"), F.col(id_column).alias("id"), whole_text(text).alias("t")).orderBy("h", "id", "t").limit(warm_rows).select("t").toArrow()
-    rows = [output_ids(r, voc, words) for chunk in warm.column("t").chunks for r in words_of(*buffers(chunk))]
+    rows = [output_ids(r, voc) for chunk in warm.column("t").chunks for r in words_of(*buffers(chunk))]
     model = new_model(voc.noise, size)
     if not rows:
         return model
     trainer = Trainer(model, voc.noise, seed=1)
     for _ in range(2):
         trainer.train(np.concatenate(rows), np.array([len(r) for r in rows]))
-    sc = docs.sparkSession.sparkContext
-    start, shared = sc.broadcast(tuple(trainer.p)), sc.broadcast(tuple(voc))
-    shapes = [x.shape for x in model]
-    total = sum(int(np.prod(s)) for s in shapes)
-    cut = -(-total // parts)
+    start = docs.sparkSession.sparkContext.broadcast(tuple(model))
+    # Outputs have their bias in the last column.
+    side = lambda p, which, at: p[which][at] if which < 2 else np.column_stack([p[2][at], p[3][at]])
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, tokens, voc = None, 0, Vocabulary(*shared.value)
+        trainer, voc = None, Vocabulary(*shared.value)
         for batch in batches:
-            found = [output_ids(r, voc, words) for r in words_of(*buffers(batch.column(0)))]
+            found = [output_ids(r, voc) for r in words_of(*buffers(batch.column(0)))]
             if not found:
                 continue
             # The seed follows the rows, so a task that runs again gives the same parameters.
-            trainer = trainer or Trainer(Model(*start.value), voc.noise, seed=crc32(found[0].tobytes()), rate=0.05)
-            all_tokens = np.concatenate(found)
-            trainer.train(all_tokens, np.array([len(r) for r in found]))
-            tokens += len(all_tokens)
+            trainer = trainer or Trainer(Model(*[x.copy() for x in start.value]), voc.noise, seed=crc32(found[0].tobytes()), rate=0.05)
+            trainer.train(np.concatenate(found), np.array([len(r) for r in found]))
         if trainer:
-            flat = np.concatenate([x.ravel() for x in trainer.p]).astype(np.float64) * tokens
-            yield pa.record_batch([pa.array(range(parts), pa.int32()), pa.array([flat[i * cut : (i + 1) * cut].tobytes() for i in range(parts)], pa.binary()), pa.array([tokens] * parts, pa.int64())], ["part", "sums", "tokens"])
+            for which, hits in enumerate(trainer.hits):
+                for k in range(0, len(hits), ROWS):
+                    at = (k + np.flatnonzero(hits[k : k + ROWS])).astype(np.int32)
+                    if len(at):
+                        change = side(trainer.p, which, at) - side(start.value, which, at)
+                        yield pa.record_batch([pa.array([which], pa.int32()), pa.array([k // ROWS], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([hits[at].tobytes()], pa.binary()), pa.array([change.astype(np.float16).tobytes()], pa.binary())], ["side", "part", "at", "hits", "change"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list] = {}
+        sums: dict[tuple, list] = {}
         for batch in batches:
-            for part, data, n in zip(*[c.to_pylist() for c in batch.columns]):
-                x = np.frombuffer(data, np.float64)
-                if part in sums:
-                    sums[part][0] += x
-                    sums[part][1] += n
-                else:
-                    sums[part] = [x.copy(), n]
-        if sums:
-            yield pa.record_batch([pa.array(sums, pa.int32()), pa.array([s[0].tobytes() for s in sums.values()], pa.binary()), pa.array([s[1] for s in sums.values()], pa.int64())], ["part", "sums", "tokens"])
-
-    schema = "part int, sums binary, tokens bigint"
-    # A task adds what it gets row by row and holds one sum a part, so many tasks need no more memory.
-    merged = docs.select(whole_text(text).alias("t")).mapInArrow(refine, schema).repartition(parts, "part").mapInArrow(add, schema).collect()
-    flat = np.concatenate([np.frombuffer(r.sums, np.float64) / r.tokens for r in sorted(merged, key=lambda r: r.part)]).astype(np.float32)
-    ends = np.cumsum([0] + [int(np.prod(s)) for s in shapes])
-    return Model(*[flat[a:b].reshape(s) for a, b, s in zip(ends, ends[1:], shapes)])
+            for which, part, at, hits, change in zip(*[c.to_pylist() for c in batch.columns]):
+                at, hits = np.frombuffer(at, np.int32) - part * ROWS, np.frombuffer(hits, np.int64)
+                change = np.frombuffer(change, np.float16).reshape(len(at), -1)
+                if (which, part) not in sums:
+                    sums[which, part] = [np.zeros((ROWS, change.shape[1])), np.zeros(ROWS, np.int64)]
+                total, n = sums[which, part]
+                total[at] += change.astype(float) * hits[:, None]
+                n[at] += hits
+        for (which, part), (total, n) in sums.items():
+            at = np.flatnonzero(n)
+            mean = (total[at] / n[at, None]).astype(np.float32)
+            yield pa.record_batch([pa.array([which], pa.int32()), pa.array([(at + part * ROWS).astype(np.int32).tobytes()], pa.binary()), pa.array([mean.tobytes()], pa.binary())], ["side", "at", "change"])
 
-
-def score_documents(docs: DataFrame, training: Column, id_column: str = "doc_id", text: str = "text", words: int = 1024, head: int = 1 << 18, size: int = 24, warm_rows: int = 1000) -> DataFrame:
+    # A task adds what it gets row by row and holds one sum a part, so many tasks need no more memory.
+    sent = docs.select(whole_text(text).alias("t")).mapInArrow(refine, "side int, part int, at binary, hits binary, change binary")
+    merged = sent.repartition(parts, "side", "part").mapInArrow(add, "side int, at binary, change binary").toArrow()
+    start.destroy()
+    for which, at, change in zip(*[c.to_pylist() for c in merged.columns]):
+        at = np.frombuffer(at, np.int32)
+        change = np.frombuffer(change, np.float32).reshape(len(at), -1)
+        model[which][at] += change[:, :size]
+        if which == 2:
+            model.bias[at] += change[:, size]
+    return model
+
+
+def score_documents(docs: DataFrame, training: Column, id_column: str = "doc_id", text: str = "text", least: int = 10, head: int = 1 << 18, size: int = 24, warm_rows: int = 1000) -> DataFrame:
     """One row per document: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
     ``training`` says which rows are learned from. Scores are log10 probabilities of the whole text.
     """
     learned = docs.filter(training)
     counts = written(word_counts(learned, text))
-    voc = vocabulary(counts, words, head)
-    model = train(learned, voc, text, id_column, words, size, warm_rows)
+    voc = vocabulary(counts, least, head)
     sc = docs.sparkSession.sparkContext
-    shared, looked = sc.broadcast(tuple(voc)), sc.broadcast(tuple(tables(model)))
+    shared = sc.broadcast(tuple(voc))
+    fitted = sc.broadcast(tuple(train(learned, voc, shared, text, id_column, size, warm_rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, t = Vocabulary(*shared.value), Tables(*looked.value)
-        end = words + CLASSES
+        voc, model = Vocabulary(*shared.value), Model(*fitted.value)
+        end, blocks = voc.words + CLASSES, blocks_of(voc.noise)
         log_count = np.log10(voc.counts + 1.0)
         log_class = np.log10(voc.class_totals.astype(float))
         log_end = np.log10(voc.ends + 1.0)
@@ -298,12 +385,12 @@ def score_documents(docs: DataFrame, training: Column, id_column: str = "doc_id"
             rare = ~known
             rare[ends] = False
             at = np.flatnonzero(rare)
-            out[at] = [words + word_class(flat[i]) for i in at.tolist()]
+            out[at] = [voc.words + word_class(flat[i]) for i in at.tolist()]
             c1, c2 = contexts(out, lengths, end) if len(flat) else (out, out)
-            logp = (t.first[c1, out] + t.second[c2, out] - t.normal[c1, c2]).astype(float)
-            member = (out >= words) & (out < end)
+            logp = log_probabilities(model, blocks, c1, c2, out)
+            member = (out >= voc.words) & (out < end)
             # A class word: its class, then its smoothed share; a rare word's own count comes by the join.
-            logp[member] += value[member] - log_class[out[member] - words]
+            logp[member] += value[member] - log_class[out[member] - voc.words]
             value[ends] = log_end
             starts = np.cumsum(lengths) - lengths
             add = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0)

@@ -165,6 +165,28 @@ def test_lm_outputs_sum_to_one():
     assert p.sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_blocks_sum_to_one():
+    rng = np.random.default_rng(1)
+    share = rng.random(200)
+    for blocks in (lm.blocks_of(share / share.sum()), lm.Blocks(np.array([0, 200]), np.zeros(200, int), np.ones(1))):
+        model = lm.Model(*[rng.normal(0, 1, (n, 4)).astype(np.float32) for n in (200, 200, 200 + len(blocks.shares))], rng.normal(0, 1, 200 + len(blocks.shares)).astype(np.float32))
+        got = lm.log_probabilities(model, blocks, np.full(200, 3), np.full(200, 5), np.arange(200))
+        assert (10.0 ** got).sum() == pytest.approx(1, abs=1e-4)
+    t = lm.tables(lm.Model(model.first, model.second, model.out[:200], model.bias[:200]))
+    assert got == pytest.approx(t.first[3] + t.second[5] - t.normal[3, 5], abs=1e-4)
+
+
+def test_lm_models_every_frequent_word(spark):
+    """Words of one class beyond the 1024 commonest have their own chances after a context."""
+    pairs = [f"a{i:04d}xx b{i:04d}xx" for i in range(1500)]
+    rnd = random.Random(2)
+    rows = [(i, " ".join(rnd.sample(pairs, 30))) for i in range(1500)]
+    rows += [(10_000 + i, p) for i, p in enumerate(pairs)] + [(20_000 + i, f"{p[:7]} {q[8:]}") for i, (p, q) in enumerate(zip(pairs, pairs[1:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    s = {r.doc_id: r.score for r in lm.score_documents(docs, F.col("doc_id") < 10_000).collect()}
+    assert np.mean([s[10_000 + i] - s[20_000 + i] for i in range(1499)]) > 0.3
+
+
 def test_lm_awkward(awkward, empty):
     out = lm.score_documents(awkward, fold("doc_id", 7) != 2).collect()
     assert len(out) == awkward.count() and all(r.score < 0 for r in out)
