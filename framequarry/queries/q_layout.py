@@ -231,6 +231,15 @@ def _(spark, d):
     return whole.select("asset", "page", F.substring_index("document", ',"meta":', 1).alias("head"))
 
 
+@query("export_aseprite_array_whole", "S-11", f"""WITH {DOC}, f AS (SELECT asset, page, img, page_w, page_h, string_agg('{{"filename":"' || asset || ' (' || clip || '_' || direction || ') ' || idx || '.png",' || body || ',"duration":' || CAST(floor(1000.0 / fps + 0.5) AS BIGINT) || '}}', ',' ORDER BY spot) AS fr FROM bd GROUP BY ALL),
+  t AS (SELECT asset, page, string_agg('{{"name":"' || clip || '_' || direction || '","from":' || a || ',"to":' || b || ',"direction":"forward","color":"#000000ff"}}', ',' ORDER BY a) AS tg
+    FROM (SELECT asset, page, clip, direction, min(spot) AS a, max(spot) AS b FROM bd GROUP BY ALL) GROUP BY ALL)
+  SELECT f.asset, f.page, '{{"frames":[' || fr || '],"meta":' || {META} || ',"frameTags":[' || tg || '],"layers":[],"slices":[{{"name":"pivot","color":"#0000ffff","keys":[{{"frame":0,"bounds":{{"x":0,"y":0,"w":16,"h":24}},"pivot":{{"x":8,"y":20}}}}]}}]}}}}' AS document
+  FROM f JOIN t ON t.asset = f.asset AND t.page = f.page""")
+def _(spark, d):
+    return SK.documents(SK.export_aseprite(doc_cells(spark, d), doc_clips(spark, d), W, H, (8, 20), "array", "descriptive"), SK.PAGE)
+
+
 @query("export_pixi", "S-12", f"""WITH {DOC}, f AS (SELECT asset, page, img, page_w, page_h, string_agg('"' || key || '":{{' || body || ',"anchor":{{"x":0.5,"y":0.833333}}}}', ',' ORDER BY spot) AS fr FROM bd GROUP BY ALL),
   a AS (SELECT asset, page, rank, '"' || clip || '_' || direction || '":[' || string_agg('"' || key || '"', ',' ORDER BY idx) || ']' AS an FROM bd GROUP BY asset, page, rank, clip, direction),
   b AS (SELECT asset, page, string_agg(an, ',' ORDER BY rank) AS an FROM a GROUP BY ALL),

@@ -82,6 +82,14 @@ def _(spark, d):
     return M.inspect_frames(M.frame_metrics(sparse(px(spark, d)))).drop("colours")
 
 
+@query("inspect_frames_whole", "A-39", f"""WITH {MT}, cl AS (SELECT frame, string_agg(c, ',' ORDER BY c) AS colours
+    FROM (SELECT DISTINCT frame, printf('#%06x', r * 65536 + g * 256 + b) AS c FROM sp WHERE a <> 0) GROUP BY frame)
+  SELECT mt.frame, width, height, round(coverage, 4) AS coverage, x0 AS x, y0 AS y,
+  x1 - x0 + 1 AS w, y1 - y0 + 1 AS h, round(cx, 2) AS cx, round(cy, 2) AS cy, n_colours, coalesce(colours, '') AS colours FROM mt LEFT JOIN cl ON cl.frame = mt.frame""")
+def _(spark, d):
+    return M.inspect_frames(M.frame_metrics(sparse(px(spark, d)))).withColumn("colours", F.array_join("colours", ","))
+
+
 @query("edge_variance", "A-16", f"""WITH {PX}, {SPARSE}, n AS (SELECT p.frame, p.clip, p.dir, p.x, p.y, count(q.frame) AS n FROM sp p LEFT JOIN sp q
     ON q.frame = p.frame AND q.a <> 0 AND abs(q.x - p.x) + abs(q.y - p.y) = 1 WHERE p.a <> 0 GROUP BY ALL),
   e AS (SELECT s.frame, s.clip, s.dir, count(n.frame) AS e FROM (SELECT DISTINCT frame, clip, dir FROM sp) s
