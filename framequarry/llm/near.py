@@ -13,11 +13,13 @@ Round one: each node takes the candidate that most trees give it and the largest
 confirmed on the full sets, and confirmed links are joined into components. Round two covers the rest: in every region
 that still holds more than one component, all nodes of different components are compared by signature in
 cells of two blocks; those that may be alike send their full sets to the cell once, and the pairs
-are confirmed there. What the first round leaves out by keeping two, the second takes up, so no
-candidate that shares a region is given up. Nodes of the largest component of a region stay in
+are confirmed there. What the first round leaves out by keeping two, the second takes up; of the pairs
+that share a region it gives up only those with fewer agreeing hashes than ``SLACK`` allows. Nodes of the largest component of a region stay in
 their blocks and only the others travel to all of them.
 
-A pair at the threshold of 0.8 shares a region in at least one of 24 trees with a chance of 1 - 4e-8.
+A pair at the threshold of 0.8 shares no region in any of 24 trees with a chance of 3.3e-8, and shares one
+but has too few agreeing hashes for round two with a chance of 1.5e-8, so it is compared with a chance of
+1 - 5e-8 (sums of binomials over independent hashes).
 
 Defined cases: a null, empty or wordless text has an empty set and is linked with nothing; with fewer
 words than a shingle the whole sequence is the one shingle; rows that share an id are one document,
@@ -41,7 +43,7 @@ TREES, DEPTH, LEAST = 24, 5, 3
 REGION = 64
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
-SLACK = 0.18  # of the estimated similarity below the threshold, about five standard errors of 120 hashes
+SLACK = 0.22  # of the estimated similarity below the threshold, about six standard errors of 120 hashes
 CACHE = 500_000
 SALTS = 1024
 

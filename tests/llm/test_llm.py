@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -364,6 +365,20 @@ def test_near_against_brute_force(spark, n):
     assert got == brute_near(rows, n)
 
 
+def test_near_second_round_misses_less_than_the_forest():
+    """Of pairs at the threshold fewer are dropped by signature than share no region."""
+    n, p = near.TREES * near.DEPTH, 0.8 + 0.2 / 256  # low bytes also agree by chance
+    region = np.zeros(near.TREES, np.int32)
+
+    def meet(agreeing):
+        rows = [(k, 0, k, 100, bytes([k] * (n - agreeing) + [9] * agreeing), region) for k in (0, 1)]
+        return len(near.Cell((0, 0, 1, 0, 0), rows, 80).meeting()) == 2
+
+    least = next(k for k in range(n + 1) if meet(k))
+    dropped = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(least))
+    assert dropped < (1 - 0.8**near.LEAST) ** near.TREES
+
+
 def test_near_awkward(awkward, empty):
     out = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near.near_classes(awkward, 4).collect()}
     assert out[1, 0] == (1, True) and out[3, 0] == (3, True) and out[7, 1] == (6, False) and out[None, 1] == (None, True)
