@@ -418,3 +418,51 @@ def test_pipeline_awkward(spark, awkward, empty):
         for _, stage in corpus_pipeline.STAGES:
             out = spark.createDataFrame(stage(spark, out, SF).toArrow())
         assert out.count() <= 3 * docs.count()
+
+
+def plain_mix(rows, weights, epochs=3):
+    """Copies to take of each row, by water-filling and the seeded order, in plain Python."""
+    size = [len((t or "").encode().split()) for _, t, _ in rows]
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for n, r in zip(size, rows) if r[2] == s) for s in sources}
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(sources)}
+    target, left = {}, sum(total.values())
+    open_sources = list(sources)
+    while open_sources:
+        share = {s: weight[s] * left / sum(weight[o] for o in open_sources) for s in open_sources}
+        over = [s for s in open_sources if share[s] > epochs * total[s]]
+        target |= {s: epochs * total[s] for s in over} if over else share
+        left -= sum(target[s] for s in over)
+        open_sources = [s for s in open_sources if s not in over] if over else []
+    times, start = [0] * len(rows), collections.Counter()
+    for k in sorted(range(len(rows)), key=lambda k: (hashlib.md5(f"mix:{rows[k][0]}".encode()).hexdigest(), rows[k][0], size[k])):
+        s = rows[k][2]
+        if total[s]:
+            whole = int(target[s] // total[s])
+            times[k] = whole + (2 * start[s] + size[k] < 2 * (target[s] - whole * total[s]))
+        start[s] += size[k]
+    return times
+
+
+def test_pipeline_rows_against_plain_python(spark, small):
+    stages = dict(corpus_pipeline.STAGES)
+    after = lambda name, docs: spark.createDataFrame(stages[name](spark, docs, SF).toArrow())
+    plain = lambda df: sorted(rows_of(df.select("doc_id", "text", "source")), key=str)
+
+    model = toxicity.train(small.filter(fold("doc_id", 4) != 2), spark.read.parquet(f"{SF}/labels.parquet"))
+    eta = lambda t: sum(model.weights[model.features[f]] for f in toxicity.text_features(t or "", None, {}) if f in model.features)
+    clean = after("toxicity", small)
+    want = [r for r in plain(small) if 1 - toxicity.grade_chances(np.array([eta(r[1])]), model.thresholds)[0, 0] < 0.3]
+    assert plain(clean) == want and 0 < len(want) < small.count()
+
+    single = after("near dedup", after("exact dedup", clean))
+    rows = plain(single)
+    mixed = after("mixing", single)
+    times = plain_mix(rows, queries.WEIGHTS)
+    assert plain(mixed) == sorted([r for r, n in zip(rows, times) for _ in range(n)], key=str) and len(set(times)) > 1
+
+    t = bpe.load(queries.tokenizer_json())
+    encoded = after("bpe", mixed)
+    got = sorted((r.doc_id, r.source, list(r.ids), r.n_tokens) for r in encoded.collect())
+    assert got == sorted((i, s, (ids := t.encode(x or "", add_special_tokens=False).ids), len(ids)) for i, x, s in plain(mixed))
+    assert sorted(rows_of(corpus_pipeline.run(spark, SF)), key=str) == sorted(rows_of(encoded), key=str)
