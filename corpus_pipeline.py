@@ -1,7 +1,7 @@
 """A training-data pipeline in five stages over ``documents``.
 
 Toxic documents go, then exact copies, then near copies (five-word shingles, similarity of 0.8 or
-more); the sources of what is left are mixed to target weights, and the mix is encoded. Each stage
+more); the sources of what is left are mixed to target weights, and the mix is encoded and decoded again. Each stage
 reads what the one before wrote. All but the last return the columns of ``documents``.
 """
 
@@ -43,8 +43,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id``, ``source``, ``ids`` and ``n_tokens`` of each row."""
-    return bpe.encode(docs, tokenizer_json(), keep=["source"]).withColumn("n_tokens", F.size("ids").cast("bigint"))
+    """``doc_id``, ``source``, ``ids``, ``n_tokens`` and ``decoded_sha256``, the digest of the decoded ids, of each row."""
+    config = tokenizer_json()
+    out = bpe.decode(bpe.encode(docs, config, keep=["source"]), config)
+    digest = F.sha2(F.col("decoded").cast("binary"), 256)
+    return out.withColumns({"n_tokens": F.size("ids").cast("bigint"), "decoded_sha256": digest}).drop("decoded")
 
 
 STAGES = [

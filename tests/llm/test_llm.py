@@ -465,4 +465,5 @@ def test_pipeline_rows_against_plain_python(spark, small):
     encoded = after("bpe", mixed)
     got = sorted((r.doc_id, r.source, list(r.ids), r.n_tokens) for r in encoded.collect())
     assert got == sorted((i, s, (ids := t.encode(x or "", add_special_tokens=False).ids), len(ids)) for i, x, s in plain(mixed))
+    assert all(r.decoded_sha256 == hashlib.sha256(t.decode(r.ids, skip_special_tokens=False).encode()).hexdigest() for r in encoded.collect())
     assert sorted(rows_of(corpus_pipeline.run(spark, SF)), key=str) == sorted(rows_of(encoded), key=str)
