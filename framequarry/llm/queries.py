@@ -1,4 +1,4 @@
-"""Queries of the ten operators over their whole tables, and SQL where it can express them."""
+"""Queries of the thirteen operators over their whole tables, and SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framequarry.llm import bpe, exact, lm, mixing, near, quality, repeats, rules, toxicity, urls
+from framequarry.llm import bpe, divergence, exact, interaction, leaks, lm, mixing, near, quality, repeats, rules, toxicity, urls
 from framequarry.llm.base import fold
 from framequarry.session import table
 
@@ -126,3 +126,20 @@ def op9(spark, d) -> DataFrame:
   FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT u, min(v) AS component_id FROM r GROUP BY u) c ON c.u = d.doc_id""")
 def op10(spark, d) -> DataFrame:
     return near.near_classes(table(spark, d, "documents"), n=4)
+
+
+@query("op11_divergence", divergence.audit_sql())
+def op11(spark, d) -> DataFrame:
+    return divergence.audit_sources(table(spark, d, "documents"))
+
+
+@query("op12_leaks", leaks.leaks_sql())
+def op12(spark, d) -> DataFrame:
+    out = leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    listed = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op13_interaction", interaction.audit_sql())
+def op13(spark, d) -> DataFrame:
+    return interaction.audit_filters(table(spark, d, "documents"), table(spark, d, "labels"))

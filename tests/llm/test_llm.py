@@ -60,8 +60,8 @@ def test_matches_sql(spark, name):
     assert check.rows(got) == check.rows(want)
 
 
-def test_ten_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+def test_thirteen_operators_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert "pipeline" in entry.queries()
 
 
