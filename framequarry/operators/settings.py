@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -198,52 +197,6 @@ def resolve_palette_refs(uses: DataFrame, palettes: DataFrame) -> DataFrame:
     return out.withColumn("code", code).drop("n")
 
 
-# ---- suggestions ------------------------------------------------------------------------------------------
-
-
-def osa_distance(a: str, b: str) -> int:
-    """Edit distance in which exchanging two neighbouring letters is one edit."""
-    before, row = [], list(range(len(b) + 1))
-    for i, ca in enumerate(a, 1):
-        older, before, row = before, row, [i]
-        for j, cb in enumerate(b, 1):
-            best = min(before[j] + 1, row[-1] + 1, before[j - 1] + (ca != cb))
-            if i > 1 and j > 1 and ca == b[j - 2] and a[i - 2] == cb:
-                best = min(best, older[j - 2] + 1)
-            row.append(best)
-    return row[-1]
-
-
-def _osa(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([osa_distance(x, y) for x, y in zip(a, b)], dtype="int32")
-
-
-def suggest(words: DataFrame, options: DataFrame, chunk: int = 256) -> DataFrame:
-    """The closest of ``options(option, pos)`` for every distinct ``words(word)``, null when none is close.
-
-    Close means at most max(1, length / 3) edits; the first option wins ties. Options are held as
-    arrays per length and chunk, and a word meets only the lengths it can reach. The built-in edit
-    distance never exceeds twice the wanted one, so it discards options inside the array and only
-    the few left become rows.
-    """
-    reach = F.greatest(F.lit(1), F.floor(F.length("word") / 3)).cast("int")
-    w = words.select("word").distinct().withColumn("reach", reach)
-    entry = F.struct(F.lower("option").alias("low"), "pos", "option")
-    arrays = (
-        options.withColumn("n", F.length("option")).withColumn("__chunk", F.floor(F.col("pos") / chunk))
-        .groupBy("n", "__chunk").agg(F.collect_list(entry).alias("entries")).drop("__chunk")
-    )
-    lengths = F.sequence(F.greatest(F.lit(0), F.length("word") - F.col("reach")), F.length("word") + F.col("reach"))
-    met = w.select("word", "reach", F.explode(lengths).alias("n")).join(arrays, "n")
-    near = F.filter("entries", lambda e: F.levenshtein(F.lower("word"), e["low"]) <= 2 * F.col("reach"))
-    rows = met.select("word", "reach", F.inline(near))
-    scored = rows.withColumn("d", F.pandas_udf(_osa, "int")(F.lower("word"), F.col("low"))).filter(F.col("d") <= F.col("reach"))
-    best = scored.groupBy("word").agg(
-        F.min_by("option", F.struct("d", "pos")).alias("suggestion"), F.min("d").cast("bigint").alias("distance")
-    )
-    return w.select("word").join(best, "word", "left")
-
-
 # ---- templates ----------------------------------------------------------------------------------------------
 
 

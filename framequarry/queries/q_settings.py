@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from framequarry.functions import color, text
 from framequarry.operators import filters as FL
 from framequarry.operators import pixels as P
-from framequarry.operators import settings as S
+from framequarry.operators import settings as S, spelling
 from framequarry.queries import query
 from framequarry.queries.views import PX, lab_sql, px
 from framequarry.session import table
@@ -173,13 +173,40 @@ def words(spark, d):
 
 
 def options(spark, d):
-    names = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("option")).distinct()
-    return names.withColumn("pos", F.pmod(F.xxhash64("option"), F.lit(1_000_000)))
+    """Words of part names, in the order of their first use."""
+    names = table(spark, d, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("at", "option"))
+    return names.groupBy("option").agg(F.min(F.col("p_partkey") * 100 + F.col("at")).alias("pos"))
 
 
-@query("suggest", "J-17", None)
+def suggestion_sql(options: str) -> str:
+    """Closest options: the engine's unrestricted distance bounds the wanted one from below, the plain one from above; where they differ, a table row by row decides."""
+    return f"""WITH RECURSIVE w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM documents)),
+  o AS ({options}),
+  p AS (SELECT word, option, pos, lower(word) AS a, lower(option) AS b, greatest(1, length(word) // 3) AS reach, levenshtein(lower(word), lower(option)) AS most FROM w JOIN o
+    ON abs(length(word) - length(option)) <= greatest(1, length(word) // 3) AND damerau_levenshtein(lower(word), lower(option)) <= greatest(1, length(word) // 3)),
+  q AS (SELECT DISTINCT a, b FROM p WHERE most <> damerau_levenshtein(a, b)),
+  t AS (SELECT a, b, 0 AS i, []::BIGINT[] AS older, range(0, length(b) + 1) AS before FROM q
+    UNION ALL SELECT a, b, i + 1, before, list_reduce(list_prepend([i::BIGINT + 1], list_transform(range(1, length(b) + 1), lambda j: [j])), lambda r, e: list_append(r, least(before[e[1] + 1] + 1, r[e[1]] + 1,
+        before[e[1]] + (a[i + 1] <> b[e[1]])::BIGINT, CASE WHEN i > 0 AND e[1] > 1 AND a[i + 1] = b[e[1] - 1] AND a[i] = b[e[1]] THEN older[e[1] - 1] + 1 END))) FROM t WHERE i < length(a)),
+  d AS (SELECT word, option, pos, reach, coalesce(before[length(t.b) + 1], most) AS d FROM p LEFT JOIN t ON t.a = p.a AND t.b = p.b AND t.i = length(t.a)),
+  b AS (SELECT word, arg_min(option, (d, pos)) AS suggestion, min(d)::BIGINT AS distance FROM d WHERE d <= reach GROUP BY word)
+  SELECT word, suggestion, distance FROM w LEFT JOIN b USING (word)"""
+
+
+@query("suggest", "J-17", suggestion_sql("SELECT option, min(p_partkey * 100 + place) AS pos FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS option, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS place FROM part) GROUP BY option"))
+def _(spark, d):
+    return spelling.suggest(words(spark, d), options(spark, d))
+
+
+@query("suggest_long", "J-17", suggestion_sql("SELECT option, min(c_custkey) AS pos FROM (SELECT c_custkey, replace(lower(c_mktsegment || n_name), ' ', '') AS option FROM customer JOIN nation ON n_nationkey = c_nationkey) GROUP BY option UNION SELECT option, min(item_id * 1000 + place) + 1000000 FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS option, generate_subscripts(regexp_extract_all(text, '[A-Za-z]+'), 1) - 1 AS place FROM benchmark) WHERE length(option) > 8 GROUP BY option"))
 def _(spark, d):
-    return S.suggest(words(spark, d), options(spark, d))
+    """Long options, so that pieces of strings are looked up: segment and nation together, and long words of the test items."""
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    names = table(spark, d, "customer").join(nation, "c_nationkey").select("c_custkey", F.replace(F.lower(F.concat("c_mktsegment", "n_name")), F.lit(" "), F.lit("")).alias("option"))
+    names = names.groupBy("option").agg(F.min("c_custkey").alias("pos"))
+    items = table(spark, d, "benchmark").select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("at", "option")).filter(F.length("option") > 8)
+    items = items.groupBy("option").agg((F.min(F.col("item_id") * 1000 + F.col("at")) + 1_000_000).alias("pos"))
+    return spelling.suggest(words(spark, d), names.unionByName(items))
 
 
 @query("substitute", "P-22", """SELECT p_partkey AS asset, 'size' AS path, CAST(p_size AS VARCHAR) AS text, p_size::DOUBLE AS number, NULL AS issue FROM part

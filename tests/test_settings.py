@@ -1,4 +1,3 @@
-import itertools
 import random
 
 import pytest
@@ -93,24 +92,6 @@ def test_swap_side_and_paths(spark):
     assert row.select(text.format_path("p")).first()[0] == 'a.b[2]["x y"]["q\\"t"]'
 
 
-def test_suggest_matches_brute_force(spark):
-    rng = random.Random(3)
-    word = lambda: "".join(rng.choice("abCd") for _ in range(rng.randrange(1, 9)))
-    words, options = {word() for _ in range(60)}, list(dict.fromkeys(word() for _ in range(50)))
-    w = spark.createDataFrame([(x,) for x in words], "word string")
-    o = spark.createDataFrame([(x, i) for i, x in enumerate(options)], "option string, pos bigint")
-    got = {r.word: r.suggestion for r in S.suggest(w, o, chunk=7).collect()}
-    for x in words:
-        d, i = min((S.osa_distance(x.lower(), y.lower()), i) for i, y in enumerate(options))
-        assert got[x] == (options[i] if d <= max(1, len(x) // 3) else None)
-
-
-def test_osa_distance_counts_transpositions():
-    assert S.osa_distance("abcd", "abdc") == 1 and S.osa_distance("ca", "abc") == 3 and S.osa_distance("", "ab") == 2
-    for a, b in itertools.product(["kitten", "sitting", "abc", ""], repeat=2):
-        assert S.osa_distance(a, b) == S.osa_distance(b, a)
-
-
 def test_expand_parts_reports_cycles_and_depth(spark):
     parts = spark.createDataFrame([("m", "root", "loop", "hip"), ("m", "leaf", None, "arm"), ("m", "lost", "nowhere", None), ("m", "deep", "d0", None)], "asset string, id string, component string, bone string")
     chain = [(f"d{i}", "k", f"d{i + 1}", None) for i in range(12)]
