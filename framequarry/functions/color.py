@@ -5,8 +5,10 @@ Everything stays a JVM expression. Colours are packed as r * 65536 + g * 256 + b
 
 from __future__ import annotations
 
+import functools
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -142,6 +144,11 @@ def _oklab_value(rgb: int) -> tuple[float, float, float]:
     return tuple(sum(w * v for w, v in zip(row, lms)) for row in LMS_TO_LAB)
 
 
+def check_size(palette: list[int]) -> None:
+    if not 1 <= len(palette) <= MAX_PALETTE:
+        raise ValueError(f"a palette holds 1 to {MAX_PALETTE} colours, got {len(palette)}")
+
+
 def nearest_fixed(lab: Column, palette: list[int]) -> Column:
     """Index (from 0) of the nearest colour of a palette known on the driver.
 
@@ -149,8 +156,7 @@ def nearest_fixed(lab: Column, palette: list[int]) -> Column:
     code: no join, no shuffle, and cost per pixel proportional to the palette. Ties go to the
     lowest index.
     """
-    if not 1 <= len(palette) <= MAX_PALETTE:
-        raise ValueError(f"a palette holds 1 to {MAX_PALETTE} colours, got {len(palette)}")
+    check_size(palette)
     distances = []
     for rgb in palette:
         p = _oklab_value(rgb)
@@ -160,6 +166,62 @@ def nearest_fixed(lab: Column, palette: list[int]) -> Column:
     return (F.array_position(every, F.array_min(every)) - 1).cast("bigint")
 
 
+# ---- candidates by colour bin -------------------------------------------------------------------
+
+BIN_BITS = 5  # 32 bins a channel
+BINS = 1 << 3 * BIN_BITS
+
+
+def colour_bin(r, g, b) -> Column:
+    """Number of the 8 x 8 x 8 cube of a colour."""
+    shift = 8 - BIN_BITS
+    r, g, b = (F.shiftright(_col(c), shift).cast("int") for c in (r, g, b))
+    return F.shiftleft(r, 2 * BIN_BITS).bitwiseOR(F.shiftleft(g, BIN_BITS)).bitwiseOR(b)
+
+
+@functools.lru_cache(maxsize=1)
+def bin_balls() -> tuple[np.ndarray, np.ndarray]:
+    """Centre in Oklab of every bin and the distance of its farthest colour; the same for all palettes."""
+    side, wide = 1 << BIN_BITS, 256 >> BIN_BITS
+    linear = np.array([_linear(v) for v in range(256)])
+    to_lms, to_lab = np.array(RGB_TO_LMS), np.array(LMS_TO_LAB)
+    centres, radii = np.empty((BINS, 3)), np.empty(BINS)
+    for k in range(side):
+        red, green, blue = np.meshgrid(linear[k * wide : (k + 1) * wide], linear, linear, indexing="ij")
+        lab = np.cbrt(np.stack([red, green, blue], axis=-1) @ to_lms.T) @ to_lab.T
+        cubes = lab.reshape(wide, side, wide, side, wide, 3).transpose(1, 3, 0, 2, 4, 5).reshape(side * side, -1, 3)
+        centre = (cubes.min(axis=1) + cubes.max(axis=1)) / 2
+        here = slice(k * side * side, (k + 1) * side * side)
+        centres[here] = centre
+        radii[here] = np.sqrt(((cubes - centre[:, None]) ** 2).sum(axis=2).max(axis=1))
+    return centres, radii
+
+
+#: More than rounding can move a distance.
+BIN_SLACK = 1e-9
+
+
+def candidate_grid(palette: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the palette colours that can be nearest to some colour of each bin: ``first`` (one more than bins) and ``places``."""
+    centres, radii = bin_balls()
+    far = np.stack([np.sqrt(((centres - np.array(_oklab_value(c))) ** 2).sum(axis=1)) for c in palette], axis=1)
+    near = far <= far.min(axis=1, keepdims=True) + 2 * radii[:, None] + BIN_SLACK
+    first = np.concatenate([[0], near.sum(axis=1).cumsum()])
+    return first, np.nonzero(near)[1]
+
+
+def nearest_among(lab: Column, palette: list[int], places: Column) -> Column:
+    """Index of the nearest colour of a driver's palette among ``places`` (an array of indices), ties to the lowest."""
+    values = [_oklab_value(rgb) for rgb in palette]
+    axes = [F.expr("array(" + ",".join(f"{v[k]!r}D" for v in values) + ")") for k in range(3)]
+
+    def ranked(i: Column) -> Column:
+        d = [lab[n] - F.get(axis, i) for n, axis in zip(("L", "A", "B"), axes)]
+        return F.struct((d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("d"), i.alias("i"))
+
+    return F.array_min(F.transform(places, ranked))["i"].cast("bigint")
+
+
 def nearest_in(lab: Column, palette: Column) -> Column:
     """Nearest entry of an ARRAY<STRUCT<idx, rgb, L, A, B>> column (a palette per row), ties to the lowest idx."""
     ranked = F.transform(

@@ -20,11 +20,34 @@ def distinct_in_order(colours: list[int]) -> list[int]:
     return list(dict.fromkeys(colours))
 
 
+#: Palettes up to this size are unrolled; larger ones are looked up by colour bin.
+UNROLLED = 16
+
+
+def nearest_index(df: DataFrame, r: str, g: str, b: str, colours: list[int], name: str) -> DataFrame:
+    """Add the index of the nearest palette colour of each row; a projection.
+
+    A small palette is an unrolled expression. For a larger one the driver finds, for each of the 32 x 32 x 32
+    colour bins, the few colours that can be nearest to any colour of the bin; rows measure only those of
+    their bin, so the cost of a row hardly depends on the size of the palette. The grid is one row, a
+    scalar of at most 32 768 bins of at most 256 places each.
+    """
+    df = df.withColumn("__lab", color.rgb_to_oklab(r, g, b))
+    if len(colours) <= UNROLLED:
+        return df.withColumn(name, color.nearest_fixed(F.col("__lab"), colours)).drop("__lab")
+    color.check_size(colours)
+    first, places = color.candidate_grid(colours)
+    grid = df.sparkSession.createDataFrame([(first.tolist(), places.tolist())], "first array<int>, places array<int>")
+    df = df.withColumns({"__first": grid.select("first").scalar(), "__places": grid.select("places").scalar(), "__bin": color.colour_bin(r, g, b)})
+    start = F.get("__first", F.col("__bin"))
+    mine = F.slice("__places", start + 1, F.get("__first", F.col("__bin") + 1) - start)
+    return df.withColumn(name, color.nearest_among(F.col("__lab"), colours, mine)).drop("__lab", "__first", "__places", "__bin")
+
+
 def nearest_palette(pixels: DataFrame, palette: list[int]) -> DataFrame:
     """Add ``idx`` and ``rgb`` of the nearest palette colour; duplicates drop out of the palette first."""
     colours = distinct_in_order(palette)
-    df = pixels.withColumn("__lab", color.rgb_to_oklab("r", "g", "b"))
-    df = df.withColumn("idx", color.nearest_fixed(F.col("__lab"), colours)).drop("__lab")
+    df = nearest_index(pixels, "r", "g", "b", colours, "idx")
     return df.withColumn("rgb", F.element_at(_constant(colours), F.col("idx").cast("int") + 1))
 
 
@@ -36,11 +59,10 @@ def map_to_palette(pixels: DataFrame, palette: list[int], dither: str = "none",
     """Snap opaque pixels to one fixed palette, with ordered dithering; a projection."""
     colours = distinct_in_order(palette)
     df = P.dithered(pixels, dither, strength)
-    df = df.withColumn("__lab", color.rgb_to_oklab("__r", "__g", "__b"))
-    df = df.withColumn("__idx", color.nearest_fixed(F.col("__lab"), colours))
+    df = nearest_index(df, "__r", "__g", "__b", colours, "__idx")
     chosen = F.element_at(_constant(colours), F.col("__idx").cast("int") + 1)
     return P.with_rgb(df.withColumn("__c", chosen), F.col("__c"), F.col("a") != 0).drop(
-        "__r", "__g", "__b", "__lab", "__idx", "__c"
+        "__r", "__g", "__b", "__idx", "__c"
     )
 
 
@@ -58,24 +80,60 @@ def palette_arrays(palettes: DataFrame, key: str) -> DataFrame:
     )
 
 
+def is_fallback(key: str) -> Column:
+    """The palette for rows whose key has none: key ``*``, or null where keys are not text."""
+    return F.coalesce(F.col(key).cast("string"), F.lit("*")) == "*"
+
+
 def map_to_palettes(
     pixels: DataFrame, palettes: DataFrame, key: str = "clip", dither: str = "none", strength: float = 1.0
 ) -> DataFrame:
-    """Snap to the palette of the row's key.
+    """Snap to the palette of the row's key, else to that of ``*``; without either the colour stays.
 
     Up to MAX_BROADCAST palettes are counted and then broadcast, so pixels of a hot key do not move.
-    More of them are an ordinary join, which Spark splits where a key is hot.
+    More of them are an ordinary join, which Spark splits where a key is hot. Palettes of more than
+    MEASURED colours are cut down to the candidates of each colour bin that their pixels use.
     """
     arrays = staged(palette_arrays(palettes, key))
-    if arrays.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        arrays = F.broadcast(arrays)
-    df = P.dithered(pixels, dither, strength).join(arrays, key, "left")
+    found = arrays.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("__pal")).alias("most")).first()
+    rest = arrays.filter(is_fallback(key)).agg(F.first("__pal").alias("p")).scalar()
+    small = arrays.filter(~is_fallback(key))
+    if found.n <= MAX_BROADCAST:
+        small = F.broadcast(small)
+    df = P.dithered(pixels, dither, strength)
+    if (found.most or 0) <= MEASURED:
+        df = df.join(small, key, "left").withColumn("__pal", F.coalesce("__pal", rest))
+    else:
+        df = df.withColumn("__bin", color.colour_bin("__r", "__g", "__b"))
+        cells = staged(bin_candidates(df.filter(F.col("a") != 0).select(key, "__bin").distinct().join(small, key, "left").withColumn("__pal", F.coalesce("__pal", rest)), key))
+        if cells.count() <= MAX_CELLS:
+            cells = F.broadcast(cells)
+        # Keys can be null, so they meet inside a struct.
+        df = df.withColumn("__cell", F.struct(F.col(key).alias("k"), "__bin")).join(cells, "__cell", "left").drop("__cell", "__bin")
     df = df.withColumn("__lab", color.rgb_to_oklab("__r", "__g", "__b"))
     df = df.withColumn("__c", color.nearest_in(F.col("__lab"), F.col("__pal"))["rgb"])
     changed = (F.col("a") != 0) & F.col("__c").isNotNull()
     return P.with_rgb(df, F.col("__c"), changed).drop("__r", "__g", "__b", "__lab", "__pal", "__c")
 
 
+#: Palettes of up to this many colours are measured whole for every pixel.
+MEASURED = 32
+#: Rows of candidates (a few colours each) that are broadcast.
+MAX_CELLS = 200_000
+
+
+def bin_candidates(used: DataFrame, key: str) -> DataFrame:
+    """``used(key, __bin, __pal)`` to ``(__cell, __pal)``: per key and bin the colours that can be nearest in it."""
+    centres, radii = color.bin_balls()
+    rows = pd.DataFrame({"__bin": np.arange(color.BINS, dtype=np.int32), "L": centres[:, 0], "A": centres[:, 1], "B": centres[:, 2], "radius": radii})
+    balls = used.sparkSession.createDataFrame(rows)
+    df = used.join(balls, "__bin").withColumn("__centre", F.struct("L", "A", "B"))
+    df = df.withColumn("__d", F.transform("__pal", lambda p: F.sqrt(color.oklab_dist2(F.col("__centre"), p))))
+    reach = F.array_min("__d") + 2 * F.col("radius") + color.BIN_SLACK
+    near = F.filter("__pal", lambda p, i: F.get("__d", i) <= F.col("__reach"))
+    return df.withColumn("__reach", reach).select(F.struct(F.col(key).alias("k"), "__bin").alias("__cell"), near.alias("__pal"))
+
+
 def snap_colour(rgb: int, palette: list[int]) -> Column:
     """The palette colour nearest to a constant."""
     colours = distinct_in_order(palette)
@@ -192,17 +250,31 @@ def wu_quantise(pixels: DataFrame, count: int, scope: str = "clip") -> DataFrame
 def auto_palette(pixels: DataFrame, count: int, scope: str = "clip") -> DataFrame:
     """``(scope, idx, rgb)``: the colours themselves when there are at most ``count``, else quantised.
 
-    Duplicates drop out, order is dark to light, and a scope without opaque pixels gets black.
+    Duplicates drop out, order is dark to light, and a scope without opaque pixels gets black. Pixels are
+    counted by (scope, colour) before anything moves; what a scope gathers is the histogram of at
+    most 32 768 bins and, while a bin has no more than ``count`` of them, its colours.
     """
-    opaque = pixels.filter(F.col("a") != 0)
-    colours = opaque.groupBy(scope, P.rgb().alias("rgb")).agg(F.lit(1).alias("one"))
-    sizes = colours.groupBy(scope).agg(F.count(F.lit(1)).alias("n"))
-    small = sizes.filter(F.col("n") <= count).select(scope)
-    large = sizes.filter(F.col("n") > count).select(scope)
-    exact = colours.join(small, scope, "left_semi").select(scope, "rgb")
-    quantised = wu_quantise(opaque.join(large, scope, "left_semi"), count, scope).distinct()
-    empty = pixels.select(scope).distinct().join(sizes, scope, "left_anti").select(scope, F.lit(0).cast("bigint").alias("rgb"))
-    return sort_by_lightness(exact.unionByName(quantised).unionByName(empty), [scope])
+    counts = pixels.groupBy(scope, F.when(F.col("a") != 0, P.rgb()).alias("rgb")).agg(F.count(F.lit(1)).alias("n"))
+    channel = {"r": color.red("rgb"), "g": color.green("rgb"), "b": color.blue("rgb")}
+    bins = [F.shiftright(v, 3).cast("int").alias(f"{c}b") for c, v in channel.items()]
+    n = F.col("n")
+    hist = counts.groupBy(scope, *bins).agg(
+        F.sum(F.when(F.col("rgb").isNotNull(), n).otherwise(0)).alias("w"), *[F.sum(n * v).alias(c) for c, v in channel.items()],
+        F.sum(n * sum((v * v for v in channel.values()), F.lit(0))).alias("q"),
+        F.count("rgb").alias("colours"), F.when(F.count("rgb") <= count, F.sort_array(F.collect_list("rgb"))).alias("all"))
+    kind = dict(pixels.dtypes)[scope]
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        used = pdf[pdf["colours"] > 0]
+        if used.empty:
+            found = [0]
+        elif used["colours"].sum() <= count:
+            found = [int(c) for some in used["all"] for c in some]
+        else:
+            found = sorted(set(split_boxes(used.astype({"rb": int, "gb": int, "bb": int}), count)))
+        return pd.DataFrame({scope: pd.Series([pdf[scope].iloc[0]] * len(found), dtype=pdf[scope].dtype), "rgb": found})
+
+    return sort_by_lightness(hist.groupBy(scope).applyInPandas(choose, f"{scope} {kind}, rgb bigint"), [scope])
 
 
 # ---- histograms and membership ----------------------------------------------------------------

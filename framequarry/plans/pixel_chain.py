@@ -106,17 +106,16 @@ def _(s: Sprites) -> Sprites:
     t = s.settings
     if isinstance(t.palette, list):
         return _with(s, PAL.map_to_palette(s.pixels, t.palette, t.dither, t.dither_strength))
-    # An automatic palette reads every frame before the first is mapped, so the frames are staged.
-    pixels = staged(s.pixels)
+    # An automatic palette reads every frame before the first is mapped. Only the palettes are staged; the passes before run once more.
     if t.palette_scope == "clip":
-        palettes = staged(PAL.auto_palette(pixels, t.palette, "clip"))
-        mapped = PAL.map_to_palettes(pixels, palettes, "clip", t.dither, t.dither_strength)
-        return replace(s, pixels=mapped.repartition("frame"), palettes=palettes, scope="clip")
-    palettes = staged(PAL.auto_palette(pixels.withColumn("__all", F.lit(0)), t.palette, "__all"))
+        palettes = staged(PAL.auto_palette(s.pixels, t.palette, "clip"))
+        mapped = PAL.map_to_palettes(s.pixels, palettes, "clip", t.dither, t.dither_strength)
+        return replace(s, pixels=mapped, palettes=palettes, scope="clip")
+    palettes = staged(PAL.auto_palette(s.pixels.withColumn("__all", F.lit(0)), t.palette, "__all"))
     # One palette of at most 256 colours: as constants it needs no join.
     colours = [r.rgb for r in palettes.orderBy("idx").take(t.palette)]
-    mapped = PAL.map_to_palette(pixels, colours, t.dither, t.dither_strength)
-    return replace(s, pixels=mapped.repartition("frame"), palettes=palettes, colours=colours)
+    mapped = PAL.map_to_palette(s.pixels, colours, t.dither, t.dither_strength)
+    return replace(s, pixels=mapped, palettes=palettes, colours=colours)
 
 
 @register_pass("outline", 1, "A contour around the shape or on its rim.", lambda s: s.outline is not None)
@@ -131,7 +130,7 @@ def _(s: Sprites) -> Sprites:
         ink = arrays.select(s.scope, color.nearest_in(color.constant_oklab(o.colour), F.col("__pal"))["rgb"].alias("__ink"))
         if ink.limit(PAL.MAX_BROADCAST + 1).count() <= PAL.MAX_BROADCAST:
             ink = F.broadcast(ink)
-        pixels = pixels.join(ink, s.scope, "left").repartition("frame")
+        pixels = pixels.join(ink, s.scope, "left")
         colour = F.col("__ink")
     return _with(s, P.outline(pixels, o.side, o.width, o.connectivity, colour).drop("__ink"))
 

@@ -85,3 +85,40 @@ def test_regions_count_twice_and_clip(spark):
     regions = spark.createDataFrame([(0, 0, 0, 1, 1), (0, 0, 0, 9, 9), (0, -3, -3, 4, 4)], "frame bigint, rx int, ry int, rw int, rh int")
     rows = PAL.count_colours(PAL.filter_regions(I.to_df(spark, img), regions), [0x020202]).collect()
     assert {(r.hex, r.pixels, r.idx) for r in rows} == {("#010101", 3, None), ("#020202", 2, 0)}
+
+
+def plain_nearest(rgb, palette):
+    p = np.array(color._oklab_value(rgb))
+    return min(((p - np.array(color._oklab_value(c))) ** 2).sum() for c in palette)
+
+
+def test_bin_balls_hold_their_colours():
+    centres, radii = color.bin_balls()
+    rng = np.random.default_rng(11)
+    for r, g, b in rng.integers(0, 256, (500, 3)).tolist() + [[0, 0, 0], [255, 255, 255], [7, 248, 0]]:
+        k = (r >> 3) << 10 | (g >> 3) << 5 | b >> 3
+        assert np.sqrt(((np.array(color._oklab_value(r << 16 | g << 8 | b)) - centres[k]) ** 2).sum()) <= radii[k] + 1e-12
+
+
+def test_candidates_hold_the_nearest_of_large_palettes(spark):
+    rng = np.random.default_rng(12)
+    pal = list(dict.fromkeys(int(v) for v in rng.integers(0, 1 << 24, 256)))
+    rgb = [[int(v) for v in c] for c in rng.integers(0, 256, (2000, 3))] + [[c >> 16, c >> 8 & 255, c & 255] for c in pal]
+    df = spark.createDataFrame([(i, 0, 0, *c, 255, i % 2) for i, c in enumerate(rgb)], "frame int, x bigint, y bigint, r bigint, g bigint, b bigint, a bigint, clip int")
+    for r in PAL.nearest_palette(df, pal).collect():
+        here = r.r << 16 | r.g << 8 | r.b
+        assert plain_nearest(here, [pal[r.idx]]) <= plain_nearest(here, pal) + 1e-15 and r.rgb == pal[r.idx]
+    fixed = {r.frame: (r.r, r.g, r.b) for r in PAL.map_to_palette(df, pal).collect()}
+    table = spark.createDataFrame([(0, i, c) for i, c in enumerate(pal)] + [(None, i, c) for i, c in enumerate(pal)], "clip int, idx bigint, rgb bigint")
+    assert {r.frame: (r.r, r.g, r.b) for r in PAL.map_to_palettes(df, table).collect()} == fixed
+
+
+def test_palettes_fall_back_to_the_common_one(spark):
+    df = spark.createDataFrame([(0, 0, 0, 10, 10, 10, 255, "a"), (1, 0, 0, 10, 10, 10, 255, "b"), (2, 0, 0, 9, 9, 9, 255, None), (3, 0, 0, 9, 9, 9, 0, "b")],
+                               "frame int, x bigint, y bigint, r bigint, g bigint, b bigint, a bigint, clip string")
+    own, common = ("a", 0, 0x0A0B0C), ("*", 0, 0xFF0000)
+    got = lambda rows: [r.r for r in PAL.map_to_palettes(df, spark.createDataFrame(rows, "clip string, idx bigint, rgb bigint")).orderBy("frame").collect()]
+    assert got([own, common]) == [10, 255, 255, 9]
+    assert got([own]) == [10, 10, 9, 9]
+    many = [("*", i, 0xFF0000 + i) for i in range(40)]
+    assert got([own, *many]) == [10, 255, 255, 9]
