@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framequarry.functions import color, motion
-from framequarry.session import ensure_checkpoint_dir
+from framequarry.functions import color, joins, motion
+from framequarry.session import ensure_checkpoint_dir, staged
 
 # Budgets and shares that results must agree with.
 TRIANGLE_WARNING, TRIANGLE_LIMIT = 20_000, 50_000
@@ -50,38 +50,109 @@ def rig_issues(bones: DataFrame) -> DataFrame:
 # ---- skinning -------------------------------------------------------------------------------------------
 
 
-def skin_weights(vertices: DataFrame, segments: DataFrame, mode: str = "two-bone-blend") -> DataFrame:
-    """Up to two ``(joint, weight)`` rows per vertex from its nearest bone segments.
+def bone_segments(bones: DataFrame) -> DataFrame:
+    """``(rig, joint, ax, ay, az, bx, by, bz)`` from ``bones(rig, bone, parent, x, y, z)``, the heads at rest.
 
-    ``segments(rig, joint, ax, ay, az, bx, by, bz)`` are one array per rig (bounded by the rig), so a
-    vertex meets them inside an expression and no pairs become rows.
+    A bone reaches to the head of each of its children. A leaf goes on in its parent's direction for its parent's
+    length; a bone without parent or children is a point.
     """
-    along = {f"v{c}": F.col(f"b{c}") - F.col(f"a{c}") for c in "xyz"}
-    square = sum((v * v for v in along.values()), F.lit(0.0))
-    ends = F.struct("joint", *[f"a{c}" for c in "xyz"], *[v.alias(n) for n, v in along.items()], square.alias("n"), F.sqrt(square).alias("len"))
-    rigs = segments.groupBy("rig").agg(F.collect_list(ends).alias("__s"))
-    df = vertices.join(rigs, "rig")
+    head = lambda n: [F.col(c).alias(f"{n}{c}") for c in "xyz"]
+    own = bones.select("rig", F.col("bone").alias("joint"), "parent", *head("a"))
+    child = bones.filter(F.col("parent").isNotNull()).select("rig", F.col("parent").alias("joint"), *head("b"))
+    above = bones.select("rig", F.col("bone").alias("parent"), *head("p"))
+    ends = own.join(child, ["rig", "joint"], "left").join(above, ["rig", "parent"], "left")
+    further = {f"b{c}": F.coalesce(f"b{c}", F.col(f"a{c}") + (F.col(f"a{c}") - F.col(f"p{c}")), f"a{c}") for c in "xyz"}
+    return ends.select("rig", "joint", *[f"a{c}" for c in "xyz"], *[v.alias(n) for n, v in further.items()])
+
+
+#: Vertices of a cell, on average; cells of a rig an axis; fine cells of a coarse one an axis.
+CELL_VERTICES, MOST_CELLS, COARSE = 16, 64, 4
+# More than rounding can move a distance.
+CELL_SLACK = 1e-9
+
+
+def _distances(segments: str, x: Column, y: Column, z: Column) -> Column:
+    """``(d, joint, len)`` of a point and each segment of an array."""
+    at = dict(zip("xyz", (x, y, z)))
 
     def foot(s):
-        """Where along the segment the vertex is nearest, as a share of its length."""
-        dot = sum(((F.col(c) - s[f"a{c}"]) * s[f"v{c}"] for c in "xyz"), F.lit(0.0))
+        """Where along the segment the point is nearest, as a share of its length."""
+        dot = sum(((at[c] - s[f"a{c}"]) * s[f"v{c}"] for c in "xyz"), F.lit(0.0))
         u = F.when(s["n"] == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot / s["n"])))
         return F.struct(u.alias("u"), s.alias("s"))
 
     def measure(f):
-        gap = [F.col(c) - f["s"][f"a{c}"] - f["s"][f"v{c}"] * f["u"] for c in "xyz"]
-        d = F.sqrt(sum((g * g for g in gap), F.lit(0.0)))
-        return F.struct(d.alias("d"), f["s"]["joint"].alias("joint"), f["s"]["len"].alias("len"))
-
-    df = df.withColumn("__d", F.transform(F.transform("__s", foot), measure)).withColumn("__1", F.array_min("__d"))
-    # The second bone is the nearest segment of another joint; a bone's length is its longest segment.
-    df = df.withColumn("__2", F.array_min(F.filter("__d", lambda e: e["joint"] != F.col("__1.joint"))))
-    reach = lambda joint: F.array_max(F.transform(F.filter("__d", lambda e: e["joint"] == joint), lambda e: e["len"]))
-    df = df.withColumns({"__l1": reach(F.col("__1.joint")), "__l2": reach(F.col("__2.joint"))})
+        gap = [at[c] - f["s"][f"a{c}"] - f["s"][f"v{c}"] * f["u"] for c in "xyz"]
+        return F.struct(F.sqrt(sum((g * g for g in gap), F.lit(0.0))).alias("d"), f["s"]["joint"].alias("joint"), f["s"]["len"].alias("len"))
+
+    return F.transform(F.transform(segments, foot), measure)
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once per row; a column named in a lambda can be copied into it and worked out per element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _two_nearest(distances: Column) -> Column:
+    """``one`` and ``two``: the nearest segment, and the nearest of another joint."""
+    def both(d: Column) -> Column:
+        return _let(F.array_min(d), lambda one: F.struct(one.alias("one"), F.array_min(F.filter(d, lambda e: e["joint"] != one["joint"])).alias("two")))
+
+    return _let(distances, both)
+
+
+def _narrowed(cells: DataFrame, step: int) -> DataFrame:
+    """Leave in ``__s`` the segments that can be among the two nearest joints of any point of the cell.
+
+    ``cells(rig, __box, __i, __s)``; a cell is ``step`` fine cells wide and held by a ball. With d2 the distance of
+    the centre to its second nearest joint, no farther segment than d2 and the ball's diameter can matter.
+    """
+    wide = [F.col(f"__box.h{c}") * step for c in "xyz"]
+    centre = [F.col(f"__box.{c}") + (F.floor(F.col(f"__i.{c}") / step) + 0.5) * w for c, w in zip("xyz", wide)]
+    ball = F.sqrt(sum((w * w for w in wide), F.lit(0.0))) + CELL_SLACK
+
+    def keep(d: Column) -> Column:
+        reach = F.coalesce(_two_nearest(d)["two"]["d"] + ball, F.lit(float("inf")))
+        return _let(reach, lambda most: F.filter("__s", lambda s, i: F.get(d, i)["d"] <= most))
+
+    return cells.withColumn("__at", F.struct(*[v.alias(c) for c, v in zip("xyz", centre)])).withColumn(
+        "__s", _let(F.col("__at"), lambda at: _let(_distances("__s", at["x"], at["y"], at["z"]), keep))).drop("__at")
+
+
+def skin_weights(vertices: DataFrame, segments: DataFrame, mode: str = "two-bone-blend") -> DataFrame:
+    """Up to two ``(joint, weight)`` rows per vertex from its nearest bone segments.
+
+    Each rig has a uniform grid over its vertices, of about ``CELL_VERTICES`` a cell. Coarse cells that
+    hold vertices keep of all segments those that can matter inside them, fine cells keep of those of their coarse cell;
+    a vertex joins its cell and measures only what is left. So the work of a vertex does not grow with the
+    rig, and a rig with most vertices is spread over its cells.
+    """
+    along = {f"v{c}": F.col(f"b{c}") - F.col(f"a{c}") for c in "xyz"}
+    square = sum((v * v for v in along.values()), F.lit(0.0))
+    ends = segments.withColumns({**along, "n": square, "__len": F.sqrt(square)})
+    # A bone's length is its longest segment.
+    ends = ends.join(ends.groupBy("rig", "joint").agg(F.max("__len").alias("len")), ["rig", "joint"])
+    ends = ends.groupBy("rig").agg(F.collect_list(F.struct("joint", *[f"a{c}" for c in "xyz"], *along, "n", "len")).alias("__s"))
+    moved = vertices.repartition("rig", "vid")
+    rigs = moved.groupBy("rig").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{g}{c}") for g, f in (("lo", F.min), ("hi", F.max)) for c in "xyz"])
+    side = F.least(F.lit(MOST_CELLS), F.greatest(F.lit(1), F.ceil(F.cbrt(F.col("n") / CELL_VERTICES))))
+    width = lambda c: F.greatest((F.col(f"hi{c}") - F.col(f"lo{c}")) / side, F.lit(1e-300)).alias(f"h{c}")
+    rigs = staged(rigs.select("rig", F.struct(*[F.col(f"lo{c}").alias(c) for c in "xyz"], *[width(c) for c in "xyz"], side.cast("int").alias("side")).alias("__box")).join(ends, "rig"))
+    cell = lambda c: F.least(F.col("__box.side") - 1, F.floor((F.col(c) - F.col(f"__box.{c}")) / F.col(f"__box.h{c}"))).cast("int").alias(c)
+    placed = moved.join(rigs.select("rig", "__box"), "rig").withColumn("__i", F.struct(*[cell(c) for c in "xyz"]))
+    coarse = F.struct(*[F.floor(F.col(f"__i.{c}") / COARSE).cast("int").alias(c) for c in "xyz"])
+    fine = placed.select("rig", "__i").distinct().withColumn("__c", coarse)
+    rough = fine.select("rig", "__c").distinct().join(rigs, "rig").withColumn("__i", F.struct(*[(F.col(f"__c.{c}") * COARSE).alias(c) for c in "xyz"]))
+    rough = _narrowed(rough, COARSE).drop("__i")
+    cells = _narrowed(fine.join(rough, ["rig", "__c"]).drop("__c"), 1).drop("__box")
+    df = placed.drop("__box").join(cells, ["rig", "__i"]).drop("__i")
+    df = df.withColumn("__b", _two_nearest(_distances("__s", F.col("x"), F.col("y"), F.col("z")))).select("rig", "vid", F.col("__b.one").alias("__1"), F.col("__b.two").alias("__2"))
     positive = lambda c: F.when(F.col(c) > 0, F.col(c))
-    zone = F.coalesce(BLEND_ZONE * F.least(positive("__l1"), positive("__l2")), F.lit(0.0))
-    x = F.when(zone > 0, F.least(F.lit(1.0), (F.col("__2.d") - F.col("__1.d")) / zone)).otherwise(1.0)
-    w2 = 0.5 * (1 - x * x * (3 - 2 * x))
+    zone = F.coalesce(BLEND_ZONE * F.least(positive("__1.len"), positive("__2.len")), F.lit(0.0))
+    df = df.withColumn("__zone", zone)
+    x = F.when(F.col("__zone") > 0, F.least(F.lit(1.0), (F.col("__2.d") - F.col("__1.d")) / F.col("__zone"))).otherwise(1.0)
+    df = df.withColumn("__x", x)
+    w2 = 0.5 * (1 - F.col("__x") * F.col("__x") * (3 - 2 * F.col("__x")))
     if mode == "nearest-bone":
         w2 = F.lit(0.0)
     w2 = F.when(F.col("__2").isNull() | (F.col("__1.d") < 1e-9) | (w2 <= 0), 0.0).otherwise(w2)
@@ -91,12 +162,15 @@ def skin_weights(vertices: DataFrame, segments: DataFrame, mode: str = "two-bone
         F.struct(F.col("__2.joint").alias("joint"), F.col("__w").alias("weight")),
     )
     kept = F.filter(pair, lambda e: e["weight"] > 0)
-    return df.select("rig", "vid", F.inline(kept))
+    # The outer form keeps Spark from copying the whole expression into a filter; a vertex always has a joint.
+    return df.select("rig", "vid", F.inline_outer(kept))
 
 
-def skin_vertices(vertices: DataFrame, weights: DataFrame, joints: DataFrame) -> DataFrame:
-    """Weighted sum of joint transforms applied to each vertex of each pose."""
-    df = weights.join(vertices, ["rig", "vid"]).join(joints, ["rig", "joint"])
+def skin_vertices(vertices: DataFrame, weights: DataFrame, joints: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """Weighted sum of joint transforms applied to each vertex of each pose; a joint that holds very many vertices is split."""
+    # Staged, as the join counts its keys before it deals them.
+    held = staged(weights.join(vertices.repartition("rig", "vid"), ["rig", "vid"]))
+    df = joins.salted_join(held, joints, ["rig", "joint"], rows=rows)
     moved = motion.affine_apply(F.col("m"), "x", "y", "z")
     return df.groupBy("rig", "pose", "vid").agg(*[F.sum(F.col("weight") * v).alias(n) for n, v in zip("xyz", moved)])
 

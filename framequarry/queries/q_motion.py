@@ -232,6 +232,19 @@ def _(spark, d):
     return out.select("rig", "pose", "vid", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
+@query("bone_segments", "J-22", """WITH b AS (SELECT p_partkey // 25 AS rig, p_partkey AS bone, CASE WHEN p_partkey % 25 > 0 THEN p_partkey - 1 - (p_partkey % 25 > 3 AND p_size % 3 = 0)::INT END AS parent,
+    p_size::DOUBLE AS x, (p_partkey % 7)::DOUBLE AS y, (p_partkey % 11)::DOUBLE AS z FROM part),
+  c AS (SELECT a.rig, a.bone, a.parent, a.x, a.y, a.z, k.x AS bx, k.y AS b_y, k.z AS bz FROM b a LEFT JOIN b k ON k.rig = a.rig AND k.parent = a.bone)
+  SELECT c.rig, c.bone AS joint, c.x AS ax, c.y AS ay, c.z AS az, coalesce(bx, 2 * c.x - p.x, c.x) AS bx, coalesce(b_y, 2 * c.y - p.y, c.y) AS "by", coalesce(bz, 2 * c.z - p.z, c.z) AS bz
+  FROM c LEFT JOIN b p ON p.rig = c.rig AND p.bone = c.parent""")
+def _(spark, d):
+    k = F.col("p_partkey")
+    parent = F.when(k % 25 > 0, k - 1 - F.when((k % 25 > 3) & (F.col("p_size") % 3 == 0), 1).otherwise(0))
+    bones = table(spark, d, "part").select(
+        F.floor(k / 25).alias("rig"), k.alias("bone"), parent.alias("parent"), F.col("p_size").cast("double").alias("x"), (k % 7).cast("double").alias("y"), (k % 11).cast("double").alias("z"))
+    return G.bone_segments(bones)
+
+
 # ---- cameras ---------------------------------------------------------------------------------------------------
 
 CAMS = [{"direction": n, "yaw": y, "pitch": 30.0} for n, y in (("s", 0), ("w", 90), ("n", 180), ("e", 270))]
