@@ -115,49 +115,96 @@ def grid_cells(placed: DataFrame, cells: DataFrame, width: int, height: int, s:
     return df.withColumns({"x": x.cast("bigint"), "y": y.cast("bigint"), "w": F.lit(width).cast("bigint"), "h": F.lit(height).cast("bigint")}).drop("slot")
 
 
+def greedy_cuts(rows: DataFrame, by: list[str], order: str, size: str, room: int, names: tuple[str, str] = ("bin", "at")) -> DataFrame:
+    """Fill bins of ``room`` in order: adds the number of each row's bin in its group and where the row starts in it.
+
+    A bin takes rows while their sizes add up to at most ``room``; a row larger than that has a bin of its own. Groups that
+    fit one bin are done with a running sum. In the others each row points at the row that would open the
+    next bin if it opened one (the first whose end passes its start plus the room, found by a fill over the
+    merged order of starts and ends). From the first row of a group the rows that open bins are reached by doubling:
+    the known openers follow the pointers, which then skip twice as many bins, so b bins take log2(b) rounds of
+    joins and no group is folded in one row. Every pass is cut into buckets of the order or of the running sum.
+    """
+    number, offset = names
+    rows = ordered.running_sum(rows, by, [order], ordered.id_bucket(order), size, "__end")
+    rows = staged(rows.withColumn("__start", F.col("__end") - F.col(size)))
+    many = rows.groupBy(*by).agg(F.max("__end").alias("__sum"), F.min(order).alias("__open")).filter(F.col("__sum") > room)
+    many = staged(many.select(F.struct(*by).alias("__g"), "__open"))
+    rows = rows.withColumn("__g", F.struct(*by))
+    zero = F.lit(0).cast("bigint")
+    if many.isEmpty():
+        return rows.withColumns({number: zero, offset: F.col("__start")}).drop("__g", "__start", "__end")
+    few = rows.join(many, "__g", "left_anti").withColumns({number: zero, offset: F.col("__start")})
+    large = rows.join(many.select("__g"), "__g", "left_semi")
+    # In the merged order a start comes after all ends within its room; that of a row too large comes right after its own end.
+    alone = F.col(size) > room
+    fits = F.when(alone, F.col("__end")).otherwise(F.col("__start") + room)
+    none = F.lit(None).cast(dict(rows.dtypes)[order])
+    marks = F.inline(F.array(
+        F.struct(F.col("__end").alias("v"), F.lit(0).alias("q"), F.col(order).alias("o"), F.lit(0).alias("k"), F.col(order).alias("to")),
+        F.struct(fits.alias("v"), F.when(alone, 0).otherwise(1).alias("q"), F.col(order).alias("o"), F.lit(1).alias("k"), none.alias("to"))))
+    marks = large.select("__g", marks)
+    wide = F.floor(F.col("v") / (room * 4096)).cast("bigint")
+    step = ordered.fill(marks, ["__g"], ["v", "q", "o", "k"], wide, "to", "next", forward=False).filter((F.col("k") == 1) & F.col("next").isNotNull())
+    step = staged(step.select("__g", F.col("o").alias("i"), "next"))
+    opens = staged(many.select("__g", F.col("__open").alias("i")))
+    known, before = opens.count(), 0
+    while known > before:
+        before = known
+        opens = staged(opens.unionByName(opens.join(step, ["__g", "i"]).select("__g", F.col("next").alias("i"))))
+        known = opens.count()
+        if known > before:
+            step = staged(step.select("__g", "i", F.col("next").alias("via")).join(step.select("__g", F.col("i").alias("via"), "next"), ["__g", "via"]).select("__g", "i", "next"))
+    opens = ordered.row_number(opens, ["__g"], ["i"], ordered.id_bucket("i"), "__bin").select("__g", F.col("i").alias(order), (F.col("__bin") - 1).alias("__bin"))
+    large = large.join(opens, ["__g", order], "left")
+    large = large.withColumn("__first", F.when(F.col("__bin").isNotNull(), F.struct("__bin", "__start")))
+    large = ordered.fill(large, ["__g"], [order], ordered.id_bucket(order), "__first", "__of")
+    large = large.withColumns({number: F.col("__of.__bin"), offset: F.col("__start") - F.col("__of.__start")}).drop("__bin", "__first", "__of")
+    return few.unionByName(large).drop("__g", "__start", "__end")
+
+
+def page_suffix(s: SheetSettings) -> Column:
+    """What tells the sheets of a split apart."""
+    return {"clip": F.col("clip").cast("string"), "direction": F.col("direction").cast("string"), "none": F.lit("")}[s.split]
+
+
 def layout_packed(boxes: DataFrame, s: SheetSettings) -> DataFrame:
     """Trimmed cells on pages without overlap, a sequence always whole on one page.
 
     ``boxes(asset, clip, direction, idx, pos, w, h)`` with the trimmed size and the sequence's
-    position. A sequence is placed on shelves of the page width in key order (it is bounded by a page);
-    sequences then stack by the running height of their asset. A sequence that would cross a page
-    border gets a page of its own, so placement needs prefix sums and no scan of the whole asset.
+    position. Cells of a sequence fill shelves of the page width in order; sequences, in the order asked for, fill
+    the pages of their sheet (one for the asset, or one per clip or direction) by the height of their shelves. Both are
+    greedy cuts of a running sum. Gives each cell its ``rank``, ``page`` in the asset, ``page_name``,
+    ``page_w`` and ``page_h`` as used or as powers of two, ``x``, ``y`` and ``error`` for what no page can hold.
     """
     e, p, size = s.extrude, s.padding, s.max_size
-    box = F.struct("idx", (F.col("w") + 2 * e + p).cast("bigint").alias("bw"), (F.col("h") + 2 * e + p).cast("bigint").alias("bh"))
-    seqs = boxes.groupBy(*SEQ, "pos").agg(F.sort_array(F.collect_list(box)).alias("b"))
-    start = F.expr(
-        "named_struct('x', 0L, 'y', 0L, 'shelf', 0L, 'wide', 0L, 'out', CAST(array() AS ARRAY<STRUCT<idx: BIGINT, x: BIGINT, y: BIGINT>>))"
-    )
-
-    def put(acc, b):
-        wrap = acc["x"] + b["bw"] > size + p
-        x = F.when(wrap, F.lit(0)).otherwise(acc["x"]).cast("bigint")
-        y = F.when(wrap, acc["y"] + acc["shelf"]).otherwise(acc["y"])
-        shelf = F.when(wrap, b["bh"]).otherwise(F.greatest(acc["shelf"], b["bh"]))
-        at = F.struct(b["idx"].cast("bigint").alias("idx"), x.alias("x"), y.alias("y"))
-        return F.struct(
-            (x + b["bw"]).alias("x"), y.alias("y"), shelf.alias("shelf"), F.greatest(acc["wide"], x + b["bw"]).alias("wide"), F.array_append(acc["out"], at).alias("out")
-        )
-
-    seqs = seqs.withColumn("s", F.aggregate("b", start, put)).drop("b")
-    seqs = seqs.withColumn("tall", F.col("s.y") + F.col("s.shelf"))
-    # One row per sequence is left, and an asset's sequences are bounded by its definition.
-    upto = F.sum("tall").over(Window.partitionBy("asset").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    seqs = seqs.withColumn("__upto", upto)
     room = size + p
-    before = F.col("__upto") - F.col("tall")
-    at = before - F.floor(before / room) * room
-    crosses = at + F.col("tall") > room
-    page = 2 * F.floor(before / room) + F.when(crosses, 1).otherwise(0)
-    error = F.when((F.col("tall") > room) | (F.col("s.wide") > room), F.lit("too_long"))
-    seqs = seqs.select(
-        *SEQ, page.cast("bigint").alias("slot_page"), F.when(crosses, 0).otherwise(at).cast("bigint").alias("top"), error.alias("error"), F.col("s.out").alias("out")
-    )
-    cells = seqs.select(*SEQ, "slot_page", "top", "error", F.inline("out"))
-    cells = cells.select(*SEQ, "idx", F.col("slot_page").alias("page"), (F.col("x") + e).alias("x"), (F.col("top") + F.col("y") + e).alias("y"), "error")
-    sizes = boxes.select(*SEQ, "idx", "w", "h")
-    return cells.join(sizes, [*SEQ, "idx"])
+    cells = boxes.withColumns({"bw": (F.col("w") + 2 * e + p).cast("bigint"), "bh": (F.col("h") + 2 * e + p).cast("bigint")})
+    cells = staged(greedy_cuts(cells, SEQ, "idx", "bw", room, ("shelf", "left")))
+    shelves = cells.groupBy(*SEQ, "shelf").agg(F.max("bh").alias("deep"), F.max("bw").alias("widest"))
+    shelves = staged(ordered.running_sum(shelves, SEQ, ["shelf"], ordered.id_bucket("shelf"), "deep", "below"))
+    seqs = shelves.groupBy(*SEQ).agg(F.max("below").alias("tall"), F.max("widest").alias("widest"))
+    seqs = seqs.join(boxes.groupBy(*SEQ).agg(F.min("pos").alias("pos")), SEQ)
+    # One row per sequence is left, and an asset's sequences are bounded by its definition.
+    seqs = order_sequences(seqs, s.order).withColumn("suffix", page_suffix(s))
+    seqs = staged(greedy_cuts(seqs, ["asset", "suffix"], "rank", "tall", room, ("chunk", "top")))
+    seqs = seqs.withColumn("error", F.when((F.col("tall") > room) | (F.col("widest") > room), F.lit("too_long")))
+    sheets = seqs.groupBy("asset", "suffix").agg((F.max("chunk") + 1).alias("pages"), F.min("rank").alias("__first"))
+    earlier = Window.partitionBy("asset").orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)
+    sheets = sheets.withColumn("__before", F.coalesce(F.sum("pages").over(earlier), F.lit(0)))
+    name = F.concat_ws("-", F.when(F.col("suffix") != "", F.col("suffix")), F.when(F.col("pages") > 1, F.col("chunk").cast("string")))
+    seqs = seqs.join(sheets.drop("__first"), ["asset", "suffix"]).select(*SEQ, "rank", "top", "error", (F.col("__before") + F.col("chunk")).alias("page"), name.alias("page_name"))
+    placed = cells.join(shelves.select(*SEQ, "shelf", (F.col("below") - F.col("deep")).alias("under")), [*SEQ, "shelf"]).join(seqs, SEQ)
+    placed = staged(placed.select(
+        *SEQ, "idx", "rank", "page", "page_name", (F.col("left") + e).alias("x"), (F.col("top") + F.col("under") + e).alias("y"), "w", "h", "error"))
+    grow = next_power_of_two if s.power_of_two else (lambda c: c.cast("bigint"))
+    used = placed.groupBy("asset", "page").agg(grow(F.max(F.col("x") + F.col("w") + e)).alias("page_w"), grow(F.max(F.col("y") + F.col("h") + e)).alias("page_h"))
+    return placed.join(used, ["asset", "page"])
+
+
+def sheet_pages(placed: DataFrame) -> DataFrame:
+    """One row per page of placed cells: its name, size, and the number of cells."""
+    return placed.groupBy("asset", "page", "page_name", "page_w", "page_h").agg(F.count(F.lit(1)).alias("cells"))
 
 
 def restore_order(cells: DataFrame) -> DataFrame:

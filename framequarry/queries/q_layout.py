@@ -81,19 +81,56 @@ def _(spark, d):
 
 
 PACK = LO.SheetSettings("packed", padding=1, extrude=1, max_size=256)
+TIGHT = LO.SheetSettings("packed", "direction-clip", split="clip", padding=2, extrude=1, power_of_two=True, max_size=64)
 
 
-def packed(spark, d):
+def packed(spark, d, s=PACK):
     c = cells(spark, d)
     pos = LO.sequences_of(c).select(*LO.SEQ, "pos")
     size = [(1 + F.col("l_quantity") % n).cast("bigint").alias(k) for n, k in ((31, "w"), (37, "h"))]
     boxes = c.select(*LO.SEQ, "idx", *size).join(pos, LO.SEQ)
-    return LO.layout_packed(boxes, PACK)
+    return LO.layout_packed(boxes, s)
+
+
+def packed_sql(s: LO.SheetSettings) -> str:
+    """The two greedy cuts as recursions from cell to cell and from sequence to sequence."""
+    e, p, room = s.extrude, s.padding, s.max_size + s.padding
+    suffix = {"none": "''", "clip": "clip", "direction": "direction"}[s.split]
+    order = "pos" if s.order == "clip-direction" else "df, pos"
+    size = (lambda v: f"CAST(pow(2, ceil(log2({v}))) AS BIGINT)") if s.power_of_two else (lambda v: f"CAST({v} AS BIGINT)")
+    return f"""WITH RECURSIVE {SC},
+  bx AS (SELECT c.asset, c.clip, c.direction, c.idx, s.pos, CAST(1 + l_quantity % 31 AS BIGINT) AS w, CAST(1 + l_quantity % 37 AS BIGINT) AS h FROM sc c JOIN sq s ON s.asset = c.asset AND s.clip = c.clip AND s.direction = c.direction),
+  sh AS (SELECT asset, clip, direction, idx, w, h, 0::BIGINT AS shelf, 0::BIGINT AS x FROM bx WHERE idx = 0
+    UNION ALL SELECT b.asset, b.clip, b.direction, b.idx, b.w, b.h, r.shelf + (r.x + r.w + b.w + {2 * (2 * e + p)} > {room})::BIGINT, CASE WHEN r.x + r.w + b.w + {2 * (2 * e + p)} > {room} THEN 0 ELSE r.x + r.w + {2 * e + p} END
+    FROM sh r JOIN bx b ON b.asset = r.asset AND b.clip = r.clip AND b.direction = r.direction AND b.idx = r.idx + 1),
+  sv AS (SELECT asset, clip, direction, shelf, max(h) + {2 * e + p} AS deep, max(w) + {2 * e + p} AS widest FROM sh GROUP BY ALL),
+  su AS (SELECT *, sum(deep) OVER (PARTITION BY asset, clip, direction ORDER BY shelf) - deep AS under FROM sv),
+  tl AS (SELECT s.asset, s.clip, s.direction, s.pos, min(s.pos) OVER (PARTITION BY s.asset, s.direction) AS df, t.tall, t.widest FROM sq s JOIN (SELECT asset, clip, direction, sum(deep) AS tall, max(widest) AS widest FROM sv GROUP BY ALL) t
+    ON t.asset = s.asset AND t.clip = s.clip AND t.direction = s.direction),
+  rk AS (SELECT *, {suffix} AS suffix, row_number() OVER (PARTITION BY asset ORDER BY {order}) - 1 AS rank FROM tl),
+  nt AS (SELECT *, row_number() OVER (PARTITION BY asset, suffix ORDER BY rank) AS nth FROM rk),
+  pg AS (SELECT *, 0::BIGINT AS chunk, 0::BIGINT AS top FROM nt WHERE nth = 1
+    UNION ALL SELECT b.*, r.chunk + (r.top + r.tall + b.tall > {room})::BIGINT, CASE WHEN r.top + r.tall + b.tall > {room} THEN 0 ELSE (r.top + r.tall)::BIGINT END FROM pg r JOIN nt b ON b.asset = r.asset AND b.suffix = r.suffix AND b.nth = r.nth + 1),
+  sn AS (SELECT asset, suffix, max(chunk) + 1 AS pages, min(rank) AS f FROM pg GROUP BY ALL), so AS (SELECT *, sum(pages) OVER (PARTITION BY asset ORDER BY f) - pages AS before FROM sn),
+  ce AS (SELECT h.asset, h.clip, h.direction, h.idx, g.rank, CAST(before + chunk AS BIGINT) AS page, concat_ws('-', nullif(g.suffix, ''), CASE WHEN pages > 1 THEN CAST(chunk AS VARCHAR) END) AS page_name,
+    CAST(h.x + {e} AS BIGINT) AS x, CAST(top + under + {e} AS BIGINT) AS y, h.w, h.h, CASE WHEN tall > {room} OR g.widest > {room} THEN 'too_long' END AS error
+    FROM sh h JOIN su ON su.asset = h.asset AND su.clip = h.clip AND su.direction = h.direction AND su.shelf = h.shelf JOIN pg g ON g.asset = h.asset AND g.clip = h.clip AND g.direction = h.direction JOIN so ON so.asset = g.asset AND so.suffix = g.suffix),
+  pl AS (SELECT *, {size(f"max(x + w + {e}) OVER (PARTITION BY asset, page)")} AS page_w, {size(f"max(y + h + {e}) OVER (PARTITION BY asset, page)")} AS page_h FROM ce)"""
+
+
+@query("layout_packed", "W-10 E-5", f"{packed_sql(PACK)} SELECT * FROM pl")
+def _(spark, d):
+    return packed(spark, d)
 
 
-@query("layout_packed", "W-10 E-5", None)
+@query("layout_packed_split", "W-10", f"{packed_sql(TIGHT)} SELECT * FROM pl")
 def _(spark, d):
-    return packed(spark, d)
+    return packed(spark, d, TIGHT)
+
+
+@query("packed_pages", "W-10", f"{packed_sql(TIGHT)} SELECT asset, page, page_name, page_w, page_h, count(*) AS cells FROM pl GROUP BY ALL")
+def _(spark, d):
+    return LO.sheet_pages(packed(spark, d, TIGHT))
 
 
 @query("packed_sizes", "W-10", f"WITH {SC} SELECT asset, clip, direction, idx, CAST(1 + l_quantity % 31 AS BIGINT) AS w, CAST(1 + l_quantity % 37 AS BIGINT) AS h FROM sc")
