@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from datetime import datetime
-from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from framequarry.functions import ordered
 from framequarry.operators import pixels as P
@@ -251,31 +254,64 @@ def publish_plan(new: DataFrame, previous: DataFrame) -> DataFrame:
     return states.withColumn("action", action)
 
 
+# A log row names the folder of one live stage; the row without stage carries the schema.
+LOG = "version long, commit string, stage string, folder string"
+
+
+def _log(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of the last commit; empty before the first. Of two commits of one version the smaller name counts."""
+    try:
+        log = spark.read.schema(LOG).parquet(f"{root}/log")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LOG)
+    last = log.orderBy(F.desc("version"), "commit").first()
+    return log.filter((F.col("version") == last.version) & (F.col("commit") == last.commit)) if last else log
+
+
 def publish(new: DataFrame, previous: DataFrame | None, root: str) -> DataFrame:
-    """Rewrite only the stages whose outputs changed, as dynamic partitions of ``root``; returns the plan.
+    """Publish the outputs of ``new`` as one atomic snapshot below ``root``; returns the plan.
 
-    The partition of a stage that is gone from ``new`` is deleted.
+    Stages whose outputs changed are written to a new folder first, which nobody reads yet. Then one file in
+    ``root/log`` names the folders of all live stages: new ones, and those kept from the snapshot before. A file
+    appears whole or not at all, so readers see the old snapshot or the new one, also when the job dies in between. A
+    stage that is gone from ``new`` is no longer named. Of two commits at the same time one wins, the
+    other raises. Nothing is deleted here; ``unnamed_folders`` lists what no snapshot needs.
     """
+    spark = new.sparkSession
     plan = new.select("stage", "path", F.lit("write").alias("action")) if previous is None else publish_plan(new, previous)
-    stale = plan.filter(F.col("action") != "keep").select("stage").distinct()
-    (
-        new.join(stale, "stage", "left_semi")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("stage")
-        .parquet(root)
-    )
-    if previous is not None:
-        gone = {r.stage for r in previous.select("stage").distinct().join(new, "stage", "left_anti").collect()}
-        _delete_partitions(new.sparkSession, root, "stage", gone)
+    before = _log(spark, root)
+    version = (before.agg(F.max("version")).first()[0] or 0) + 1
+    live = before.filter("stage IS NOT NULL").select("stage", "folder")
+    stages = new.select("stage").distinct()
+    stale = plan.filter(F.col("action") != "keep").select("stage").distinct().unionByName(stages.join(live, "stage", "left_anti")).distinct()
+    commit = uuid.uuid4().hex
+    part = F.md5(F.col("stage").cast("string").cast("binary"))
+    new.join(stale, "stage", "left_semi").withColumn("__part", part).write.partitionBy("__part").parquet(f"{root}/data/{commit}")
+    fresh = F.concat(F.lit(f"data/{commit}/__part="), part)
+    named = stages.join(stale.withColumn("__stale", F.lit(True)), "stage", "left").join(live, "stage", "left")
+    named = named.select(F.col("stage").cast("string").alias("stage"), F.when(F.col("__stale"), fresh).otherwise(F.col("folder")).alias("folder"))
+    schema = spark.createDataFrame([(None, new.schema.json())], "stage string, folder string")
+    rows = named.unionByName(schema).select(F.lit(version).cast("long").alias("version"), F.lit(commit).alias("commit"), "stage", "folder")
+    rows.coalesce(1).write.mode("append").parquet(f"{root}/log")
+    if _log(spark, root).first().commit != commit:
+        raise RuntimeError(f"another snapshot was published as version {version} at the same time")
     return plan
 
 
-def _delete_partitions(spark: SparkSession, root: str, column: str, values: set[str]) -> None:
-    """Delete the folders of partition values; a dynamic overwrite leaves those without new rows alone."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in files.listStatus(folder):
-        name = status.getPath().getName()
-        if name.startswith(f"{column}=") and unquote(name.partition("=")[2]) in values:
-            files.delete(status.getPath(), True)
+def read_published(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of the live snapshot."""
+    rows = _log(spark, root).collect()  # one row per stage of the pipeline
+    if not rows:
+        raise ValueError(f"nothing is published below {root}")
+    schema = StructType.fromJson(json.loads(next(r.folder for r in rows if r.stage is None)))
+    folders = [f"{root}/{r.folder}" for r in rows if r.stage is not None]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def unnamed_folders(spark: SparkSession, root: str) -> DataFrame:
+    """Data folders that the live snapshot does not name."""
+    log = spark.read.schema(LOG).parquet(f"{root}/log").filter("stage IS NOT NULL")
+    live = _log(spark, root).filter("stage IS NOT NULL").select("folder")
+    return log.select("folder").distinct().join(live, "folder", "left_anti")

@@ -179,14 +179,13 @@ def layout_packed(boxes: DataFrame, s: SheetSettings) -> DataFrame:
     """
     e, p, size = s.extrude, s.padding, s.max_size
     room = size + p
-    cells = boxes.withColumns({"bw": (F.col("w") + 2 * e + p).cast("bigint"), "bh": (F.col("h") + 2 * e + p).cast("bigint")})
+    cells = staged(boxes.withColumns({"bw": (F.col("w") + 2 * e + p).cast("bigint"), "bh": (F.col("h") + 2 * e + p).cast("bigint")}))
     cells = staged(greedy_cuts(cells, SEQ, "idx", "bw", room, ("shelf", "left")))
-    shelves = cells.groupBy(*SEQ, "shelf").agg(F.max("bh").alias("deep"), F.max("bw").alias("widest"))
+    shelves = cells.groupBy(*SEQ, "shelf").agg(F.max("bh").alias("deep"), F.max("bw").alias("widest"), F.min("pos").alias("pos"))
     shelves = staged(ordered.running_sum(shelves, SEQ, ["shelf"], ordered.id_bucket("shelf"), "deep", "below"))
-    seqs = shelves.groupBy(*SEQ).agg(F.max("below").alias("tall"), F.max("widest").alias("widest"))
-    seqs = seqs.join(boxes.groupBy(*SEQ).agg(F.min("pos").alias("pos")), SEQ)
+    seqs = shelves.groupBy(*SEQ).agg(F.max("below").alias("tall"), F.max("widest").alias("widest"), F.min("pos").alias("pos"))
     # One row per sequence is left, and an asset's sequences are bounded by its definition.
-    seqs = order_sequences(seqs, s.order).withColumn("suffix", page_suffix(s))
+    seqs = staged(order_sequences(seqs, s.order).withColumn("suffix", page_suffix(s)))
     seqs = staged(greedy_cuts(seqs, ["asset", "suffix"], "rank", "tall", room, ("chunk", "top")))
     seqs = seqs.withColumn("error", F.when((F.col("tall") > room) | (F.col("widest") > room), F.lit("too_long")))
     sheets = seqs.groupBy("asset", "suffix").agg((F.max("chunk") + 1).alias("pages"), F.min("rank").alias("__first"))
@@ -271,6 +270,26 @@ def cell_overlaps(cells: DataFrame, tile: int = 256) -> DataFrame:
     return a.join(b, ["sheet", "tx", "ty"]).filter(meets).select("sheet", "a_key", "b_key")
 
 
+def first_overlaps(cells: DataFrame) -> DataFrame:
+    """Cells of ``cells(sheet, key, x, y, w, h)`` that overlap another one: ``row``, the first pixel row where they do, and ``other``, a cell met there.
+
+    A sweep along each pixel row: sorted by their left edge, a cell overlaps an earlier one exactly if the farthest right
+    edge so far passes its own left edge, and a later one exactly if the next left edge lies before its right
+    edge. ``other`` is the earlier cell that reaches farthest (of equal ones the greatest key), else the next. So a crowded sheet gives at
+    most one row per cell, and it is spread over its pixel rows.
+    """
+    rows = cells.filter((F.col("w") > 0) & (F.col("h") > 0)).select(
+        "sheet", "key", "x", (F.col("x") + F.col("w")).alias("end"), F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1)).alias("row"))
+    sweep = Window.partitionBy("sheet", "row").orderBy("x", "key")
+    rows = rows.withColumns({
+        "__far": F.max(F.struct("end", "key")).over(sweep.rowsBetween(Window.unboundedPreceding, -1)),
+        "__next": F.lead(F.struct("x", "key")).over(sweep)})
+    back, forth = F.col("__far.end") > F.col("x"), F.col("__next.x") < F.col("end")
+    other = F.when(back, F.col("__far.key")).when(forth, F.col("__next.key"))
+    met = rows.filter(back | forth).groupBy("sheet", "key").agg(F.min(F.struct("row", other.alias("other"))).alias("m"))
+    return met.select("sheet", "key", "m.row", "m.other")
+
+
 def frame_tags(cells: DataFrame, by: list[str], position: str, names: list[str], bucket: Column) -> DataFrame:
     """Runs of consecutive cells of the same sequence: name, first and last position.
 

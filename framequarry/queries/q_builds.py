@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from framequarry.operators import reports as R
 from framequarry.plans import lineage as L
 from framequarry.queries import query
 from framequarry.queries.views import PX, SEQS, px, seqs
-from framequarry.session import table
+from framequarry.session import ensure_checkpoint_dir, table
 
 NOW = datetime(2001, 9, 1, tzinfo=timezone.utc)
 DAY = 86_400_000
@@ -101,13 +102,15 @@ def _(spark, d):
     return B.find_history(h, h.select("asset", F.explode(F.array(*refs)).alias("ref")))
 
 
-COARSE = "sha256(CAST(bytes // 200000 AS VARCHAR))"
+# Hashes that share their first 12 digits: only whole ones tell runs apart.
+COARSE = "repeat('0', 12) || sha256(CAST(bytes // 200000 AS VARCHAR))[:52]"
 
 
-@query("record_history", "W-5", f"""WITH {SEQS}, p AS (SELECT asset, id, left({COARSE}, 12) AS h, lag(left({COARSE}, 12)) OVER (PARTITION BY asset ORDER BY created, id) AS q FROM seqs)
+@query("record_history", "W-5", f"""WITH {SEQS}, p AS (SELECT asset, id, {COARSE} AS h, lag({COARSE}) OVER (PARTITION BY asset ORDER BY created, id) AS q FROM seqs)
   SELECT asset, id FROM p WHERE q IS DISTINCT FROM h""")
 def _(spark, d):
-    runs = seqs(spark, d).withColumn("hash", F.sha2(F.floor(F.col("bytes") / 200000).cast("string"), 256))
+    coarse = F.sha2(F.floor(F.col("bytes") / 200000).cast("string"), 256)
+    runs = seqs(spark, d).withColumn("hash", F.concat(F.lit("0" * 12), F.substring(coarse, 1, 52)))
     return B.record_history(runs, ordered.time_bucket("created", 30 * 86_400), ["created", "id"]).select("asset", "id")
 
 
@@ -213,6 +216,19 @@ def _(spark, d):
     return B.publish_plan(*two_records(spark, d))
 
 
+@query("publish", "S-17", f"""WITH a AS ({REC_A}), b AS ({REC_B}) SELECT stage, path, bytes, sha256 FROM b WHERE stage NOT IN ('3-MEDIUM', '5-LOW') UNION ALL SELECT stage, path, bytes, sha256 FROM a WHERE stage = '5-LOW'""")
+def _(spark, d):
+    """Two snapshots one after the other in the shared folder, of which the second keeps a stage and drops one; the live one is read back."""
+    old, new = two_records(spark, d)
+    new = new.filter("stage NOT IN ('3-MEDIUM', '5-LOW')").unionByName(old.filter("stage = '5-LOW'"))
+    ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/published-{uuid.uuid4().hex}"
+    B.publish(old, None, root)
+    B.publish(new, old, root)
+    return B.read_published(spark, root)
+
+
+
 # ---- lineage and content hashes ----------------------------------------------------------------------
 
 def _stage_sql() -> str:

@@ -163,6 +163,14 @@ def _(spark, d):
     return LO.cell_overlaps(boxes(spark, d), 64)
 
 
+@query("first_overlaps", "J-25", f"""WITH {BOX}, bi AS (SELECT *, row_number() OVER () AS i FROM bx), pr AS (SELECT a.sheet, a.key, greatest(a.y, b.y) AS r, b.key AS other, (b.x, b.key) < (a.x, a.key) AS earlier, b.x, b.x + b.w AS e FROM bi a JOIN bi b
+    ON b.sheet = a.sheet AND a.i <> b.i AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h),
+  fr AS (SELECT *, min(r) OVER (PARTITION BY sheet, key) AS first FROM pr)
+  SELECT sheet, key, first AS row, coalesce(arg_max(other, (e, other)) FILTER (earlier), arg_min(other, (x, other))) AS other FROM fr WHERE r = first GROUP BY ALL""")
+def _(spark, d):
+    return LO.first_overlaps(boxes(spark, d))
+
+
 @query("cells_in_bounds", "C-14", f"""WITH {BOX} SELECT sheet AS page, key FROM bx WHERE x - 2 < 0 OR y - 2 < 0 OR x + w + 2 > 200 + sheet % 64 OR y + h + 2 > 256 OR sheet % 9 = 0""")
 def _(spark, d):
     b = boxes(spark, d).withColumnRenamed("sheet", "page")
@@ -260,15 +268,7 @@ def _(spark, d):
     return SK.documents(SK.export_aseprite(doc_cells(spark, d), doc_clips(spark, d), W, H, (8, 20)), SK.PAGE)
 
 
-@query("export_aseprite_array", "S-11", f"""WITH {DOC} SELECT asset, page, '{{"frames":[' || string_agg('{{"filename":"' || asset || ' (' || clip || '_' || direction || ') ' || idx || '.png",' || body || ',"duration":' || CAST(floor(1000.0 / fps + 0.5) AS BIGINT) || '}}', ',' ORDER BY spot) || ']' AS head
-  FROM bd GROUP BY asset, page""")
-def _(spark, d):
-    parts = SK.export_aseprite(doc_cells(spark, d), doc_clips(spark, d), W, H, (8, 20), "array", "descriptive")
-    whole = SK.documents(parts, SK.PAGE)
-    return whole.select("asset", "page", F.substring_index("document", ',"meta":', 1).alias("head"))
-
-
-@query("export_aseprite_array_whole", "S-11", f"""WITH {DOC}, f AS (SELECT asset, page, img, page_w, page_h, string_agg('{{"filename":"' || asset || ' (' || clip || '_' || direction || ') ' || idx || '.png",' || body || ',"duration":' || CAST(floor(1000.0 / fps + 0.5) AS BIGINT) || '}}', ',' ORDER BY spot) AS fr FROM bd GROUP BY ALL),
+@query("export_aseprite_array", "S-11", f"""WITH {DOC}, f AS (SELECT asset, page, img, page_w, page_h, string_agg('{{"filename":"' || asset || ' (' || clip || '_' || direction || ') ' || idx || '.png",' || body || ',"duration":' || CAST(floor(1000.0 / fps + 0.5) AS BIGINT) || '}}', ',' ORDER BY spot) AS fr FROM bd GROUP BY ALL),
   t AS (SELECT asset, page, string_agg('{{"name":"' || clip || '_' || direction || '","from":' || a || ',"to":' || b || ',"direction":"forward","color":"#000000ff"}}', ',' ORDER BY a) AS tg
     FROM (SELECT asset, page, clip, direction, min(spot) AS a, max(spot) AS b FROM bd GROUP BY ALL) GROUP BY ALL)
   SELECT f.asset, f.page, '{{"frames":[' || fr || '],"meta":' || {META} || ',"frameTags":[' || tg || '],"layers":[],"slices":[{{"name":"pivot","color":"#0000ffff","keys":[{{"frame":0,"bounds":{{"x":0,"y":0,"w":16,"h":24}},"pivot":{{"x":8,"y":20}}}}]}}]}}}}' AS document

@@ -76,13 +76,7 @@ def _(spark, d):
     return M.isolated_pixels(sparse(px(spark, d)))
 
 
-@query("inspect_frames", "A-39", f"""WITH {MT} SELECT frame, width, height, round(coverage, 4) AS coverage, x0 AS x, y0 AS y,
-  x1 - x0 + 1 AS w, y1 - y0 + 1 AS h, round(cx, 2) AS cx, round(cy, 2) AS cy, n_colours FROM mt""")
-def _(spark, d):
-    return M.inspect_frames(M.frame_metrics(sparse(px(spark, d)))).drop("colours")
-
-
-@query("inspect_frames_whole", "A-39", f"""WITH {MT}, cl AS (SELECT frame, string_agg(c, ',' ORDER BY c) AS colours
+@query("inspect_frames", "A-39", f"""WITH {MT}, cl AS (SELECT frame, string_agg(c, ',' ORDER BY c) AS colours
     FROM (SELECT DISTINCT frame, printf('#%06x', r * 65536 + g * 256 + b) AS c FROM sp WHERE a <> 0) GROUP BY frame)
   SELECT mt.frame, width, height, round(coverage, 4) AS coverage, x0 AS x, y0 AS y,
   x1 - x0 + 1 AS w, y1 - y0 + 1 AS h, round(cx, 2) AS cx, round(cy, 2) AS cy, n_colours, coalesce(colours, '') AS colours FROM mt LEFT JOIN cl ON cl.frame = mt.frame""")

@@ -83,17 +83,61 @@ def test_compare_treats_clear_as_equal_and_counts_size(spark):
     assert got == {1: ("matched", 1, 0.5), 2: ("added", 0, None), 3: ("removed", 0, None), 4: ("matched", 2, 1.0)}
 
 
+RECORD = "stage string, path string, bytes bigint, sha256 string"
+
+
 def test_publish_rewrites_only_changed_stages(spark, tmp_path):
-    schema = "stage string, path string, bytes bigint, sha256 string"
-    old = spark.createDataFrame([("s1", "a", 1, "x"), ("s2", "b", 1, "y")], schema)
-    new = spark.createDataFrame([("s1", "a", 1, "x"), ("s2", "b", 2, "z")], schema)
+    old = spark.createDataFrame([("s1", "a", 1, "x"), ("s2", "b", 1, "y")], RECORD)
+    new = spark.createDataFrame([("s1", "a", 1, "x"), ("s2", "b", 2, "z")], RECORD)
     root = str(tmp_path / "out")
     B.publish(old, None, root)
-    before = {p.name for p in (tmp_path / "out" / "stage=s1").iterdir()}
+    folder = lambda: {r.stage: r.folder for r in B._log(spark, root).filter("stage IS NOT NULL").collect()}
+    first = folder()
     plan = {(r.path, r.action) for r in B.publish(new, old, root).collect()}
     assert plan == {("a", "keep"), ("b", "write")}
-    assert {p.name for p in (tmp_path / "out" / "stage=s1").iterdir()} == before
-    assert {(r.path, r.bytes) for r in spark.read.parquet(root).collect()} == {("a", 1), ("b", 2)}
+    assert folder()["s1"] == first["s1"] and folder()["s2"] != first["s2"]
+    assert {(r.path, r.bytes) for r in B.read_published(spark, root).collect()} == {("a", 1), ("b", 2)}
+    assert [r.folder for r in B.unnamed_folders(spark, root).collect()] == [first["s2"]]
+
+
+def test_a_publish_that_dies_leaves_the_old_snapshot(spark, tmp_path, monkeypatch):
+    """The job may end at any write: before the log has its new file, readers see the old rows, and the next publish works."""
+    old = spark.createDataFrame([("s1", "a", 1, "x"), ("s2", "b", 1, "y")], RECORD)
+    new = spark.createDataFrame([("s1", "a", 5, "w"), ("s3", "c", 2, "z")], RECORD)
+    root = str(tmp_path / "out")
+    B.publish(old, None, root)
+    plain = type(old.write).parquet
+
+    def dies(at):
+        def parquet(self, path, *a, **k):
+            if at in path:
+                raise OSError("the executor's disk is gone")
+            return plain(self, path, *a, **k)
+
+        return parquet
+
+    for at in ("/data/", "/log"):
+        monkeypatch.setattr(type(old.write), "parquet", dies(at))
+        with pytest.raises(OSError):
+            B.publish(new, old, root)
+        monkeypatch.setattr(type(old.write), "parquet", plain)
+        assert {(r.path, r.bytes) for r in B.read_published(spark, root).collect()} == {("a", 1), ("b", 1)}
+    B.publish(new, old, root)
+    assert {(r.stage, r.path, r.bytes) for r in B.read_published(spark, root).collect()} == {("s1", "a", 5), ("s3", "c", 2)}
+
+
+def test_publish_at_the_same_time_and_of_nothing(spark, tmp_path):
+    old = spark.createDataFrame([("s1", "a", 1, "x")], RECORD)
+    root = str(tmp_path / "out")
+    with pytest.raises(ValueError):
+        B.read_published(spark, root)
+    B.publish(old, None, root)
+    # A rival commit of the same version with a smaller name wins for every reader.
+    rival = B._log(spark, root).select("version", F.lit("").alias("commit"), "stage", F.when(F.col("stage").isNull(), F.col("folder")).otherwise("none").alias("folder"))
+    B.publish(old.filter("false"), old, root)
+    assert B.read_published(spark, root).count() == 0 and B.read_published(spark, root).columns == old.columns
+    rival.withColumn("version", F.lit(3).cast("long")).coalesce(1).write.mode("append").parquet(f"{root}/log")
+    assert {r.folder for r in B._log(spark, root).filter("stage IS NOT NULL").collect()} == {"none"}
 
 
 def test_lineage_follows_the_graph(spark):

@@ -37,7 +37,7 @@ def test_matches_oracle(spark, duck, name):
     assert check.rows(got) == check.rows(want)
 
 
-@pytest.mark.parametrize("name, column, part", [("export_aseprite_array_whole", "document", '"frameTags":[{'), ("inspect_frames_whole", "colours", "#")])
+@pytest.mark.parametrize("name, column, part", [("export_aseprite_array", "document", '"frameTags":[{'), ("inspect_frames", "colours", "#")])
 def test_whole_rows_match_oracle(spark, duck, name, column, part):
     got = entry.queries()[name](spark, SF).toArrow()
     want = duck.sql(entry.oracle_sql()[name]).to_arrow_table()
