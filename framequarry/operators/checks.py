@@ -70,8 +70,11 @@ def sprite_flags(metrics: DataFrame, want: Acceptance) -> DataFrame:
     return df.select("frame", "clip", F.inline(rows))
 
 
-def summarise(flags: DataFrame, asset: str = "clip", key: str = "frame") -> DataFrame:
-    """One row per asset and check with its status, number of failing frames and the first fifty of them."""
+def summarise(flags: DataFrame, asset: str = "clip", key: str = "frame", listed_frames: int = MAX_LISTED) -> DataFrame:
+    """One row per asset and check with its status, number of failing frames and the first of them.
+
+    At most ``listed_frames`` are listed; ``unlisted`` says how many more there are.
+    """
     flags = staged(flags)
     totals = flags.groupBy(F.col(asset).alias("asset"), "check_id", "severity").agg(
         F.count_if("failing").alias("failing")
@@ -80,12 +83,13 @@ def summarise(flags: DataFrame, asset: str = "clip", key: str = "frame") -> Data
     # row_number <= n is limited inside each task before the shuffle.
     w = Window.partitionBy(asset, "check_id").orderBy(key)
     listed = (
-        flags.filter("failing").withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= MAX_LISTED)
+        flags.filter("failing").withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= listed_frames)
         .groupBy(F.col(asset).alias("asset"), "check_id").agg(F.sort_array(F.collect_list(key)).alias("frames"))
     )
     out = totals.withColumn("status", status).drop("severity").join(listed, ["asset", "check_id"], "left")
     message = F.when(F.col("failing") == 0, F.lit("ok")).otherwise(F.concat(F.col("failing"), F.lit(" failing")))
-    return out.withColumn("message", message)
+    unlisted = F.col("failing") - F.coalesce(F.size("frames"), F.lit(0))
+    return out.withColumn("message", message).withColumn("unlisted", unlisted)
 
 
 def cleanup_check(pixels_with_flags: DataFrame, asset: str = "clip") -> DataFrame:

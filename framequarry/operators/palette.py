@@ -16,6 +16,16 @@ from framequarry.session import staged
 MAX_BROADCAST = 4096
 
 
+def distinct_ordered(rows: DataFrame, scope: list[str], key: str, order: list[str]) -> DataFrame:
+    """The distinct values of ``key`` per scope with ``place``, numbered by their first row in ``order``.
+
+    Rows are reduced to one per value before the scope's window, so it holds as many rows as the scope has values.
+    """
+    first = rows.groupBy(*scope, key).agg(F.min(F.struct(*order)).alias("__first"))
+    place = F.row_number().over(Window.partitionBy(*scope).orderBy("__first")) - 1
+    return first.select(*scope, key, place.cast("bigint").alias("place"))
+
+
 def distinct_in_order(colours: list[int]) -> list[int]:
     return list(dict.fromkeys(colours))
 

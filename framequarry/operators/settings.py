@@ -13,14 +13,29 @@ SEP = "."
 # ---- documents as leaf paths -------------------------------------------------------------------
 
 
-def leaf_paths(documents: DataFrame, document: str, depth: int = 12, arrays: bool = False) -> DataFrame:
+def nesting_depth(documents: DataFrame, document: str) -> int:
+    """Levels of objects and arrays of the deepest document, from the brackets of its inferred type."""
+    # Names in back ticks can hold brackets of their own.
+    brackets = F.regexp_replace(F.regexp_replace(F.schema_of_variant(F.parse_json(document)), "`([^`]|``)*`", ""), "[^<>]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(a: Column, c: Column) -> Column:
+        now = a["now"] + F.when(c == "<", 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    levels = F.when(brackets != "", F.aggregate(F.split(brackets, ""), start, step, lambda a: a["most"])).otherwise(0)
+    return documents.agg(F.max(levels)).first()[0] or 0
+
+
+def leaf_paths(documents: DataFrame, document: str, depth: int | None = None, arrays: bool = False) -> DataFrame:
     """One row per leaf of a JSON column: ``path ARRAY<STRING>`` and ``value`` as JSON text.
 
     Objects open level by level in one chain (a leaf passes through unchanged), so the input is
-    read once. Arrays are leaves unless ``arrays``; empty objects are leaves; anything deeper than
-    ``depth`` is an error, not a loss.
+    read once. Arrays are leaves unless ``arrays``; empty objects are leaves. ``depth`` saves the pass that
+    finds the deepest document; anything deeper than a given one is an error, not a loss.
     """
     spark = documents.sparkSession
+    depth = nesting_depth(documents, document) if depth is None else depth
     keys = [c for c in documents.columns if c != document]
     df = documents.select(*keys, F.parse_json(document).alias("__v"), F.array().cast("array<string>").alias("path"))
     pattern = "^(OBJECT<[^>]|ARRAY<(?!VOID>))" if arrays else "^OBJECT<[^>]"
@@ -150,9 +165,9 @@ def schema_issues(leaves: DataFrame, declared: DataFrame, documents: DataFrame,
     known = declared.select("path", F.col("type").alias("want"))
     unknown = typed.join(known, "path", "left_anti").select(*by, "path", F.lit("unknown_property").alias("code"))
     wrong = typed.join(known, "path").filter(F.col("seen") != F.col("want")).select(*by, "path", F.lit("invalid_type").alias("code"))
-    required = declared.filter("required").agg(F.sort_array(F.collect_set("path")).alias("need")).withColumn("__k", F.lit(1))
-    # Declared paths are bounded by the schema; the required ones travel as one array.
-    wanted = documents.select(*by).withColumn("__k", F.lit(1)).join(required, "__k").select(*by, F.explode("need").alias("path"))
+    # Declared paths are bounded by the schema; the required ones are one array, a constant of the plan.
+    required = declared.filter("required").agg(F.sort_array(F.collect_set("path")).alias("need")).scalar()
+    wanted = documents.select(*by, required.alias("need")).select(*by, F.explode("need").alias("path"))
     missing = wanted.join(leaves.select(*by, "path"), [*by, "path"], "left_anti").withColumn("code", F.lit("missing_property"))
     return unknown.unionByName(wrong).unionByName(missing)
 

@@ -252,7 +252,14 @@ def _(spark, d):
     return PAL.merge_swatches(PAL.count_colours(left, PALETTE), PAL.count_colours(right, PALETTE))
 
 
-@query("sort_by_lightness", "K-3 U-6", f"""WITH {PX}, c AS (SELECT DISTINCT clip, r, g, b FROM px WHERE a <> 0),
+@query("distinct_ordered", "U-6", f"""WITH {PX} SELECT clip, rgb, row_number() OVER (PARTITION BY clip ORDER BY min((frame, y, x))) - 1 AS place
+  FROM (SELECT *, r * 65536 + g * 256 + b AS rgb FROM px WHERE a <> 0) GROUP BY clip, rgb""")
+def _(spark, d):
+    shown = px(spark, d, False).filter(F.col("a") != 0).withColumn("rgb", P.rgb())
+    return PAL.distinct_ordered(shown, ["clip"], "rgb", ["frame", "y", "x"])
+
+
+@query("sort_by_lightness", "K-3", f"""WITH {PX}, c AS (SELECT DISTINCT clip, r, g, b FROM px WHERE a <> 0),
   l AS (SELECT clip, r * 65536 + g * 256 + b AS rgb, {lab_sql('r', 'g', 'b')[0]} AS l FROM c)
   SELECT clip, rgb, row_number() OVER (PARTITION BY clip ORDER BY l, rgb) - 1 AS idx FROM l""")
 def _(spark, d):

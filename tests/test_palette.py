@@ -122,3 +122,9 @@ def test_palettes_fall_back_to_the_common_one(spark):
     assert got([own]) == [10, 10, 9, 9]
     many = [("*", i, 0xFF0000 + i) for i in range(40)]
     assert got([own, *many]) == [10, 255, 255, 9]
+
+
+def test_distinct_values_keep_their_first_order(spark):
+    df = spark.createDataFrame([("a", 7, 3), ("a", 5, 1), ("a", 7, 0), ("b", 5, 9), ("a", None, 2), ("a", 5, 0)], "s string, v int, o int")
+    got = {(r.s, r.v): r.place for r in PAL.distinct_ordered(df, ["s"], "v", ["o", "v"]).collect()}
+    assert got == {("a", 5): 0, ("a", 7): 1, ("a", None): 2, ("b", 5): 0}

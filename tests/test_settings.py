@@ -148,3 +148,16 @@ def test_clip_times_and_ages(spark):
     assert {k: sorted(v) for k, v in got.items()} == {"l": [0, 0.25, 0.5, 0.75], "o": [0, 0.25, 0.5, 0.75, 1.0], "z": [0]}
     ages = spark.sql("SELECT explode(array(10, 100, 7200, 200000)) s").select(text.age_bucket(F.timestamp_seconds(F.lit(1_000_000) - F.col("s")), F.timestamp_seconds(F.lit(1_000_000))))
     assert [r[0] for r in ages.collect()] == ["just now", "2 min ago", "2 h ago", "2 d ago"]
+
+
+def test_depth_of_documents_comes_from_the_data(spark):
+    deep = "1"
+    for k in range(60):
+        deep = f'{{"k{k}":{deep}}}'
+    df = spark.createDataFrame([("a", deep), ("b", '{"x":{"odd`<name>":{"y":2}},"l":[1,[2]]}'), ("c", "5"), ("d", None), ("e", "{}")], "id string, doc string")
+    assert S.nesting_depth(df, "doc") == 60 and S.nesting_depth(df.filter("id IN ('c', 'd')"), "doc") == 0
+    got = {(r.id, ".".join(r.path)): r.value for r in S.leaf_paths(df, "doc").collect()}
+    assert got["a", ".".join(f"k{k}" for k in reversed(range(60)))] == "1"
+    assert got["b", "x.odd`<name>.y"] == "2" and got["b", "l"] == "[1,[2]]" and got["c", ""] == "5" and got["e", ""] == "{}"
+    with pytest.raises(Exception, match="deeper than 3"):
+        S.leaf_paths(df, "doc", 3).collect()
