@@ -62,8 +62,11 @@ def _(spark, d):
     return ST.run_available(ST.frame_clock_stream(ticks, 1 / 60, 3_600_000.0))
 
 
-@query("change_stream", "S-9 ST-2", f"""WITH {CHANGES}, hit AS (SELECT c.page_id, arg_max(k.asset, length(k.asset)) AS asset FROM ch c JOIN kn k ON starts_with(c.path || '/', k.asset || '/') GROUP BY 1)
-  SELECT c.path, coalesce(h.asset, CASE c.page_id % 4 WHEN 0 THEN home WHEN 1 THEN home WHEN 2 THEN '*' ELSE home || '/deep' END) AS asset FROM ch c LEFT JOIN hit h ON h.page_id = c.page_id""")
+ATTRIBUTED = f"""WITH {CHANGES}, hit AS (SELECT c.page_id, arg_max(k.asset, length(k.asset)) AS asset FROM ch c JOIN kn k ON starts_with(c.path || '/', k.asset || '/') GROUP BY 1)
+  SELECT c.path, coalesce(h.asset, CASE c.page_id % 4 WHEN 0 THEN home WHEN 1 THEN home WHEN 2 THEN '*' ELSE home || '/deep' END) AS asset FROM ch c LEFT JOIN hit h ON h.page_id = c.page_id"""
+
+
+@query("change_stream", "S-9 ST-2", ATTRIBUTED)
 def _(spark, d):
     """Changed paths written as NDJSON in the shared folder, then read and attributed as a stream."""
     import uuid
@@ -73,3 +76,17 @@ def _(spark, d):
     folder = f"{spark.sparkContext.getCheckpointDir()}/changes-{uuid.uuid4().hex}"
     rows.select(F.timestamp_seconds("page_id").alias("ts"), F.lit("p").alias("project"), "path").write.json(folder)
     return ST.run_available(attribute_stream(ST.read_changes(spark, folder), known)).select("path", "asset")
+
+
+@query("change_live", "S-9 ST-2", ATTRIBUTED)
+def _(spark, d):
+    """The same through the live sink, which reads the known folders again in every micro-batch."""
+    import uuid
+
+    rows, known = changes(spark, d)
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/live-{uuid.uuid4().hex}"
+    known.write.parquet(f"{folder}/known")
+    rows.select(F.timestamp_seconds("page_id").alias("ts"), F.lit("p").alias("project"), "path").write.json(f"{folder}/in")
+    ST.attribute_live(ST.read_changes(spark, f"{folder}/in"), lambda s: s.read.parquet(f"{folder}/known"), folder, available_now=True).awaitTermination()
+    return ST.read_attributed(spark, folder).select("path", "asset")

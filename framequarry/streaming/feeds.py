@@ -5,17 +5,18 @@ Watermarks bound the state. Functions that take a plain DataFrame also run on a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from framequarry.functions import text
-from framequarry.operators.filters import attribute_stream
+from framequarry.operators.filters import attribute_paths, attribute_stream
 
 PROGRESS = T.StructType(
     [
@@ -56,6 +57,27 @@ def debounce(changes: DataFrame, gap: str = "100 milliseconds", watermark: str |
     return sessions.select("project", F.col("s.start").alias("started"), ids.alias("assets"))
 
 
+def attribute_live(changes: DataFrame, known: Callable[[SparkSession], DataFrame], folder: str, path: str = "path", available_now: bool = False) -> StreamingQuery:
+    """Attribute a stream of changes to assets, with the folders that are known when each micro-batch runs.
+
+    ``known`` gives ``(asset)`` anew for every micro-batch, so an asset added while the stream runs is found, at any
+    depth: paths are exploded to their prefixes and meet the folders in one equi-join, whatever the deepest one. A
+    micro-batch writes a folder of its own below ``folder`` and replaces it when it runs again, so a change is
+    neither lost nor doubled by a restart. No state is kept between micro-batches.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        attribute_paths(batch, known(batch.sparkSession), path).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    writer = changes.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/progress")
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_attributed(spark: SparkSession, folder: str) -> DataFrame:
+    """What ``attribute_live`` has written so far."""
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
 def change_feed(changes: DataFrame, known: DataFrame, gap: str = "100 milliseconds", watermark: str = "1 second") -> DataFrame:
     """Paths to debounced asset sets: attribution, then bursts."""
     return debounce(attribute_stream(changes, known), gap, watermark)

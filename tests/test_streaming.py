@@ -95,3 +95,25 @@ def test_batch_timeouts(spark, now, expected):
     df = spark.createDataFrame(rows, "asset string, t timestamp, stage string")
     base = int((T0 - datetime(1970, 1, 1)).total_seconds() * 1000)
     assert {r.asset for r in ST.timeouts_so_far(df, 5000, "export", base + now).collect()} == expected
+
+
+def test_live_attribution_finds_folders_added_later(spark, tmp_path):
+    """Deeper folders than any known at the start, a restart, and a micro-batch that fails once."""
+    src, folder, fails = tmp_path / "in", str(tmp_path / "live"), [True]
+    change = lambda p: {"ts": at(0), "project": "p", "path": p}
+    known = lambda *names: lambda s: s.createDataFrame([(n,) for n in names], "asset string")
+    run = lambda k: ST.attribute_live(ST.read_changes(spark, str(src)), k, folder, available_now=True).awaitTermination()
+    write(src, "1.json", [change("a/x.png"), change("a/b/c/d/e/x.png"), change("other/sheets/y.png")])
+    run(known("a"))
+    write(src, "2.json", [change("a/b/c/d/e/x.png"), change("a/b/c/d/e/f/g/h.png"), change("readme.md")])
+
+    def once(s):
+        if fails.pop() if fails else False:
+            raise OSError("lost")
+        return known("a", "a/b/c/d/e/f")(s)
+
+    with pytest.raises(Exception, match="lost"):
+        run(once)
+    run(once)
+    got = sorted((r.path, r.asset) for r in ST.read_attributed(spark, folder).collect())
+    assert got == sorted([("a/x.png", "a"), ("a/b/c/d/e/x.png", "a"), ("other/sheets/y.png", "other"), ("a/b/c/d/e/x.png", "a"), ("a/b/c/d/e/f/g/h.png", "a/b/c/d/e/f"), ("readme.md", "*")])
