@@ -17,27 +17,59 @@ def stream(spark, d, name):
     return spark.readStream.schema(table(spark, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
+def file_changes(events):
+    asset = F.when((F.col("event_type") == "error") & (F.col("user_id") % 7 == 0), "*").otherwise(F.col("user_id").cast("string"))
+    return events.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 5).cast("string").alias("project"), asset.alias("asset"))
+
+
 @query("debounce", "ST-1", """WITH e AS (SELECT user_id % 5 AS project, ts, CASE WHEN event_type = 'error' AND user_id % 7 = 0 THEN '*' ELSE CAST(user_id AS VARCHAR) END AS id FROM events),
   l AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY project ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS n FROM e),
   s AS (SELECT *, sum(n) OVER (PARTITION BY project ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l)
   SELECT CAST(project AS VARCHAR) AS project, epoch_us(min(ts)) AS started, CASE WHEN bool_or(id = '*') THEN '*' ELSE string_agg(DISTINCT id, ',' ORDER BY id) END AS assets FROM s GROUP BY project, k""")
 def _(spark, d):
-    asset = F.when((F.col("event_type") == "error") & (F.col("user_id") % 7 == 0), "*").otherwise(F.col("user_id").cast("string"))
-    ch = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 5).cast("string").alias("project"), asset.alias("asset"))
-    out = ST.debounce(ch, "10 minutes", None)
+    out = ST.debounce(file_changes(table(spark, d, "events")), "10 minutes", None)
     return out.select("project", F.unix_micros("started").alias("started"), F.array_join("assets", ",").alias("assets"))
 
 
-@query("progress_state", "ST-3 S-8", """WITH e AS (SELECT l_orderkey AS a, l_linenumber AS s, l_shipdate AS t, CASE l_returnflag WHEN 'N' THEN 'item:done' WHEN 'A' THEN 'stage:start' ELSE 'stage:done' END AS ev, l_partkey AS n, CAST(l_quantity AS BIGINT) AS q, l_linestatus = 'F' AS c FROM lineitem)
-  SELECT CAST(a AS VARCHAR) AS asset, CAST(s AS VARCHAR) AS stage, arg_max(n, (t, n)) FILTER (ev = 'item:done') AS n, max(q) AS total, bool_or(ev = 'stage:done') AS done, bool_or(c) FILTER (ev = 'stage:done') AS cached,
-    max(q) FILTER (ev = 'stage:done') AS duration_ms FROM e GROUP BY a, s""")
+@query("debounce_stream", "ST-1", """WITH e AS (SELECT user_id % 5 AS project, ts, CASE WHEN event_type = 'error' AND user_id % 7 = 0 THEN '*' ELSE CAST(user_id AS VARCHAR) END AS id FROM events),
+  l AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY project ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS n FROM e),
+  s AS (SELECT *, sum(n) OVER (PARTITION BY project ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l)
+  SELECT CAST(project AS VARCHAR) AS project, epoch_us(min(ts)) AS started, CASE WHEN bool_or(id = '*') THEN '*' ELSE string_agg(DISTINCT id, ',' ORDER BY id) END AS assets FROM s GROUP BY project, k
+  HAVING max(ts) + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 SECOND""")
 def _(spark, d):
+    """The stream: bursts that the watermark has passed; the last ones of each project are still open."""
+    out = ST.run_available(ST.debounce(file_changes(stream(spark, d, "events")), "10 minutes", "1 second"))
+    return out.select("project", F.unix_micros("started").alias("started"), F.array_join("assets", ",").alias("assets"))
+
+
+PROGRESS = """WITH e AS (SELECT l_orderkey AS a, l_linenumber AS s, l_shipdate AS t, CASE l_returnflag WHEN 'N' THEN 'item:done' WHEN 'A' THEN 'stage:start' ELSE 'stage:done' END AS ev, l_partkey AS n, CAST(l_quantity AS BIGINT) AS q, l_linestatus = 'F' AS c FROM lineitem)
+  SELECT CAST(a AS VARCHAR) AS asset, CAST(s AS VARCHAR) AS stage, arg_max(n, (t, n)) FILTER (ev = 'item:done') AS n, max(q) AS total, bool_or(ev = 'stage:done') AS done, bool_or(c) FILTER (ev = 'stage:done') AS cached,
+    max(q) FILTER (ev = 'stage:done') AS duration_ms FROM e GROUP BY a, s"""
+
+
+def progress_events(lines):
     kind = F.when(F.col("l_returnflag") == "N", "item:done").when(F.col("l_returnflag") == "A", "stage:start").otherwise("stage:done")
     q = F.col("l_quantity").cast("bigint")
-    ev = table(spark, d, "lineitem").select(
+    return lines.select(
         F.col("l_shipdate").alias("t"), kind.alias("event"), F.col("l_linenumber").cast("string").alias("stage"), F.col("l_orderkey").cast("string").alias("assetId"),
         F.col("l_partkey").alias("n"), q.alias("total"), q.alias("durationMs"), (F.col("l_linestatus") == "F").alias("cached"))
-    return ST.progress_state(ev)
+
+
+@query("progress_state", "ST-3", PROGRESS)
+def _(spark, d):
+    return ST.progress_state(progress_events(table(spark, d, "lineitem")))
+
+
+@query("progress_stream", "ST-3 S-8", PROGRESS)
+def _(spark, d):
+    """Events written as NDJSON in the shared folder, read as a stream of files, the last update of each stage read back."""
+    import uuid
+
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/progress-{uuid.uuid4().hex}"
+    events = progress_events(table(spark, d, "lineitem"))
+    events.withColumn("key", F.lit(None).cast("string")).write.json(folder)
+    return ST.run_updates(ST.progress_state(ST.read_progress(spark, folder)), ["asset", "stage"])
 
 
 @query("timeouts", "ST-4", """WITH p AS (SELECT CAST(user_id AS VARCHAR) AS asset, min(epoch_us(ts) // 1000) AS s, min(epoch_us(ts) // 1000) FILTER (event_type = 'purchase') AS e FROM events GROUP BY 1)

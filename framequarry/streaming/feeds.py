@@ -212,3 +212,25 @@ def run_available(stream: DataFrame, base: str | None = None) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def run_updates(stream: DataFrame, keys: list[str], base: str | None = None) -> DataFrame:
+    """Run an update stream over what is there now, and read back the last row of each key.
+
+    Every micro-batch writes a folder of its own, which it replaces when it runs again.
+    """
+    import uuid
+
+    from framequarry.session import ensure_checkpoint_dir
+
+    spark = stream.sparkSession
+    if base is None:
+        ensure_checkpoint_dir(spark)
+        base = spark.sparkContext.getCheckpointDir()
+    folder = f"{base}/updates-{uuid.uuid4().hex}"
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+    query = stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.read.parquet(f"{folder}/out")
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__last")).select(*keys, "__last.*")
