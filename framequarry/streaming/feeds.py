@@ -97,18 +97,25 @@ def progress_state(events: DataFrame) -> DataFrame:
     )
 
 
-def timeouts(events: DataFrame, limit_ms: int, final: str) -> DataFrame:
+WEEK_MS = 7 * 86_400_000
+
+
+def timeouts(events: DataFrame, limit_ms: int, final: str, forget_ms: int = WEEK_MS) -> DataFrame:
     """Assets of a stream ``events(t, asset, stage)`` that did not reach the final stage within the limit.
 
     An asset is reported once, when its final stage comes too late or its deadline passes without one.
     The deadline is an event-time timer, so ``events`` needs a watermark on ``t``. The state of a decided
-    asset stays, so its later events change nothing: one row an asset.
+    asset stays for ``forget_ms`` after its deadline or its last event, whichever is later, so that its later events
+    change nothing; then the watermark clears it, and an event after that starts the asset anew.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         started, decided = state.get if state.exists else (None, False)
         late = False
         if state.hasTimedOut:
+            if decided:
+                state.remove()
+                return
             late = True
         elif not decided:
             final_ms = None
@@ -121,11 +128,11 @@ def timeouts(events: DataFrame, limit_ms: int, final: str) -> DataFrame:
             decided = final_ms is not None
             late = decided and final_ms - started > limit_ms
         state.update((started, decided or late))
+        # A deadline the watermark has passed already is due at its next step.
+        due = max(started + limit_ms, state.getCurrentWatermarkMs() + 1)
+        state.setTimeoutTimestamp(due + forget_ms if decided or late else due)
         if late:
             yield pd.DataFrame({"asset": [key[0]], "started_ms": [started]})
-        elif not decided:
-            # A deadline the watermark has passed already is due at its next step.
-            state.setTimeoutTimestamp(max(started + limit_ms, state.getCurrentWatermarkMs() + 1))
 
     return events.groupBy("asset").applyInPandasWithState(
         step, "asset string, started_ms long", "started long, decided boolean", "append", GroupStateTimeout.EventTimeTimeout

@@ -117,3 +117,32 @@ def test_live_attribution_finds_folders_added_later(spark, tmp_path):
     run(once)
     got = sorted((r.path, r.asset) for r in ST.read_attributed(spark, folder).collect())
     assert got == sorted([("a/x.png", "a"), ("a/b/c/d/e/x.png", "a"), ("other/sheets/y.png", "other"), ("a/b/c/d/e/x.png", "a"), ("a/b/c/d/e/f/g/h.png", "a/b/c/d/e/f"), ("readme.md", "*")])
+
+
+def test_decided_assets_leave_the_state(spark, tmp_path):
+    src = tmp_path / "ev"
+    event = lambda ms, asset, stage: {"t": at(ms), "asset": asset, "stage": stage}
+    write(src, "1.json", [event(0, "quick", "plan"), event(100, "quick", "export"), event(0, "slow", "plan"), event(200, "open", "plan")])
+    held = []
+
+    def step(name, rows):
+        write(src, name, rows)
+
+    stream = spark.readStream.schema("t timestamp, asset string, stage string").json(str(src)).withWatermark("t", "1 second")
+    q = ST.timeouts(stream, 5000, "export", forget_ms=10_000).writeStream.format("memory").queryName("forgetting").outputMode("append").start()
+    try:
+        q.processAllAvailable()
+        held.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+        step("2.json", [event(8000, "clock", "export")])  # slow and open are late
+        q.processAllAvailable()
+        step("3.json", [event(9000, "quick", "plan")])  # decided: changes nothing
+        q.processAllAvailable()
+        step("4.json", [event(60_000, "clock", "export")])
+        q.processAllAvailable()
+        step("5.json", [event(120_000, "clock", "export")])
+        q.processAllAvailable()
+        held.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+        assert sorted(r.asset for r in spark.table("forgetting").collect()) == ["open", "slow"]
+    finally:
+        q.stop()
+    assert held[0] == 3 and held[1] <= 1
