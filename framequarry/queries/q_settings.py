@@ -490,7 +490,30 @@ def _(spark, d):
     return light_levels(lights).select("preset", F.round("floor", 6).alias("floor"), F.round("ceil", 6).alias("ceil"))
 
 
-@query("hue_shift_ramp", "P-7", None)
+def ramp_sql() -> str:
+    """Bands of a ramp step by step: light level, dimmed bytes, Oklab, turned hue, bytes again."""
+    from framequarry.functions.color import LAB_TO_LMS, LMS_TO_RGB
+
+    lin = lambda c: f"(CASE WHEN {c} / 255.0::DOUBLE <= 0.04045 THEN {c} / 255.0::DOUBLE / 12.92::DOUBLE ELSE pow(({c} / 255.0::DOUBLE + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END)"
+    srgb = lambda v: f"CAST(floor(255 * least(1.0, greatest(0.0, CASE WHEN {v} <= 0.0031308 THEN 12.92::DOUBLE * ({v}) ELSE 1.055::DOUBLE * pow({v}, 1 / 2.4::DOUBLE) - 0.055::DOUBLE END)) + 0.5) AS BIGINT)"
+    dot = lambda row, names: " + ".join(f"({w})::DOUBLE * {n}" for w, n in zip(row, names))
+    lab = lab_sql("r1", "g1", "b1")
+    lms = ", ".join(f"pow({dot(row, ('lab_l', 'ta', 'tb'))}, 3) AS k{i}" for i, row in enumerate(LAB_TO_LMS))
+    rgb = ", ".join(f"least(1.0, greatest(0.0, {dot(row, ('k0', 'k1', 'k2'))})) AS {n}2" for n, row in zip("rgb", LMS_TO_RGB))
+    return f"""WITH m AS (SELECT p_partkey AS material, p_partkey * 5 % 256 AS r, p_partkey * 11 % 256 AS g, p_partkey * 17 % 256 AS b, 2 + p_partkey % 4 AS bands, (p_size - 25)::DOUBLE AS hs,
+    least(1.0::DOUBLE, 0.2::DOUBLE / (0.5::DOUBLE + p_size::DOUBLE / 50)) AS dark FROM part),
+  n AS (SELECT *, unnest(range(0, bands)) AS band FROM m), l AS (SELECT *, band::DOUBLE / (bands - 1) AS level, dark + (1 - dark) * (band::DOUBLE / (bands - 1)) AS bright FROM n),
+  d AS (SELECT material, band, level, hs, {", ".join(f"{srgb(f'{lin(c)} * bright')} AS {c}1" for c in "rgb")} FROM l),
+  o AS (SELECT *, {lab[0]} AS lab_l, {lab[1]} AS la, {lab[2]} AS lb FROM d),
+  c AS (SELECT *, sqrt(la * la + lb * lb) AS chroma, degrees(atan2(lb, la)) AS hue, abs(hs) * (1 - level) AS most, CASE WHEN hs > 0 THEN 280.0::DOUBLE ELSE 95.0::DOUBLE END AS target FROM o),
+  e AS (SELECT *, (((target - hue + 180) % 360) + 360) % 360 - 180 AS delta FROM c),
+  t AS (SELECT *, radians(hue + CASE WHEN abs(delta) > most THEN sign(delta) * most ELSE delta END) AS turned FROM e),
+  u AS (SELECT *, CASE WHEN chroma < 1e-6 OR most <= 0 THEN la ELSE chroma * cos(turned) END AS ta, CASE WHEN chroma < 1e-6 OR most <= 0 THEN lb ELSE chroma * sin(turned) END AS tb FROM t),
+  k AS (SELECT *, {lms} FROM u), w AS (SELECT *, {rgb} FROM k)
+  SELECT material, band, printf('#%02x%02x%02x', {srgb("r2")}, {srgb("g2")}, {srgb("b2")}) AS color FROM w"""
+
+
+@query("hue_shift_ramp", "P-7", ramp_sql())
 def _(spark, d):
     from framequarry.operators.ramps import hue_shift_ramp
 
