@@ -115,6 +115,22 @@ def grid_cells(placed: DataFrame, cells: DataFrame, width: int, height: int, s:
     return df.withColumns({"x": x.cast("bigint"), "y": y.cast("bigint"), "w": F.lit(width).cast("bigint"), "h": F.lit(height).cast("bigint")}).drop("slot")
 
 
+#: A group of up to this many rows would be one bucket anyway, so its running sum is a plain window.
+SMALL_GROUP = 1 << 16
+
+
+def _largest(rows: DataFrame, by: list[str]) -> int:
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def _running_sum(rows: DataFrame, by: list[str], order: str, size: str, name: str, largest: int) -> DataFrame:
+    """Running sum of groups that are counted to hold at most ``largest`` rows."""
+    if largest > SMALL_GROUP:
+        return ordered.running_sum(rows, by, [order], ordered.id_bucket(order), size, name)
+    window = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(name, F.sum(size).over(window))
+
+
 def greedy_cuts(rows: DataFrame, by: list[str], order: str, size: str, room: int, names: tuple[str, str] = ("bin", "at")) -> DataFrame:
     """Fill bins of ``room`` in order: adds the number of each row's bin in its group and where the row starts in it.
 
@@ -126,7 +142,7 @@ def greedy_cuts(rows: DataFrame, by: list[str], order: str, size: str, room: int
     joins and no group is folded in one row. Every pass is cut into buckets of the order or of the running sum.
     """
     number, offset = names
-    rows = ordered.running_sum(rows, by, [order], ordered.id_bucket(order), size, "__end")
+    rows = _running_sum(rows, by, order, size, "__end", _largest(rows, by))
     rows = staged(rows.withColumn("__start", F.col("__end") - F.col(size)))
     many = rows.groupBy(*by).agg(F.max("__end").alias("__sum"), F.min(order).alias("__open")).filter(F.col("__sum") > room)
     many = staged(many.select(F.struct(*by).alias("__g"), "__open"))
@@ -182,7 +198,7 @@ def layout_packed(boxes: DataFrame, s: SheetSettings) -> DataFrame:
     cells = staged(boxes.withColumns({"bw": (F.col("w") + 2 * e + p).cast("bigint"), "bh": (F.col("h") + 2 * e + p).cast("bigint")}))
     cells = staged(greedy_cuts(cells, SEQ, "idx", "bw", room, ("shelf", "left")))
     shelves = cells.groupBy(*SEQ, "shelf").agg(F.max("bh").alias("deep"), F.max("bw").alias("widest"), F.min("pos").alias("pos"))
-    shelves = staged(ordered.running_sum(shelves, SEQ, ["shelf"], ordered.id_bucket("shelf"), "deep", "below"))
+    shelves = staged(_running_sum(shelves, SEQ, "shelf", "deep", "below", _largest(cells, SEQ)))
     seqs = shelves.groupBy(*SEQ).agg(F.max("below").alias("tall"), F.max("widest").alias("widest"), F.min("pos").alias("pos"))
     # One row per sequence is left, and an asset's sequences are bounded by its definition.
     seqs = staged(order_sequences(seqs, s.order).withColumn("suffix", page_suffix(s)))
