@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framequarry.session import ensure_checkpoint_dir
@@ -32,18 +32,35 @@ def fold(column: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds, F.lit(0)).cast("int")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write a table to the shared checkpoint folder once and read it back.
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write a table to the shared checkpoint folder, or to ``folder`` there, once and read it back.
 
     It cuts the lineage: a lost executor costs the tasks it ran, not the stages before this table.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{folder or spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that are read only until the result made from them is written; ``clear`` deletes them.
+
+    Overwriting their folder by an empty table deletes it wherever it lies, without a call outside the public API.
+    """
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.folder = spark, f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+
+    def written(self, df: DataFrame) -> DataFrame:
+        return written(df, self.folder)
+
+    def clear(self) -> None:
+        self.spark.range(0).write.mode("overwrite").parquet(self.folder)
+
+
 def buffers(column) -> tuple[bytes, list[int]]:
     """UTF-8 bytes of an Arrow string column laid end to end, and the offsets of its rows; null is empty."""
     column = column.fill_null("") if column.null_count else column

@@ -9,8 +9,8 @@ original of many altered copies does. A region is a prefix of ``LEAST`` values;
 goes deeper until it has at most ``REGION`` or the prefix ends, and its nodes also meet the hub of each
 deeper region. The orders are cut by range, so a hot region spreads over tasks.
 
-Round one: each node takes the candidate that most trees give it and the largest hub, those are
-confirmed on the full sets, and confirmed links are joined into components. Round two covers the rest: in every region
+Round one: each node takes the candidate that most trees give it and the largest hub, those whose
+signatures allow it are confirmed on the full sets, and confirmed links are joined into components. Round two covers the rest: in every region
 that still holds more than one component, all nodes of different components are compared by signature in
 cells of two blocks; those that may be alike send their full sets to the cell once, and the pairs
 are confirmed there. What the first round leaves out by keeping two, the second takes up; of the pairs
@@ -29,15 +29,15 @@ no component and is kept; an empty table gives an empty result; extra columns ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framequarry.llm.base import buffers, whole_text, written
+from framequarry.llm.base import Scratch, buffers, whole_text, written
 
 TREES, DEPTH, LEAST = 24, 5, 3
 REGION = 64
@@ -200,16 +200,39 @@ def best_two(pairs: DataFrame) -> DataFrame:
     return mine.select(F.explode(F.array_distinct(F.array("p.a", "q.a"))).alias("a"), "b")
 
 
+def low_bytes() -> Column:
+    """The lowest byte of each hash of ``signature``; chance equals add 1/256."""
+    hexes = F.hex("signature")
+    return F.unhex(F.concat_ws("", *[F.substring(hexes, 8 * k + 7, 2) for k in range(TREES * DEPTH)]))
+
+
+def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and signatures allow the threshold, by the rule of the second round.
+
+    Signatures decide before any text moves, so texts are read for pairs that are nearly links only.
+    """
+    least = TREES * DEPTH * (percent / 100 - SLACK)
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), low_bytes().alias(f"s_{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(len(batch), TREES * DEPTH) for k in (2, 3))
+            yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
+
+    return both.select("a", "b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 # ---- confirmation on full sets -------------------------------------------------------------------
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs whose full sets reach the threshold: ``100 * intersection >= percent * union``.
 
     The text of ``b`` travels with the pair; that of ``a`` once per pair's salt, so the pairs of a much
     repeated ``a`` spread over tasks.
     """
-    salted = written(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt")))
+    salted = scratch.written(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt")))
     wanted = salted.select(F.col("a").alias("node"), "a", "salt", F.lit(None).cast("bigint").alias("b")).distinct()
     wanted = wanted.unionByName(salted.select(F.col("b").alias("node"), "a", "salt", "b"))
     rows = wanted.join(texts, "node").select("a", "salt", "b", "t")
@@ -238,26 +261,35 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """``node, label``: the smallest node reachable, by large-star and small-star steps until nothing changes.
 
     The links of each step are a table, so right sides are read plain and Spark can split a hot node.
+    The tables of a step are deleted when it is done.
     """
-    links = written(links.distinct())
+    links = scratch.written(links.distinct())
     if links.isEmpty():
         return links.select(F.col("b").alias("node"), F.col("a").alias("label"))
+    earlier = None
     while True:
+        step, after = Scratch(links.sparkSession), Scratch(links.sparkSession)
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
-        large = written(both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").distinct())
+        least = step.written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = step.written(both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").distinct())
         # Small star: every node's smaller neighbours and itself move to the smallest of them.
-        least = written(large.groupBy("b").agg(F.min("a").alias("m")))
+        least = step.written(large.groupBy("b").agg(F.min("a").alias("m")))
         moved = large.join(least, "b")
         small = moved.filter("a != m").select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(least.select(F.col("m").alias("a"), "b"))
-        small = written(small.distinct())
-        if small.count() == links.count() and small.join(links, ["a", "b"], "left_anti").isEmpty():
+        small = after.written(small.distinct())
+        done = small.count() == links.count() and small.join(links, ["a", "b"], "left_anti").isEmpty()
+        if done:
+            small = scratch.written(small)
+        for old in (step, earlier, after if done else None):
+            if old:
+                old.clear()
+        if done:
             return small.select(F.col("b").alias("node"), F.col("a").alias("label"))
-        links = small
+        links, earlier = small, after
 
 
 # ---- the rest ------------------------------------------------------------------------------------
@@ -265,19 +297,19 @@ def components(links: DataFrame) -> DataFrame:
 CELL = ["tree", "region", "kind", "i", "j"]
 
 
-def mixed_cells(nodes: DataFrame) -> DataFrame:
+def mixed_cells(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """``tree, region, kind, i, j, side`` and the columns of ``nodes``: where nodes of different components meet.
 
     ``nodes(node, label, signature, n_shingles)`` are those that share a region with any other. Blocks are
     bounded by rows and by shingles, so the sets of a cell fit into one task.
     """
-    rows = written(forest(nodes, "label", "n_shingles").select("tree", F.substring("key", 1, 4 * LEAST).alias("region"), "node", "label", "n_shingles"))
+    rows = scratch.written(forest(nodes, "label", "n_shingles").select("tree", F.substring("key", 1, 4 * LEAST).alias("region"), "node", "label", "n_shingles"))
     # A region with one component has nothing left to compare.
     held = rows.groupBy("tree", "region", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
     mixed = held.groupBy("tree", "region").agg(
         F.max(F.struct("n", "label", "size")).alias("most"), F.sum("n").alias("all"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
     blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_SHINGLES)).cast("int")
-    mixed = written(mixed.select(
+    mixed = scratch.written(mixed.select(
         "tree", "region", F.col("most.label").alias("main"), blocks(F.col("most.n"), F.col("most.size")).alias("mains"),
         blocks(F.col("all") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("others")))
     some = rows.drop("n_shingles").join(mixed, ["tree", "region"])
@@ -296,12 +328,10 @@ def mixed_cells(nodes: DataFrame) -> DataFrame:
 def marks(nodes: DataFrame) -> DataFrame:
     """``node, label, n_shingles, bytes, regions``: what two nodes are compared by before their sets are.
 
-    ``bytes`` has the lowest byte of each hash; chance equals add 1/256. ``regions`` has a code of the region of each tree.
+    ``bytes`` has the lowest byte of each hash, ``regions`` a code of the region of each tree.
     """
-    hexes = F.hex("signature")
-    low = F.unhex(F.concat_ws("", *[F.substring(hexes, 8 * k + 7, 2) for k in range(TREES * DEPTH)]))
     codes = F.array(*[F.hash(F.substring("signature", 4 * DEPTH * t + 1, 4 * LEAST)) for t in range(TREES)])
-    return nodes.select("node", "label", "n_shingles", low.alias("bytes"), codes.alias("regions"))
+    return nodes.select("node", "label", "n_shingles", low_bytes().alias("bytes"), codes.alias("regions"))
 
 
 class Cell:
@@ -371,14 +401,14 @@ def _cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[tu
         yield key, Cell(key, held, percent)
 
 
-def remaining_links(nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def remaining_links(nodes: DataFrame, texts: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
     """``a, b``: labels of different components that share a region and are linked by a pair of full sets.
 
     The signatures of a cell say which of its nodes are in a pair that may be alike and meets in no
     earlier tree. Only those send their sets to the cell, once each, where all its pairs are confirmed:
     what is shipped grows with nodes and blocks, and no pair is ever a row.
     """
-    marked = written(marks(nodes))
+    marked = scratch.written(marks(nodes))
     columns = [*CELL, "node", "side", "label", "n_shingles", "bytes", "regions"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,8 +420,8 @@ def remaining_links(nodes: DataFrame, texts: DataFrame, n: int, percent: int) ->
                 yield pa.record_batch([*k, pa.array(node, pa.int64()), pa.array(side, pa.int32())], [*CELL, "node", "side"])
 
     by_cell = lambda df: df.repartition(*CELL).sortWithinPartitions(*CELL)
-    met = by_cell(mixed_cells(nodes).join(marked, "node").select(*columns))
-    met = written(met.mapInArrow(meet, "tree int, region binary, kind int, i int, j int, node bigint, side int"))
+    met = by_cell(mixed_cells(nodes, scratch).join(marked, "node").select(*columns))
+    met = scratch.written(met.mapInArrow(meet, "tree int, region binary, kind int, i int, j int, node bigint, side int"))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
@@ -420,20 +450,27 @@ def remaining_links(nodes: DataFrame, texts: DataFrame, n: int, percent: int) ->
 
 def near_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``."""
-    sets = written(document_sets(docs, n, id_column, text))
-    reps = written(sets.filter("id is not null and key is not null").groupBy("key").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
-    crowd = written(crowding(forest(reps)))
-    active = written(reps.join(crowd, "node").select("node", "n_shingles", "signature", "weight"))
-    chosen = written(best_two(candidates(forest(active, "weight"))))
+    return _classes(docs, n, percent, id_column, text, written)
+
+
+def _classes(docs: DataFrame, n: int, percent: int, id_column: str, text: str, lasting: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``lasting`` writes the two tables that the result is read from; all others are deleted here."""
+    scratch = Scratch(docs.sparkSession)
+    sets = lasting(document_sets(docs, n, id_column, text))
+    reps = scratch.written(sets.filter("id is not null and key is not null").groupBy("key").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
+    crowd = scratch.written(crowding(forest(reps)))
+    active = scratch.written(reps.join(crowd, "node").select("node", "n_shingles", "signature", "weight"))
+    chosen = scratch.written(best_two(candidates(forest(active, "weight"))))
     texts = docs.select(F.col(id_column).cast("bigint").alias("node"), whole_text(text).alias("t"))
-    links = written(confirmed(chosen, texts, n, percent))
-    labels = components(links)
-    nodes = written(active.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "n_shingles", "signature"))
-    more = written(remaining_links(nodes, texts, n, percent))
+    links = scratch.written(confirmed(likely(chosen, active, percent), texts, n, percent, scratch))
+    labels = components(links, scratch)
+    nodes = scratch.written(active.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "n_shingles", "signature"))
+    more = scratch.written(remaining_links(nodes, texts, n, percent, scratch))
     if not more.isEmpty():
-        joined = components(more).select(F.col("node").alias("label"), F.col("label").alias("root"))
+        joined = components(more, scratch).select(F.col("node").alias("label"), F.col("label").alias("root"))
         labels = nodes.join(joined, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
-    keyed = written(reps.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component_id")))
+    keyed = lasting(reps.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component_id")))
+    scratch.clear()
     named = sets.filter("id is not null and key is not null").join(keyed, "key").select("id", "n_shingles", "component_id")
     alone = sets.filter("id is null or key is null").select("id", "n_shingles", F.col("id").alias("component_id"))
     return named.unionByName(alone).select(F.col("id").alias(id_column), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -441,5 +478,7 @@ def near_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_column: str
 
 def drop_near(docs: DataFrame, n: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows whose id is the smallest of its component, with the columns they came with."""
-    kept = written(near_classes(docs, n, percent, id_column, text).filter("kept").select(F.struct(F.col(id_column)).alias("__kept")).distinct())
+    scratch = Scratch(docs.sparkSession)
+    kept = written(_classes(docs, n, percent, id_column, text, scratch.written).filter("kept").select(F.struct(F.col(id_column)).alias("__kept")).distinct())
+    scratch.clear()
     return docs.join(kept, F.struct(F.col(id_column)) == F.col("__kept"), "left_semi")
