@@ -12,15 +12,16 @@ sum of a source that holds most rows is spread over tasks.
 
 Defined cases: a null text has no words; a null source is a source of its own, last in order; a
 source without words gets target 0 and takes nothing; repeated rows are documents of their own, in
-places next to each other; an empty table gives an empty result.
+places next to each other; an empty table gives an empty result; other columns are ignored, and one to
+keep that has the name of a column of the result is refused with a ValueError.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framequarry.llm.base import SPACE, written
+from framequarry.llm.base import SPACE, Scratch, written
 
 BUCKET_DIGITS = 3  # 4096 buckets a source
 
@@ -59,15 +60,49 @@ def source_targets(sizes: DataFrame, weights: list[int], max_epochs: int) -> Dat
     )
 
 
+def take(docs: DataFrame, weights: list[int], max_epochs: int = 3, seed: str = "mix", id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of the mix, each as often as it is taken, with the columns they came with.
+
+    The running sum never falls along the seeded order, so the documents taken once more are those up to
+    one cut in it per source. Only ids and sizes are ordered; the rows themselves are read once more and meet
+    the cuts, one per source, so no text is moved. Where rows with the same id lie on both sides of
+    a cut, no cut tells them apart, and the whole rows are ordered.
+    """
+    place = _place(F.col(id_column), seed)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    scratch = Scratch(docs.sparkSession)
+    mixed = scratch.written(mix(docs, weights, max_epochs, seed, id_column, text, source).select("times", "source", place.alias("place"), F.col(id_column).alias("id")))
+    at = lambda of: F.struct("times", "place", "id") if of is None else F.struct(f"{of}.place", f"{of}.id")
+    # Greatest of those taken most often, and least of the others: the two sides of the cut.
+    cuts = mixed.groupBy(F.struct("source").alias("__key")).agg(F.max(at(None)).alias("last"), F.min(at(None)).alias("first"))
+    cuts = written(cuts.select("__key", F.col("last.times").alias("most"), F.col("first.times").alias("least"), at("last").alias("cut"), (at("last") == at("first")).alias("same")))
+    scratch.clear()
+    if cuts.filter("same and most > least").isEmpty():
+        rows = docs.select(row, F.struct(F.col(source).alias("source")).alias("__key"), F.struct(place.alias("place"), F.col(id_column).alias("id")).alias("__at"))
+        taken = rows.join(cuts, "__key").withColumn("times", F.when(F.col("__at") <= F.col("cut"), F.col("most")).otherwise(F.col("least")))
+    else:
+        names = [F.col(c).alias(n) for c, n in ((id_column, "doc_id"), (text, "text"), (source, "source"))]
+        taken = mix(docs.select(*names, row), weights, max_epochs, seed, keep=["__row"])
+    return taken.filter("times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("__row.*")
+
+
+def _place(ident: Column, seed: str) -> Column:
+    """Place of a document in the seeded order."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit("null"))).cast("binary"))
+
+
 def mix(docs: DataFrame, weights: list[int], max_epochs: int = 3, seed: str = "mix", id_column: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] = ()) -> DataFrame:
     """One row per document: id, ``size``, ``source_size``, ``target`` and ``times``, the number of copies to take.
 
     ``times`` is the whole part of target over source size, plus one for documents up to the
     fraction: a document whose middle lies within ``fraction * source_size`` of the seeded order.
     """
-    place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit("null"))).cast("binary"))
+    names = [id_column, "size", "source_size", "target", "times", "source", *keep]
+    if len(set(names)) < len(names):
+        raise ValueError(f"columns to keep clash with those of the mix: {sorted(n for n in set(names) if names.count(n) > 1)}")
+    place = _place(F.col(id_column), seed)
     rows = written(docs.select(
-        F.col(id_column).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), place.alias("place"), *[F.col(c) for c in keep]))
+        F.col(id_column).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), place.alias("place"), *[F.col(c).alias(f"__keep_{k}") for k, c in enumerate(keep)]))
     rows = rows.withColumn("bucket", F.substring("place", 1, BUCKET_DIGITS))
     key = [F.col("source"), F.col("bucket")]
     buckets = rows.groupBy(*key).agg(F.sum("size").alias("bucket_size"))
@@ -87,4 +122,4 @@ def mix(docs: DataFrame, weights: list[int], max_epochs: int = 3, seed: str = "m
     once = (start * 2 + F.col("size")).cast("double") < quota * 2
     times = F.when(F.col("source_size") > 0, whole + once.cast("int")).otherwise(0).cast("int")
     out = joined.withColumn("times", times)
-    return out.select(F.col("id").alias(id_column), "size", "source_size", "target", "times", F.col("key.source").alias("source"), *keep)
+    return out.select(F.col("id").alias(id_column), "size", "source_size", "target", "times", F.col("key.source").alias("source"), *[F.col(f"__keep_{k}").alias(c) for k, c in enumerate(keep)])
