@@ -15,13 +15,14 @@ an empty table gives an empty result; other columns are never read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framequarry.llm.base import whole_text, written
@@ -35,10 +36,12 @@ class Model(NamedTuple):
     weights: tuple[float, ...]  # of the features, then the constant
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_column: str, text: str, per_class: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_column: str, text: str, per_class: int, most_bytes: int = 64 << 20) -> tuple[list[tuple[str, int]], dict[int, int]]:
     """At most ``per_class`` texts of each label 0 and 1, those whose id hashes lowest, and how many labels there are.
 
     Ids break ties. The join keeps the labels of ``docs`` only, and the sample is bounded, so it may be broadcast.
+    A text with which those before it would have more than ``most_bytes`` bytes of a label together is left out before
+    anything is brought to the driver. Ids are of any type that hashes.
     """
     ids = docs.select(F.col(id_column).alias("id")).filter("id is not null")
     known = labels.select(F.col(id_column).alias("id"), F.col(label).alias("y")).filter("y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
@@ -48,9 +51,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_column: s
     for y in (0, 1):
         part = known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select(F.col(id_column).alias("id"), whole_text(text).alias("t")).join(F.broadcast(chosen), "id")
-    rows = rows.groupBy("id", "y").agg(F.max("t").alias("t"))
-    return [(r.t, r.y) for r in sorted(rows.collect(), key=lambda r: (r.id * 0x9E3779B97F4A7C15 % 2**64, r.id))], counts
+    texts = docs.select(F.col(id_column).alias("id"), whole_text(text).alias("t"))
+    sizes = texts.select("id", F.octet_length("t").cast("bigint").alias("size")).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.max("size").alias("size"))
+    upto = F.sum("size").over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
+    fitting = written(sizes.withColumn("upto", upto).filter(F.col("upto") <= most_bytes).select("id", "y"))
+    rows = texts.join(F.broadcast(fitting), "id").groupBy("id", "y").agg(F.max("t").alias("t"))
+    return [(r.t, r.y) for r in sorted(rows.collect(), key=lambda r: _shuffled(r.id))], counts
+
+
+def _shuffled(ident) -> tuple:
+    """Sort key that mixes the ids of the sample."""
+    number = ident if isinstance(ident, int) else int.from_bytes(hashlib.sha256(str(ident).encode()).digest()[:8])
+    return number * 0x9E3779B97F4A7C15 % 2**64, ident
 
 
 def _dictionary(texts: list[bytes], size: int) -> bytes:

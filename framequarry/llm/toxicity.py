@@ -8,7 +8,8 @@ The output is the expected grade, and the chance of each.
 Labels say only toxic or not. Training grades split toxic texts by the number of distinct
 features which only toxic texts of the sample have: up to 4, up to 16, more.
 
-The training sample is bounded: ``per_class`` labelled texts of each label by lowest hash of the id.
+The training sample is bounded: ``per_class`` labelled texts of each label by lowest hash of the id, and 64 MB
+of each (``labelled_sample``).
 Every text is scored whole. The chosen features (``n_features`` at most) travel with the function.
 
 Defined cases: a null or empty text has no features and gets the grade of the thresholds alone;
@@ -23,6 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,7 @@ from framequarry.llm.quality import labelled_sample
 GRADES = 4
 PREFIXES = (4, 5, 6)
 CACHE = 1 << 18
+TRAINING_CACHE = 1 << 14  # of the driver
 LEAST = 12.0  # chi-square below which a feature may be chance
 EDGE = b".,;:!?*#$%&|\"'()[]<>-"
 
@@ -48,7 +51,7 @@ def word_features(word: bytes) -> list[bytes]:
     return [word + b"$"] + [word[:n] for n in PREFIXES if len(word) > n] if word else []
 
 
-def text_features(text: str, known: dict[bytes, int] | None, cache: dict) -> set:
+def text_features(text: str, known: dict[bytes, int] | None, cache: dict, most: int = CACHE) -> set:
     """Places of the known features of a text; with ``known`` None, all its features."""
     out: set = set()
     for word in set(text.encode("utf-8", "surrogatepass").lower().split()):
@@ -56,7 +59,7 @@ def text_features(text: str, known: dict[bytes, int] | None, cache: dict) -> set
         if found is None:
             parts = word_features(word)
             found = tuple(parts) if known is None else tuple(known[h] for h in parts if h in known)
-            if len(cache) >= CACHE:
+            if len(cache) >= most:
                 cache.clear()
             cache[word] = found
         if found:
@@ -64,24 +67,35 @@ def text_features(text: str, known: dict[bytes, int] | None, cache: dict) -> set
     return out
 
 
-def _choose(sets: list[set[bytes]], y: np.ndarray, n_features: int) -> tuple[dict[bytes, int], np.ndarray]:
-    """The features with the largest chi-square excess in toxic texts, and each text's count of purely toxic ones."""
-    counts: dict[bytes, list[int]] = {}
-    for s, label in zip(sets, y, strict=True):
-        for f in s:
-            counts.setdefault(f, [0, 0])[label] += 1
+def _choose(texts: list[str], y: np.ndarray, n_features: int) -> tuple[dict[bytes, int], list[np.ndarray], np.ndarray]:
+    """The features with the largest chi-square excess in toxic texts, their places in each text, and each text's count of purely toxic ones.
+
+    Features are counted as hashes in one sorted array; only those that may be chosen are spelled out.
+    """
+    cache: dict = {}
+    hashed = []
+    for t in texts:
+        found = text_features(t, None, cache, TRAINING_CACHE)
+        hashed.append(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)))
+    all_hashes, inverse = np.unique(np.concatenate(hashed), return_inverse=True)
+    toxic = np.repeat(y == 1, [len(h) for h in hashed])
+    a, b = np.bincount(inverse[toxic], minlength=len(all_hashes)), np.bincount(inverse[~toxic], minlength=len(all_hashes))
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    scored = []
-    for f, (b, a) in counts.items():
-        if a >= 3 and a / n1 > 2 * b / n0:
-            n, df = n1 + n0, a + b
-            excess = a - df * n1 / n
-            strength = excess**2 / (df * (n - df) * n1 * n0 / n**3 + 1e-9)
-            if strength >= LEAST:
-                scored.append((-strength, f))
-    chosen = {f: i for i, (_, f) in enumerate(sorted(scored)[:n_features])}
-    pure = {f for f in chosen if counts[f][0] == 0}
-    return chosen, np.array([len(s & pure) for s in sets])
+    n, df = n1 + n0, a + b
+    strength = (a - df * n1 / n) ** 2 / (df * (n - df) * n1 * n0 / n**3 + 1e-9)
+    fit_for = np.flatnonzero((a >= 3) & (a / n1 > 2 * b / n0) & (strength >= LEAST))
+    names = dict.fromkeys(all_hashes[fit_for].tolist(), b"")
+    cache.clear()
+    for t, h in zip(texts, hashed, strict=True):
+        if np.isin(h, all_hashes[fit_for]).any():
+            names.update((x, f) for f in text_features(t, None, cache, TRAINING_CACHE) if (x := xxhash.xxh64_intdigest(f)) in names)
+    order = sorted(fit_for.tolist(), key=lambda i: (-strength[i], names[int(all_hashes[i])]))[:n_features]
+    place = np.full(len(all_hashes), -1)
+    place[order] = np.arange(len(order))
+    pure = (place >= 0) & (b == 0)
+    parts = np.split(inverse, np.cumsum([len(h) for h in hashed])[:-1])
+    places = [np.sort(place[p][place[p] >= 0]) for p in parts]
+    return {names[int(all_hashes[i])]: k for k, i in enumerate(order)}, places, np.array([int(pure[p].sum()) for p in parts])
 
 
 def _fit(x, rows: int, columns: int, grade: np.ndarray, ridge: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,13 +133,10 @@ def fit(rows: list[tuple[str, int]], counts: dict[int, int], n_features: int = 4
     y = np.array([label for _, label in rows], int)
     if len(set(y.tolist())) < 2:
         return Model({}, np.zeros(0), np.array([30.0, 31.0, 32.0]))
-    cache: dict = {}
-    sets = [text_features(t, None, cache) for t, _ in rows]
-    chosen, pure = _choose(sets, y, n_features)
+    chosen, places, pure = _choose([t for t, _ in rows], y, n_features)
     grade = np.where(y == 1, 1 + (pure > 4) + (pure > 16), 0)
-    places = [sorted(chosen[f] for f in s if f in chosen) for s in sets]
     row = np.repeat(np.arange(len(rows)), [len(p) for p in places])
-    col = np.array([c for p in places for c in p], int)
+    col = np.concatenate(places).astype(int)
     weights, thresholds = _fit((row, col), len(rows), max(1, len(chosen)), grade, ridge, steps)
     # The sample may hold more toxic texts than the corpus: move the thresholds by the difference of the log odds.
     shift = np.log(counts[0] / counts[1] * (y == 1).sum() / (y == 0).sum())
