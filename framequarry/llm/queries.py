@@ -42,10 +42,7 @@ def op1(spark, d) -> DataFrame:
 
 @query("op2_bpe")
 def op2(spark, d) -> DataFrame:
-    config = tokenizer_json()
-    out = bpe.decode(bpe.encode(table(spark, d, "documents"), config), config)
-    size = bpe.load(config).get_vocab_size()
-    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), bpe.id_digest("ids", size).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return bpe.round_trip(table(spark, d, "documents"), tokenizer_json())
 
 
 @query("op3_rules", rules.quality_rules_sql())

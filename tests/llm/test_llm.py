@@ -120,6 +120,27 @@ def test_bpe_awkward(awkward, empty):
     want = {hashlib.sha256(" ".join(map(str, t.encode(x).ids)).encode()).hexdigest() for _, x in texts}
     assert {r[0] for r in rows_of(out.select(bpe.id_digest("ids", size)))} == want
     assert rows_of(bpe.decode(bpe.encode(empty, config), config)) == []
+    trip = rows_of(bpe.round_trip(awkward, config, with_ids=True))
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert len(trip) == awkward.count()
+    assert {(i, tuple(ids)) for i, _, _, _, ids in trip} == {(i, tuple(t.encode(x).ids)) for i, x in texts}
+    assert all((n, a, b) == (len(ids), digest(" ".join(map(str, ids))), digest(t.decode(ids, skip_special_tokens=False))) for _, n, a, b, ids in trip)
+    assert rows_of(bpe.round_trip(empty, config)) == []
+    with pytest.raises(ValueError, match="ids"):
+        bpe.encode(awkward.withColumn("ids", F.lit(1)), config, keep=["ids"])
+
+
+def test_bpe_small_memory_agrees():
+    config = queries.tokenizer_json()
+    work = bpe.Encoder(config)
+    work.pieces, work.chunks = bpe.Kept(5000), bpe.Kept(5000)
+    rnd = random.Random(5)
+    for k in range(6):
+        texts = [" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 9) for _ in range(200)) for _ in range(20)] + ["x" * (bpe.LONGEST + k) + " y"]
+        data, offsets = bpe.buffers(pa.array(texts))
+        assert [np.frombuffer(x, np.int32).tolist() for x in work.encode(data, offsets)] == [e.ids for e in work.tokenizer.encode_batch(texts)]
+        work.pieces.trim()
+        assert work.pieces.size <= 5000 + work.pieces.most or len(work.pieces) < 500
 
 
 # ---- 3 rules ----
@@ -263,7 +284,29 @@ def test_water_filling_caps_and_shares(spark):
 def test_mixing_awkward(awkward, empty):
     out = mixing.mix(awkward, [5, 2, 1]).collect()
     assert len(out) == awkward.count() and {r.size for r in out if r.doc_id in (1, 2, 3, 9)} == {0}
-    assert mixing.mix(empty, [1]).count() == 0
+    assert mixing.mix(empty, [1]).count() == mixing.take(empty, [1]).count() == 0
+    assert mixing.take(awkward, [5, 2, 1]).columns == awkward.columns
+    with pytest.raises(ValueError, match="target"):
+        mixing.mix(awkward.withColumn("target", F.lit(1)), [1], keep=["target"])
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_mixing_takes_what_the_mix_says(spark, repeated):
+    """Whole rows by one cut per source; with one id in all rows no cut tells them apart, and rows are ordered instead."""
+    rows = [(7 if repeated else k % 97, "w " * (3 if repeated else k % 11), None if k % 5 == 0 else "ab"[k % 2], k) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, times int")
+    out = mixing.take(docs, [5, 2, 1])
+    assert out.columns == docs.columns
+    mixed = mixing.mix(docs, [5, 2, 1]).groupBy("source").agg(F.sum(F.col("times") * F.col("size")).alias("n")).collect()
+    got = collections.Counter()
+    for r in out.collect():
+        got[r.source] += len(r.text.split())
+    assert {r.source: r.n for r in mixed if r.n} == {s: n for s, n in got.items() if n}
+    if not repeated:
+        want = collections.Counter()
+        for i, t, s, n in mixing.mix(docs.withColumn("x", F.struct("doc_id", "text", "source")), [5, 2, 1], keep=["x"]).select("x.doc_id", "x.text", "x.source", "times").collect():
+            want[i, t, s] += n
+        assert collections.Counter((r[0], r[1], r[2]) for r in out.collect()) == +want
 
 
 # ---- 7 exact ----
