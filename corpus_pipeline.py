@@ -2,7 +2,7 @@
 
 Toxic documents go, then exact copies, then near copies (five-word shingles, similarity of 0.8 or
 more); the sources of what is left are mixed to target weights, and the mix is encoded and decoded again. Each stage
-reads what the one before wrote. All but the last return the columns of ``documents``.
+reads what the one before wrote. An empty table passes through every stage. All but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from framequarry.llm import bpe, exact, mixing, near, toxicity
 from framequarry.llm.base import fold
@@ -26,28 +25,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal after lower-casing A-Z, null as empty, the row with the largest id."""
     return exact.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each near-duplicate group; documents without words or id stay."""
     return near.drop_near(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, so up to three times or not at all."""
-    columns = docs.columns
-    # The whole row travels as one column, so that no name can clash with those of the mix.
-    rows = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"))
-    mixed = mixing.mix(rows, WEIGHTS, keep=["__row"])
-    return mixed.filter("times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("__row.*")
+    """Each document as often as the mix takes it, so up to three times or not at all; a null source is one of its own."""
+    return mixing.take(docs, WEIGHTS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id``, ``source``, ``ids``, ``n_tokens`` and ``decoded_sha256``, the digest of the decoded ids, of each row."""
-    config = tokenizer_json()
-    out = bpe.decode(bpe.encode(docs, config, keep=["source"]), config)
-    digest = F.sha2(F.col("decoded").cast("binary"), 256)
-    return out.withColumns({"n_tokens": F.size("ids").cast("bigint"), "decoded_sha256": digest}).drop("decoded")
+    """``doc_id``, ``source``, ``ids``, ``n_tokens`` and ``decoded_sha256``, the digest of the decoded ids, of each row; a null text has no ids."""
+    out = bpe.round_trip(docs, tokenizer_json(), keep=["source"], with_ids=True)
+    return out.select("doc_id", "source", "ids", "n_tokens", "decoded_sha256")
 
 
 STAGES = [
