@@ -235,7 +235,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int, scratch:
     salted = scratch.written(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt")))
     wanted = salted.select(F.col("a").alias("node"), "a", "salt", F.lit(None).cast("bigint").alias("b")).distinct()
     wanted = wanted.unionByName(salted.select(F.col("b").alias("node"), "a", "salt", "b"))
-    rows = wanted.join(texts, "node").select("a", "salt", "b", "t")
+    # Written first, so Spark knows how small it is when it chooses how to find the texts, and only those move.
+    needed = scratch.written(wanted.select("node").distinct())
+    rows = wanted.join(texts.join(needed, "node", "left_semi"), "node").select("a", "salt", "b", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
@@ -477,8 +479,12 @@ def _classes(docs: DataFrame, n: int, percent: int, id_column: str, text: str, l
 
 
 def drop_near(docs: DataFrame, n: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose id is the smallest of its component, with the columns they came with."""
+    """The rows whose id is the smallest of its component, with the columns they came with.
+
+    The ids that go meet the rows, as they are the fewer; a row without an id meets none and stays.
+    """
     scratch = Scratch(docs.sparkSession)
-    kept = written(_classes(docs, n, percent, id_column, text, scratch.written).filter("kept").select(F.struct(F.col(id_column)).alias("__kept")).distinct())
+    classes = _classes(docs, n, percent, id_column, text, scratch.written)
+    dropped = written(classes.groupBy(F.col(id_column).alias("__dropped")).agg(F.max("kept").alias("kept")).filter("not kept").select("__dropped"))
     scratch.clear()
-    return docs.join(kept, F.struct(F.col(id_column)) == F.col("__kept"), "left_semi")
+    return docs.join(dropped, F.col(id_column) == F.col("__dropped"), "left_anti")
