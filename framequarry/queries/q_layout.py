@@ -10,7 +10,7 @@ from framequarry.operators import checks as C
 from framequarry.operators import layout as LO
 from framequarry.operators import metrics as M
 from framequarry.queries import query
-from framequarry.queries.views import FR, PX, frames, px
+from framequarry.queries.views import PALETTE_HEX, FR, PX, frames, px
 from framequarry.session import table
 from framequarry.sources import sinks as SK
 
@@ -311,18 +311,40 @@ def _(spark, d):
     return SK.documents(SK.export_spriteframes_text(doc_cells(spark, d), doc_clips(spark, d), W, H, "res://"), ["asset"])
 
 
+_even = "cs.asset % 2 = 0"
+_colours = lambda first, last: f"""'["' || array_to_string([{', '.join(repr(h) for h in PALETTE_HEX)}][{first}:{last}], '","') || '"]'"""
+
+
 @query("export_manifest", "S-10", f"""WITH {DOC}, c AS (SELECT asset, clip, min(rank) AS rk, max(idx) + 1 AS n, any_value(fps) AS fps FROM bd GROUP BY 1, 2),
-  cs AS (SELECT asset, string_agg('{{"name":"' || clip || '","fps":' || fps || ',"frames":' || n || ',"loop":' || (clip <> 'r') || ',"durationMs":' || CAST(floor(n * 1000.0 / fps + 0.5) AS BIGINT) || '}}', ',' ORDER BY rk) AS t FROM c GROUP BY 1),
-  sh AS (SELECT asset, string_agg('{{"name":"' || img || '","image":"' || img || '.png","width":' || page_w || ',"height":' || page_h || '}}', ',' ORDER BY page) AS t FROM (SELECT DISTINCT asset, page, img, page_w, page_h FROM bd) GROUP BY 1),
+  cs AS (SELECT asset, string_agg('{{"name":"' || clip || '","fps":' || fps || ',"frames":' || n || ',"loop":' || (clip <> 'r') || ',"motion":' || (clip = 'n') || ',"durationMs":' || CAST(floor(n * 1000.0 / fps + 0.5) AS BIGINT) || '}}', ',' ORDER BY rk) AS t,
+    string_agg('"' || clip || '":' || {_colours(2, 2)}, ',' ORDER BY clip) AS pals FROM c GROUP BY 1),
+  sp AS (SELECT DISTINCT asset, page, img, page_w, page_h FROM bd),
+  sh AS (SELECT asset, string_agg('{{"name":"' || img || '","image":"' || img || '.png","data":"' || img || '.json","width":' || page_w || ',"height":' || page_h || ',"layout":"grid"}}', ',' ORDER BY page) AS t, string_agg('"' || img || '.png"', ',' ORDER BY page) AS files FROM sp GROUP BY 1),
   ce AS (SELECT asset, string_agg('{{"key":"' || key || '","clip":"' || clip || '","direction":"' || direction || '","index":' || idx || ',"sheet":"' || img || '","x":' || x || ',"y":' || y || ',"w":' || CASE WHEN tr THEN 14 ELSE 16 END || ',"h":' || CASE WHEN tr THEN 20 ELSE 24 END ||
-    ',"trimmed":' || tr || ',"offset":{{"x":' || CASE WHEN tr THEN 1 ELSE 0 END || ',"y":' || CASE WHEN tr THEN 2 ELSE 0 END || '}},"mirrored":' || (l_linenumber > 5) || '}}', ',' ORDER BY aspot) AS t FROM bd GROUP BY 1),
+    ',"trimmed":' || tr || ',"offset":{{"x":' || CASE WHEN tr THEN 1 ELSE 0 END || ',"y":' || CASE WHEN tr THEN 2 ELSE 0 END || '}},"mirrored":' || (l_linenumber > 5) || '}}', ',' ORDER BY aspot) AS t,
+    string_agg('"frames/' || asset || '_' || clip || '_' || direction || '_' || lpad(CAST(idx AS VARCHAR), 3, '0') || '.png"', ',' ORDER BY aspot) AS files, string_agg(DISTINCT '"' || direction || '"', ',' ORDER BY '"' || direction || '"') AS dirs FROM bd GROUP BY 1),
   ck AS (SELECT o_orderkey AS asset, count(*) FILTER (o_orderstatus = 'P') AS w, count(*) FILTER (o_orderstatus = 'F') AS e FROM orders GROUP BY 1)
-  SELECT cs.asset, '{{"assetId":"' || cs.asset || '","frame":{{"width":16,"height":24}},"pivot":{{"x":8,"y":20,"normalized":{{"x":0.5,"y":0.833333}}}},"clips":[' || cs.t || '],"sheets":[' || sh.t || '],"cells":[' || ce.t || '],"validation":{{"status":"' ||
-    CASE WHEN coalesce(e, 0) > 0 THEN 'fail' WHEN coalesce(w, 0) > 0 THEN 'warn' ELSE 'pass' END || '","warnings":' || coalesce(w, 0) || ',"errors":' || coalesce(e, 0) || '}}}}' AS document
+  SELECT cs.asset, '{{"schemaVersion":1,"generator":{{"name":"{SK.APP}","version":"{__version__}"}},"assetId":"' || cs.asset || '","assetHash":"' || sha256(cs.asset::VARCHAR) || '","frame":{{"width":16,"height":24}},"pivot":{{"x":8,"y":20,"normalized":{{"x":0.5,"y":0.833333}}}},"pixelsPerUnit":16' ||
+    ',"camera":{{"preset":"' || CASE WHEN {_even} THEN 'iso' ELSE 'side' END || '","pitch":' || (30 + cs.asset % 3) || ',"yawOffset":' || (cs.asset % 4 * 45) || ',"groundMargin":4}},"directions":[' || ce.dirs || '],"palette":{{"mode":"' || CASE WHEN {_even} THEN 'fixed:base","name":"base"' ELSE 'auto","name":null' END ||
+    ',"colors":' || {_colours(1, "cs.asset % 3 + 1")} || CASE WHEN {_even} THEN ',"byClip":{{' || cs.pals || '}}' ELSE '' END || '}},"clips":[' || cs.t || '],"sheets":[' || sh.t || '],"cells":[' || ce.t || '],"files":{{"frames":[' || ce.files || '],"sheets":[' || sh.files ||
+    ']}},"stages":{{"plan":"' || sha256(cs.asset || 'plan') || '","render":"' || sha256(cs.asset || 'render') || '"}},"validation":{{"status":"' ||
+    CASE WHEN coalesce(e, 0) > 0 THEN 'fail' WHEN coalesce(w, 0) > 0 THEN 'warn' ELSE 'pass' END || '","warnings":' || coalesce(w, 0) || ',"errors":' || coalesce(e, 0) || ',"report":"../validation.json"}}}}' AS document
   FROM cs JOIN sh ON sh.asset = cs.asset JOIN ce ON ce.asset = cs.asset LEFT JOIN ck ON ck.asset = cs.asset""")
 def _(spark, d):
     checks = table(spark, d, "orders").select(F.col("o_orderkey").alias("asset"), F.when(F.col("o_orderstatus") == "P", "warn").when(F.col("o_orderstatus") == "F", "fail").otherwise("pass").alias("status"))
-    return SK.documents(SK.export_manifest(doc_cells(spark, d), doc_clips(spark, d), checks, W, H, 4), ["asset"])
+    placed_cells, asset = doc_cells(spark, d), F.col("asset")
+    even, colours = asset % 2 == 0, F.array(*[F.lit(h) for h in PALETTE_HEX])
+    ids = cells(spark, d).groupBy("asset").agg(F.sort_array(F.collect_set("direction")).alias("directions"))
+    assets = ids.select(
+        "asset", F.sha2(asset.cast("string"), 256).alias("asset_hash"), F.when(even, "iso").otherwise("side").alias("preset"), (30 + asset % 3).alias("pitch"),
+        (asset % 4 * 45).alias("yaw"), "directions", F.when(even, "fixed:base").otherwise("auto").alias("palette"))
+    own = ids.select("asset", F.lit(None).cast("string").alias("clip"), F.slice(colours, 1, (asset % 3 + 1).cast("int")).alias("colours"))
+    some = cells(spark, d).filter(even).select("asset", "clip", F.slice(colours, 2, 1).alias("colours")).distinct()
+    stages = ids.select("asset", F.explode(F.array(F.lit("plan"), F.lit("render"))).alias("stage"))
+    stages = stages.withColumn("hash", F.sha2(F.concat(asset.cast("string"), "stage"), 256))
+    clips = doc_clips(spark, d).withColumn("motion", F.col("clip") == "n")
+    fragments = SK.export_manifest(placed_cells, clips, checks, W, H, 4, assets, own.unionByName(some), SK.manifest_files(placed_cells), stages, per_unit=16, data=".json")
+    return SK.documents(fragments, ["asset"])
 
 
 @query("frame_files", "S-15", f"""WITH {SC} SELECT asset, 'frames/' || asset || '_' || clip || '_' || direction || '_' || lpad(CAST(idx AS VARCHAR), 3, '0') || '.png' AS file FROM sc""")

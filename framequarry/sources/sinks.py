@@ -238,36 +238,114 @@ def export_spriteframes_text(cells: DataFrame, clips: DataFrame, width: int, hei
     )
 
 
-def export_manifest(cells: DataFrame, clips: DataFrame, checks: DataFrame, width: int, height: int, ground: int) -> DataFrame:
-    """The tool's own manifest per asset as fragments: frame, pivot, clips, sheets, cells and validation counts."""
+def _number(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit("null"))
+
+
+def _texts(c: str) -> Column:
+    """A JSON array of the texts of an array column, null as empty."""
+    return F.to_json(F.coalesce(F.col(c), F.expr("cast(array() AS array<string>)")))
+
+
+def manifest_files(cells: DataFrame) -> DataFrame:
+    """Files ``(asset, kind, n, path)`` of the sheets and the frames of every asset, numbered in sheet order."""
+    sheets = cells.groupBy(*PAGE).agg(F.first("page_name").alias("page_name"))
+    frames = frame_files(place(cells, ["asset"], "n"))
+    return sheets.select("asset", F.lit("sheets").alias("kind"), F.col("page").cast("bigint").alias("n"), _image().alias("path")).unionByName(
+        frames.select("asset", F.lit("frames").alias("kind"), F.col("n").cast("bigint").alias("n"), F.col("file").alias("path")))
+
+
+def _file_rows(files: DataFrame) -> DataFrame:
+    """Entries of the files object: the first path of a kind opens its list, the last one closes it."""
+    kinds = files.groupBy("asset", "kind").agg(F.count(F.lit(1)).alias("__all"))
+    kinds = kinds.withColumn("__kind", F.row_number().over(Window.partitionBy("asset").orderBy("kind")) - 1)
+    opens = F.concat(F.when(F.col("__kind") > 0, ",").otherwise(""), q("kind"), F.lit(":["))
+    text = F.concat(F.when(F.col("n") == 0, opens).otherwise(""), q("path"), F.when(F.col("n") == F.col("__all") - 1, "]").otherwise(""))
+    rows = files.join(kinds, ["asset", "kind"]).select("asset", (F.lit(FILES) + F.col("__kind")).cast("int").alias("__section"), "n", text.alias("t"))
+    return chunked(rows, ["asset", "__section"], F.col("__section"), "n", "t").drop("__section")
+
+
+#: Sections of a manifest: kinds of files count up from FILES.
+FILES, STAGES, TAIL = 100, 1 << 20, 1 << 21
+
+
+def export_manifest(
+    cells: DataFrame, clips: DataFrame, checks: DataFrame, width: int, height: int, ground: int, assets: DataFrame | None = None, palettes: DataFrame | None = None,
+    files: DataFrame | None = None, stages: DataFrame | None = None, per_unit: float = 1, layout: str = "grid", data: str | None = None, normals: str | None = None, generated_at: str | None = None,
+) -> DataFrame:
+    """The tool's own manifest per asset as fragments.
+
+    ``assets(asset, asset_hash, preset, pitch, yaw, directions, palette)`` gives hash, camera, directions and palette mode,
+    ``palettes(asset, clip, colours)`` the palette of an asset (null clip) and of its clips, ``files(asset, kind, n, path)``
+    the files by kind with their place ``n`` from 0, ``stages(asset, stage, hash)`` the keys of the build's stages; a section
+    whose table is not given is left out, one whose table lacks the asset is null or empty. ``data`` and ``normals`` are the
+    extensions of a sheet's data file and normals. ``clips`` may have ``motion``. Every list is cut into fragments, so
+    neither the cells nor the files of an asset are gathered in one row.
+    """
     cells = staged(cells)
-    assets = cells.select("asset").distinct()
+    ids = cells.select("asset").distinct()
     norm = round((height - ground) / height, 6)
-    head = F.concat(
-        F.lit('{"assetId":'), q("asset"),
-        F.lit(f',"frame":{{"width":{width},"height":{height}}},"pivot":{{"x":{width / 2:g},"y":{height - ground},"normalized":{{"x":0.5,"y":{norm:g}}}}},"clips":['),
-    )
+    info, by_clip = ids, []
+    head = [F.lit(f'{{"schemaVersion":1,"generator":{{"name":"{APP}","version":"{__version__}"}},"assetId":'), q("asset")]
+    if assets is not None:
+        info = info.join(assets.select("asset", *[F.col(c).alias(f"_{c}") for c in ("asset_hash", "preset", "pitch", "yaw", "directions", "palette")]), "asset", "left")
+        head += [F.lit(',"assetHash":'), q("_asset_hash")]
+    if generated_at is not None:
+        head += [F.lit(',"generatedAt":'), q(F.lit(generated_at))]
+    head.append(F.lit(f',"frame":{{"width":{width},"height":{height}}},"pivot":{{"x":{width / 2:g},"y":{height - ground},"normalized":{{"x":0.5,"y":{norm:g}}}}},"pixelsPerUnit":{per_unit:g}'))
+    if assets is not None:
+        head += [
+            F.lit(',"camera":{"preset":'), q("_preset"), F.lit(',"pitch":'), _number("_pitch"), F.lit(',"yawOffset":'), _number("_yaw"),
+            F.lit(f',"groundMargin":{ground}}},"directions":'), _texts("_directions"), F.lit(',"palette":{"mode":'), q("_palette"),
+            F.lit(',"name":'), q(F.when(F.startswith("_palette", F.lit("fixed:")), F.regexp_replace("_palette", "^fixed:", ""))),
+        ]
+        if palettes is not None:
+            own = palettes.filter("clip IS NULL").select("asset", F.col("colours").alias("_colours"))
+            some = palettes.filter("clip IS NOT NULL")
+            info = info.join(own, "asset", "left").join(some.select("asset", F.lit(True).alias("_some")).distinct(), "asset", "left")
+            head += [F.lit(',"colors":'), _texts("_colours"), F.when(F.col("_some"), ',"byClip":{').otherwise("")]
+            some = some.join(ids, "asset", "left_semi").withColumn("n", (F.row_number().over(Window.partitionBy("asset").orderBy("clip")) - 1).cast("bigint"))
+            by_clip = [chunked(some.withColumn("t", F.concat(q("clip"), F.lit(":"), _texts("colours"))), ["asset"], 1, "n", "t")]
+            by_clip.append(fixed(info, 2, F.concat(F.when(F.col("_some"), "}").otherwise(""), F.lit('},"clips":['))))
+        else:
+            head.append(F.lit('},"clips":['))
+    else:
+        head.append(F.lit(',"clips":['))
     used = cells.groupBy("asset", "clip").agg(F.max("idx").alias("last"), F.min("rank").alias("rank")).join(clips, ["asset", "clip"], "left")
     used = numbered(used, ["asset"])
     frames = F.col("last") + 1
-    clip = F.concat(F.lit('{"name":'), q("clip"), F.format_string(',"fps":%d,"frames":%d,"loop":%s,"durationMs":%d}', "fps", frames, F.col("loop").cast("string"), F.floor(frames * 1000 / F.col("fps") + 0.5).cast("bigint")))
-    clip_rows = chunked(used.withColumn("t", clip), ["asset"], 1, "n", "t")
+    motion = [F.lit(',"motion":'), F.coalesce(F.col("motion").cast("string"), F.lit("false"))] if "motion" in clips.columns else []
+    clip = F.concat(
+        F.lit('{"name":'), q("clip"), F.format_string(',"fps":%d,"frames":%d,"loop":%s', "fps", frames, F.col("loop").cast("string")), *motion,
+        F.format_string(',"durationMs":%d}', F.floor(frames * 1000 / F.col("fps") + 0.5).cast("bigint")))
+    clip_rows = chunked(used.withColumn("t", clip), ["asset"], 3, "n", "t")
     pages = cells.groupBy(*PAGE).agg(F.first("page_name").alias("page_name"), F.first("page_w").alias("pw"), F.first("page_h").alias("ph"))
-    sheet = F.concat(F.lit('{"name":'), q(_image("")), F.lit(',"image":'), q(_image()), F.format_string(',"width":%d,"height":%d}', "pw", "ph"))
-    sheet_rows = chunked(pages.withColumn("t", sheet), ["asset"], 3, "page", "t")
+    named = lambda kind, ext: [F.lit(f',"{kind}":'), q(_image(ext))]
+    sheet = F.concat(
+        F.lit('{"name":'), q(_image("")), *named("image", ".png"), *(named("data", data) if data else [F.lit(',"data":null')]), *(named("normals", normals) if normals else []),
+        F.format_string(',"width":%d,"height":%d,"layout":', "pw", "ph"), q(F.lit(layout)), F.lit("}"))
+    sheet_rows = chunked(pages.withColumn("t", sheet), ["asset"], 5, "page", "t")
     df = place(cells, ["asset"])
     cell = F.concat(
         F.lit('{"key":'), q(frame_key()), F.lit(',"clip":'), q("clip"), F.lit(',"direction":'), q("direction"), F.format_string(',"index":%d,"sheet":', "idx"), q(_image("")),
         F.format_string(',"x":%d,"y":%d,"w":%d,"h":%d,"trimmed":%s,"offset":{"x":%d,"y":%d},"mirrored":%s}', "x", "y", "w", "h", F.col("trimmed").cast("string"), "ox", "oy", F.col("mirrored").cast("string")),
     )
-    cell_rows = chunked(df.withColumn("t", cell), ["asset"], 5, "spot", "t")
+    cell_rows = chunked(df.withColumn("t", cell), ["asset"], 7, "spot", "t")
+    more = []
+    if files is not None:
+        more += [fixed(ids, 9, F.lit(',"files":{')), _file_rows(files.join(ids, "asset", "left_semi")), fixed(ids, STAGES - 1, F.lit("}"))]
+    if stages is not None:
+        keys = stages.join(ids, "asset", "left_semi").withColumn("n", (F.row_number().over(Window.partitionBy("asset").orderBy("stage")) - 1).cast("bigint"))
+        keys = chunked(keys.withColumn("t", F.concat(q("stage"), F.lit(":"), q("hash"))), ["asset"], STAGES + 1, "n", "t")
+        more += [fixed(ids, STAGES, F.lit(',"stages":{')), keys, fixed(ids, STAGES + 2, F.lit("}"))]
     verdict = checks.groupBy("asset").agg(F.count_if(F.col("status") == "warn").alias("_w"), F.count_if(F.col("status") == "fail").alias("_e"))
-    v = assets.join(verdict, "asset", "left").fillna(0, ["_w", "_e"])
+    v = ids.join(verdict, "asset", "left").fillna(0, ["_w", "_e"])
     status = F.when(F.col("_e") > 0, "fail").when(F.col("_w") > 0, "warn").otherwise("pass")
-    tail = F.concat(F.lit('],"validation":{"status":'), q(status), F.format_string(',"warnings":%d,"errors":%d}}', "_w", "_e"))
+    tail = F.concat(F.lit(',"validation":{"status":'), q(status), F.format_string(',"warnings":%d,"errors":%d,"report":"../validation.json"}}', "_w", "_e"))
     return union(
         [
-            fixed(assets, 0, head), clip_rows, fixed(assets, 2, F.lit('],"sheets":[')), sheet_rows, fixed(assets, 4, F.lit('],"cells":[')), cell_rows, fixed(v, 6, tail),
+            fixed(info, 0, F.concat(*head)), *by_clip, clip_rows, fixed(ids, 4, F.lit('],"sheets":[')), sheet_rows, fixed(ids, 6, F.lit('],"cells":[')), cell_rows,
+            fixed(ids, 8, F.lit("]")), *more, fixed(v, TAIL, tail),
         ]
     )
 

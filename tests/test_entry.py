@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 import check
 
 SF = "/root/testdata/sf0.001"
-SOME = ["box_downscale", "bleed_edges", "sprite_checks", "evict_lru", "merge_layers", "layout_grid", "sample_keys", "skin_weights", "frame_tags", "attribute_paths", "history_stream"]
+SOME = ["box_downscale", "bleed_edges", "sprite_checks", "evict_lru", "merge_layers", "layout_grid", "sample_keys", "skin_weights", "frame_tags", "attribute_paths", "history_stream", "validate_sprites", "export_manifest"]
 
 
 def test_every_oracle_has_a_query():
