@@ -374,6 +374,19 @@ def test_url_parts_rules_and_model(spark):
     assert not urls.train([]).any()
 
 
+def test_urls_of_unseen_labels_are_judged_by_their_parts():
+    """No label below stands in the table; prefixes alone decide nothing, and one kind of label gives 0.5 to all."""
+    weights = urls.with_share(urls.train(urls.split_labelled(urls.LABELLED_URLS)), urls.LABELLED_URLS, urls.SHARE)
+
+    def score(host):
+        place, value = urls.features(host, "/x/5")
+        return weights[place] @ value + weights[-1]
+
+    assert all(score(h) > 0 for h in ("www.casino-night.example.net", "blog.adult-zone.example.org", "m.ads-delivery.example.com"))
+    assert all(score(f"{p}quietriver.example.net") < 0 for p in ("", "www.", "m.", "blog."))
+    assert not urls.with_share(urls.train([]), [], 0.1).any()
+
+
 # ---- 10 near duplicates ----
 
 
