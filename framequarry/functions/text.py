@@ -48,8 +48,9 @@ def matches_glob(c, glob: str) -> Column:
 
 
 def age_bucket(ts, now) -> Column:
-    """Words for the age of ``ts``: just now, minutes, hours (below 36) or days."""
-    seconds = F.greatest(F.lit(0), F.floor((F.unix_millis(_col(now).cast("timestamp")) - F.unix_millis(_col(ts).cast("timestamp"))) / 1000 + 0.5))
+    """Words for the age of ``ts``: just now, minutes, hours (below 36) or days. Both times count to the nearest millisecond."""
+    millis = lambda c: F.floor((F.unix_micros(_col(c).cast("timestamp")) + 500) / 1000)
+    seconds = F.greatest(F.lit(0), F.floor((millis(now) - millis(ts)) / 1000 + 0.5))
     minutes = F.floor(seconds / 60 + 0.5)
     hours = F.floor(minutes / 60 + 0.5)
     days = F.floor(hours / 24 + 0.5)
