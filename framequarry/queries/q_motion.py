@@ -344,7 +344,8 @@ def _(spark, d):
   w AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY abs(lowest) DESC, idx) AS k FROM l) SELECT clip, idx, round(lowest, 6) AS lowest, abs(lowest) * 16 * cos(radians(30)) > 1 AS off_ground FROM w WHERE k = 1""")
 def _(spark, d):
     li = table(spark, d, "lineitem")
-    y = F.col("l_tax") * 10 + F.col("l_discount") * 3 - 0.1 * F.col("l_linenumber")
+    # Tenths as the nearest double: 0.1 times a number is off by a bit for some, which would decide between equal heights.
+    y = F.col("l_tax") * 10 + F.col("l_discount") * 3 - F.col("l_linenumber") / 10
     v = li.select(F.col("l_suppkey").alias("clip"), F.col("l_linenumber").alias("idx"), F.col("l_returnflag").alias("node"), y.alias("y"))
     return G.foot_contact(v, v.select("clip").distinct(), ["A", "R"], 16.0, 30.0).withColumn("lowest", F.round("lowest", 6))
 
