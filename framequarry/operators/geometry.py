@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,8 +67,8 @@ def bone_segments(bones: DataFrame) -> DataFrame:
     return ends.select("rig", "joint", *[f"a{c}" for c in "xyz"], *[v.alias(n) for n, v in further.items()])
 
 
-#: Vertices of a cell, on average; cells of a rig an axis; fine cells of a coarse one an axis.
-CELL_VERTICES, MOST_CELLS, COARSE = 16, 64, 4
+#: Vertices of a last cell, on average, and of how many of them the cells before; most cells cut from one along an axis; most vertices measured in one row.
+CELL_VERTICES, COARSE, MOST_CELLS, MOST_ROWS = 128, 16, 32, 4096
 # More than rounding can move a distance.
 CELL_SLACK = 1e-9
 
@@ -101,14 +103,14 @@ def _two_nearest(distances: Column) -> Column:
     return _let(distances, both)
 
 
-def _narrowed(cells: DataFrame, step: int) -> DataFrame:
+def _narrowed(cells: DataFrame) -> DataFrame:
     """Leave in ``__s`` the segments that can be among the two nearest joints of any point of the cell.
 
-    ``cells(rig, __box, __i, __s)``; a cell is ``step`` fine cells wide and held by a ball. With d2 the distance of
-    the centre to its second nearest joint, no farther segment than d2 and the ball's diameter can matter.
+    ``cells(rig, __c, lo, hi, __s)`` with the corners of the box around the cell's vertices. With d2 the distance of
+    the centre to its second nearest joint, no farther segment than d2 and the box's diagonal can matter.
     """
-    wide = [F.col(f"__box.h{c}") * step for c in "xyz"]
-    centre = [F.col(f"__box.{c}") + (F.floor(F.col(f"__i.{c}") / step) + 0.5) * w for c, w in zip("xyz", wide)]
+    centre = [(F.col(f"lo.{c}") + F.col(f"hi.{c}")) / 2 for c in "xyz"]
+    wide = [F.col(f"hi.{c}") - F.col(f"lo.{c}") for c in "xyz"]
     ball = F.sqrt(sum((w * w for w in wide), F.lit(0.0))) + CELL_SLACK
 
     def keep(d: Column) -> Column:
@@ -119,34 +121,102 @@ def _narrowed(cells: DataFrame, step: int) -> DataFrame:
         "__s", _let(F.col("__at"), lambda at: _let(_distances("__s", at["x"], at["y"], at["z"]), keep))).drop("__at")
 
 
+def _boxes(placed: DataFrame) -> DataFrame:
+    """Count and box of the vertices ``placed(rig, __c, x, y, z)`` of every cell."""
+    corner = lambda f, n: F.struct(*[f(c).alias(c) for c in "xyz"]).alias(n)
+    return staged(placed.groupBy("rig", "__c").agg(F.count(F.lit(1)).alias("n"), corner(F.min, "lo"), corner(F.max, "hi")))
+
+
+def _cut(placed: DataFrame, boxes: DataFrame, size: int) -> DataFrame:
+    """Move every vertex from its cell to a part of it that holds about ``size`` vertices, numbered after its cell."""
+    wide = {c: F.col(f"hi.{c}") - F.col(f"lo.{c}") for c in "xyz"}
+    axes = sum((F.when(w > 0, 1).otherwise(0) for w in wide.values()), F.lit(0))
+    room = F.lit(1.0)
+    for w in wide.values():
+        room = room * F.when(w > 0, w).otherwise(1.0)
+    boxes = boxes.withColumn("__side", F.pow(room / F.ceil(F.col("n") / size), F.lit(1.0) / F.greatest(axes, F.lit(1))))
+    parts = {f"__{c}": F.when(w > 0, F.least(F.lit(MOST_CELLS), F.greatest(F.lit(1), F.ceil(w / F.col("__side"))))).otherwise(1) for c, w in wide.items()}
+    rows = placed.join(boxes.withColumns(parts).drop("n", "__side"), ["rig", "__c"])
+    at = F.col("__c")
+    for c, w in wide.items():
+        step = F.when(w > 0, F.least(F.col(f"__{c}") - 1, F.floor((F.col(c) - F.col(f"lo.{c}")) / w * F.col(f"__{c}")))).otherwise(0)
+        at = at * MOST_CELLS + step
+    return rows.select("rig", "vid", *"xyz", at.cast("bigint").alias("__c"))
+
+
+def _measured(batches):
+    """The nearest segment and the nearest of another joint for every vertex of rows ``(rig, v, s)``; the segments are in order of their joints."""
+    for b in batches:
+        v, s = b.column("v").flatten(), b.column("s").flatten()
+        starts, bounds = (np.asarray(b.column(n).offsets) - b.column(n).offsets[0].as_py() for n in "vs")
+        joints = s.field("joint")
+        at = np.stack([v.field(c).to_numpy(zero_copy_only=False) for c in "xyz"], axis=1)
+        head, along = (np.stack([s.field(f"{n}{c}").to_numpy(zero_copy_only=False) for c in "xyz"], axis=1) for n in "av")
+        square = s.field("n").to_numpy(zero_copy_only=False)
+        _, joint = np.unique(joints.to_numpy(zero_copy_only=False), return_inverse=True)
+        one, two = np.zeros(len(at), "int64"), np.full(len(at), -1, "int64")
+        far = np.zeros((2, len(at)))
+        for i in range(b.num_rows):
+            lo, hi = bounds[i], bounds[i + 1]
+            step = max(1, (1 << 20) // max(1, hi - lo))
+            for k in range(starts[i], starts[i + 1], step):
+                rows = slice(k, min(k + step, starts[i + 1]))
+                gap = [at[rows, c, None] - head[lo:hi, c] for c in range(3)]
+                dot = sum(g * along[lo:hi, c] for c, g in enumerate(gap))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    u = np.where(square[lo:hi] == 0, 0.0, np.clip(dot / square[lo:hi], 0.0, 1.0))
+                d = np.sqrt(sum((g - along[lo:hi, c] * u) ** 2 for c, g in enumerate(gap)))
+                d = np.where(np.isnan(d), np.inf, d)
+                here = np.arange(len(d))
+                first = d.argmin(axis=1)
+                one[rows], far[0, rows] = lo + first, d[here, first]
+                other = joint[lo:hi] != joint[lo:hi][first][:, None]
+                second = np.where(other, d, np.inf).argmin(axis=1)
+                # Where all others are infinitely far, the first of them counts.
+                second = np.where(other[here, second], second, other.argmax(axis=1))
+                two[rows], far[1, rows] = np.where(other[here, second], lo + second, -1), d[here, second]
+        places = [pa.array(one), pa.array(two, mask=two < 0)]
+        owner = pa.array(np.repeat(np.arange(b.num_rows), np.diff(starts)))
+        columns = {"rig": b.column("rig").take(owner), "vid": v.field("vid")}
+        for k, place in enumerate(places, 1):
+            columns |= {f"j{k}": joints.take(place), f"d{k}": pa.array(far[k - 1], mask=two < 0 if k == 2 else None), f"l{k}": s.field("len").take(place)}
+        yield pa.RecordBatch.from_pydict(columns)
+
+
 def skin_weights(vertices: DataFrame, segments: DataFrame, mode: str = "two-bone-blend") -> DataFrame:
     """Up to two ``(joint, weight)`` rows per vertex from its nearest bone segments.
 
-    Each rig has a uniform grid over its vertices, of about ``CELL_VERTICES`` a cell. Coarse cells that
-    hold vertices keep of all segments those that can matter inside them, fine cells keep of those of their coarse cell;
-    a vertex joins its cell and measures only what is left. So the work of a vertex does not grow with the
-    rig, and a rig with most vertices is spread over its cells.
+    A rig's vertices are cut into coarse cells and those into cells of about ``CELL_VERTICES``, each with the box around them. A cell keeps, of
+    the segments of the cell it is cut from, those that can matter inside its box; a vertex joins its last cell and measures
+    only what is left. So the work of a vertex does not grow with the rig, and a rig with most vertices is spread
+    over its cells.
     """
     along = {f"v{c}": F.col(f"b{c}") - F.col(f"a{c}") for c in "xyz"}
     square = sum((v * v for v in along.values()), F.lit(0.0))
     ends = segments.withColumns({**along, "n": square, "__len": F.sqrt(square)})
     # A bone's length is its longest segment.
     ends = ends.join(ends.groupBy("rig", "joint").agg(F.max("__len").alias("len")), ["rig", "joint"])
-    ends = ends.groupBy("rig").agg(F.collect_list(F.struct("joint", *[f"a{c}" for c in "xyz"], *along, "n", "len")).alias("__s"))
-    moved = vertices.repartition("rig", "vid")
-    rigs = moved.groupBy("rig").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{g}{c}") for g, f in (("lo", F.min), ("hi", F.max)) for c in "xyz"])
-    side = F.least(F.lit(MOST_CELLS), F.greatest(F.lit(1), F.ceil(F.cbrt(F.col("n") / CELL_VERTICES))))
-    width = lambda c: F.greatest((F.col(f"hi{c}") - F.col(f"lo{c}")) / side, F.lit(1e-300)).alias(f"h{c}")
-    rigs = staged(rigs.select("rig", F.struct(*[F.col(f"lo{c}").alias(c) for c in "xyz"], *[width(c) for c in "xyz"], side.cast("int").alias("side")).alias("__box")).join(ends, "rig"))
-    cell = lambda c: F.least(F.col("__box.side") - 1, F.floor((F.col(c) - F.col(f"__box.{c}")) / F.col(f"__box.h{c}"))).cast("int").alias(c)
-    placed = moved.join(rigs.select("rig", "__box"), "rig").withColumn("__i", F.struct(*[cell(c) for c in "xyz"]))
-    coarse = F.struct(*[F.floor(F.col(f"__i.{c}") / COARSE).cast("int").alias(c) for c in "xyz"])
-    fine = placed.select("rig", "__i").distinct().withColumn("__c", coarse)
-    rough = fine.select("rig", "__c").distinct().join(rigs, "rig").withColumn("__i", F.struct(*[(F.col(f"__c.{c}") * COARSE).alias(c) for c in "xyz"]))
-    rough = _narrowed(rough, COARSE).drop("__i")
-    cells = _narrowed(fine.join(rough, ["rig", "__c"]).drop("__c"), 1).drop("__box")
-    df = placed.drop("__box").join(cells, ["rig", "__i"]).drop("__i")
-    df = df.withColumn("__b", _two_nearest(_distances("__s", F.col("x"), F.col("y"), F.col("z")))).select("rig", "vid", F.col("__b.one").alias("__1"), F.col("__b.two").alias("__2"))
+    # Segments in one place are equally far from everything, and of equally near joints the least counts: two of them can matter.
+    where = [f"a{c}" for c in "xyz"] + list(along)
+    ends = ends.groupBy("rig", *where, "joint").agg(F.first("n").alias("n"), F.first("len").alias("len"))
+    ends = ends.withColumn("__k", F.row_number().over(Window.partitionBy("rig", *where).orderBy("joint"))).filter("__k <= 2")
+    ends = ends.groupBy("rig").agg(F.collect_list(F.struct("joint", *where, "n", "len")).alias("__s"))
+    placed = vertices.repartition("rig", "vid").select("rig", "vid", *"xyz", F.lit(0).cast("bigint").alias("__c"))
+    cells, boxes = ends.withColumn("__c", F.lit(0).cast("bigint")), _boxes(placed)
+    for size in (CELL_VERTICES * COARSE, CELL_VERTICES):
+        placed = _cut(placed, boxes, size)
+        boxes = _boxes(placed)
+        inside = boxes.drop("n").withColumn("__in", F.floor(F.col("__c") / MOST_CELLS**3))
+        cells = _narrowed(inside.join(cells.withColumnRenamed("__c", "__in"), ["rig", "__in"])).select("rig", "__c", "__s")
+    # The vertices of a cell are measured together; where very many lie in one place, they are dealt.
+    deal = F.pmod(F.xxhash64("vid"), F.ceil(F.col("n") / MOST_ROWS))
+    placed = placed.join(boxes.select("rig", "__c", "n"), ["rig", "__c"]).withColumn("__deal", deal)
+    held = placed.groupBy("rig", "__c", "__deal").agg(F.collect_list(F.struct("vid", *"xyz")).alias("v"))
+    held = held.join(cells, ["rig", "__c"]).select("rig", "v", F.sort_array("__s").alias("s"))
+    kinds = dict(vertices.dtypes) | dict(segments.dtypes)
+    df = held.mapInArrow(_measured, f"rig {kinds['rig']}, vid {kinds['vid']}, " + ", ".join(f"j{k} {kinds['joint']}, d{k} double, l{k} double" for k in (1, 2)))
+    near = [F.struct(F.col(f"d{k}").alias("d"), F.col(f"j{k}").alias("joint"), F.col(f"l{k}").alias("len")) for k in (1, 2)]
+    df = df.select("rig", "vid", near[0].alias("__1"), F.when(F.col("j2").isNotNull(), near[1]).alias("__2"))
     positive = lambda c: F.when(F.col(c) > 0, F.col(c))
     zone = F.coalesce(BLEND_ZONE * F.least(positive("__1.len"), positive("__2.len")), F.lit(0.0))
     df = df.withColumn("__zone", zone)

@@ -2,8 +2,10 @@
 
 import duckdb
 import pandas as pd
+from pyspark.sql import functions as F
 
 from framequarry import queries as registry
+from framequarry.operators import geometry as G
 from framequarry.operators import layout as LO
 
 
@@ -49,3 +51,25 @@ def test_first_overlaps_do_not_depend_on_the_bands(spark):
     cells = spark.range(400).selectExpr("id % 3 AS sheet", "id AS key", "id * 37 % 90 AS x", "id * 53 % 200 - 40 AS y", "1 + id % 9 AS w", "id * 7 % 41 AS h")
     plain = sorted(map(tuple, LO.first_overlaps(cells, band=1 << 20).collect()))
     assert len(plain) > 300 and sorted(map(tuple, LO.first_overlaps(cells, band=8).collect())) == plain
+
+
+def test_a_cell_keeps_two_of_the_segments_in_one_place(spark, monkeypatch):
+    """Copies of a segment are all equally near, so without it a vertex would measure every copy."""
+    kept = []
+    narrowed = G._narrowed
+    monkeypatch.setattr(G, "_narrowed", lambda cells: kept.append(narrowed(cells)) or kept[-1])
+    segs = spark.range(3000).selectExpr("0 AS rig", "id AS joint", "id % 3 * 1.0D AS ax", "0.0D AS ay", "0.0D AS az", "id % 3 * 1.0D AS bx", "1.0D AS by", "0.0D AS bz")
+    verts = spark.range(500).selectExpr("0 AS rig", "id AS vid", "id / 250 + 0.001D AS x", "0.5D AS y", "0.1D AS z")
+    got = {(r.vid, r.joint): r.weight for r in G.skin_weights(verts, segs).collect()}
+    assert kept[0].agg(F.max(F.size("__s"))).first()[0] <= 6
+    # Two joints equally near share a vertex; of the copies the least count.
+    near = lambda i: (i > 124) + (i > 374)
+    assert got == {(i, j): 0.5 for i in range(500) for j in (near(i), near(i) + 3)}
+
+
+def test_vertices_in_one_place_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(G, "MOST_ROWS", 10)
+    segs = spark.createDataFrame([(0, j, float(j), 0.0, 0.0, j + 1.0, 0.0, 0.0) for j in range(5)], "rig int, joint int, ax double, ay double, az double, bx double, by double, bz double")
+    verts = spark.range(300).selectExpr("0 AS rig", "id AS vid", "2.5D AS x", "0.1D AS y", "0.0D AS z")
+    rows = G.skin_weights(verts, segs).collect()
+    assert {(r.vid, r.joint, r.weight) for r in rows} == {(i, 2, 1.0) for i in range(300)} and len(rows) == 300
