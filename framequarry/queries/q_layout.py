@@ -25,13 +25,20 @@ SC = """sc AS (SELECT l_orderkey AS asset, lower(l_returnflag) AS clip, lower(l_
   sq AS (SELECT asset, clip, direction, row_number() OVER (PARTITION BY asset ORDER BY min(sp), clip, direction) - 1 AS pos, count(*) AS frames FROM sc GROUP BY 1, 2, 3)"""
 
 
-def cells(spark, d):
-    li = table(spark, d, "lineitem").select(
+def lines(spark, d):
+    """Line items as cells without their place in the sequence."""
+    return table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("asset"), F.lower("l_returnflag").alias("clip"), F.lower("l_linestatus").alias("direction"),
         "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity",
         (F.col("l_partkey") * 1_000_000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("seq_pos"))
+
+
+def cells(spark, d):
+    li = lines(spark, d)
     order = ["l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity"]
-    out = ordered.row_number(li, LO.SEQ, order, ordered.id_bucket("l_partkey"), "idx")
+    # A sequence is no larger than its asset, and counting assets is cheap.
+    largest = LO.largest_group(li, ["asset"])
+    out = LO.numbered_rows(li, LO.SEQ, order, ordered.id_bucket("l_partkey"), "idx", largest)
     return out.withColumn("idx", F.col("idx") - 1)
 
 
@@ -51,7 +58,7 @@ def placed(spark, d):
 
 @query("layout_grid", "W-8", f"WITH {SC}, {PLACED} SELECT asset, clip, direction, rank, page, slot, page_name, page_w, page_h, error FROM pg")
 def _(spark, d):
-    p = LO.layout_grid(LO.sequences_of(cells(spark, d)), W, H, GRID)
+    p = LO.layout_grid(LO.sequences_of(lines(spark, d)), W, H, GRID)
     return p.select("asset", "clip", "direction", "rank", "page", "slot", "page_name", "page_w", "page_h", "error")
 
 
@@ -60,13 +67,13 @@ def _(spark, d):
   SELECT g.asset, g.clip, g.direction, off + r // 4 AS page, g.clip || CASE WHEN n > 4 THEN '-' || (r // 4) ELSE '' END AS page_name, r % 4 AS slot, least(4, n - r // 4 * 4) * 17 - 1 AS page_w, longest * 25 - 1 AS page_h,
     CASE WHEN longest * 25 - 1 > 80 THEN 'too_long' END AS error FROM g JOIN o ON o.asset = g.asset AND o.clip = g.clip""")
 def _(spark, d):
-    p = LO.layout_grid(LO.sequences_of(cells(spark, d)), W, H, SPLIT)
+    p = LO.layout_grid(LO.sequences_of(lines(spark, d)), W, H, SPLIT)
     return p.select("asset", "clip", "direction", "page", "page_name", "slot", "page_w", "page_h", "error")
 
 
 @query("layout_strips", "W-8", f"""WITH {SC} SELECT asset, clip, direction, pos AS page, clip || '-' || direction AS page_name, frames * 16 AS page_w, 24::BIGINT AS page_h FROM sq""")
 def _(spark, d):
-    p = LO.layout_grid(LO.sequences_of(cells(spark, d)), W, H, STRIPS)
+    p = LO.layout_grid(LO.sequences_of(lines(spark, d)), W, H, STRIPS)
     return p.select("asset", "clip", "direction", "page", "page_name", "page_w", "page_h")
 
 
@@ -248,7 +255,7 @@ def doc_cells(spark, d):
 
 def doc_clips(spark, d):
     """fps and loop of every asset's clips."""
-    return cells(spark, d).select("asset", "clip").distinct().withColumns({"fps": F.when(F.col("clip") == "a", 8).otherwise(12), "loop": F.col("clip") != "r"})
+    return lines(spark, d).select("asset", "clip").distinct().withColumns({"fps": F.when(F.col("clip") == "a", 8).otherwise(12), "loop": F.col("clip") != "r"})
 
 
 _img = "asset || CASE WHEN page_name <> '' THEN '-' || page_name ELSE '' END"
@@ -334,12 +341,12 @@ def _(spark, d):
     checks = table(spark, d, "orders").select(F.col("o_orderkey").alias("asset"), F.when(F.col("o_orderstatus") == "P", "warn").when(F.col("o_orderstatus") == "F", "fail").otherwise("pass").alias("status"))
     placed_cells, asset = doc_cells(spark, d), F.col("asset")
     even, colours = asset % 2 == 0, F.array(*[F.lit(h) for h in PALETTE_HEX])
-    ids = cells(spark, d).groupBy("asset").agg(F.sort_array(F.collect_set("direction")).alias("directions"))
+    ids = lines(spark, d).groupBy("asset").agg(F.sort_array(F.collect_set("direction")).alias("directions"))
     assets = ids.select(
         "asset", F.sha2(asset.cast("string"), 256).alias("asset_hash"), F.when(even, "iso").otherwise("side").alias("preset"), (30 + asset % 3).alias("pitch"),
         (asset % 4 * 45).alias("yaw"), "directions", F.when(even, "fixed:base").otherwise("auto").alias("palette"))
     own = ids.select("asset", F.lit(None).cast("string").alias("clip"), F.slice(colours, 1, (asset % 3 + 1).cast("int")).alias("colours"))
-    some = cells(spark, d).filter(even).select("asset", "clip", F.slice(colours, 2, 1).alias("colours")).distinct()
+    some = lines(spark, d).filter(even).select("asset", "clip", F.slice(colours, 2, 1).alias("colours")).distinct()
     stages = ids.select("asset", F.explode(F.array(F.lit("plan"), F.lit("render"))).alias("stage"))
     stages = stages.withColumn("hash", F.sha2(F.concat(asset.cast("string"), "stage"), 256))
     clips = doc_clips(spark, d).withColumn("motion", F.col("clip") == "n")
