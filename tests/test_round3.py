@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from framequarry import queries as registry
 from framequarry.operators import geometry as G
 from framequarry.operators import layout as LO
+from framequarry.sources import sinks as SK
 
 
 def both(spark, tmp_path, name, **tables):
@@ -73,3 +74,22 @@ def test_vertices_in_one_place_are_dealt(spark, monkeypatch):
     verts = spark.range(300).selectExpr("0 AS rig", "id AS vid", "2.5D AS x", "0.1D AS y", "0.0D AS z")
     rows = G.skin_weights(verts, segs).collect()
     assert {(r.vid, r.joint, r.weight) for r in rows} == {(i, 2, 1.0) for i in range(300)} and len(rows) == 300
+
+
+def test_pages_are_numbered_and_put_together_in_one_move(spark, capsys):
+    cells = spark.range(60).selectExpr("id % 3 AS asset", "id % 2 AS page", "'w' AS clip", "string(id % 4) AS direction", "id % 4 AS rank", "id div 12 AS idx", "string(id) AS t")
+    SK.chunked(SK.place(cells, SK.PAGE), SK.PAGE, 1, "spot", "t").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_small_groups_are_numbered_without_a_table_of_borders(spark, capsys):
+    rows = spark.range(100).selectExpr("id % 7 AS k", "id")
+    few, many = (LO.numbered_rows(rows, ["k"], ["id"], F.floor(F.col("id") / 10), "n", size) for size in (100, 1 << 20))
+    few.explain()
+    assert "Join" not in capsys.readouterr().out and sorted(few.collect()) == sorted(many.collect())
+
+
+def test_filled_patterns_and_quoted_texts(spark):
+    row = spark.createDataFrame([(1, None, '[a"]')], "x long, y long, t string").select(SK.filled('{"x":%s,"y":%s}', "x", "y"), SK.q("t"), SK.q(F.lit(None))).first()
+    assert tuple(row) == ('{"x":1,"y":null}', '"[a\\"]"', "null")
