@@ -201,7 +201,7 @@ def skin_weights(vertices: DataFrame, segments: DataFrame, mode: str = "two-bone
     ends = ends.groupBy("rig", *where, "joint").agg(F.first("n").alias("n"), F.first("len").alias("len"))
     ends = ends.withColumn("__k", F.row_number().over(Window.partitionBy("rig", *where).orderBy("joint"))).filter("__k <= 2")
     ends = ends.groupBy("rig").agg(F.collect_list(F.struct("joint", *where, "n", "len")).alias("__s"))
-    placed = vertices.repartition("rig", "vid").select("rig", "vid", *"xyz", F.lit(0).cast("bigint").alias("__c"))
+    placed = vertices.repartition("rig", "vid").select("rig", "vid", *[F.col(c).cast("double").alias(c) for c in "xyz"], F.lit(0).cast("bigint").alias("__c"))
     cells, boxes = ends.withColumn("__c", F.lit(0).cast("bigint")), _boxes(placed)
     for size in (CELL_VERTICES * COARSE, CELL_VERTICES):
         placed = _cut(placed, boxes, size)
@@ -213,7 +213,7 @@ def skin_weights(vertices: DataFrame, segments: DataFrame, mode: str = "two-bone
     placed = placed.join(boxes.select("rig", "__c", "n"), ["rig", "__c"]).withColumn("__deal", deal)
     held = placed.groupBy("rig", "__c", "__deal").agg(F.collect_list(F.struct("vid", *"xyz")).alias("v"))
     held = held.join(cells, ["rig", "__c"]).select("rig", "v", F.sort_array("__s").alias("s"))
-    kinds = dict(vertices.dtypes) | dict(segments.dtypes)
+    kinds = dict(segments.dtypes) | dict(vertices.dtypes)
     df = held.mapInArrow(_measured, f"rig {kinds['rig']}, vid {kinds['vid']}, " + ", ".join(f"j{k} {kinds['joint']}, d{k} double, l{k} double" for k in (1, 2)))
     near = [F.struct(F.col(f"d{k}").alias("d"), F.col(f"j{k}").alias("joint"), F.col(f"l{k}").alias("len")) for k in (1, 2)]
     df = df.select("rig", "vid", near[0].alias("__1"), F.when(F.col("j2").isNotNull(), near[1]).alias("__2"))
