@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framequarry.functions.joins import dealt
 from framequarry.session import ensure_checkpoint_dir
 
 KEY = "__okey"
@@ -113,3 +114,22 @@ def fill(
     borders = edge.select(KEY, across.alias("__across"))
     out = df.join(borders, KEY, "left")
     return out.withColumn(name, F.coalesce(local, F.col("__across"))).drop("__across", KEY)
+
+
+def fill_both(df: DataFrame, by: list[str], order: list[str], bucket: Column, value: str, names: tuple[str, str]) -> DataFrame:
+    """Nearest non-null ``value`` at or before and at or after each row of the key: both fills with one exchange of rows.
+
+    ``df`` is read several times, so it should be staged.
+    """
+    before, after = names
+    df = _keyed(df, by, bucket)
+    df = dealt(df, [KEY])
+    present = F.when(F.col(value).isNotNull(), F.struct(*order))
+    edge = df.groupBy(KEY).agg(F.max_by(F.col(value), present).alias("__last"), F.min_by(F.col(value), present).alias("__first"))
+    earlier = F.last("__last", True).over(_outer(by).rowsBetween(Window.unboundedPreceding, -1))
+    later = F.first("__first", True).over(_outer(by).rowsBetween(1, Window.unboundedFollowing))
+    borders = edge.select(KEY, earlier.alias("__earlier"), later.alias("__later"))
+    out = df.join(borders, KEY, "left")
+    back = F.last(value, True).over(_inner(order).rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first(value, True).over(_inner(order).rowsBetween(0, Window.unboundedFollowing))
+    return out.withColumns({before: F.coalesce(back, F.col("__earlier")), after: F.coalesce(ahead, F.col("__later"))}).drop("__earlier", "__later", KEY)

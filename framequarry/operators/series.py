@@ -25,8 +25,7 @@ def _around(key_times: DataFrame, samples: DataFrame, by: list[str], payload: li
     both = keys.unionByName(rows, allowMissingColumns=True)
     bucket = F.floor(F.col("__t") / width).cast("bigint")
     order = ["__t", "__kind"]
-    both = staged(ordered.fill(both, by, order, bucket, "__key", "prev", forward=True))
-    both = ordered.fill(both, by, order, bucket, "__key", "next", forward=False)
+    both = ordered.fill_both(staged(both), by, order, bucket, "__key", ("prev", "next"))
     return both.filter(F.col("__kind") == 1).select("__row.*", "prev", "next")
 
 

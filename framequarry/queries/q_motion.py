@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framequarry.functions import motion
-from framequarry.functions import ordered
+from framequarry.functions import joins, ordered
 from framequarry.operators import geometry as G
 from framequarry.operators import series as SR
 from framequarry.plans.registry import SERIES
@@ -31,7 +31,7 @@ def keys(spark, d):
     kind = F.col("event_type")
     easing = F.when(kind == "click", "linear").when(kind == "view", "ease-in").when(kind == "error", "ease-out-cubic").when(kind == "signup", "ease-in-out-sine").otherwise("step")
     rows = ev.select(F.col("user_id").alias("clip"), (us / 1_000_000).alias("t"), F.col("value").alias("tx"), easing.alias("easing"))
-    return rows.groupBy("clip", "t").agg(F.max("tx").alias("tx"), F.max("easing").alias("easing"))
+    return joins.dealt(rows, ["clip", "t"]).groupBy("clip", "t").agg(F.max("tx").alias("tx"), F.max("easing").alias("easing"))
 
 
 def grid(k):
