@@ -39,6 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framequarry.llm.base import blocks as row_blocks
 from framequarry.llm.base import buffers, whole_text, written
 
 END = b""  # the end token among words, which are never empty
@@ -47,7 +48,8 @@ NOISE = 64
 BATCH = 2048
 FLUSH = 400_000
 CHUNK = 1 << 17  # tokens scored at a time
-ROWS = 8192  # rows of parameters that are averaged together
+ROWS = 128  # rows of parameters that are averaged together: small, as a task that adds gets thousands of such pieces at once
+BLOCK = 4 << 20  # bytes of text whose words are held at once; one longer document is taken whole
 
 
 class Model(NamedTuple):
@@ -72,8 +74,11 @@ def blocks_of(noise: np.ndarray) -> Blocks:
     return Blocks(np.r_[starts, len(noise)], np.cumsum(first) - 1, np.add.reduceat(noise, starts))
 
 
-def word_class(word: bytes) -> int:
-    return crc32(word[-2:]) % CLASSES
+def classes_of(words: pa.Array) -> np.ndarray:
+    """Class of each word, by its last two bytes."""
+    ends = pc.binary_slice(words, -2).dictionary_encode()
+    of = np.array([crc32(e) % CLASSES for e in ends.dictionary.to_pylist()], np.int64)
+    return of[ends.indices.to_numpy()] if len(of) else np.zeros(0, np.int64)
 
 
 def words_of(data: bytes, offsets: list[int]) -> Iterator[list[bytes]]:
@@ -85,6 +90,18 @@ def words_of(data: bytes, offsets: list[int]) -> Iterator[list[bytes]]:
         yield row
 
 
+def token_blocks(column) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """The rows in blocks of about ``BLOCK`` bytes: first row, tokens laid end to end, and the number of tokens of each row."""
+    data, offsets = buffers(column)
+    for a, b in row_blocks(offsets, BLOCK):
+        flat: list[bytes] = []
+        lengths = []
+        for row in words_of(data[offsets[a] : offsets[b]], [at - offsets[a] for at in offsets[a : b + 1]]):
+            flat += row
+            lengths.append(len(row))
+        yield a, pa.array(flat, pa.binary()), np.array(lengths, np.int64)
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word BINARY, c BIGINT`` over all documents; the end token is the empty word."""
 
@@ -93,9 +110,9 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             for row in words_of(*buffers(batch.column(0))):
                 counts.update(row)
-            if len(counts) > FLUSH:
-                yield pa.record_batch([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-                counts.clear()
+                if len(counts) > FLUSH:
+                    yield pa.record_batch([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+                    counts.clear()
         if counts:
             yield pa.record_batch([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
@@ -206,14 +223,17 @@ def log_probabilities(model: Model, blocks: Blocks, c1: np.ndarray, c2: np.ndarr
     """Log10 probability of each output ``w`` after its context: that of its block, then its own within the block."""
     n = len(model.first)
     found = np.empty(len(w))
+    # By Cauchy-Schwarz no score passes this bound; where exp cannot overflow below it, the largest one need not be taken off.
+    norm = lambda x: float(np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0)))
+    plain = (norm(model.first) + norm(model.second)) * norm(model.out) + float(np.abs(model.bias).max(initial=0)) < 60
 
     def chosen(q: np.ndarray, a: int, b: int, at) -> np.ndarray:
         """Log of the share of output ``at`` among the outputs a to b."""
-        s = q @ model.out[a:b].T
-        s += model.bias[a:b]
+        s = q @ np.column_stack([model.out[a:b], model.bias[a:b]]).T
         own = s[np.arange(len(s)), at]
-        top = s.max(axis=1)
-        s -= top[:, None]
+        top = 0.0 if plain else s.max(axis=1)
+        if not plain:
+            s -= top[:, None]
         np.exp(s, out=s)
         return own - top - np.log(s @ np.ones(b - a, np.float32))
 
@@ -223,6 +243,7 @@ def log_probabilities(model: Model, blocks: Blocks, c1: np.ndarray, c2: np.ndarr
         order = np.argsort(out, kind="stable")  # tokens of a block stand together
         out = out[order]
         q = model.first[c1[k][order]] + model.second[c2[k][order]]
+        q = np.column_stack([q, np.ones(len(q), q.dtype)])  # the last column meets the bias
         block = blocks.of[out]
         logp = np.empty(len(out))
         for i in range(0, len(out), 2048):
@@ -241,7 +262,7 @@ def log_probabilities(model: Model, blocks: Blocks, c1: np.ndarray, c2: np.ndarr
 
 
 class Vocabulary(NamedTuple):
-    head: dict[bytes, int]  # place among the frequent words
+    head: pa.Array  # the frequent words, the most frequent first
     outputs: np.ndarray  # output of each of them
     counts: np.ndarray
     ends: int  # training documents
@@ -262,30 +283,31 @@ def vocabulary(counts: DataFrame, least: int, head: int) -> Vocabulary:
     if own < head:
         rest = counts.filter((F.length("word") > 0) & ~frequent).orderBy(F.desc("c"), "word").limit(head - own)
         top = pa.concat_tables([top, rest.select("word", "c").toArrow().cast(top.schema)])
-    names, c = top.column("word").to_pylist(), top.column("c").to_numpy()
+    names, c = pa.concat_arrays([pa.array([], pa.binary()), *top.column("word").cast(pa.binary()).chunks]), top.column("c").to_numpy()
     ends = counts.filter(F.length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     group = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(CLASSES)).alias("g")
     per_class = {r.g: (r.n, r.v) for r in counts.filter(F.length("word") > 0).groupBy(group).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     totals = np.array([sum(per_class.get(g, (0, 0))) + 1 for g in range(CLASSES)], np.int64)
-    outputs = np.empty(len(names), np.int32)
-    for i, w in enumerate(names):
-        outputs[i] = i if i < own else own + word_class(w)
-        if i < own:
-            totals[word_class(w)] -= c[i] + 1
+    of = classes_of(names)
+    outputs = np.where(np.arange(len(names)) < own, np.arange(len(names)), own + of).astype(np.int32)
+    np.subtract.at(totals, of[:own], c[:own] + 1)
     share = np.ones(own + CLASSES + 1)
     share[:own] += c[:own]
     share[own : own + CLASSES] += totals
     share[-1] += ends
-    return Vocabulary({w: i for i, w in enumerate(names)}, outputs, np.asarray(c, np.int64), int(ends), int(sums.n), int(sums.v), share / share.sum(), totals, own)
+    return Vocabulary(names, outputs, np.asarray(c, np.int64), int(ends), int(sums.n), int(sums.v), share / share.sum(), totals, own)
 
 
-def output_ids(row: list[bytes], voc: Vocabulary) -> np.ndarray:
-    places = np.array([voc.head.get(w, -1) for w in row[:-1]] + [-1], np.int64)
-    out = voc.outputs[places] if len(voc.outputs) else np.zeros(len(row), np.int32)
-    for i in np.flatnonzero(places < 0)[:-1].tolist():
-        out[i] = voc.words + word_class(row[i])
-    out[-1] = voc.words + CLASSES
-    return out
+def output_ids(tokens: pa.Array, lengths: np.ndarray, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of each token among the frequent words or -1, its output, and which tokens are words without a place."""
+    places = pc.fill_null(pc.index_in(tokens, voc.head), -1).to_numpy(zero_copy_only=False)
+    out = np.full(len(places), voc.words + CLASSES, np.int32)
+    known = places >= 0
+    out[known] = voc.outputs[places[known]]
+    known[np.cumsum(lengths) - 1] = True  # the ends
+    rare = np.flatnonzero(~known)
+    out[rare] = voc.words + classes_of(tokens.take(pa.array(rare)))
+    return places, out, rare
 
 
 def train(docs: DataFrame, voc: Vocabulary, shared, text: str = "text", id_column: str = "doc_id", size: int = 24, warm_rows: int = 1000, parts: int = 16) -> Model:
@@ -294,38 +316,47 @@ def train(docs: DataFrame, voc: Vocabulary, shared, text: str = "text", id_colum
     ``shared`` is the broadcast of ``voc``.
     """
     warm = docs.select(F.xxhash64(id_column).alias("h"), F.col(id_column).alias("id"), whole_text(text).alias("t")).orderBy("h", "id", "t").limit(warm_rows).select("t").toArrow()
-    rows = [output_ids(r, voc) for chunk in warm.column("t").chunks for r in words_of(*buffers(chunk))]
+    rows = [(output_ids(tokens, lengths, voc)[1], lengths) for chunk in warm.column("t").chunks for _, tokens, lengths in token_blocks(chunk)]
     model = new_model(voc.noise, size)
     if not rows:
         return model
+    del warm
     trainer = Trainer(model, voc.noise, seed=1)
     for _ in range(2):
-        trainer.train(np.concatenate(rows), np.array([len(r) for r in rows]))
-    start = docs.sparkSession.sparkContext.broadcast(tuple(model))
+        trainer.train(np.concatenate([ids for ids, _ in rows]), np.concatenate([lengths for _, lengths in rows]))
+    del trainer, rows
+    # The start travels in half precision, and is what it is after that here too.
+    for x in model[:3]:
+        x[:] = x.astype(np.float16)
+    start = docs.sparkSession.sparkContext.broadcast((*(x.astype(np.float16) for x in model[:3]), model.bias))
     # Outputs have their bias in the last column.
-    side = lambda p, which, at: p[which][at] if which < 2 else np.column_stack([p[2][at], p[3][at]])
+    side = lambda p, which, at: p[which][at].astype(np.float32) if which < 2 else np.column_stack([p[2][at].astype(np.float32), p[3][at]])
+    kinds = ["side", "part", "at", "hits", "change"]
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, voc = None, Vocabulary(*shared.value)
         for batch in batches:
-            found = [output_ids(r, voc) for r in words_of(*buffers(batch.column(0)))]
-            if not found:
-                continue
-            # The seed follows the rows, so a task that runs again gives the same parameters.
-            trainer = trainer or Trainer(Model(*[x.copy() for x in start.value]), voc.noise, seed=crc32(found[0].tobytes()), rate=0.05)
-            trainer.train(np.concatenate(found), np.array([len(r) for r in found]))
+            for _, tokens, lengths in token_blocks(batch.column(0)):
+                ids = output_ids(tokens, lengths, voc)[1]
+                del tokens
+                # The seed follows the rows, so a task that runs again gives the same parameters.
+                trainer = trainer or Trainer(Model(*[x.astype(np.float32) for x in start.value]), voc.noise, seed=crc32(ids[: lengths[0]].tobytes()), rate=0.05)
+                trainer.train(ids, lengths)
         if trainer:
+            span = ROWS * 256
             for which, hits in enumerate(trainer.hits):
-                for k in range(0, len(hits), ROWS):
-                    at = (k + np.flatnonzero(hits[k : k + ROWS])).astype(np.int32)
+                for k in range(0, len(hits), span):
+                    at = (k + np.flatnonzero(hits[k : k + span])).astype(np.int32)
                     if len(at):
-                        change = side(trainer.p, which, at) - side(start.value, which, at)
-                        yield pa.record_batch([pa.array([which], pa.int32()), pa.array([k // ROWS], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([hits[at].tobytes()], pa.binary()), pa.array([change.astype(np.float16).tobytes()], pa.binary())], ["side", "part", "at", "hits", "change"])
+                        change = (side(trainer.p, which, at) - side(start.value, which, at)).astype(np.float16)
+                        cuts = np.flatnonzero(np.r_[True, np.diff(at // ROWS) > 0, True]).tolist()
+                        cells = [(which, int(at[i]) // ROWS, at[i:j].tobytes(), hits[at[i:j]].tobytes(), change[i:j].tobytes()) for i, j in zip(cuts, cuts[1:])]
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*cells), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], kinds)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, list] = {}
         for batch in batches:
-            for which, part, at, hits, change in zip(*[c.to_pylist() for c in batch.columns]):
+            for which, part, at, hits, change in (tuple(c[i].as_py() for c in batch.columns) for i in range(len(batch))):
                 at, hits = np.frombuffer(at, np.int32) - part * ROWS, np.frombuffer(hits, np.int64)
                 change = np.frombuffer(change, np.float16).reshape(len(at), -1)
                 if (which, part) not in sums:
@@ -333,16 +364,19 @@ def train(docs: DataFrame, voc: Vocabulary, shared, text: str = "text", id_colum
                 total, n = sums[which, part]
                 total[at] += change.astype(float) * hits[:, None]
                 n[at] += hits
-        for (which, part), (total, n) in sums.items():
-            at = np.flatnonzero(n)
-            mean = (total[at] / n[at, None]).astype(np.float32)
-            yield pa.record_batch([pa.array([which], pa.int32()), pa.array([(at + part * ROWS).astype(np.int32).tobytes()], pa.binary()), pa.array([mean.tobytes()], pa.binary())], ["side", "at", "change"])
-
-    # A task adds what it gets row by row and holds one sum a part, so many tasks need no more memory.
+        for which in range(3):
+            parts = sorted(part for side, part in sums if side == which)
+            for k in range(0, len(parts), 256):
+                some = [(part, *sums[which, part]) for part in parts[k : k + 256]]
+                at = np.concatenate([np.flatnonzero(n) + part * ROWS for part, _, n in some]).astype(np.int32)
+                mean = np.concatenate([total[n > 0] / n[n > 0, None] for _, total, n in some]).astype(np.float32)
+                yield pa.record_batch([pa.array([which], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([mean.tobytes()], pa.binary())], ["side", "at", "change"])
+
+    # A task adds what it gets piece by piece and holds one sum a part, so many tasks need no more memory.
     sent = docs.select(whole_text(text).alias("t")).mapInArrow(refine, "side int, part int, at binary, hits binary, change binary")
-    merged = sent.repartition(parts, "side", "part").mapInArrow(add, "side int, at binary, change binary").toArrow()
+    merged = sent.repartition(max(parts, len(voc.noise) >> 14), "side", "part").mapInArrow(add, "side int, at binary, change binary").toArrow()
     start.destroy()
-    for which, at, change in zip(*[c.to_pylist() for c in merged.columns]):
+    for which, at, change in (tuple(c[i].as_py() for c in batch.columns) for batch in merged.to_batches() for i in range(len(batch))):
         at = np.frombuffer(at, np.int32)
         change = np.frombuffer(change, np.float32).reshape(len(at), -1)
         model[which][at] += change[:, :size]
@@ -370,36 +404,25 @@ def score_documents(docs: DataFrame, training: Column, id_column: str = "doc_id"
         log_class = np.log10(voc.class_totals.astype(float))
         log_end = np.log10(voc.ends + 1.0)
         log_all = np.log10(float(voc.tokens + voc.distinct + 1))
-        get = voc.head.get
-        for batch in batches:
-            rows = list(words_of(*buffers(batch.column(2))))
-            lengths = np.array([len(r) for r in rows], np.int64)
-            flat = [w for r in rows for w in r]
-            places = np.fromiter((get(w, -1) for w in flat), np.int64, len(flat))
+        for batch, (first, tokens, lengths) in ((batch, block) for batch in batches for block in token_blocks(batch.column(2))):
+            places, out, rare = output_ids(tokens, lengths, voc)
             ends = np.cumsum(lengths) - 1
+            starts = ends + 1 - lengths
             known = places >= 0
-            out = np.full(len(flat), end, np.int64)
-            out[known] = voc.outputs[places[known]]
-            value = np.zeros(len(flat))
+            value = np.zeros(len(out))
             value[known] = log_count[places[known]]
-            rare = ~known
-            rare[ends] = False
-            at = np.flatnonzero(rare)
-            out[at] = [voc.words + word_class(flat[i]) for i in at.tolist()]
-            c1, c2 = contexts(out, lengths, end) if len(flat) else (out, out)
+            c1, c2 = contexts(out, lengths, end)
             logp = log_probabilities(model, blocks, c1, c2, out)
             member = (out >= voc.words) & (out < end)
             # A class word: its class, then its smoothed share; a rare word's own count comes by the join.
             logp[member] += value[member] - log_class[out[member] - voc.words]
             value[ends] = log_end
-            starts = np.cumsum(lengths) - lengths
-            add = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0)
-            base, score = add(value) - lengths * log_all, add(logp)
-            seen = add(known.astype(np.int64)) + (1 if voc.ends else 0)
-            owner = np.searchsorted(ends, at)
-            rare_rows = np.bincount(owner, minlength=len(rows))
-            tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rare_rows)]).astype(np.int32)), pa.array([flat[i] for i in at.tolist()], pa.binary()))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(lengths), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(score), tail], ["id", "training", "n_tokens", "n_known", "base", "score", "tail"])
+            base, score = np.add.reduceat(value, starts) - lengths * log_all, np.add.reduceat(logp, starts)
+            seen = np.add.reduceat(known.astype(np.int64), starts) + (1 if voc.ends else 0)
+            rare_rows = np.bincount(np.searchsorted(ends, rare), minlength=len(lengths))
+            tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rare_rows)]).astype(np.int32)), tokens.take(pa.array(rare)))
+            ids, training = (batch.column(k).slice(first, len(lengths)) for k in (0, 1))
+            yield pa.record_batch([ids, training, pa.array(lengths), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(score), tail], ["id", "training", "n_tokens", "n_known", "base", "score", "tail"])
 
     kind = docs.schema[id_column].dataType.simpleString()
     source = docs.select(F.col(id_column).alias("id"), training.alias("training"), whole_text(text).alias("t"))
