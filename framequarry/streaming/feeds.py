@@ -147,29 +147,47 @@ def timeouts_so_far(events: DataFrame, limit_ms: int, final: str, now_ms=None) -
     return per.filter(end - F.col("started_ms") > limit_ms).select("asset", "started_ms")
 
 
-def history_stream(runs: DataFrame, key_type: str = "bigint") -> DataFrame:
+def history_stream(runs: DataFrame, key_type: str = "bigint", buckets: int = 512) -> DataFrame:
     """Runs of a stream ``runs(asset, id, created, hash)`` whose hash differs from the last one recorded.
 
-    State is one hash per asset; a hash that comes back after another one is recorded again.
+    State is one hash per asset; a hash that comes back after another one is recorded again. A call of Python costs
+    far more than a run, so assets share ``buckets`` states by their hash and a call compares all runs of a bucket; the
+    number is part of a stream's checkpoint. Runs without an asset have a bucket of their own; a null id comes last.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        last = dict(zip(*state.get)) if state.exists else {}
         parts = list(batches)
-        pdf = parts[0] if len(parts) == 1 else pd.concat(parts)
-        order = np.lexsort((pdf["id"].to_numpy(), pdf["created"].to_numpy()))
-        hashes = pdf["hash"].to_numpy()
-        kept = []
-        for i in order:
-            if hashes[i] != last:
-                kept.append(i)
-                last = hashes[i]
-        state.update((last,))
-        if kept:
-            yield pdf[["asset", "id", "created", "hash"]].iloc[kept]
-
+        pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        if key[0] < 0:
+            asset, names = np.zeros(len(pdf), np.int64), [None]
+        else:
+            asset, names = pd.factorize(pdf["asset"])
+            names = names.tolist()
+        own, hashes = pd.factorize(pdf["hash"])  # a null is -1
+        hashes = [*hashes.tolist(), None]
+        place = {h: i for i, h in enumerate(hashes[:-1])} | {None: -1}
+        # A hash that none of these runs has differs from all of them.
+        recorded = np.array([place.get(last.get(n), -2) for n in names])
+        order = np.lexsort((pdf["id"].to_numpy(), pdf["__none"].to_numpy(), pdf["created"].to_numpy(), asset))
+        a, h = asset[order], own[order]
+        first = np.r_[True, a[1:] != a[:-1]]
+        before = np.where(first, recorded[a], np.r_[0, h[:-1]])
+        end = np.r_[first[1:], True]
+        last.update((names[i], hashes[k]) for i, k in zip(a[end].tolist(), h[end].tolist()))
+        state.update((list(last), list(last.values())))
+        kept = pdf.iloc[order[h != before]]
+        if len(kept):
+            if kept["__none"].any():
+                kept = kept.assign(id=kept["id"].astype(object).where(~kept["__none"], None))
+            yield kept[["asset", "id", "created", "hash"]]
+
+    bucket = F.when(F.col("asset").isNull(), -1).otherwise(F.pmod(F.xxhash64("asset"), F.lit(buckets))).cast("int")
+    # A null would turn the other ids of its bucket into floats.
+    rows = runs.select(bucket.alias("__bucket"), "asset", F.coalesce("id", F.lit(0).cast(key_type)).alias("id"), F.col("id").isNull().alias("__none"), "created", "hash")
     schema = f"asset {key_type}, id {key_type}, created timestamp, hash string"
-    return runs.groupBy("asset").applyInPandasWithState(step, schema, "hash string", "append", GroupStateTimeout.NoTimeout)
+    held = f"assets array<{key_type}>, hashes array<string>"
+    return rows.groupBy("__bucket").applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.NoTimeout)
 
 
 def frame_clock_stream(ticks: DataFrame, fps: float, gap_ms: float = 1000.0, key_type: str = "bigint") -> DataFrame:
