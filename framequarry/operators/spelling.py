@@ -7,14 +7,25 @@ edit, an exchange included, touches two pieces: with ``k // 3 + 1`` pieces one o
 it meets the substrings of the word on strings one or two deletions away. Both are equi-joins on short
 strings; the index grows with the options, the probes with the distinct words, and no word meets all options
 of a length.
+
+A word may differ from an option in a third of its letters, so these strings are many for each word. Up to ``FEW``
+options, which are counted first, are therefore sent to the tasks instead. There a word meets the options whose
+letters, two of each kind at most, differ from its own by no more than its edits, which takes two bit counts a pair;
+the distances of those left are worked out together.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIRECT = 4
+FEW = 4096
+PAIRS = 1 << 15  # distances worked out at a time
 
 
 def osa_distance(a: Column, b: Column) -> Column:
@@ -105,12 +116,101 @@ def _probes(words: DataFrame, options: DataFrame) -> DataFrame:
     return out.select("word", "low", "reach", "key")
 
 
-def suggest(words: DataFrame, options: DataFrame) -> DataFrame:
+def _letters(strings: list[str], size: int) -> np.ndarray:
+    """Code points of strings of one length, a row for each place."""
+    return np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32).reshape(len(strings), size).T.copy()
+
+
+def _kinds(letters: np.ndarray) -> np.ndarray:
+    """Which kinds of letters a string has, and in the upper half which of them twice; rare letters share kinds."""
+    one, two = np.zeros((2, letters.shape[1]), np.uint64)
+    for row in letters:
+        kind = np.where((row >= 97) & (row < 123), row - 97, 26 + row % 6).astype(np.uint64)
+        bit = np.uint64(1) << kind
+        two |= one & bit
+        one |= bit
+    return one | two << np.uint64(32)
+
+
+def _osa_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """``osa_distance`` of many pairs of strings, a pair in each column; above ``most`` it may be any number above."""
+    n, m = len(a), len(b)
+    kind = np.uint8 if n + m < 200 else np.int32
+    far, one = kind(n + m), kind(1)
+    edge = lambda v: np.full(a.shape[1], v, kind)
+    older: list = []
+    before = [edge(j) if j <= most else edge(far) for j in range(m + 1)]
+    for i in range(1, n + 1):
+        row = [edge(i) if i <= most else edge(far)] + [edge(far)] * m
+        # A cell this far from the diagonal has more edits than count.
+        for j in range(max(1, i - most), min(m, i + most) + 1):
+            best = np.minimum(before[j], row[j - 1]) + one
+            best = np.minimum(best, before[j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1:
+                swapped = (a[i - 1] == b[j - 2]) & (a[i - 2] == b[j - 1])
+                best = np.minimum(best, np.where(swapped, older[j - 2] + one, far))
+            row[j] = np.minimum(best, far)
+        older, before = before, row
+    return before[m]
+
+
+def _suggest_few(words: DataFrame, options: list[tuple[str, str]]) -> DataFrame:
+    """``suggest`` for distinct words and options ``(option, low)``, of which earlier ones win."""
+    ranks: dict[int, list[int]] = {}
+    for k, (_, low) in enumerate(options):
+        ranks.setdefault(len(low), []).append(k)
+    others = {m: (np.array(ks), _letters([options[k][1] for k in ks], m)) for m, ks in ranks.items()}
+    names = pa.array([o for o, _ in options], pa.string())
+    none = np.iinfo(np.int64).max
+
+    def closest(low: list[str], size: int, reach: int) -> np.ndarray:
+        """Distance times the number of options, plus the place of the option."""
+        own = _letters(low, size)
+        kinds, best = _kinds(own), np.full(len(low), none)
+        for m in range(max(0, size - reach), size + reach + 1):
+            if m not in others:
+                continue
+            places, letters = others[m]
+            theirs = _kinds(letters)
+            step = max(1, (1 << 20) // len(places))
+            for at in range(0, len(low), step):
+                mine = kinds[at : at + step, None]
+                w, o = np.nonzero((np.bitwise_count(mine & ~theirs) <= reach) & (np.bitwise_count(theirs & ~mine) <= reach))
+                for k in range(0, len(w), PAIRS):
+                    i, j = w[k : k + PAIRS] + at, o[k : k + PAIRS]
+                    d = _osa_distances(own[:, i], letters[:, j], reach)
+                    near = d <= reach
+                    np.minimum.at(best, i[near], d[near].astype(np.int64) * len(options) + places[j[near]])
+        return best
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, reach = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            groups: dict[tuple, list[int]] = {}
+            for k, (s, r) in enumerate(zip(low, reach)):
+                if s is not None:
+                    groups.setdefault((len(s), r), []).append(k)
+            best = np.full(len(low), none)
+            for (size, most), rows in groups.items():
+                best[rows] = closest([low[k] for k in rows], size, most)
+            lost = best == none
+            place, distance = best % max(1, len(options)), best // max(1, len(options))
+            yield pa.record_batch([batch.column(0), names.take(pa.array(place, mask=lost)), pa.array(distance, mask=lost)], ["word", "suggestion", "distance"])
+
+    rows = words.select("word", F.lower("word").alias("low"), F.greatest(F.lit(1), F.floor(F.length("word") / 3)).cast("int").alias("reach"))
+    return rows.mapInArrow(run, "word string, suggestion string, distance bigint")
+
+
+def suggest(words: DataFrame, options: DataFrame, few: int = FEW) -> DataFrame:
     """The closest of ``options(option, pos)`` for every distinct ``words(word)``, null when none is close.
 
     Close means at most max(1, length / 3) edits of the lower-cased strings; of options equally close the one with the smallest ``pos`` wins.
     """
     w = words.select("word").distinct()
+    listed = options.filter(F.col("option").isNotNull()).select("option", F.lower("option").alias("low"), "pos").limit(few + 1).collect()
+    if len(listed) <= few:
+        listed.sort(key=lambda r: (r.pos is not None, r.pos if r.pos is not None else 0, r.option))
+        return _suggest_few(w, [(r.option, r.low) for r in listed])
     index = option_index(options).withColumnRenamed("low", "other")
     met = _probes(w, options).join(index, ["reach", "key"])
     # The built-in distance counts an exchange as two, so it is at most twice the wanted one.
