@@ -48,6 +48,7 @@ NOISE = 64
 BATCH = 2048
 FLUSH = 400_000
 CHUNK = 1 << 17  # tokens scored at a time
+SCORES = 1 << 17  # scores worked on at once
 ROWS = 128  # rows of parameters that are averaged together: small, as a task that adds gets thousands of such pieces at once
 BLOCK = 4 << 20  # bytes of text whose words are held at once; one longer document is taken whole
 
@@ -81,25 +82,33 @@ def classes_of(words: pa.Array) -> np.ndarray:
     return of[ends.indices.to_numpy()] if len(of) else np.zeros(0, np.int64)
 
 
-def words_of(data: bytes, offsets: list[int]) -> Iterator[list[bytes]]:
-    """Tokens of each row, lower-cased in A-Z: its words, then the end."""
-    low = data.lower()
-    for a, b in zip(offsets, offsets[1:]):
-        row = low[a:b].split()
-        row.append(END)
-        yield row
+# Bytes that stand in words.
+_WORD = np.array([not (c == 32 or 9 <= c <= 13) for c in range(256)])
+
+
+def words_of(data: bytes, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Tokens of rows that lie end to end, lower-cased in A-Z, each row's words and then the end; and the number of tokens of each row."""
+    x = np.frombuffer(bytes(data).lower(), np.uint8)
+    word = _WORD[x]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    # A row ends a word.
+    heads = offsets[:-1][offsets[:-1] < offsets[1:]]
+    first[heads] = word[heads]
+    last[heads[1:] - 1] = word[heads[1:] - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    words = np.diff(np.searchsorted(starts, offsets))
+    places = np.zeros(len(starts) + len(words) + 1, np.int32)
+    np.cumsum(np.insert(ends - starts, np.cumsum(words), 0), out=places[1:])
+    return pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(x[word])]), words + 1
 
 
 def token_blocks(column) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
     """The rows in blocks of about ``BLOCK`` bytes: first row, tokens laid end to end, and the number of tokens of each row."""
     data, offsets = buffers(column)
     for a, b in row_blocks(offsets, BLOCK):
-        flat: list[bytes] = []
-        lengths = []
-        for row in words_of(data[offsets[a] : offsets[b]], [at - offsets[a] for at in offsets[a : b + 1]]):
-            flat += row
-            lengths.append(len(row))
-        yield a, pa.array(flat, pa.binary()), np.array(lengths, np.int64)
+        yield a, *words_of(data[offsets[a] : offsets[b]], np.array(offsets[a : b + 1], np.int64) - offsets[a])
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -108,8 +117,10 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
-            for row in words_of(*buffers(batch.column(0))):
-                counts.update(row)
+            for _, tokens, _ in token_blocks(batch.column(0)):
+                found = tokens.value_counts()
+                for word, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist()):
+                    counts[word] += n
                 if len(counts) > FLUSH:
                     yield pa.record_batch([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
                     counts.clear()
@@ -147,31 +158,47 @@ class Trainer:
         """Add the gradient of repeated rows up, then scale by what each has seen."""
         order = np.argsort(rows, kind="stable")
         sorted_rows = rows[order]
-        starts = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
+        new = np.r_[True, sorted_rows[1:] != sorted_rows[:-1]]
+        starts = np.flatnonzero(new)
         at = sorted_rows[starts]
+        place = np.empty(len(rows), np.int64)
+        place[order] = np.cumsum(new) - 1
         self.hits[which][at] += np.diff(np.r_[starts, len(rows)])
         for k, grad in enumerate(grads, which):
-            g = np.add.reduceat(grad[order], starts, axis=0)
-            seen = self.seen[k][at] + (np.einsum("ij,ij->i", g, g) / g.shape[1] if g.ndim > 1 else g * g)
+            if grad.ndim > 1:
+                size = grad.shape[1]
+                cells = (place[:, None] * size + np.arange(size)).ravel()
+                g = np.bincount(cells, grad.ravel(), len(at) * size).astype(np.float32).reshape(-1, size)
+                seen = self.seen[k][at] + np.einsum("ij,ij->i", g, g) / size
+            else:
+                g = np.bincount(place, grad, len(at)).astype(np.float32)
+                seen = self.seen[k][at] + g * g
             self.seen[k][at] = seen
             scale = (self.rate / np.sqrt(seen)).astype(np.float32)
-            self.p[k][at] += g * (scale[:, None] if g.ndim > 1 else scale)
+            self.p[k][at] = self.p[k].take(at, axis=0) + g * (scale[:, None] if g.ndim > 1 else scale)
 
     def batch(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray) -> None:
         p = self.p
-        q = p.first[c1] + p.second[c2]
+        q = p.first.take(c1, axis=0) + p.second.take(c2, axis=0)
         grad_q, rows, grad_out, grad_bias = np.zeros_like(q), [], [], []
         for (first, cumulated), ids in zip(self.levels, (w, self.n + self.blocks.of[w])):
             noise = first + np.minimum(np.searchsorted(cumulated, self.rng.random(NOISE)), len(cumulated) - 1)
-            own, others = p.out[ids], p.out[noise]
+            own, others = p.out.take(ids, axis=0), p.out[noise]
             s = np.einsum("ij,ij->i", q, own) + p.bias[ids] - self.log_noise[ids]
-            t = q @ others.T + p.bias[noise] - self.log_noise[noise]
             up = (1 / (1 + np.exp(np.clip(s, -30, 30)))).astype(np.float32)  # chance that the output is taken for noise
-            down = (1 / (1 + np.exp(-np.clip(t, -30, 30)))).astype(np.float32)  # chance that noise is taken for the output
-            grad_q += up[:, None] * own - down @ others
+            down = others @ q.T  # chance that noise is taken for the output, worked out in place
+            down += (p.bias[noise] - self.log_noise[noise])[:, None]
+            np.clip(down, -30, 30, out=down)
+            np.negative(down, out=down)
+            np.exp(down, out=down)
+            down += 1
+            np.reciprocal(down, out=down)
+            own *= up[:, None]
+            grad_q += own
+            grad_q -= down.T @ others
             rows += [ids, noise]
-            grad_out += [up[:, None] * q, -down.T @ q]
-            grad_bias += [up, -down.sum(axis=0)]
+            grad_out += [up[:, None] * q, -down @ q]
+            grad_bias += [up, -down.sum(axis=1)]
         self._step(0, c1, grad_q)
         self._step(1, c2, grad_q)
         self._step(2, np.concatenate(rows), np.concatenate(grad_out), np.concatenate(grad_bias))
@@ -227,33 +254,40 @@ def log_probabilities(model: Model, blocks: Blocks, c1: np.ndarray, c2: np.ndarr
     norm = lambda x: float(np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0)))
     plain = (norm(model.first) + norm(model.second)) * norm(model.out) + float(np.abs(model.bias).max(initial=0)) < 60
 
-    def chosen(q: np.ndarray, a: int, b: int, at) -> np.ndarray:
-        """Log of the share of output ``at`` among the outputs a to b."""
-        s = q @ np.column_stack([model.out[a:b], model.bias[a:b]]).T
-        own = s[np.arange(len(s)), at]
-        top = 0.0 if plain else s.max(axis=1)
-        if not plain:
-            s -= top[:, None]
-        np.exp(s, out=s)
-        return own - top - np.log(s @ np.ones(b - a, np.float32))
-
+    room = np.empty(max(SCORES, int(max(np.diff(blocks.starts).max(initial=1), len(model.out) - n)) * 16), np.float32)
+
+    def chosen(q: np.ndarray, a: int, b: int, at, into: np.ndarray) -> None:
+        """Add the log of the share of output ``at`` among the outputs a to b; the scores worked on at once stay in the cache."""
+        if b - a == 1:
+            return
+        outputs = np.column_stack([model.out[a:b], model.bias[a:b]]).T
+        step = len(room) // (b - a)
+        for i in range(0, len(q), step):
+            s = room[: len(q[i : i + step]) * (b - a)].reshape(-1, b - a)
+            np.matmul(q[i : i + step], outputs, out=s)
+            own = s[np.arange(len(s)), at[i : i + step]]
+            top = 0.0 if plain else s.max(axis=1)
+            if not plain:
+                s -= top[:, None]
+            np.exp(s, out=s)
+            into[i : i + step] += own - top - np.log(s @ ones[: b - a])
+
+    ones = np.ones(len(room) // 16, np.float32)
     for at in range(0, len(w), CHUNK):
         k = slice(at, at + CHUNK)
         out = w[k]
         order = np.argsort(out, kind="stable")  # tokens of a block stand together
         out = out[order]
-        q = model.first[c1[k][order]] + model.second[c2[k][order]]
+        before, further = c1[k][order], c2[k][order]
+        q = model.first.take(before, axis=0) + model.second.take(further, axis=0)
         q = np.column_stack([q, np.ones(len(q), q.dtype)])  # the last column meets the bias
         block = blocks.of[out]
-        logp = np.empty(len(out))
-        for i in range(0, len(out), 2048):
-            logp[i : i + 2048] = chosen(q[i : i + 2048], n, len(model.out), block[i : i + 2048])
+        logp = np.zeros(len(out))
+        chosen(q, n, len(model.out), block, logp)
         cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             first, end = blocks.starts[block[a] : block[a] + 2].tolist()
-            for i in range(a, b, 2048):
-                j = min(b, i + 2048)
-                logp[i:j] += chosen(q[i:j], first, end, out[i:j] - first)
+            chosen(q[a:b], first, end, out[a:b] - first, logp[a:b])
         found[at + order] = logp
     return found / np.log(10)
 
@@ -331,7 +365,7 @@ def train(docs: DataFrame, voc: Vocabulary, shared, text: str = "text", id_colum
     start = docs.sparkSession.sparkContext.broadcast((*(x.astype(np.float16) for x in model[:3]), model.bias))
     # Outputs have their bias in the last column.
     side = lambda p, which, at: p[which][at].astype(np.float32) if which < 2 else np.column_stack([p[2][at].astype(np.float32), p[3][at]])
-    kinds = ["side", "part", "at", "hits", "change"]
+    kinds = ["side", "part", "at", "hits", "scale", "bias", "change"]
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, voc = None, Vocabulary(*shared.value)
@@ -348,17 +382,23 @@ def train(docs: DataFrame, voc: Vocabulary, shared, text: str = "text", id_colum
                 for k in range(0, len(hits), span):
                     at = (k + np.flatnonzero(hits[k : k + span])).astype(np.int32)
                     if len(at):
-                        change = (side(trainer.p, which, at) - side(start.value, which, at)).astype(np.float16)
+                        change = side(trainer.p, which, at) - side(start.value, which, at)
+                        # A vector travels as bytes of its own scale, a bias as it is.
+                        bias, change = change[:, size:], change[:, :size]
+                        scale = np.maximum(np.abs(change).max(axis=1), np.float32(1e-30)) / np.float32(127)
+                        change = np.rint(change / scale[:, None]).astype(np.int8)
+                        counts, place = hits[at].astype(np.uint32), (at % ROWS).astype(np.uint8)
                         cuts = np.flatnonzero(np.r_[True, np.diff(at // ROWS) > 0, True]).tolist()
-                        cells = [(which, int(at[i]) // ROWS, at[i:j].tobytes(), hits[at[i:j]].tobytes(), change[i:j].tobytes()) for i, j in zip(cuts, cuts[1:])]
-                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*cells), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], kinds)
+                        cells = [(which, int(at[i]) // ROWS, *(x[i:j].tobytes() for x in (place, counts, scale, bias, change))) for i, j in zip(cuts, cuts[1:])]
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*cells), (pa.int32(), pa.int32(), *[pa.binary()] * 5))], kinds)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, list] = {}
         for batch in batches:
-            for which, part, at, hits, change in (tuple(c[i].as_py() for c in batch.columns) for i in range(len(batch))):
-                at, hits = np.frombuffer(at, np.int32) - part * ROWS, np.frombuffer(hits, np.int64)
-                change = np.frombuffer(change, np.float16).reshape(len(at), -1)
+            for which, part, at, hits, scale, bias, change in (tuple(c[i].as_py() for c in batch.columns) for i in range(len(batch))):
+                at, hits, scale = np.frombuffer(at, np.uint8), np.frombuffer(hits, np.uint32), np.frombuffer(scale, np.float32)
+                change = np.frombuffer(change, np.int8).reshape(len(at), -1) * scale[:, None]
+                change = np.column_stack([change, np.frombuffer(bias, np.float32).reshape(len(at), -1)])
                 if (which, part) not in sums:
                     sums[which, part] = [np.zeros((ROWS, change.shape[1])), np.zeros(ROWS, np.int64)]
                 total, n = sums[which, part]
@@ -373,7 +413,7 @@ def train(docs: DataFrame, voc: Vocabulary, shared, text: str = "text", id_colum
                 yield pa.record_batch([pa.array([which], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([mean.tobytes()], pa.binary())], ["side", "at", "change"])
 
     # A task adds what it gets piece by piece and holds one sum a part, so many tasks need no more memory.
-    sent = docs.select(whole_text(text).alias("t")).mapInArrow(refine, "side int, part int, at binary, hits binary, change binary")
+    sent = docs.select(whole_text(text).alias("t")).mapInArrow(refine, "side int, part int, at binary, hits binary, scale binary, bias binary, change binary")
     merged = sent.repartition(max(parts, len(voc.noise) >> 14), "side", "part").mapInArrow(add, "side int, at binary, change binary").toArrow()
     start.destroy()
     for which, at, change in (tuple(c[i].as_py() for c in batch.columns) for batch in merged.to_batches() for i in range(len(batch))):

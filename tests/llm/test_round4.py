@@ -40,3 +40,29 @@ def test_op5_says_which_documents_stay_whole(spark, tmp_path):
     got = {r.doc_id: (r.kept, r.n_removed) for r in QUERIES["op5_repeats"](spark, str(tmp_path)).collect()}
     assert {i: kept for i, (kept, _) in got.items()} == {1: False, 2: False, 3: True, 4: True, 5: True, 6: True}
     assert all(kept == (n == 0) for kept, n in got.values())
+
+
+def test_lm_words_are_cut_without_a_list():
+    """Before, every word was a Python object of its own."""
+    rnd = np.random.default_rng(11)
+    rows = ["".join(map(chr, rnd.choice([32, 9, 10, 11, 13, 65, 90, 97, 0, 28, 133, 160, 233, 8232, 128512], rnd.integers(0, 12)))) for _ in range(400)] + ["", "A", "b"]
+    offsets = np.cumsum([0, *[len(t.encode()) for t in rows]])
+    tokens, lengths = lm.words_of("".join(rows).encode(), offsets)
+    want = [[*t.encode().lower().split(), lm.END] for t in rows]
+    assert tokens.to_pylist() == sum(want, []) and lengths.tolist() == [len(r) for r in want]
+    tokens, lengths = lm.words_of(b"", np.zeros(3, np.int64))
+    assert tokens.to_pylist() == [b"", b""] and lengths.tolist() == [1, 1]
+
+
+def test_lm_step_adds_up_the_gradient_of_repeated_rows():
+    rnd = np.random.default_rng(2)
+    noise = np.full(50, 0.02)
+    trainer = lm.Trainer(lm.new_model(noise, 4), noise, 1)
+    rows, grad = rnd.integers(0, 50, 300), rnd.normal(size=(300, 4)).astype(np.float32)
+    want = trainer.p.first.astype(float)
+    for row in range(50):
+        g = grad[rows == row].astype(float).sum(axis=0)
+        if (rows == row).any():
+            want[row] += g * 0.15 / np.sqrt(1e-2 + (g * g).sum() / 4)
+    trainer._step(0, rows, grad)
+    assert np.allclose(trainer.p.first, want, atol=1e-5) and (trainer.hits[0] == np.bincount(rows, minlength=50)).all()
