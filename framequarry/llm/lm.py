@@ -28,7 +28,6 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 from zlib import crc32
@@ -40,15 +39,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framequarry.llm.base import blocks as row_blocks
-from framequarry.llm.base import buffers, whole_text, written
+from framequarry.llm.base import whole_text, written
 
 END = b""  # the end token among words, which are never empty
 CLASSES = 64
 NOISE = 64
 BATCH = 2048
 FLUSH = 400_000
-CHUNK = 1 << 17  # tokens scored at a time
-SCORES = 1 << 17  # scores worked on at once
+CHUNK = 1 << 18  # tokens scored at a time
+SCORES = 38_000  # scores worked on at once: so small a product is taken without packing
+STEP = 1 << 13  # rows gathered at once
+STRIP = 256  # tokens that meet the noise at once
+LOG2_E = np.log2(np.e)
 ROWS = 128  # rows of parameters that are averaged together: small, as a task that adds gets thousands of such pieces at once
 BLOCK = 4 << 20  # bytes of text whose words are held at once; one longer document is taken whole
 
@@ -106,26 +108,38 @@ def words_of(data: bytes, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
 
 def token_blocks(column) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
     """The rows in blocks of about ``BLOCK`` bytes: first row, tokens laid end to end, and the number of tokens of each row."""
-    data, offsets = buffers(column)
-    for a, b in row_blocks(offsets, BLOCK):
-        yield a, *words_of(data[offsets[a] : offsets[b]], np.array(offsets[a : b + 1], np.int64) - offsets[a])
+    column = (column.fill_null("") if column.null_count else column).cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
+    # Only the text of a block is copied, not that of the batch.
+    data = np.frombuffer(data if data is not None else b"", np.uint8)
+    for a, b in row_blocks(at.tolist(), BLOCK):
+        yield a, *words_of(data[at[a] : at[b]].tobytes(), at[a : b + 1] - at[a])
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word BINARY, c BIGINT`` over all documents; the end token is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held, rows = [], 0
         for batch in batches:
             for _, tokens, _ in token_blocks(batch.column(0)):
                 found = tokens.value_counts()
-                for word, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist()):
-                    counts[word] += n
-                if len(counts) > FLUSH:
-                    yield pa.record_batch([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-                    counts.clear()
-        if counts:
-            yield pa.record_batch([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+                held.append(pa.table([found.field("values"), found.field("counts")], ["word", "n"]))
+                rows += len(found)
+                if rows > FLUSH:
+                    held = [added(held)]
+                    rows = len(held[0])
+                    if rows > FLUSH // 2:
+                        yield from held[0].to_batches()
+                        held, rows = [], 0
+        if held:
+            yield from added(held).to_batches()
+            del held
+        pa.default_memory_pool().release_unused()  # the worker lives on
+
+    def added(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
 
     return docs.select(whole_text(text).alias("t")).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -140,6 +154,11 @@ def new_model(noise: np.ndarray, size: int, seed: int = 0) -> Model:
     return Model(small(n), small(n), small(len(shares)), np.log(shares).astype(np.float32))
 
 
+def whole_rows(x: np.ndarray) -> np.ndarray:
+    """The rows as one value each, which are moved faster than rows of numbers."""
+    return x if x.ndim == 1 else x.view(np.dtype((np.void, x.shape[1] * x.itemsize)))[:, 0]
+
+
 class Trainer:
     """AdaGrad by rows on the noise-contrastive objective, of the outputs and of their blocks; one set of noise serves a whole batch.
 
@@ -150,67 +169,95 @@ class Trainer:
         self.p = model
         self.seen = Model(*[np.full(len(x), 1e-2, np.float32) for x in model])
         self.hits = [np.zeros(len(x), np.int64) for x in model[:3]]
+        self.place = np.empty(len(model.out), np.int32)  # worked on by ``_summed``
         self.n, self.blocks, self.rng, self.rate = len(noise), blocks_of(noise), np.random.default_rng(seed), rate
         self.levels = [(0, np.cumsum(noise)), (self.n, np.cumsum(self.blocks.shares))]
         self.log_noise = np.log(np.concatenate([noise, self.blocks.shares]) * NOISE).astype(np.float32)
 
-    def _step(self, which: int, rows: np.ndarray, *grads: np.ndarray) -> None:
-        """Add the gradient of repeated rows up, then scale by what each has seen."""
-        order = np.argsort(rows, kind="stable")
-        sorted_rows = rows[order]
-        new = np.r_[True, sorted_rows[1:] != sorted_rows[:-1]]
-        starts = np.flatnonzero(new)
-        at = sorted_rows[starts]
-        place = np.empty(len(rows), np.int64)
-        place[order] = np.cumsum(new) - 1
-        self.hits[which][at] += np.diff(np.r_[starts, len(rows)])
-        for k, grad in enumerate(grads, which):
-            if grad.ndim > 1:
-                size = grad.shape[1]
-                cells = (place[:, None] * size + np.arange(size)).ravel()
-                g = np.bincount(cells, grad.ravel(), len(at) * size).astype(np.float32).reshape(-1, size)
-                seen = self.seen[k][at] + np.einsum("ij,ij->i", g, g) / size
-            else:
-                g = np.bincount(place, grad, len(at)).astype(np.float32)
-                seen = self.seen[k][at] + g * g
+    def _summed(self, rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct rows, and the gradient of each, added up in double precision where a row is repeated."""
+        size, low = grad.shape[1], int(rows.min())
+        if int(rows.max()) - low < len(rows):  # most of them are repeated
+            place = rows - low
+            at = np.flatnonzero(np.bincount(place))
+            cells = (place * size)[:, None] + np.arange(size)
+            return at + low, np.bincount(cells.ravel(), grad.ravel()).reshape(-1, size).take(at, axis=0).astype(np.float32)
+        # One of the equal rows stands for all, only the others are added to it.
+        k = np.arange(len(rows), dtype=np.int32)
+        self.place[rows] = k
+        stands = self.place.take(rows)
+        alone = stands == k
+        first, others = np.flatnonzero(alone), np.flatnonzero(~alone)
+        at, g = rows.take(first), grad.take(first, axis=0)
+        if len(others):
+            to = stands.take(others)
+            repeated = np.zeros(len(rows), bool)
+            repeated[to] = True
+            cells = ((np.cumsum(repeated) - 1).take(to) * size)[:, None] + np.arange(size)
+            more = np.bincount(cells.ravel(), grad.take(others, axis=0).ravel()).reshape(-1, size)
+            both = np.flatnonzero(repeated.take(first))
+            g[both] = g.take(both, axis=0) + more
+        return at, g
+
+    def _step(self, which: int, rows: np.ndarray, grad: np.ndarray) -> None:
+        """Add the gradient of repeated rows up, then scale by what each has seen; outputs have that of their bias in the last column."""
+        np.add.at(self.hits[which], rows, 1)
+        at, g = self._summed(rows, grad)
+        size = self.p[which].shape[1]
+        for k, g in zip((which, 3), (g[:, :size], g[:, size]) if g.shape[1] > size else (g,)):
+            seen = self.seen[k].take(at) + (np.einsum("ij,ij->i", g, g) / size if g.ndim > 1 else g * g)
             self.seen[k][at] = seen
-            scale = (self.rate / np.sqrt(seen)).astype(np.float32)
-            self.p[k][at] = self.p[k].take(at, axis=0) + g * (scale[:, None] if g.ndim > 1 else scale)
+            scale = self.rate / np.sqrt(seen)
+            new = self.p[k].take(at, axis=0) + g * (scale[:, None] if g.ndim > 1 else scale)
+            whole_rows(self.p[k])[at] = whole_rows(new)
 
     def batch(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray) -> None:
-        p = self.p
-        q = p.first.take(c1, axis=0) + p.second.take(c2, axis=0)
-        grad_q, rows, grad_out, grad_bias = np.zeros_like(q), [], [], []
-        for (first, cumulated), ids in zip(self.levels, (w, self.n + self.blocks.of[w])):
+        p, size = self.p, self.p.first.shape[1]
+        q = np.ones((len(w), size + 1), np.float32)  # the last column meets the bias
+        vector = q[:, :size]
+        np.add(p.first.take(c1, axis=0), p.second.take(c2, axis=0), out=vector)
+        grad_q, rows, grads = np.zeros((len(w), size), np.float32), [], []
+        for (first, cumulated), ids in zip(self.levels, (w, self.n + self.blocks.of.take(w))):
             noise = first + np.minimum(np.searchsorted(cumulated, self.rng.random(NOISE)), len(cumulated) - 1)
-            own, others = p.out.take(ids, axis=0), p.out[noise]
-            s = np.einsum("ij,ij->i", q, own) + p.bias[ids] - self.log_noise[ids]
-            up = (1 / (1 + np.exp(np.clip(s, -30, 30)))).astype(np.float32)  # chance that the output is taken for noise
-            down = others @ q.T  # chance that noise is taken for the output, worked out in place
-            down += (p.bias[noise] - self.log_noise[noise])[:, None]
-            np.clip(down, -30, 30, out=down)
-            np.negative(down, out=down)
-            np.exp(down, out=down)
-            down += 1
-            np.reciprocal(down, out=down)
+            own = p.out.take(ids, axis=0)
+            s = np.einsum("ij,ij->i", vector, own) + p.bias.take(ids) - self.log_noise.take(ids)
+            up = 1 / (1 + np.exp(np.clip(s, -30, 30)))  # chance that the output is taken for noise
             own *= up[:, None]
             grad_q += own
-            grad_q -= down.T @ others
-            rows += [ids, noise]
-            grad_out += [up[:, None] * q, -down @ q]
-            grad_bias += [up, -down.sum(axis=1)]
+            grad = np.zeros((len(w) + NOISE, size + 1), np.float32)
+            np.multiply(q, up[:, None], out=grad[: len(w)])
+            rows.append(np.concatenate([ids, noise]))
+            grads.append(grad)
+        # The noise of both levels in one product; powers of two are the faster exponentials.
+        noise = np.concatenate([x[len(w) :] for x in rows])
+        others = p.out.take(noise, axis=0)
+        outputs = np.ascontiguousarray(np.column_stack([others, p.bias.take(noise) - self.log_noise.take(noise)]).T) * np.float32(-LOG2_E)
+        down = np.zeros((len(noise), size + 1), np.float32)
+        with np.errstate(over="ignore"):  # beyond the largest power the chance is 0
+            for at in range(0, len(w), STRIP):
+                k = slice(at, at + STRIP)
+                s = q[k] @ outputs
+                np.exp2(s, out=s)
+                s += 1
+                np.reciprocal(s, out=s)  # chance that noise is taken for the output
+                grad_q[k] -= s @ others
+                down -= s.T @ q[k]
+        for grad, part in zip(grads, np.split(down, 2)):
+            grad[len(w) :] = part
         self._step(0, c1, grad_q)
         self._step(1, c2, grad_q)
-        self._step(2, np.concatenate(rows), np.concatenate(grad_out), np.concatenate(grad_bias))
+        for ids, grad in zip(rows, grads):
+            self._step(2, ids, grad)
 
     def train(self, tokens: np.ndarray, lengths: np.ndarray) -> None:
         """One pass over texts laid end to end, in random order. Before a text stand end tokens."""
         end = self.n - 1
-        c1, c2 = contexts(tokens, lengths, end)
+        rows = np.empty((len(tokens), 3), np.int32)  # what a token needs lies together
+        rows[:, 0], rows[:, 1] = contexts(tokens, lengths, end)
+        rows[:, 2] = tokens
         order = self.rng.permutation(len(tokens))
         for at in range(0, len(order), BATCH):
-            k = order[at : at + BATCH]
-            self.batch(c1[k], c2[k], tokens[k])
+            self.batch(*rows.take(order[at : at + BATCH], axis=0).T.astype(np.intp, order="C"))
 
 
 def contexts(tokens: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -246,50 +293,73 @@ def tables(model: Model) -> Tables:
     return Tables((a / ten).astype(np.float32), (b / ten).astype(np.float32), normal / ten)
 
 
-def log_probabilities(model: Model, blocks: Blocks, c1: np.ndarray, c2: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Log10 probability of each output ``w`` after its context: that of its block, then its own within the block."""
-    n = len(model.first)
-    found = np.empty(len(w))
-    # By Cauchy-Schwarz no score passes this bound; where exp cannot overflow below it, the largest one need not be taken off.
+def is_small(model: Model) -> bool:
+    """Whether no score of the model can overflow an exponential: by Cauchy-Schwarz none passes this bound."""
     norm = lambda x: float(np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0)))
-    plain = (norm(model.first) + norm(model.second)) * norm(model.out) + float(np.abs(model.bias).max(initial=0)) < 60
+    return (norm(model.first) + norm(model.second)) * norm(model.out) + float(np.abs(model.bias).max(initial=0)) < 60
+
+
+def log_probabilities(model: Model, blocks: Blocks, c1: np.ndarray, c2: np.ndarray, w: np.ndarray, small: bool | None = None) -> np.ndarray:
+    """Log10 probability of each output ``w`` after its context: that of its block, then its own within the block.
+
+    ``small`` is ``is_small`` of the model, for a caller who knows it.
+    """
+    n, size = model.first.shape
+    found = np.empty(len(w))
+    plain = is_small(model) if small is None else small  # then the largest score need not be taken off
 
-    room = np.empty(max(SCORES, int(max(np.diff(blocks.starts).max(initial=1), len(model.out) - n)) * 16), np.float32)
+    widest = int(max(np.diff(blocks.starts).max(initial=1), len(model.out) - n))
+    room, ones = np.empty(max(SCORES, widest * 16), np.float32), np.ones(widest, np.float32)
 
-    def chosen(q: np.ndarray, a: int, b: int, at, into: np.ndarray) -> None:
-        """Add the log of the share of output ``at`` among the outputs a to b; the scores worked on at once stay in the cache."""
-        if b - a == 1:
-            return
-        outputs = np.column_stack([model.out[a:b], model.bias[a:b]]).T
-        step = len(room) // (b - a)
+    def normalisers(q: np.ndarray, a: int, b: int) -> np.ndarray:
+        """Log2 of the sum over the outputs a to b, of each context; the scores worked on at once stay in the cache."""
+        outputs = np.ascontiguousarray(np.column_stack([model.out[a:b], model.bias[a:b]]).T) * np.float32(LOG2_E)
+        sums, tops = np.empty(len(q), np.float32), np.zeros(len(q), np.float32)
+        step = max(16, SCORES // (b - a))
         for i in range(0, len(q), step):
-            s = room[: len(q[i : i + step]) * (b - a)].reshape(-1, b - a)
-            np.matmul(q[i : i + step], outputs, out=s)
-            own = s[np.arange(len(s)), at[i : i + step]]
-            top = 0.0 if plain else s.max(axis=1)
+            x = q[i : i + step]
+            s = np.matmul(x, outputs, out=room[: len(x) * (b - a)].reshape(-1, b - a))
             if not plain:
+                top = tops[i : i + step]
+                s.max(axis=1, out=top)
                 s -= top[:, None]
-            np.exp(s, out=s)
-            into[i : i + step] += own - top - np.log(s @ ones[: b - a])
+            np.exp2(s, out=s)
+            np.matmul(s, ones[: b - a], out=sums[i : i + step])
+        return np.log2(sums) + tops
 
-    ones = np.ones(len(room) // 16, np.float32)
     for at in range(0, len(w), CHUNK):
         k = slice(at, at + CHUNK)
-        out = w[k]
-        order = np.argsort(out, kind="stable")  # tokens of a block stand together
-        out = out[order]
-        before, further = c1[k][order], c2[k][order]
-        q = model.first.take(before, axis=0) + model.second.take(further, axis=0)
-        q = np.column_stack([q, np.ones(len(q), q.dtype)])  # the last column meets the bias
-        block = blocks.of[out]
-        logp = np.zeros(len(out))
-        chosen(q, n, len(model.out), block, logp)
-        cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            first, end = blocks.starts[block[a] : block[a] + 2].tolist()
-            chosen(q[a:b], first, end, out[a:b] - first, logp[a:b])
-        found[at + order] = logp
-    return found / np.log(10)
+        # A normaliser is worked out once for all tokens of the chunk that share it: by the context for the blocks, by the context and the block within it.
+        contexts, context = np.unique(c1[k].astype(np.int64) * n + c2[k], return_inverse=True)
+        q = np.ones((len(contexts), size + 1), np.float32)  # the last column meets the bias
+        for i in range(0, len(q), STEP):
+            some = contexts[i : i + STEP]
+            np.add(model.first.take(some // n, axis=0), model.second.take(some % n, axis=0), out=q[i : i + STEP, :size])
+        normal = normalisers(q, n, len(model.out))
+        block = blocks.of.take(w[k])
+        keys = block * len(q) + context
+        order = np.argsort(keys)  # tokens of a block stand together
+        keys = keys[order]
+        new = np.r_[True, keys[1:] != keys[:-1]]
+        pairs = keys[new]
+        within, rows = np.zeros(len(pairs), np.float32), pairs % len(q)
+        cuts = np.flatnonzero(np.r_[True, np.diff(pairs // len(q)) > 0, True]).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            first, end = blocks.starts[pairs[a] // len(q) :][:2].tolist()
+            if end - first > 1:
+                within[a:b] = normalisers(q.take(rows[a:b], axis=0), first, end)
+        less = within[np.cumsum(new) - 1] + normal[context[order]]
+        alone = np.diff(blocks.starts) == 1  # the only output of its block has no score of its own there
+        for i in range(0, len(order), STEP):
+            o = order[i : i + STEP]
+            out, of = w[k][o], block[o]
+            own, bias = model.out.take(out, axis=0), model.bias.take(out)
+            own[alone[of]] = 0
+            bias[alone[of]] = 0
+            own += model.out.take(n + of, axis=0)
+            bias += model.bias.take(n + of)
+            found[at + o] = (np.einsum("ij,ij->i", q.take(context[o], axis=0)[:, :size], own) + bias) / np.log(10) - less[i : i + STEP] * np.log10(2)
+    return found
 
 
 # ---- words and outputs ---------------------------------------------------------------------------
@@ -439,7 +509,7 @@ def score_documents(docs: DataFrame, training: Column, id_column: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, model = Vocabulary(*shared.value), Model(*fitted.value)
-        end, blocks = voc.words + CLASSES, blocks_of(voc.noise)
+        end, blocks, small = voc.words + CLASSES, blocks_of(voc.noise), is_small(model)
         log_count = np.log10(voc.counts + 1.0)
         log_class = np.log10(voc.class_totals.astype(float))
         log_end = np.log10(voc.ends + 1.0)
@@ -452,7 +522,7 @@ def score_documents(docs: DataFrame, training: Column, id_column: str = "doc_id"
             value = np.zeros(len(out))
             value[known] = log_count[places[known]]
             c1, c2 = contexts(out, lengths, end)
-            logp = log_probabilities(model, blocks, c1, c2, out)
+            logp = log_probabilities(model, blocks, c1, c2, out, small)
             member = (out >= voc.words) & (out < end)
             # A class word: its class, then its smoothed share; a rare word's own count comes by the join.
             logp[member] += value[member] - log_class[out[member] - voc.words]
@@ -469,6 +539,8 @@ def score_documents(docs: DataFrame, training: Column, id_column: str = "doc_id"
     part = source.mapInArrow(run, f"id {kind}, training boolean, n_tokens bigint, n_known bigint, base double, score double, tail array<binary>")
     # The row number within this written table names a row, whatever its id.
     part = written(part.withColumn("row", F.monotonically_increasing_id()))
+    fitted.destroy()
+    shared.destroy()
     rare = part.select("row", F.explode("tail").alias("word"))
     found = rare.join(counts, "word").groupBy("row").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count(F.lit(1)).alias("known"))
     out = part.drop("tail").join(found, "row", "left")
