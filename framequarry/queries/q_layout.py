@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framequarry import __version__
-from framequarry.functions import ordered
+from framequarry.functions import joins, ordered
 from framequarry.operators import checks as C
 from framequarry.operators import layout as LO
 from framequarry.operators import metrics as M
@@ -35,11 +35,15 @@ def lines(spark, d):
 
 def cells(spark, d):
     li = lines(spark, d)
-    order = ["l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity"]
     # A sequence is no larger than its asset, and counting assets is cheap.
-    largest = LO.largest_group(li, ["asset"])
+    return numbered(li, LO.largest_group(li, ["asset"]))
+
+
+def numbered(li, largest):
+    """Line items with their place in the sequence."""
+    order = ["l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity"]
     out = LO.numbered_rows(li, LO.SEQ, order, ordered.id_bucket("l_partkey"), "idx", largest)
-    return out.withColumn("idx", F.col("idx") - 1)
+    return out.withColumn("idx", F.col("idx") - 1).withColumn("seq_pos", F.col("l_partkey") * 1_000_000 + F.col("l_suppkey") * 10 + F.col("l_linenumber"))
 
 
 PLACED = """dd AS (SELECT s.*, min(pos) OVER (PARTITION BY asset, direction) AS df FROM sq s), rk AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY df, pos) - 1 AS rank FROM dd),
@@ -52,8 +56,18 @@ CELLS = f"""{SC}, {PLACED}, gc AS (SELECT c.asset, c.clip, c.direction, c.idx, p
 
 
 def placed(spark, d):
-    c = cells(spark, d)
-    return LO.grid_cells(LO.layout_grid(LO.sequences_of(c), W, H, GRID), c, W, H, GRID)
+    return small_placed(spark, d)[0]
+
+
+def small_placed(spark, d):
+    """Cells on their pages, and whether they lie by asset, as assets are counted to hold few."""
+    li = lines(spark, d)
+    most, held = LO.group_sizes(li, ["asset"])
+    if most > LO.SMALL_ASSET:
+        c = numbered(li, most)
+        return LO.grid_cells(LO.layout_grid(LO.sequences_of(c), W, H, GRID), c, W, H, GRID), False
+    c = numbered(joins.dealt(li, ["asset"], held=held), most).drop("l_suppkey", "l_extendedprice", "l_quantity")
+    return LO.grid_cells_lying(c, W, H, GRID), True
 
 
 @query("layout_grid", "W-8", f"WITH {SC}, {PLACED} SELECT asset, clip, direction, rank, page, slot, page_name, page_w, page_h, error FROM pg")
@@ -247,10 +261,15 @@ def _(spark, d):
 
 
 def doc_cells(spark, d):
-    c = placed(spark, d)
+    return small_doc_cells(spark, d)[0]
+
+
+def small_doc_cells(spark, d):
+    """Cells of documents, and whether they lie by asset."""
+    c, small = small_placed(spark, d)
     trimmed = F.col("l_partkey") % 2 == 0
     return c.withColumns({"trimmed": trimmed, "ox": F.when(trimmed, 1).otherwise(0), "oy": F.when(trimmed, 2).otherwise(0), "mirrored": F.col("l_linenumber") > 5,
-                          "w": F.when(trimmed, 14).otherwise(16), "h": F.when(trimmed, 20).otherwise(24)})
+                          "w": F.when(trimmed, 14).otherwise(16), "h": F.when(trimmed, 20).otherwise(24)}), small
 
 
 def doc_clips(spark, d):
@@ -339,7 +358,7 @@ _colours = lambda first, last: f"""'["' || array_to_string([{', '.join(repr(h) f
   FROM cs JOIN sh ON sh.asset = cs.asset JOIN ce ON ce.asset = cs.asset LEFT JOIN ck ON ck.asset = cs.asset""")
 def _(spark, d):
     checks = table(spark, d, "orders").select(F.col("o_orderkey").alias("asset"), F.when(F.col("o_orderstatus") == "P", "warn").when(F.col("o_orderstatus") == "F", "fail").otherwise("pass").alias("status"))
-    placed_cells, asset = doc_cells(spark, d), F.col("asset")
+    (placed_cells, small), asset = small_doc_cells(spark, d), F.col("asset")
     even, colours = asset % 2 == 0, F.array(*[F.lit(h) for h in PALETTE_HEX])
     ids = lines(spark, d).groupBy("asset").agg(F.sort_array(F.collect_set("direction")).alias("directions"))
     assets = ids.select(
@@ -350,8 +369,10 @@ def _(spark, d):
     stages = ids.select("asset", F.explode(F.array(F.lit("plan"), F.lit("render"))).alias("stage"))
     stages = stages.withColumn("hash", F.sha2(F.concat(asset.cast("string"), "stage"), 256))
     clips = doc_clips(spark, d).withColumn("motion", F.col("clip") == "n")
-    fragments = SK.export_manifest(placed_cells, clips, checks, W, H, 4, assets, own.unionByName(some), SK.manifest_files(placed_cells), stages, per_unit=16, data=".json")
-    return SK.documents(fragments, ["asset"])
+    of = (placed_cells, clips, checks, W, H, 4, assets, own.unionByName(some))
+    if small:
+        return SK.manifest_documents(*of, True, stages, per_unit=16, data=".json")
+    return SK.documents(SK.export_manifest(*of, SK.manifest_files(placed_cells), stages, per_unit=16, data=".json"), ["asset"])
 
 
 @query("frame_files", "S-15", f"""WITH {SC} SELECT asset, 'frames/' || asset || '_' || clip || '_' || direction || '_' || lpad(CAST(idx AS VARCHAR), 3, '0') || '.png' AS file FROM sc""")
