@@ -334,7 +334,9 @@ _id = lambda c: f"regexp_replace({c}, '[^A-Za-z0-9_]', '_', 'g')"
   b AS (SELECT asset, string_agg(an, ', ' ORDER BY rank) AS an FROM a GROUP BY asset)
   SELECT x.asset, '[gd_resource type="SpriteFrames" format=3]' || chr(10) || chr(10) || ex || chr(10) || su || '[resource]' || chr(10) || 'animations = [' || an || ']' || chr(10) AS document FROM x JOIN s ON s.asset = x.asset JOIN b ON b.asset = x.asset""")
 def _(spark, d):
-    return SK.documents(SK.export_spriteframes_text(doc_cells(spark, d), doc_clips(spark, d), W, H, "res://"), ["asset"])
+    c, small = small_doc_cells(spark, d)
+    of = (c, doc_clips(spark, d), W, H, "res://")
+    return SK.spriteframes_documents(*of) if small else SK.documents(SK.export_spriteframes_text(*of), ["asset"])
 
 
 _even = "cs.asset % 2 = 0"
