@@ -320,7 +320,9 @@ def _(spark, d):
   b AS (SELECT asset, string_agg(an, ',' ORDER BY rank) AS an FROM a GROUP BY asset)
   SELECT t.asset, '{{"textures":[' || tx || '],"animations":[' || an || '],"meta":{{"app":"{SK.APP}","version":"{__version__}"}}}}' AS document FROM t JOIN b ON b.asset = t.asset""")
 def _(spark, d):
-    return SK.documents(SK.export_phaser(doc_cells(spark, d), doc_clips(spark, d), W, H, (0.5, 0.833333)), ["asset"])
+    c, small = small_doc_cells(spark, d)
+    of = (c, doc_clips(spark, d), W, H, (0.5, 0.833333))
+    return SK.phaser_documents(*of) if small else SK.documents(SK.export_phaser(*of), ["asset"])
 
 
 _id = lambda c: f"regexp_replace({c}, '[^A-Za-z0-9_]', '_', 'g')"
