@@ -310,7 +310,9 @@ def _(spark, d):
   SELECT f.asset, f.page, '{{"frames":{{' || fr || '}},"animations":{{' || an || '}},"meta":' || {META} || CASE WHEN ot IS NULL THEN '' ELSE ',"related_multi_packs":[' || ot || ']' END || '}}}}' AS document
   FROM f JOIN b ON b.asset = f.asset AND b.page = f.page LEFT JOIN o ON o.asset = f.asset AND o.page = f.page""")
 def _(spark, d):
-    return SK.documents(SK.export_pixi(doc_cells(spark, d), W, H, (0.5, 0.833333)), SK.PAGE)
+    c, small = small_doc_cells(spark, d)
+    of = (c, W, H, (0.5, 0.833333))
+    return SK.pixi_documents(*of) if small else SK.documents(SK.export_pixi(*of), SK.PAGE)
 
 
 @query("export_phaser", "S-13", f"""WITH {DOC}, f AS (SELECT asset, page, '{{"image":"' || img || '.png","format":"RGBA8888","size":{{"w":' || page_w || ',"h":' || page_h || '}},"scale":1,"frames":[' ||

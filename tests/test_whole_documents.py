@@ -31,7 +31,7 @@ def line_items(n):
     return pd.DataFrame(rows, columns=["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"])
 
 
-@pytest.mark.parametrize("name", ["export_manifest", "export_spriteframes_text", "export_phaser"])
+@pytest.mark.parametrize("name", ["export_manifest", "export_spriteframes_text", "export_phaser", "export_pixi"])
 def test_documents_of_small_assets_are_not_staged_and_cells_move_once(spark, tmp_path, name):
     """Before, cells were written to the checkpoint folder and every kind of fragment moved them, and its text, anew."""
     lineitem = line_items(600)
