@@ -67,8 +67,8 @@ def bone_segments(bones: DataFrame) -> DataFrame:
     return ends.select("rig", "joint", *[f"a{c}" for c in "xyz"], *[v.alias(n) for n, v in further.items()])
 
 
-#: Vertices of a last cell, on average, and of how many of them the cells before; most cells cut from one along an axis; most vertices measured in one row.
-CELL_VERTICES, COARSE, MOST_CELLS, MOST_ROWS = 128, 16, 32, 4096
+#: Vertices of a last cell, on average, and of how many of them the cells before; most cells cut from one along an axis; most vertices measured in one row; parts to which a rig's first cells are dealt.
+CELL_VERTICES, COARSE, MOST_CELLS, MOST_ROWS, RIG_PARTS = 128, 16, 32, 4096, 8
 # More than rounding can move a distance.
 CELL_SLACK = 1e-9
 
@@ -194,8 +194,8 @@ def skin_weights(vertices: DataFrame, segments: DataFrame, mode: str = "two-bone
     along = {f"v{c}": F.col(f"b{c}") - F.col(f"a{c}") for c in "xyz"}
     square = sum((v * v for v in along.values()), F.lit(0.0))
     ends = segments.withColumns({**along, "n": square, "__len": F.sqrt(square)})
-    # A bone's length is its longest segment.
-    ends = ends.join(ends.groupBy("rig", "joint").agg(F.max("__len").alias("len")), ["rig", "joint"])
+    # A bone's length is its longest segment. A join would send one row per bone through the driver.
+    ends = ends.filter(F.col("rig").isNotNull() & F.col("joint").isNotNull()).withColumn("len", F.max("__len").over(Window.partitionBy("rig", "joint")))
     # Segments in one place are equally far from everything, and of equally near joints the least counts: two of them can matter.
     where = [f"a{c}" for c in "xyz"] + list(along)
     ends = ends.groupBy("rig", *where, "joint").agg(F.first("n").alias("n"), F.first("len").alias("len"))
@@ -203,16 +203,18 @@ def skin_weights(vertices: DataFrame, segments: DataFrame, mode: str = "two-bone
     ends = ends.groupBy("rig").agg(F.collect_list(F.struct("joint", *where, "n", "len")).alias("__s"))
     placed = vertices.repartition("rig", "vid").select("rig", "vid", *[F.col(c).cast("double").alias(c) for c in "xyz"], F.lit(0).cast("bigint").alias("__c"))
     cells, boxes = ends.withColumn("__c", F.lit(0).cast("bigint")), _boxes(placed)
-    for size in (CELL_VERTICES * COARSE, CELL_VERTICES):
+    for size, parts in ((CELL_VERTICES * COARSE, RIG_PARTS), (CELL_VERTICES, 1)):
         placed = _cut(placed, boxes, size)
         boxes = _boxes(placed)
-        inside = boxes.drop("n").withColumn("__in", F.floor(F.col("__c") / MOST_CELLS**3))
-        cells = _narrowed(inside.join(cells.withColumnRenamed("__c", "__in"), ["rig", "__in"])).select("rig", "__c", "__s")
-    # The vertices of a cell are measured together; where very many lie in one place, they are dealt.
+        inside = boxes.drop("n").withColumns({"__in": F.floor(F.col("__c") / MOST_CELLS**3), "__part": F.pmod(F.xxhash64("__c"), F.lit(parts)).cast("int")})
+        # Segments of a cell grow with the rig, so they are dealt to tasks and never broadcast.
+        dealt = cells.withColumnRenamed("__c", "__in").withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        cells = _narrowed(inside.join(dealt.hint("merge"), ["rig", "__in", "__part"])).select("rig", "__c", "__s")
+    # The vertices of a cell are measured together; where very many lie in one place, they are dealt. Cells grow with the vertices, so they are never broadcast.
     deal = F.pmod(F.xxhash64("vid"), F.ceil(F.col("n") / MOST_ROWS))
-    placed = placed.join(boxes.select("rig", "__c", "n"), ["rig", "__c"]).withColumn("__deal", deal)
+    placed = placed.join(boxes.select("rig", "__c", "n").hint("merge"), ["rig", "__c"]).withColumn("__deal", deal)
     held = placed.groupBy("rig", "__c", "__deal").agg(F.collect_list(F.struct("vid", *"xyz")).alias("v"))
-    held = held.join(cells, ["rig", "__c"]).select("rig", "v", F.sort_array("__s").alias("s"))
+    held = held.join(cells.hint("merge"), ["rig", "__c"]).select("rig", "v", F.sort_array("__s").alias("s"))
     kinds = dict(segments.dtypes) | dict(vertices.dtypes)
     df = held.mapInArrow(_measured, f"rig {kinds['rig']}, vid {kinds['vid']}, " + ", ".join(f"j{k} {kinds['joint']}, d{k} double, l{k} double" for k in (1, 2)))
     near = [F.struct(F.col(f"d{k}").alias("d"), F.col(f"j{k}").alias("joint"), F.col(f"l{k}").alias("len")) for k in (1, 2)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from test_round3 import both
 
 from framequarry import queries as registry
+from framequarry.operators import geometry as G
 from framequarry.operators import layout as LO
 from framequarry.sources import sinks as SK
 
@@ -63,3 +64,30 @@ def test_manifests_of_small_assets_equal_their_fragments(spark):
         whole = read(SK.manifest_documents(*of, **more, **rest))
         assert whole == read(SK.documents(fragments, ["asset"]))
         assert [json.loads(d)["assetId"] for _, d in whole] == ["a", "b"]
+
+
+def rigs(spark, path):
+    """Vertices and segments from files, whose size Spark goes by."""
+    rnd = random.Random(4)
+    at = lambda: [rnd.uniform(-1, 1) for _ in range(3)]
+    segments = [(r, j, *at(), *at()) for r in range(3) for j in range(12)] + [(None, 1, *at(), *at()), (1, None, *at(), *at())]
+    vertices = spark.createDataFrame([(r, i, *at()) for r in range(3) for i in range(80)], "rig int, vid int, x double, y double, z double")
+    segments = spark.createDataFrame(segments, "rig int, joint int, ax double, ay double, az double, bx double, by double, bz double")
+    for name, df in (("v", vertices), ("s", segments)):
+        df.write.parquet(f"{path}/{name}")
+    return spark.read.parquet(f"{path}/v"), spark.read.parquet(f"{path}/s")
+
+
+def broadcasts(df):
+    """Joins of an executed plan whose one side goes through the driver."""
+    df.collect()
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+
+
+def test_segments_never_go_through_the_driver(spark, tmp_path):
+    """Before, the length of every bone and the segments of every rig and cell could be broadcast."""
+    w = G.skin_weights(*rigs(spark, tmp_path))
+    # Boxes of the coarse cells, one row for about two thousand vertices, may be broadcast to the vertices.
+    assert [line for line in broadcasts(w) if "joint#" in line or "__in#" in line] == []
+    assert w.groupBy("rig", "vid").agg(F.sum("weight").alias("w")).filter("abs(w - 1) < 1e-12").count() == 240
+    assert w.filter("joint IS NULL").isEmpty()
