@@ -240,9 +240,9 @@ def skin_weights(vertices: DataFrame, segments: DataFrame, mode: str = "two-bone
 
 def skin_vertices(vertices: DataFrame, weights: DataFrame, joints: DataFrame, rows: int = 1 << 20) -> DataFrame:
     """Weighted sum of joint transforms applied to each vertex of each pose; a joint that holds very many vertices is split."""
-    # Staged, as the join counts its keys before it deals them.
-    held = staged(weights.join(vertices.repartition("rig", "vid"), ["rig", "vid"]))
-    df = joins.salted_join(held, joints, ["rig", "joint"], rows=rows)
+    # Staged, as the join counts its keys before it deals them. Joints grow with the rigs and their matrices are larger than Spark's estimate, so they are never broadcast.
+    held = staged(weights.join(vertices.repartition("rig", "vid").hint("merge"), ["rig", "vid"]))
+    df = joins.salted_join(held, joints, ["rig", "joint"], rows=rows, hint="merge")
     moved = motion.affine_apply(F.col("m"), "x", "y", "z")
     return df.groupBy("rig", "pose", "vid").agg(*[F.sum(F.col("weight") * v).alias(n) for n, v in zip("xyz", moved)])
 

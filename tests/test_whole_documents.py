@@ -91,3 +91,13 @@ def test_segments_never_go_through_the_driver(spark, tmp_path):
     assert [line for line in broadcasts(w) if "joint#" in line or "__in#" in line] == []
     assert w.groupBy("rig", "vid").agg(F.sum("weight").alias("w")).filter("abs(w - 1) < 1e-12").count() == 240
     assert w.filter("joint IS NULL").isEmpty()
+
+
+def test_joints_never_go_through_the_driver(spark, tmp_path):
+    """Before, matrices were broadcast where Spark's estimate, which takes them for one number, was small."""
+    vertices, segments = rigs(spark, tmp_path)
+    one = F.array(*[F.lit(float(i in (0, 4, 8))) for i in range(12)])
+    joints = segments.filter("rig IS NOT NULL AND joint IS NOT NULL").select("rig", "joint", F.lit(0).alias("pose"), one.alias("m"))
+    out = G.skin_vertices(vertices, G.skin_weights(vertices, segments), joints)
+    assert [line for line in broadcasts(out) if "__part#" in line] == []
+    assert out.count() == 240
